@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: UTF-8 bytes of text that a worker handles at a time; one longer text is a block of its own.
 BLOCK_BYTES = 2_000_000
@@ -54,13 +56,14 @@ def map_texts(
     name = id_as or id_col
     source = docs.select(docs[id_col].alias(name), docs[text_col].cast("string").alias("__text"))
     kind = source.schema[name].dataType.simpleString()
-    names = [c.strip().split(" ")[0] for c in columns.split(",")]
+    made = T.StructType.fromDDL(columns)
+    names, kinds = made.names, [to_arrow_type(f.dataType) for f in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for block in blocks(batches):
             out = fn(texts_of(block))
-            yield pa.RecordBatch.from_arrays([block.column(0), *(pa.array(out[c]) for c in names)], names=[name, *names])
+            yield pa.RecordBatch.from_arrays([block.column(0), *(pa.array(out[c], k) for c, k in zip(names, kinds, strict=True))], names=[name, *names])
 
     return source.mapInArrow(run, f"`{name}` {kind}, {columns}")
 

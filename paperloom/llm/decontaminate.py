@@ -241,10 +241,10 @@ def contamination(
             F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), best, (F.count(F.lit(1)) / parts).cast("int").alias("rows")
         )
         found = found.select("key", "n_words", "spans", "items", "best.*", F.explode(F.sequence(F.lit(1), "rows")).alias("copy"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("spans") / 2 - 1), lambda k: F.struct(F.get("spans", (2 * k).cast("int")).alias("b"), F.get("spans", (2 * k + 1).cast("int")).alias("e")))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda k: F.struct(F.get("spans", 2 * k).alias("b"), F.get("spans", 2 * k + 1).alias("e")))
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("last"))
     added = F.aggregate(
-        F.array_sort(pairs), start, lambda a, s: F.struct((a.n + F.greatest(F.lit(0), s.e - F.greatest(s.b, a.last))).alias("n"), F.greatest(a.last, s.e).alias("last"))
+        F.array_sort(pairs), start, lambda a, s: F.struct((a.n + F.greatest(F.lit(0).cast("bigint"), s.e - F.greatest(s.b, a.last))).alias("n"), F.greatest(a.last, s.e).alias("last"))
     ).n
     found = found.withColumn("items", F.array_sort(F.array_distinct("items"))).withColumn("n_hit", F.when(F.size("spans") == 0, F.lit(0).cast("bigint")).otherwise(added))
     return found.select(

@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .mpegts import media_features
 from .secret_scan import scan_secrets
 from .sentencepiece_bpe import piece_digests
+from .simhash import near_duplicates
 from .sstable import token_shards
 from .token_counts import token_counts
 
@@ -17,11 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in documents, by suffix arrays."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts kept as MPEG transport streams."""
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and their components."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of a byte-level vocabulary, with the whole-token shortcut."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
