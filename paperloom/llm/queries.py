@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
 from .mpegts import media_features
+from .pii import pii
 from .secret_scan import scan_secrets
 from .sentencepiece_bpe import piece_digests
 from .simhash import near_duplicates
 from .sstable import token_shards
 from .token_counts import token_counts
+from .tool_calls import REPLY_SCHEMAS, calls_of_turns, link_tool_calls
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +27,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores by subword bags."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts kept as MPEG transport streams."""
     return media_features(table(spark, sf_dir, "documents"))
@@ -39,6 +47,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as calls, linked with the replies."""
+    calls, results = calls_of_turns(table(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, results, REPLY_SCHEMAS)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids and their decoding, by vectorised merge rounds."""
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -49,6 +63,11 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data by base patterns and a BiLSTM-CRF tagger."""
+    return pii(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets with corpus-wide ownership frequency: a document is a repository, its source the owner."""
     return scan_secrets(table(spark, sf_dir, "documents"))
@@ -59,6 +78,48 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP6_SQL = """
+WITH m AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+calls AS (SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id FROM m WHERE role = 'user'),
+results AS (SELECT conv_id, turn, text, conv_id || ':' || (turn - 1) AS call_id FROM m WHERE role = 'assistant'),
+firsts AS (SELECT conv_id, call_id, turn, text FROM results QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, text NULLS FIRST) = 1),
+every AS (
+  SELECT c.conv_id, c.call_id, CASE WHEN f.call_id IS NULL THEN 'pending' ELSE 'linked' END AS status, c.turn AS after_turn,
+         coalesce(length(c.text) > 0, false) AND c.turn >= 0 AS valid,
+         CASE WHEN c.text IS NULL THEN '$.text: not string' WHEN length(c.text) = 0 THEN '$.text: too short' ELSE '' END AS problems,
+         '{"text":' || coalesce(to_json(c.text)::VARCHAR, 'null') || ',"turn":' || c.turn || '}' AS arguments, '"reply"' AS name, f.text AS content
+  FROM calls c LEFT JOIN firsts f ON f.conv_id = c.conv_id AND f.call_id = c.call_id
+  UNION ALL
+  SELECT f.conv_id, f.call_id, 'orphan', f.turn, false, 'no call', 'null', 'null', f.text
+  FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = f.conv_id AND c.call_id = f.call_id)
+)
+SELECT conv_id, call_id, status, after_turn, 0::BIGINT AS after_k, 0::BIGINT AS hop, false AS cyclic, valid, problems,
+       '{"arguments":' || arguments || ',"conversation":' || conv_id || ',"id":"' || call_id || '","name":' || name || ',"result":' ||
+       coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '","valid":' || valid::VARCHAR || '}' AS line
+FROM every
+"""
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[k:k + size - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)
+),
+found AS (
+  SELECT p.doc_id, p.k, p.size, x.item_id
+  FROM (SELECT doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') AS win
+        FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)) p
+  JOIN windows x ON x.size = p.size AND x.win = p.win
+),
+hits AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS at FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM found GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items, sha256(coalesce(n.ids, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hits h USING (doc_id) LEFT JOIN items n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return {"op6_tool_calls": OP6_SQL}
