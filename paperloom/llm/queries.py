@@ -24,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in documents, by suffix arrays."""
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +113,7 @@ found AS (
         FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)) p
   JOIN windows x ON x.size = p.size AND x.win = p.win
 ),
-hits AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS at FROM found) GROUP BY doc_id),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS place FROM found) GROUP BY doc_id),
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM found GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items, sha256(coalesce(n.ids, '')) AS items_sha256,
        coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
@@ -122,4 +123,4 @@ FROM d LEFT JOIN hits h USING (doc_id) LEFT JOIN items n USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op6_tool_calls": OP6_SQL}
+    return {"op1_decontamination": OP1_SQL, "op6_tool_calls": OP6_SQL}
