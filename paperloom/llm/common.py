@@ -106,9 +106,11 @@ class Memo:
     def __init__(self, work_out: Callable[[list[str]], list], entries: int = MEMO_ENTRIES):
         self.work_out, self.entries, self.table = work_out, entries, {}
 
-    def of(self, strings: Iterable[str]) -> dict:
-        """A table that holds at least the given strings."""
-        wanted = set(strings)
+    def of(self, *lists: Iterable[str]) -> dict:
+        """A table that holds at least the strings of the given lists."""
+        wanted: set[str] = set()
+        for strings in lists:
+            wanted.update(strings)
         missing = [s for s in wanted if s not in self.table]
         if missing:
             if len(self.table) + len(missing) > self.entries:

@@ -156,7 +156,7 @@ class PieceModel:
     def digests(self, texts: list[str]) -> dict[str, list]:
         """Token counts and digests of ids and decoded texts."""
         cut = [self.words_of(t) for t in texts]
-        table = self.words.of(w for words in cut for w in words)
+        table = self.words.of(*cut)
         out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for words in cut:
             rows = [table[w] for w in words]

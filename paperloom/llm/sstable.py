@@ -36,7 +36,7 @@ FOOTER = struct.Struct("<QQQQQQBI8s")  # index at, size; filter at, size; docume
 BLOCK, SHARD = 64 << 10, 256 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Distinct words in a worker's memo table (about 200 bytes each).
-WORDS = 800_000
+WORDS = 400_000
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -200,6 +200,11 @@ class WordEncoder:
 
     #: The pattern that cuts words.
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: The same for texts of ASCII and Latin-1 letters in lower case, and what no such text has.
+    LATIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+    BEYOND_LATIN = re.compile(r"[^\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+    #: Words that go to the library in one string.
+    GROUP = 200
     #: Letters whose lower case depends on their place or is longer, and separators that only Python takes for white space.
     ODD = re.compile("[Σİ\x1c-\x1f]")
 
@@ -216,25 +221,39 @@ class WordEncoder:
         self.width = 2 if max(self.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.end = np.array([end_id], self.kind).tobytes()
-        self.words = Memo(self._encode, WORDS)
-        self.chunks = Memo(self._chunks)
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        found = [self.PATTERN.findall(c) for c in chunks]
-        table = self.words.of(w for words in found for w in words)
-        return [b"".join([table[w] for w in words]) for words in found]
+        self.words = Memo(self._encode_words, WORDS)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words: many in one string, apart by the library's own numbers of words."""
+        out: list[bytes] = []
+        for k in range(0, len(words), self.GROUP):
+            part = words[k : k + self.GROUP]
+            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)) if None not in found.word_ids else np.zeros(0)
+            if len(counts) != len(part) or not counts.all():
+                out += self._encode(part)
+                continue
+            ids, ends = np.array(found.ids, self.kind).tobytes(), (np.cumsum(counts) * self.width).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
 
-    def plain(self, text: str) -> bool:
-        """Whether the text may be encoded word by word."""
-        return self.by_word and not self.ODD.search(text) and not any(s in text for s in self.special) and (text.isascii() or unicodedata.is_normalized("NFC", text))
+    def cut(self, text: str) -> list[str] | None:
+        """The words of a text, or None if it may not be encoded word by word."""
+        if not self.by_word or any(s in text for s in self.special):
+            return None
+        if not self.BEYOND_LATIN.search(text):
+            return self.LATIN.findall(text.lower())
+        if self.ODD.search(text) or not unicodedata.is_normalized("NFC", text):
+            return None
+        return self.PATTERN.findall(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids and the end id, in the shards' width."""
-        cut = [t.lower().split() if self.plain(t) else None for t in texts]
-        table = self.chunks.of(c for chunks in cut if chunks for c in chunks)
+        cut = [self.cut(t) for t in texts]
+        table = self.words.of(*filter(None, cut))
         whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]))
         return [(next(whole) if c is None else b"".join(map(table.__getitem__, c))) + self.end for c in cut]
 

@@ -61,7 +61,7 @@ class ByteLevelCounter:
 
     def _chunk_counts(self, chunks: list[str]) -> list[int]:
         whole, found = self.whole, [self.pattern.findall(c) for c in chunks]
-        rest = self.rest.of(w for words in found for w in words if w.encode() not in whole)
+        rest = self.rest.of([w for words in found for w in words if w.encode() not in whole])
         return [sum(1 if w.encode() in whole else rest[w] for w in words) for words in found]
 
     def pieces(self, text: str) -> list[str]:
@@ -78,7 +78,7 @@ class ByteLevelCounter:
             parts = self.split_special.split(t) if self.split_special and any(s in t for s in self.special) else [t]
             extra.append(len(parts) - 1)
             cut.append([p for part in parts if part for p in self.pieces(part)])
-        table = self.chunks.of(p for pieces in cut for p in pieces)
+        table = self.chunks.of(*cut)
         return [sum(map(table.__getitem__, pieces)) + n for pieces, n in zip(cut, extra, strict=True)]
 
 

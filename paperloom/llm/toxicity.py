@@ -134,7 +134,7 @@ class Scorer:
     def scores(self, texts: list[str]) -> list[float]:
         """0 to 1; a text without words has 0."""
         cut = [t.lower().split() for t in texts]
-        table = self.memo.of(c for chunks in cut for c in chunks)
+        table = self.memo.of(*cut)
         return [float(1 / (1 + np.exp(-max(map(table.__getitem__, chunks), default=-745.0)))) if chunks else 0.0 for chunks in cut]
 
 
