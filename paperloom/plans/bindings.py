@@ -64,7 +64,10 @@ def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.md5(F.concat("source", F.lit(":1:"), "text")).alias("chunk_id"), F.col("source").alias("company_document_id"), F.lit("1").alias("revision_number"), F.col("text").alias("content"),
-        F.col("lang").alias("section"), F.col("doc_id").alias("row_id"), F.when(F.col("doc_id") % 3 == 0, "parent").otherwise("text").alias("chunk_type"), (F.col("n_chars") % 9 + 1).cast("string").alias("page"),
+        F.col("lang").alias("section"), F.col("doc_id").alias("row_id"), F.when(F.col("doc_id") % 3 == 0, "parent").when(F.col("doc_id") % 3 == 1, "child").otherwise("text").alias("chunk_type"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("t"), F.col("doc_id").cast("string"))).alias("table_id"), F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("t"), (F.col("doc_id") - 1).cast("string"))).alias("parent_id"),
+        F.when(F.col("doc_id") % 4 != 0, (F.col("n_chars") % 9 + 1).cast("string")).alias("page"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("[[1.5,2],[3,"), (F.col("doc_id") % 7).cast("string"), F.lit("]]"))).when(F.col("doc_id") % 5 == 0, "none").alias("bbox"),
     )
 
 
@@ -109,7 +112,9 @@ VIEWS = {
       FROM region JOIN (SELECT n_regionkey, string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS grid FROM nation GROUP BY 1) ON n_regionkey = r_regionkey
       CROSS JOIN (VALUES (0, 'Title', 1), (1, 'NarrativeText', 1), (2, 'Table', 2), (3, 'NarrativeText', 2), (4, 'NarrativeText', 3)) AS p(seq, category, page_number)""",
     "chunk_store": """SELECT md5(source || ':1:' || text) AS chunk_id, source AS company_document_id, '1' AS revision_number, text AS content, lang AS section, doc_id AS row_id,
-        CASE WHEN doc_id % 3 = 0 THEN 'parent' ELSE 'text' END AS chunk_type, (n_chars % 9 + 1)::VARCHAR AS page FROM documents""",
+        CASE doc_id % 3 WHEN 0 THEN 'parent' WHEN 1 THEN 'child' ELSE 'text' END AS chunk_type, CASE WHEN doc_id % 3 = 0 THEN 't' || doc_id END AS table_id,
+        CASE WHEN doc_id % 3 = 1 THEN 't' || (doc_id - 1) END AS parent_id, CASE WHEN doc_id % 4 <> 0 THEN (n_chars % 9 + 1)::VARCHAR END AS page,
+        CASE WHEN doc_id % 2 = 0 THEN '[[1.5,2],[3,' || (doc_id % 7) || ']]' WHEN doc_id % 5 = 0 THEN 'none' END AS bbox FROM documents""",
     "vectors": "SELECT vec_id::VARCHAR AS chunk_id, vec_id, label::VARCHAR AS company_document_id, (vec_id % 3 + 1)::VARCHAR AS revision_number, embedding FROM embeddings",
     "messages": "SELECT conv_id AS session_id, turn, role, text AS content FROM conversations",
     "revisions": "SELECT l_orderkey::VARCHAR AS company_document_id, l_linenumber::VARCHAR AS revision_number FROM lineitem",
