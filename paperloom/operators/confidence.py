@@ -10,8 +10,12 @@ WEIGHTS = ("0.30", "0.50", "0.20")
 HIGH, MEDIUM, FLOOR, MAX_CHUNKS, LOW = "0.75", "0.45", "0.15", 5, "0.15"
 
 
+#: Scores as decimals: exact, and the same in every engine. As doubles, sums near a tie round as binary numbers do.
+DECIMAL, DOUBLE = "decimal(10,6)", "double"
+
+
 def dec(value: str) -> Column:
-    return F.lit(value).cast("decimal(10,6)")
+    return F.lit(value).cast(DECIMAL)
 
 
 def sanitized(scores: Column) -> Column:
@@ -52,12 +56,16 @@ def signals(chunks: DataFrame) -> DataFrame:
     return g.select("*", count_score(F.col("n")).alias("count_score"), similarity_strength(F.col("scores")).alias("strength"), redundancy(F.col("sections"), F.col("n_sections")).alias("redundancy"))
 
 
-def confidence(chunks: DataFrame) -> DataFrame:
-    """AG09: value and level per query; low where no score is above the floor."""
+def confidence(chunks: DataFrame, kind: str = DECIMAL) -> DataFrame:
+    """AG09: value and level per query; low where no score is above the floor.
+
+    `kind` is the type in which the three weighted signals are added up.
+    """
     s = signals(chunks)
     weak = (F.size("scores") == 0) | (F.get("scores", F.lit(0)) <= dec(FLOOR))
-    total = dec(WEIGHTS[0]) * F.col("count_score") + dec(WEIGHTS[1]) * F.col("strength") + dec(WEIGHTS[2]) * F.col("redundancy")
-    value = F.when(weak, dec(LOW)).otherwise(F.bround(F.greatest(dec("0"), F.least(dec("1"), total.cast("decimal(12,8)"))), 2).cast("decimal(10,6)"))
+    terms = [F.lit(w).cast(kind) * F.col(c).cast(kind) for w, c in zip(WEIGHTS, ("count_score", "strength", "redundancy"), strict=True)]
+    total = (terms[0] + terms[1] + terms[2]).cast("decimal(12,8)" if kind == DECIMAL else kind)
+    value = F.when(weak, dec(LOW)).otherwise(F.bround(F.greatest(F.lit("0").cast(kind), F.least(F.lit("1").cast(kind), total)), 2).cast(DECIMAL))
     s = s.withColumn("confidence", value)
     return s.select("query_id", "confidence", F.when(weak, "low").otherwise(level(F.col("confidence"), F.col("sections"))).alias("level"))
 

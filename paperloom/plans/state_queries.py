@@ -20,7 +20,7 @@ def logged(spark, d):
 
 
 LOG = {"logged": "SELECT user_id AS session_id, event_id, ts, event_type, value, props FROM events"}
-ORDER = (F.col("ts"), F.col("event_id"))
+ORDER = ("ts", "event_id")
 
 
 @query("wn06_first_messages", sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn)::INTEGER AS n FROM messages) WHERE n <= 3", "messages"))
