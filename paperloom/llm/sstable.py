@@ -36,7 +36,7 @@ FOOTER = struct.Struct("<QQQQQQBI8s")  # index at, size; filter at, size; docume
 BLOCK, SHARD = 64 << 10, 256 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Distinct words in a worker's memo table (about 200 bytes each).
-WORDS = 400_000
+WORDS = 600_000
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -94,7 +94,7 @@ class Writer:
         self.hashes: list[int] = []
         self.block, self.last, self.held = bytearray(), b"", [0, 0]
         self.documents = self.tokens = 0
-        self.pack = zstandard.ZstdCompressor(level=3)
+        self.pack = zstandard.ZstdCompressor(level=1)
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
@@ -232,7 +232,8 @@ class WordEncoder:
         for k in range(0, len(words), self.GROUP):
             part = words[k : k + self.GROUP]
             found = self.library.encode(" ".join(part), add_special_tokens=False)
-            counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)) if None not in found.word_ids else np.zeros(0)
+            numbers = found.word_ids
+            counts = np.bincount(np.array(numbers, np.int64), minlength=len(part)) if None not in numbers else np.zeros(0)
             if len(counts) != len(part) or not counts.all():
                 out += self._encode(part)
                 continue
