@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Rounds of order keys along forward references; what still moves then is called cyclic.
+#: Rounds of order keys along forward references; what moves in the second half of them without an end is called cyclic.
 ROUNDS = 64
 
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -93,28 +93,29 @@ def ordered(calls: DataFrame) -> DataFrame:
 
     A call's key is its own position, or the key of a dependency that comes
     later, one hop on; only forward references move a key. Dependencies on
-    unknown calls are passed over.
+    unknown calls are passed over. `cyclic` also holds for calls behind a cycle
+    and, if there is one, for chains of over ROUNDS / 2 forward references.
     """
     keys = calls.groupBy("conv_id", "call_id").agg(F.min("position").alias("after")).withColumn("hop", F.lit(0))
     edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("dep")).distinct()
     edges = edges.join(keys.select("conv_id", F.col("call_id").alias("dep"), F.col("after").alias("dep_after")), ["conv_id", "dep"]).join(keys.select("conv_id", "call_id", "after"), ["conv_id", "call_id"])
     forward = checkpointed(edges.filter("dep_after >= after").select("conv_id", "call_id", "dep"))
-    keys = keys.withColumn("cyclic", F.lit(False))
+    settled = True
     if not forward.isEmpty():
         # a forward reference may push calls that refer to it backwards, so all edges take part from here
         every = checkpointed(edges.select("conv_id", "call_id", "dep"))
-        keys = checkpointed(keys)
-        for turn in range(ROUNDS):
+        keys, settled = checkpointed(keys.withColumn("last", F.lit(0))), False
+        for turn in range(1, ROUNDS + 1):
             pushed = every.join(keys.select("conv_id", F.col("call_id").alias("dep"), F.struct("after", (F.col("hop") + 1).alias("hop")).alias("key")), ["conv_id", "dep"])
             pushed = pushed.groupBy("conv_id", "call_id").agg(F.max("key").alias("key"))
             joined = keys.join(pushed, ["conv_id", "call_id"], "left")
             moves = F.col("key").isNotNull() & (F.col("key") > F.struct("after", "hop"))
-            keys = checkpointed(joined.select("conv_id", "call_id", F.when(moves, F.col("key.after")).otherwise(F.col("after")).alias("after"), F.when(moves, F.col("key.hop")).otherwise(F.col("hop")).alias("hop"), (moves & (turn == ROUNDS - 1)).alias("cyclic"), moves.alias("moved")))
-            moved = keys.filter("moved").isEmpty()
-            keys = keys.drop("moved")
-            if moved:
+            keys = checkpointed(joined.select("conv_id", "call_id", F.when(moves, F.col("key.after")).otherwise(F.col("after")).alias("after"), F.when(moves, F.col("key.hop")).otherwise(F.col("hop")).alias("hop"), F.when(moves, turn).otherwise(F.col("last")).alias("last")))
+            if keys.filter(F.col("last") == turn).isEmpty():
+                settled = True
                 break
-    return calls.join(keys, ["conv_id", "call_id"])
+    cyclic = F.lit(False) if settled else F.col("last") >= ROUNDS // 2
+    return calls.join(keys.select("conv_id", "call_id", "after", "hop", cyclic.alias("cyclic")), ["conv_id", "call_id"])
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
