@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
+from paperloom.operators import memory as M
 
 from .bindings import messages, questions, quoted, sql, table
 from .registry import query
@@ -157,21 +158,29 @@ def sc12(spark, d):
     return questions(spark, d).select("qid", X.is_vague(F.col("question")).alias("vague"))
 
 
+_SAID = f"SELECT session_id, turn, {s_strip("CASE WHEN turn % 4 = 2 THEN 'explain more' WHEN turn % 8 = 4 THEN 'the same' ELSE content END")} AS c FROM messages WHERE role = 'user'"
+_BASES = f"""SELECT *, last_value(CASE WHEN c <> '' AND NOT {s_in('lower(c)', X.NON_INFORMATIVE)} AND NOT {s_vague('c')} THEN c END IGNORE NULLS)
+  OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS base FROM said"""
+
+
+def vague_history(spark, d):
+    """Messages of which some user turns are vague."""
+    vague = F.when(F.col("turn") % 4 == 2, "explain more").when(F.col("turn") % 8 == 4, "the same").otherwise(F.col("content"))
+    return messages(spark, d).withColumn("content", X.strip(vague))
+
+
 @query(
     "sc13_rewrite_question",
     sql(
-        f"""SELECT a.qid, b.qid AS base_qid, CASE WHEN NOT {s_vague('a.question')} THEN a.question WHEN contains(lower(b.question), lower(a.question)) THEN b.question
-        WHEN contains(lower(a.question), lower(b.question)) THEN a.question ELSE a.question || ' about ' || b.question END AS rewritten
-        FROM questions a JOIN questions b ON a.qid < 0 AND b.qid < 0""",
-        "questions",
+        f"""SELECT session_id, turn, CASE WHEN NOT {s_vague('c')} OR base IS NULL THEN c WHEN contains(lower(base), lower(c)) THEN base WHEN contains(lower(c), lower(base)) THEN c ELSE c || ' about ' || base END AS rewritten FROM bases""",
+        "messages",
+        said=_SAID,
+        bases=_BASES,
     ),
 )
 def sc13(spark, d):
-    from .bindings import phrases
-
-    a = phrases(spark)
-    b = F.broadcast(a.select(F.col("qid").alias("base_qid"), F.col("question").alias("base")))  # the fixed phrases, a few dozen
-    return a.join(b).select("qid", "base_qid", X.rewrite_question(F.col("question"), F.col("base")).alias("rewritten"))
+    rows = M.rewrite_bases(vague_history(spark, d))
+    return rows.select("session_id", "turn", X.rewrite_question(F.col("content"), F.col("base")).alias("rewritten"))
 
 
 @query(
