@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import events as E
 from paperloom.operators import policy as P
+from paperloom.operators.chunking import table_chunks
 from paperloom.sources import files as S
 from paperloom.sources import store as T
 from paperloom.sources.html_tables import markdown_table
 from paperloom.streaming import processors as Q
 
-from .bindings import chunk_store, messages, sql, table
+from .bindings import chunk_store, elements, messages, sql, table
+from .chunk_queries import _TABLES
 from .registry import query
 from .state_queries import LOG, logged
 
@@ -204,3 +206,132 @@ def st07(spark, d):
     action = F.when(kind == "signup", "create").when(kind == "view", "update").when(kind == "purchase", "ready").when(kind == "error", "error").otherwise("clear")
     rows = logged(spark, d).select("session_id", F.col("event_id").alias("seq"), F.concat(F.lit("job-"), F.col("event_id").cast("string")).alias("job_id"), action.alias("action"), F.when(F.col("event_id") % 2 == 0, F.array(F.lit("title"))).otherwise(F.array().cast("array<string>")).alias("missing"), F.array(F.lit("title")).alias("given"))
     return Q.fold(rows, ["session_id"], [F.col("seq")], Q.Jobs, "session_id bigint, seq bigint, job_id string, status string, accepted boolean")
+
+
+def lines_parser(content: bytes):
+    """A stand-in for a PDF parser: ten lines a page; a page that begins with a blank line fails."""
+    lines = content.decode().split("\n")
+    for k in range(0, len(lines), 10):
+        page = lines[k : k + 10]
+        yield None if not page[0].strip() else [("Title" if k + n == 0 else "NarrativeText", t) for n, t in enumerate(page)]
+
+
+_PAGES = """SELECT doc_id::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::BIGINT AS seq, CASE WHEN k = 1 THEN 'Title' ELSE 'NarrativeText' END AS category, l[k] AS text, (1 + (k - 1) // 10)::INTEGER AS page_number
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(l[1 + ((k - 1) // 10) * 10]) <> ''"""
+
+
+def _files(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+
+
+@query("io01_pages_of_files", _PAGES)
+def io01(spark, d):
+    return S.parse_pdfs(_files(spark, d), lines_parser)
+
+
+@query("io02_first_pages_of_files", f"SELECT * FROM ({_PAGES}) WHERE page_number = 1")
+def io02(spark, d):
+    return S.parse_pdfs(_files(spark, d), lines_parser, max_pages=1)
+
+
+@query("io04_element_json_round_trip", sql("SELECT doc_id, seq, category, text, page_number FROM elements", "elements"))
+def io04(spark, d):
+    path = S.scratch_folder(spark)
+    S.write_json(elements(spark, d), path)
+    return S.read_elements(spark, path).select("doc_id", "seq", "category", "text", "page_number")
+
+
+@query("io05_chunk_json_round_trip", sql("SELECT doc_id, seq, chunk_index, type, section, is_parent, page_number, content, table_id, parent_id FROM chunks", "elements", **_TABLES))
+def io05(spark, d):
+    path = S.scratch_folder(spark)
+    S.write_json(table_chunks(elements(spark, d)), path)
+    return S.read_chunks(spark, path)
+
+
+@query("io08_store_append", sql("SELECT company_document_id, count(*) + count(DISTINCT chunk_id) AS n FROM chunk_store GROUP BY 1", "chunk_store"))
+def io08(spark, d):
+    path, rows = S.scratch_folder(spark), chunk_store(spark, d).select("chunk_id", "company_document_id", "revision_number", "content")
+    T.append_store(rows, path)
+    T.append_store(rows, path, once=True)
+    return spark.read.parquet(path).groupBy("company_document_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("io09_log_append", sql("SELECT row_id, section FROM chunk_store WHERE page <> ''", "chunk_store"))
+def io09(spark, d):
+    path = S.scratch_folder(spark)
+    T.append_log(chunk_store(spark, d).select("row_id", "section", "page"), path, "section", "page")
+    return spark.read.parquet(path).select("row_id", "section")
+
+
+@query("io13_client_store", sql("SELECT session_id AS id, '' AS title, 'base' AS model, false AS pinned, count(*)::INTEGER AS n_messages FROM messages WHERE session_id % 9 <> 0 GROUP BY 1", "messages"))
+def io13(spark, d):
+    """Stored chats read back with defaults; a corrupt one is reset (it is gone)."""
+    stored = messages(spark, d).groupBy("session_id").agg(F.to_json(F.struct(F.col("session_id").alias("id"), F.collect_list(F.struct("role", "content")).alias("messages"))).alias("json"))
+    broken = F.when(F.col("session_id") % 9 == 0, F.substring("json", 1, 5)).otherwise(F.col("json"))
+    chat = F.from_json(broken, "id bigint, title string, model string, pinned boolean, messages array<struct<role:string,content:string>>")
+    rows = stored.select(chat.alias("c")).filter("c.id IS NOT NULL")
+    return rows.select("c.id", F.coalesce("c.title", F.lit("")).alias("title"), F.coalesce("c.model", F.lit("base")).alias("model"), F.coalesce("c.pinned", F.lit(False)).alias("pinned"), F.size("c.messages").alias("n_messages"))
+
+
+@query("io14_truncated_store", "SELECT 0::BIGINT AS n")
+def io14(spark, d):
+    path, rows = S.scratch_folder(spark), table(spark, d, "region")
+    T.append_log(rows, path, "r_name")
+    T.truncate(path, rows)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("mu04_revision_overwrite", sql("SELECT row_id, company_document_id, CASE WHEN company_document_id = 'src3' THEN 'new' ELSE section END AS title FROM chunk_store", "chunk_store"))
+def mu04(spark, d):
+    path = S.scratch_folder(spark)
+    rows = chunk_store(spark, d).select("row_id", "company_document_id", "revision_number", F.create_map(F.lit("title"), F.col("section")).alias("meta"))
+    T.append_store(rows, path)
+    T.overwrite_revision(T.merge_metadata(spark.read.parquet(path).filter("company_document_id = 'src3'").withColumn("revision_number", F.col("revision_number").cast("string")), "src3", "1", {"title": "new"}), path)
+    return spark.read.parquet(path).select("row_id", F.col("company_document_id").cast("string").alias("company_document_id"), F.element_at("meta", "title").alias("title"))
+
+
+_PARENTS = "SELECT c.row_id, p.row_id AS parent_row FROM chunk_store c LEFT JOIN (SELECT table_id, min(row_id) AS row_id FROM chunk_store WHERE chunk_type = 'parent' GROUP BY 1) p ON p.table_id = c.parent_id WHERE c.chunk_type = 'child'"
+
+
+def _parents(spark, d):
+    store = chunk_store(spark, d)
+    parents = store.filter("chunk_type = 'parent'").groupBy(F.col("table_id").alias("parent_id")).agg(F.min("row_id").alias("parent_row"))
+    return store.filter("chunk_type = 'child'").join(parents, "parent_id", "left").select("row_id", "parent_row")
+
+
+@query("fl13_parent_predicate", sql(f"SELECT * FROM ({_PARENTS}) WHERE parent_row IS NOT NULL", "chunk_store"))
+def fl13(spark, d):
+    return _parents(spark, d).filter("parent_row IS NOT NULL")
+
+
+@query("tk06_parent_lookup", sql(_PARENTS, "chunk_store"))
+def tk06(spark, d):
+    return _parents(spark, d)
+
+
+@query("tk08_clamped_counts", "SELECT event_id, greatest(1, least(event_id - 100, 200)) AS n FROM events")
+def tk08(spark, d):
+    return table(spark, d, "events").select("event_id", F.greatest(F.lit(1), F.least(F.col("event_id") - 100, F.lit(200))).alias("n"))
+
+
+@query("sc34_box_points", "SELECT vec_id, round(embedding[2]::DOUBLE * (150.0::DOUBLE / 72), 6)::DECIMAL(12,6) AS y FROM embeddings")
+def sc34(spark, d):
+    box = S.scaled_box(F.transform(F.slice("embedding", 1, 3), lambda x: F.array(x.cast("double"), x.cast("double"))))
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.get(F.get(box, F.lit(1)), F.lit(1)), 6).cast("decimal(12,6)").alias("y"))
+
+
+@query("sc38_net_model", "SELECT event_id, provider, provider || '-' || CASE event_id % 2 WHEN 0 THEN 'rank_1' ELSE 'rank_2' END AS model FROM (SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 'xai' END, CASE WHEN event_id % 5 <> 0 THEN 'groq' END) AS provider FROM events)")
+def sc38(spark, d):
+    i = F.col("event_id")
+    provider = F.coalesce(F.when(i % 3 == 0, "xai"), F.when(i % 5 != 0, "groq"))  # an override, else what is kept
+    return table(spark, d, "events").select("event_id", provider.alias("provider"), F.concat(provider, F.lit("-"), F.when(i % 2 == 0, "rank_1").otherwise("rank_2")).alias("model"))
+
+
+@query("st13_limiter_reset")
+def st13(spark, d):
+    """The limiter with a reset at each signup: a client's requests between resets are limited by themselves."""
+    from pyspark.sql import Window
+
+    rows = logged(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6)
+    epoch = F.sum((F.col("event_type") == "signup").cast("int")).over(Window.partitionBy("session_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return Q.fold(rows.withColumn("epoch", epoch).select("session_id", "epoch", "event_id", "t"), ["session_id", "epoch"], [F.col("t"), F.col("event_id")], lambda: Q.Limiter(2, 86400), "session_id bigint, epoch bigint, event_id bigint, admitted boolean")

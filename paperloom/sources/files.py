@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -14,6 +15,12 @@ from paperloom import schemas
 Parser = Callable[[bytes], Iterable[list[tuple[str, str]] | None]]
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
     """IO03: JSON element files (an array, or one element a line) with their order kept as `seq` where it is stored."""
     return spark.read.schema(schemas.ELEMENT).json(path, multiLine=False)
@@ -35,6 +42,11 @@ def read_pdfs(spark: SparkSession, path: str, parser: Parser, max_pages: int | N
     `max_pages` stops the parser early, as a limit behind it could not.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
+    return parse_pdfs(files.select("path", "content"), parser, max_pages)
+
+
+def parse_pdfs(files: DataFrame, parser: Parser, max_pages: int | None = None) -> DataFrame:
+    """Elements of files given as (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
