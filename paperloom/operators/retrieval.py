@@ -98,8 +98,13 @@ def keyword_search(questions: DataFrame, store: DataFrame, limit: int = KEYWORD_
     return best.withColumn("again", F.row_number().over(Window.partitionBy("qid", "h").orderBy("rank"))).filter("again = 1").select("qid", "chunk_id", "rank")
 
 
-def union_hits(vector: DataFrame, keyword: DataFrame) -> DataFrame:
-    """SO01: hits of both kinds once by chunk: at their first place, with their last value."""
+def union_hits(vector: DataFrame, keyword: DataFrame, profile: str = "documented") -> DataFrame:
+    """SO01: hits of both kinds once by chunk: at their first place, with their last value.
+
+    In the "observed" profile keyword hits carry no identity, so the union passes over them (§0.1 Q1).
+    """
+    if profile == "observed":
+        keyword = keyword.limit(0)
     v = vector.select("qid", "chunk_id", F.col("rank").alias("pos"), F.lit("vector").alias("origin"))
     k = keyword.select("qid", "chunk_id", (F.col("rank") + 1000).alias("pos"), F.lit("keyword").alias("origin"))
     return v.unionByName(k).groupBy("qid", "chunk_id").agg(F.min("pos").alias("pos"), F.max_by("origin", "pos").alias("origin"))
@@ -111,8 +116,13 @@ def rerank(candidates: DataFrame, k: int = RESULTS, scorer=X.keyword_match_score
     return top(scored, "qid", k, F.desc("score"), F.col("pos"), F.col("chunk_id"))
 
 
-def resolve_parents(hits: DataFrame, store: DataFrame) -> DataFrame:
-    """JN02/FL13/TK06: child rows are replaced by their table, once each, behind all other hits; parents have score 0."""
+def resolve_parents(hits: DataFrame, store: DataFrame, profile: str = "documented") -> DataFrame:
+    """JN02/FL13/TK06: child rows are replaced by their table, once each, behind all other hits; parents have score 0.
+
+    In the "observed" profile no row is known as a child, so all stay as they are (§0.1 Q2).
+    """
+    if profile == "observed":
+        return hits.filter(F.col("chunk_id").isNotNull()).select("qid", "chunk_id", "score", F.col("rank").alias("place"))
     child = (F.col("chunk_type") == "child") & F.col("parent_id").isNotNull()
     others = hits.filter(~F.coalesce(child, F.lit(False)) & F.col("chunk_id").isNotNull())
     wanted = hits.filter(child).groupBy("qid", "parent_id").agg(F.min("rank").alias("rank"))

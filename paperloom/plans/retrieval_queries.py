@@ -158,12 +158,12 @@ _HYBRID = _KEYWORD | {
 }
 
 
-def _hybrid_hits(spark, d):
+def _hybrid_hits(spark, d, profile="documented"):
     store = chunk_store(spark, d)
     vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
     of_store = store.join(vec, "row_id").groupBy("company_document_id", "revision_number", "chunk_id").agg(F.min_by("embedding", "row_id").alias("embedding"))
     questions = asked(spark, d).join(vec.select(F.col("row_id").alias("qid"), F.col("embedding").alias("vector")), "qid")
-    return R.union_hits(R.vector_search(questions, of_store), R.keyword_search(asked(spark, d), store))
+    return R.union_hits(R.vector_search(questions, of_store), R.keyword_search(asked(spark, d), store), profile)
 
 
 @query("so01_union_hits", sql("SELECT * FROM united", "chunk_store", **_HYBRID))
@@ -171,6 +171,11 @@ def so01(spark, d):
     return _hybrid_hits(spark, d)
 
 
+@query("so01_union_hits_observed", sql("SELECT qid, chunk_id, rank AS pos, 'vector' AS origin FROM vec_hits", "chunk_store", **_HYBRID))
+def so01_observed(spark, d):
+    return _hybrid_hits(spark, d, "observed")
+
+
 def _contents(spark, d):
     s = chunk_store(spark, d)
     return s.groupBy("chunk_id").agg(*(F.min_by(c, "row_id").alias(c) for c in ("content", "section", "chunk_type", "parent_id", "page", "company_document_id")))
@@ -207,6 +212,11 @@ def jn02(spark, d):
     return R.resolve_parents(reranked(spark, d), chunk_store(spark, d))
 
 
+@query("jn02_resolve_parents_observed", sql("SELECT qid, chunk_id, score, rank AS place FROM ranked", "chunk_store", **_RERANK))
+def jn02_observed(spark, d):
+    return R.resolve_parents(reranked(spark, d), chunk_store(spark, d), "observed")
+
+
 def _as_chunks(spark, d):
     rows = jn02(spark, d).join(_contents(spark, d).select("chunk_id", "section", "chunk_type"), "chunk_id")
     return rows.select(F.col("qid").cast("string").alias("query_id"), F.col("place").alias("rank"), "section", "chunk_type", F.col("score").cast("decimal(10,6)").alias("score"))

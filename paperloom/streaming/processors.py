@@ -88,28 +88,25 @@ class FrameParser:
         self.buffer = self.text = ""
 
     def push(self, chunk: str | None) -> list[tuple[str, str]]:
-        if not chunk:
-            return []
-        self.buffer += chunk
-        frames: list[tuple[str, str]] = []
-        while True:
-            at = self.buffer.find(PREFIX)
-            if at < 0:
-                self.text, self.buffer = self.text + self.buffer, ""
-                tail = self.text.rstrip()
-                spaced = len(tail) < len(self.text)
-                if len(self.text) > FLUSH or spaced or tail.endswith((".", ",", "!", "?")):
-                    frames.append(("text", self.text))
-                    self.text = ""
+        pending, frames = self.buffer + (chunk or ""), []
+        if not pending:
+            return frames
+        self.buffer = ""
+        while PREFIX in pending:
+            before, rest = pending.split(PREFIX, 1)
+            if before:
+                frames.append(("text", self.text + before))
+                self.text = ""
+            body, newline, pending = rest.partition("\n")
+            if not newline:
+                self.buffer = PREFIX + body
                 return frames
-            if at:
-                frames.append(("text", self.text + self.buffer[:at]))
-                self.text, self.buffer = "", self.buffer[at:]
-            end = self.buffer.find("\n")
-            if end < 0:
-                return frames
-            line, self.buffer = self.buffer[:end], self.buffer[end + 1 :]
-            frames.append(("event" if self.is_event(line) else "text", line))
+            frames.append(("event" if self.is_event(PREFIX + body) else "text", PREFIX + body))
+        self.text += pending
+        if len(self.text) > FLUSH or self.text != (told := self.text.rstrip()) or told.endswith((".", ",", "!", "?")):
+            frames.append(("text", self.text))
+            self.text = ""
+        return frames
 
     @staticmethod
     def is_event(line: str) -> bool:
