@@ -100,6 +100,13 @@ def rewrite_rows(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]
     return docs.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` lacks."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 class Memo:
     """Values by string, worked out for many missing strings at once; bounded."""
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, rewrite_rows
+from .common import fresh, map_texts, rewrite_rows
 
 WINDOW, HEAD = 13, 4
 #: Text bytes of the benchmark in one broadcast index; a larger benchmark is taken in several.
@@ -275,6 +275,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             return keep
 
         return rewrite_rows(docs, make, text_col)
-    keyed = docs.withColumn("__key", F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h")))
-    bad = contamination(keyed.select("__key", text_col), benchmark, "__key", text_col, item_col, item_text_col, index_bytes).filter("contaminated").select("__key").distinct()
-    return keyed.join(bad, keyed["__key"].eqNullSafe(bad["__key"]), "left_anti").select(docs.columns)
+    k = fresh(docs, "__key")
+    keyed = docs.withColumn(k, F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h")))
+    bad = contamination(keyed.select(k, text_col), benchmark, k, text_col, item_col, item_text_col, index_bytes).filter("contaminated").select(F.col(k).alias("bad")).distinct()
+    return keyed.join(bad, keyed[k].eqNullSafe(bad["bad"]), "left_anti").select(docs.columns)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts
+from .common import checkpointed, fresh, map_texts
 from .components import components
 
 BITS, NEAR, SEED, SHINGLE = 64, 3, 42, 3
@@ -172,12 +172,12 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", te
     Rows without an id are kept. A row that is repeated with id and text stays
     once. The columns are those of `docs`.
     """
-    names = docs.columns
+    names, k, rows = docs.columns, fresh(docs, "__key"), fresh(docs, "__rows")
     key = F.struct(docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("h"))
-    keyed = docs.filter(docs[id_col].isNotNull()).withColumn("__key", key)
-    labelled = near_duplicates(keyed.select("__key", text_col), size, "__key", text_col)
-    kept = labelled.filter(F.col("__key") == F.col("component_id")).groupBy("__key").agg(F.count(F.lit(1)).alias("__rows"))
-    found = keyed.join(kept, "__key")
-    once = found.filter("__rows = 1").select(names)
-    repeated = found.filter("__rows > 1").dropDuplicates(["__key"]).select(names)
+    keyed = docs.filter(docs[id_col].isNotNull()).withColumn(k, key)
+    labelled = near_duplicates(keyed.select(k, text_col), size, k, text_col)
+    kept = labelled.filter(F.col(k) == F.col("component_id")).groupBy(k).agg(F.count(F.lit(1)).alias(rows))
+    found = keyed.join(kept, k)
+    once = found.filter(F.col(rows) == 1).select(names)
+    repeated = found.filter(F.col(rows) > 1).dropDuplicates([k]).select(names)
     return once.unionByName(repeated).unionByName(docs.filter(docs[id_col].isNull()))

@@ -87,3 +87,26 @@ def test_stages_keep_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(30), sf).schema == docs.schema
+
+
+def test_stages_with_odd_rows(spark, sf, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, clashing columns, and empty tables through every stage."""
+    long = "lorem ipsum dolor " * 60000
+    rows = [(1, "a b c d", "en", "s", 7, "x"), (1, "a b c d", "en", "s", 7, "x"), (2, None, None, None, None, None), (3, "", "en", "s", 0, "x"), (None, "unique words here", "en", "s", 17, "x"), (4, long, "en", "s", len(long), "x"), (5, "mail joe@site.com", "en", None, 17, "x")]
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint, {} string"
+    for odd in ("__key", "fp", "score", "__rows", "keep", "spans"):
+        docs = spark.createDataFrame(rows, columns.format(odd))
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf)
+            if k < 4:
+                assert out.columns == docs.columns
+            path = str(tmp_path / f"{odd}-{k}")
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+        got = docs.collect()
+        assert sorted(r.doc_id or 0 for r in got) == [0, 1, 2, 4, 5]
+        if odd != "__key":
+            break
+    empty = spark.createDataFrame([], columns.format("spans"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0
