@@ -70,6 +70,18 @@ class Model:
         return np.bincount(owner, self.share[bucket], len(words)) / np.bincount(owner, minlength=len(words)) + self.bias
 
 
+def _summed(rows: np.ndarray, which: np.ndarray, starts: np.ndarray, part: int = 1 << 18) -> np.ndarray:
+    """Sums of rows[which] over the groups that begin at `starts`, a part of the groups at a time."""
+    out = np.empty((len(starts), rows.shape[1]), np.float32)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + part)))
+        end = starts[to] if to < len(starts) else len(which)
+        out[at:to] = np.add.reduceat(rows[which[starts[at] : end]], starts[at:to] - starts[at])
+        at = to
+    return out
+
+
 def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     """Fit embeddings and softmax jointly (Adam over the whole sample) on words that occur in two documents or more."""
     bags = [sorted(set(WORD.findall(t.lower()))) for t in texts]
@@ -78,27 +90,31 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         for w in bag:
             seen[w] = seen.get(w, 0) + 1
     words = sorted(w for w, n in seen.items() if n > 1)
+    del seen
     if not words or len(set(labels)) < 2:
         return Model(np.zeros(1 << BUCKET_BITS), PRIOR)
     number = {w: k for k, w in enumerate(words)}
-    pairs = [(d, number[w]) for d, bag in enumerate(bags) for w in bag if w in number]
-    doc, word = np.array(pairs, np.int64).T
+    own = [np.array([number[w] for w in bag if w in number], np.int32) for bag in bags]
+    doc, word = np.repeat(np.arange(len(bags), dtype=np.int32), [len(o) for o in own]), np.concatenate(own)
+    del bags, number, own
     y = np.array(labels, float)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     owner, bucket = subwords(words)
     used, bucket = np.unique(bucket, return_inverse=True)
     order = np.argsort(owner, kind="stable")
-    owner, bucket = owner[order], bucket[order]
+    owner, bucket = owner[order].astype(np.int32), bucket[order].astype(np.int32)
     counts = np.bincount(owner)
     starts = np.cumsum(counts) - counts
     back = np.argsort(bucket, kind="stable")
     back_starts = np.searchsorted(bucket[back], np.arange(len(used)))
+    back_owner = owner[back]
+    del order, back, owner
     rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.1, (len(used), SIZE)), rng.normal(0, 0.5, (SIZE, 2)), np.array([0.0, PRIOR])]
+    params = [rng.normal(0, 0.1, (len(used), SIZE)).astype(np.float32), rng.normal(0, 0.5, (SIZE, 2)), np.array([0.0, PRIOR])]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, EPOCHS + 1):
         table, out, bias = params
-        mean = np.add.reduceat(table[bucket], starts) / counts[:, None]
+        mean = _summed(table, bucket, starts) / counts[:, None]
         z = mean @ out + bias
         p = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -30, 30)))
         clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9))[word], len(y))  # log of the chance that no word is toxic
@@ -106,12 +122,12 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         pull = weight * np.where(y == 1, -np.exp(clean) / some, 1.0)
         g = np.bincount(word, pull[doc], len(words)) * p
         dz = np.stack((-g, g), 1) / len(y)
-        d_mean = dz @ out.T / counts[:, None]
-        grads = [np.add.reduceat(d_mean[owner[back]], back_starts) + DECAY * table / len(y), mean.T @ dz + DECAY * out / len(y), dz.sum(0)]
+        d_mean = (dz @ out.T / counts[:, None]).astype(np.float32)
+        grads = [_summed(d_mean, back_owner, back_starts) + DECAY * table / len(y), mean.T @ dz + DECAY * out / len(y), dz.sum(0)]
         for k, grad in enumerate(grads):
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.99 * second[k] + 0.01 * grad**2
-            params[k] = params[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+            params[k] = (params[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(params[k].dtype)
     table, out, bias = params
     share = np.zeros(1 << BUCKET_BITS)
     share[used] = table @ (out[:, 1] - out[:, 0])
