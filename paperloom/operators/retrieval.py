@@ -90,10 +90,13 @@ def keyword_search(questions: DataFrame, store: DataFrame, limit: int = KEYWORD_
     Questions are (qid, company_document_id, revision_number, question); those
     without identity or keywords find nothing (FL03).
     """
-    asked = questions.withColumn("keywords", X.extract_keywords(F.col("question"))).filter(F.col("company_document_id").isNotNull() & F.col("revision_number").isNotNull() & (F.size("keywords") > 0))
-    body = store.select("company_document_id", "revision_number", "chunk_id", "content", F.lower("content").alias("body"))
+    # short keywords occur most often, so they are tried first
+    keywords = F.array_sort(X.extract_keywords(F.col("question")), lambda a, b: F.length(a) - F.length(b))
+    asked = questions.withColumn("keywords", keywords).filter(F.col("company_document_id").isNotNull() & F.col("revision_number").isNotNull() & (F.size("keywords") > 0))
+    # length and hash are taken once per chunk, not once per pair
+    body = store.select("company_document_id", "revision_number", "chunk_id", F.lower("content").alias("body"), F.length("content").alias("n"), F.md5("content").alias("h"))
     both = asked.select("qid", "company_document_id", "revision_number", "keywords").join(body, ["company_document_id", "revision_number"])
-    hits = both.filter(F.exists("keywords", lambda k: F.contains(F.col("body"), k))).select("qid", "chunk_id", F.length("content").alias("n"), F.md5("content").alias("h"))
+    hits = both.filter(F.exists("keywords", lambda k: F.contains(F.col("body"), k))).select("qid", "chunk_id", "n", "h")
     best = top(hits, "qid", limit, F.col("n"), F.col("chunk_id"))
     return best.withColumn("again", F.row_number().over(Window.partitionBy("qid", "h").orderBy("rank"))).filter("again = 1").select("qid", "chunk_id", "rank")
 
