@@ -16,8 +16,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: UTF-8 bytes of text that a worker handles at a time; one longer text is a block of its own.
 BLOCK_BYTES = 2_000_000
 
+#: Rows of an Arrow batch between the JVM and a worker; whole texts make Spark's default of 10,000 rows too much memory.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Entries of a worker's memo table; beyond it the table starts anew with what the current block needs.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 
 
 def blocks(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -39,6 +43,12 @@ def texts_of(batch: pa.RecordBatch, text: int = 1) -> list[str]:
     return [t or "" for t in batch.column(text).to_pylist()]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches to BATCH_ROWS rows (a smaller setting stays)."""
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
 def map_texts(
     docs: DataFrame,
     make: Callable[[], Callable[[list[str]], dict[str, list]]],
@@ -53,6 +63,7 @@ def map_texts(
     the columns named in the DDL string `columns`. Other columns of `docs` are
     not read, so their names cannot clash. Needs no shuffle.
     """
+    bound_batches(docs.sparkSession)
     name = id_as or id_col
     source = docs.select(docs[id_col].alias(name), docs[text_col].cast("string").alias("__text"))
     kind = source.schema[name].dataType.simpleString()
@@ -76,6 +87,7 @@ def rewrite_rows(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]
     new text. Needs no shuffle and no join, so repeated rows, null ids and
     further columns pass through as they are.
     """
+    bound_batches(docs.sparkSession)
     schema, names = docs.schema, docs.columns
     at = names.index(text_col)
     length = names.index(length_col) if length_col in names else None

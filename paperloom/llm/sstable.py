@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, blocks, checkpointed, shared_dir
+from .common import Memo, blocks, bound_batches, checkpointed, shared_dir
 
 MAGIC = b"PLSSTAB1"
 FOOTER = struct.Struct("<QQQQQQBI8s")  # index at, size; filter at, size; documents; tokens; bytes of an id; crc32 of index and filter; magic
@@ -272,6 +272,7 @@ def write_shards(docs: DataFrame, vocabulary_path: str, folder: str, end_id: int
     equal ids are ordered by a hash of their text and all kept. A shard is
     renamed into place when whole, so a task that is run again leaves no part.
     """
+    bound_batches(docs.sparkSession)
     with open(vocabulary_path, "rb") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
