@@ -50,9 +50,13 @@ def epochs(rows: DataFrame, key: str, topic: str, *order: Column) -> DataFrame:
     return rows.withColumn("changed", changed).withColumn("epoch", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("changed")
 
 
-def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """WN11: the last row of each key (upsert, latest wins)."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("n = 1").drop("n")
+def latest(rows: DataFrame, keys: list[str], *by: str) -> DataFrame:
+    """WN11: the last row of each key (upsert, latest wins), by columns that order a key's rows.
+
+    An aggregate, so each task passes on one row per key and a busy key costs no more.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("row")).select(*keys, "row.*")
 
 
 def trailing_count(rows: DataFrame, key: str, seconds: int, time: str = "ts") -> DataFrame:

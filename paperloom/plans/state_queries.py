@@ -67,7 +67,7 @@ _LAST = "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY se
 
 @query("wn11_latest_per_key", sql(_LAST, **LOG))
 def wn11(spark, d):
-    return M.latest(logged(spark, d), ["session_id"], F.desc("ts"), F.desc("event_id"))
+    return M.latest(logged(spark, d), ["session_id"], "ts", "event_id")
 
 
 @query("wn12_trailing_requests", sql("SELECT event_id, count(*) OVER (PARTITION BY session_id ORDER BY epoch(date_trunc('second', ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS recent FROM logged", **LOG))
@@ -254,13 +254,13 @@ def mu01(spark, d):
 
 @query("mu02_topic_hint_upsert", sql("SELECT session_id, turn, content FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS n FROM messages WHERE role = 'user') WHERE n = 1", "messages"))
 def mu02(spark, d):
-    return M.latest(messages(spark, d).filter("role = 'user'"), ["session_id"], F.desc("turn")).select("session_id", "turn", "content")
+    return M.latest(messages(spark, d).filter("role = 'user'"), ["session_id"], "turn").select("session_id", "turn", "content")
 
 
 @query("mu03_active_document_upsert", sql("SELECT session_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS n FROM logged WHERE event_type IN ('purchase', 'error')) WHERE n = 1 AND event_type <> 'error'", **LOG))
 def mu03(spark, d):
     rows = logged(spark, d).filter("event_type IN ('purchase', 'error')")
-    return M.latest(rows, ["session_id"], F.desc("ts"), F.desc("event_id")).filter("event_type <> 'error'").select("session_id", "event_id", "value")
+    return M.latest(rows, ["session_id"], "ts", "event_id").filter("event_type <> 'error'").select("session_id", "event_id", "value")
 
 
 @query("mu05_chat_edits", "SELECT conv_id AS id, CASE WHEN conv_id % 7 = 0 THEN 'Renamed' ELSE 'Chat ' || conv_id END AS title, conv_id % 5 = 0 AS pinned FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 11 <> 0")
