@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,20 @@ def dec(value: str) -> Column:
     return F.lit(value).cast(DECIMAL)
 
 
+#: Doubles that are written as ties between two hundredths, but lie below or above them as binary numbers.
+TIES = [(2 * k + 1) / 200 for k in range(100)]
+BELOW = [t for k, t in enumerate(TIES) if Fraction(t) < Fraction(2 * k + 1, 200)]
+ABOVE = [t for k, t in enumerate(TIES) if Fraction(t) > Fraction(2 * k + 1, 200)]
+
+
+def hundredths(c: Column, kind: str) -> Column:
+    """Two places, half to even; a double by its binary value."""
+    if kind == DECIMAL:
+        return F.bround(c, 2)
+    down = F.floor(F.round(c * 1000) / 10)
+    return F.when(c.isin(BELOW), down / 100).when(c.isin(ABOVE), (down + 1) / 100).otherwise(F.bround(c, 2))
+
+
 def sanitized(scores: Column) -> Column:
     """AG14: scores between 0 and 1; those below the floor go."""
     clamped = F.transform(scores, lambda s: F.greatest(dec("0"), F.least(dec("1"), s)))
@@ -65,7 +81,7 @@ def confidence(chunks: DataFrame, kind: str = DECIMAL) -> DataFrame:
     weak = (F.size("scores") == 0) | (F.get("scores", F.lit(0)) <= dec(FLOOR))
     terms = [F.lit(w).cast(kind) * F.col(c).cast(kind) for w, c in zip(WEIGHTS, ("count_score", "strength", "redundancy"), strict=True)]
     total = (terms[0] + terms[1] + terms[2]).cast("decimal(12,8)" if kind == DECIMAL else kind)
-    value = F.when(weak, dec(LOW)).otherwise(F.bround(F.greatest(F.lit("0").cast(kind), F.least(F.lit("1").cast(kind), total)), 2).cast(DECIMAL))
+    value = F.when(weak, dec(LOW)).otherwise(hundredths(F.greatest(F.lit("0").cast(kind), F.least(F.lit("1").cast(kind), total)), kind).cast(DECIMAL))
     s = s.withColumn("confidence", value)
     return s.select("query_id", "confidence", F.when(weak, "low").otherwise(level(F.col("confidence"), F.col("sections"))).alias("level"))
 
