@@ -36,7 +36,7 @@ FOOTER = struct.Struct("<QQQQQQBI8s")  # index at, size; filter at, size; docume
 BLOCK, SHARD = 64 << 10, 256 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Distinct words in a worker's memo table (about 200 bytes each).
-WORDS = 600_000
+WORDS = 750_000
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
