@@ -110,11 +110,22 @@ def tg05(spark, d):
     return C.enrich_chunks(C.table_chunks(elements(spark, d)), "1", F.concat("doc_id", F.lit(".pdf")))
 
 
+@query("tg05_enrich_all_chunks")
+def tg05_all(spark, d):
+    """Text and table chunks; the text splitter has no SQL."""
+    return C.enrich_chunks(C.chunk_elements(elements(spark, d)), "1", F.concat("doc_id", F.lit(".pdf")))
+
+
 @query("ag18_ingest_summary", sql("SELECT doc_id AS company_document_id, '1' AS revision_number, doc_id || '.pdf' AS source_file, count(*) AS chunk_count FROM chunks GROUP BY ALL", "elements", **_TABLES))
 def ag18(spark, d):
     return C.ingest_summary(tg05(spark, d))
 
 
+@query("ag18_ingest_summary_all_chunks")
+def ag18_all(spark, d):
+    return C.ingest_summary(tg05_all(spark, d))
+
+
 _PAGE_ONE = {
     "p": f"SELECT *, {s_strip('text')} AS t FROM (SELECT *, max(page_number) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS seen FROM marked) WHERE seen <= 1",
     "i": "SELECT *, lower(t) AS low, length(t) > 8 AND length(t) < 40 AND regexp_matches(t, '[0-9]') AND NOT contains(t, ' ') AS is_id FROM p WHERE t <> ''",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import events as E
 from paperloom.operators import policy as P
-from paperloom.operators.chunking import table_chunks
+from paperloom.operators.chunking import chunk_elements, table_chunks
 from paperloom.sources import files as S
 from paperloom.sources import store as T
 from paperloom.sources.html_tables import markdown_table
@@ -248,6 +248,13 @@ def io05(spark, d):
     return S.read_chunks(spark, path)
 
 
+@query("io05_all_chunk_json_round_trip")
+def io05_all(spark, d):
+    path = S.scratch_folder(spark)
+    S.write_json(chunk_elements(elements(spark, d)), path, "gzip")
+    return S.read_chunks(spark, path)
+
+
 @query("io08_store_append", sql("SELECT company_document_id, count(*) + count(DISTINCT chunk_id) AS n FROM chunk_store GROUP BY 1", "chunk_store"))
 def io08(spark, d):
     path, rows = S.scratch_folder(spark), chunk_store(spark, d).select("chunk_id", "company_document_id", "revision_number", "content")

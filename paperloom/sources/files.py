@@ -26,9 +26,9 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.ELEMENT).json(path, multiLine=False)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """IO04/IO05: elements or chunks, one JSON object a line."""
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """IO04/IO05: elements or chunks, one JSON object a line; readers tell a compression by the files' names."""
+    df.write.mode("overwrite").json(path, compression=compression)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
