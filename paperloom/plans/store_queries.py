@@ -195,7 +195,8 @@ def st03(spark, d):
 @query("st05_stream_frames")
 def st05(spark, d):
     line = E.event_line(E.event("PROGRESS", value=F.lit(5), label=F.col("role")))
-    pieces = F.when(F.col("turn") % 2 == 0, F.array(F.substring("content", 1, 30), F.concat(line, F.lit("tail")))).otherwise(F.array(F.substring("content", 1, 10), F.substring("content", 11, 1000)))
+    rest = lambda n: F.coalesce(F.substring(F.col("content"), F.lit(n), F.length("content")), F.lit(""))
+    pieces = F.when(F.col("turn") % 2 == 0, F.array(F.substring("content", 1, 30), F.concat(line, rest(31)))).otherwise(F.array(F.substring("content", 1, 10), rest(11)))
     rows = messages(spark, d).select(F.col("session_id").alias("stream_id"), "turn", F.posexplode(pieces).alias("k", "chunk")).select("stream_id", (F.col("turn") * 10 + F.col("k")).alias("seq"), "chunk")
     return Q.fold(rows, ["stream_id"], [F.col("seq")], Q.FrameParser, "stream_id bigint, seq bigint, kind string, value string")
 

@@ -89,3 +89,14 @@ def test_summary_counts_all_documents(spark, small):
 def test_all_chunks_come_back_from_json(spark, small):
     names = "doc_id seq chunk_index type section is_parent page_number content table_id parent_id".split()
     assert rows_of(QUERIES["io05_all_chunk_json_round_trip"](spark, small), *names) == sorted(map(repr, chunks()))
+
+
+def test_stream_frames_lose_no_text(spark, tmp_path):
+    said = {1: ["short", LONG[:31], "", LONG, LONG[:1011], "x" * 2500], 2: [None, None, LONG + "end"]}
+    rows = [(s, turn, "user" if turn % 2 == 0 else "assistant", t) for s, texts in said.items() for turn, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    frames = QUERIES["st05_stream_frames"](spark, str(tmp_path)).collect()
+    for stream, texts in said.items():
+        own = [f for f in frames if f.stream_id == stream]
+        assert "".join(f.value for f in own if f.kind == "text") == "".join(t or "" for t in texts)
+        assert [f.seq for f in own if f.kind == "event"] == [turn * 10 + 1 for turn in range(0, len(texts), 2)]
