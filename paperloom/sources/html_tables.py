@@ -70,5 +70,5 @@ def _convert(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def markdown_table(html: Column) -> Column:
     """The grid of each text's first table; only texts with a table are sent to Python."""
-    has = html.contains("<table")
+    has = F.lower(html).contains("<table")
     return F.when(has, F.pandas_udf(_convert, "string")(F.when(has, html))).otherwise("")

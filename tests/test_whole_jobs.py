@@ -100,3 +100,20 @@ def test_stream_frames_lose_no_text(spark, tmp_path):
         own = [f for f in frames if f.stream_id == stream]
         assert "".join(f.value for f in own if f.kind == "text") == "".join(t or "" for t in texts)
         assert [f.seq for f in own if f.kind == "event"] == [turn * 10 + 1 for turn in range(0, len(texts), 2)]
+
+
+PAGES = {
+    1: ("<p>none</p>", ""),
+    2: (None, ""),
+    3: ("", ""),
+    4: ("<p>x</p><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td> 2\n3</td></tr></table><p>y</p>", "| a | b |\n|---|---|\n| 1 | 2 3 |"),
+    5: ("<TABLE><TR><TD>up</TD></TR></TABLE>", "| up |\n|---|"),
+    6: ("<table><tr><td>out <table><tr><td>in</td></tr></table></td><td>next</td></tr></table><table><tr><td>other</td></tr></table>", "| out in | next |\n|---|---|"),
+    7: ("a &lt;table&gt; in words", ""),
+}
+
+
+def test_tables_of_all_pages(spark, tmp_path):
+    spark.createDataFrame([(k, html) for k, (html, _) in PAGES.items()], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.grid for r in QUERIES["io07_page_tables"](spark, str(tmp_path)).collect()}
+    assert got == {k: grid for k, (_, grid) in PAGES.items()}
