@@ -206,6 +206,16 @@ def so02(spark, d):
     return restored.unionByName(fresh).groupBy("session_id", "chunk_id").agg(F.min("pos").alias("pos"), F.min_by("origin", "pos").alias("origin"))
 
 
+@query("so02_restored_first_union_all_ids", sql("SELECT session_id, chunk_id, min(pos)::INTEGER AS pos, arg_min(origin, pos) AS origin FROM (SELECT session_id, chunk_id, -1 AS pos, 'restored' AS origin FROM restored UNION ALL SELECT session_id, chunk_id, event_id::INTEGER, 'new' FROM fresh) GROUP BY 1, 2", "chunk_store", **LOG, restored="SELECT DISTINCT u.session_id, s.chunk_id FROM logged u JOIN chunk_store s ON s.row_id = (u.props::JSON ->> 'k')::BIGINT", fresh="SELECT u.session_id, s.chunk_id, u.event_id FROM logged u JOIN chunk_store s ON s.row_id = u.event_id % (SELECT max(row_id) + 1 FROM chunk_store)"))
+def so02_all(spark, d):
+    """New hits over the whole id range of the store."""
+    store = chunk_store(spark, d).select("row_id", "chunk_id")
+    restored = jn03(spark, d).select("session_id", "chunk_id", F.lit(-1).alias("pos"), F.lit("restored").alias("origin")).distinct()
+    ids = F.broadcast(store.agg((F.max("row_id") + 1).alias("n_ids")))
+    fresh = logged(spark, d).crossJoin(ids).withColumn("row_id", F.col("event_id") % F.col("n_ids")).join(store, "row_id").select("session_id", "chunk_id", F.col("event_id").cast("int").alias("pos"), F.lit("new").alias("origin"))
+    return restored.unionByName(fresh).groupBy("session_id", "chunk_id").agg(F.min("pos").alias("pos"), F.min_by("origin", "pos").alias("origin"))
+
+
 _JOBS = LOG | {
     "jobs": f"SELECT 'job-' || event_id AS job_id, session_id, event_id FROM logged WHERE event_type = 'signup'",
     "state": f"SELECT session_id, arg_max({_STATUS}, (ts, event_id)) AS status FROM logged WHERE {_STATUS} IS NOT NULL GROUP BY 1",

@@ -117,3 +117,13 @@ def test_tables_of_all_pages(spark, tmp_path):
     spark.createDataFrame([(k, html) for k, (html, _) in PAGES.items()], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.grid for r in QUERIES["io07_page_tables"](spark, str(tmp_path)).collect()}
     assert got == {k: grid for k, (_, grid) in PAGES.items()}
+
+
+def test_new_hits_reach_the_whole_store(spark, sf):
+    from pyspark.sql import functions as F
+
+    last = spark.read.parquet(f"{sf}/documents.parquet").agg(F.max("doc_id")).first()[0]
+    far = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id >= 100").select(F.md5(F.concat("source", F.lit(":1:"), "text")).alias("chunk_id"))
+    assert last >= 100
+    got = QUERIES["so02_restored_first_union_all_ids"](spark, sf)
+    assert got.filter("origin = 'new'").join(far, "chunk_id", "left_semi").count() > 0
