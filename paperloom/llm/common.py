@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,8 +21,10 @@ BLOCK_BYTES = 2_000_000
 BATCH_ROWS = 1000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-#: Entries of a worker's memo table; beyond it the table starts anew with what the current block needs.
-MEMO_ENTRIES = 200_000
+#: Entries and characters of a worker's memo table; beyond either it starts anew with what the current block needs.
+MEMO_ENTRIES, MEMO_CHARS = 200_000, 16_000_000
+#: Longer strings are worked out, but not kept for the next block.
+KEPT_CHARS = 256
 
 
 def blocks(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -61,10 +64,13 @@ def map_texts(
 
     `make` runs once per task and returns the function from a block of texts to
     the columns named in the DDL string `columns`. Other columns of `docs` are
-    not read, so their names cannot clash. Needs no shuffle.
+    not read, so their names cannot clash; an id named like one of `columns` is
+    an error. Needs no shuffle.
     """
     bound_batches(docs.sparkSession)
     name = id_as or id_col
+    if name in T.StructType.fromDDL(columns).names:
+        raise ValueError(f"the id column needs another name than {name}, which the result has")
     source = docs.select(docs[id_col].alias(name), docs[text_col].cast("string").alias("__text"))
     kind = source.schema[name].dataType.simpleString()
     made = T.StructType.fromDDL(columns)
@@ -120,39 +126,60 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 class Memo:
-    """Values by string, worked out for many missing strings at once; bounded."""
+    """Values by string, worked out for many missing strings at once; bounded in entries and characters."""
 
-    def __init__(self, work_out: Callable[[list[str]], list], entries: int = MEMO_ENTRIES):
-        self.work_out, self.entries, self.table = work_out, entries, {}
+    def __init__(self, work_out: Callable[[list[str]], list], entries: int = MEMO_ENTRIES, chars: int = MEMO_CHARS):
+        self.work_out, self.entries, self.chars = work_out, entries, chars
+        self.table, self.held, self.passing = {}, 0, []
 
     def of(self, *lists: Iterable[str]) -> dict:
-        """A table that holds at least the strings of the given lists."""
+        """A table that holds at least the strings of the given lists, until the next call."""
+        for s in self.passing:
+            del self.table[s]
+        self.passing = []
         wanted: set[str] = set()
         for strings in lists:
             wanted.update(strings)
         missing = [s for s in wanted if s not in self.table]
         if missing:
-            if len(self.table) + len(missing) > self.entries:
+            self.held += sum(map(len, missing))
+            if len(self.table) + len(missing) > self.entries or self.held > self.chars:
                 self.table = {s: self.table[s] for s in wanted if s in self.table}
+                self.held = sum(map(len, wanted))
             self.table.update(zip(missing, self.work_out(missing), strict=True))
+            self.passing = [s for s in missing if len(s) > KEPT_CHARS]
+            self.held -= sum(map(len, self.passing))
         return self.table
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
+def _shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where it is unset, a new temporary one."""
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        base = (sc.getCheckpointDir() or "/tmp/checkpoints").rstrip("/")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="paperloom-")
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{_shared_base(spark)}/{uuid.uuid4().hex}"
+
+
+def remove_dir(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared file system that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut in the shared folder; a lost executor loses nothing."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        sc.setCheckpointDir(_shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -1,23 +1,26 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
-Each shard of documents becomes one array of word codes, in which only words of
-the benchmark have codes. Its suffix array holds the suffixes that can begin a
-window (13 known words of one document follow, or as many as a short item has,
-and their first four words occur in the benchmark); every test suffix is looked
-up in it by binary search, which gives all verbatim occurrences with their
-places. Occurrences that follow each other are joined to the longest verbatim
-matches. No document is shuffled: shards are blocks of the scan.
+Each shard of documents (a block of the scan) becomes one array of word codes;
+words that the benchmark lacks end a suffix. Its suffix array, made by prefix
+doubling, orders the suffixes of all other words. Every test suffix is looked up
+in it by binary search, after a table of first words that leaves out those the
+shard cannot hold; the interval it finds holds all verbatim occurrences of its
+window with their places, and intervals are marked, never multiplied with the
+items that share a window. For the longest verbatim match each place is looked
+up among the sorted test suffixes of its window by longest common prefixes. No
+document is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_texts, rewrite_rows
+from .common import checkpointed, fresh, map_texts, rewrite_rows
 
 WINDOW, HEAD = 13, 4
 #: Text bytes of the benchmark in one broadcast index; a larger benchmark is taken in several.
@@ -78,106 +81,211 @@ def _head(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return key
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """low[0], ..., high[0] - 1, low[1], ... in one array."""
+    sizes = high - low
+    return np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def suffix_array(codes: np.ndarray, run: np.ndarray, depth: int) -> np.ndarray:
+    """Places of known words in the order of their suffixes, by prefix doubling.
+
+    A suffix ends after its `run` of known words. Suffixes that agree in `depth`
+    words, more than any search compares, stay in the order of their places.
+    """
+    order = np.flatnonzero(run)
+    if not len(order):
+        return order
+    span = min(16, 62 // int(codes.max()).bit_length())
+    key = np.zeros(len(order), np.int64)
+    for k in range(span):
+        key = key << int(codes.max()).bit_length() | np.where(run[order] > k, codes[np.minimum(order + k, len(codes) - 1)], 0)
+    by = np.argsort(key, kind="stable")
+    order, key = order[by], key[by]
+    start = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(order)), 0))
+    rank = np.zeros(len(codes), np.int64)
+    rank[order] = start + 1
+    while span < depth:
+        same = start[1:] == start[:-1]
+        k = np.flatnonzero((np.append(same, False) | np.append(False, same)) & (run[order] >= span))
+        if not (run[order[k]] > span).any():
+            break
+        p = order[k]
+        follow = np.where(run[p] > span, rank[np.minimum(p + span, len(codes) - 1)], 0)
+        key = start[k] * (len(codes) + 1) + follow
+        by = np.argsort(key, kind="stable")
+        order[k], key = p[by], key[by]
+        start[k] = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), k, 0))
+        rank[order[k]] = start[k] + 1
+        span *= 2
+    return order
+
+
+class Suffixes:
+    """Codes with the lengths of their runs, and prefix sums by which common prefixes are measured."""
+
+    def __init__(self, codes: np.ndarray, doc: np.ndarray):
+        self.codes, n = codes, len(codes)
+        last = np.concatenate((doc[1:] != doc[:-1], [True])) if n else np.zeros(0, bool)
+        stop = np.flatnonzero(last | (codes == 0))
+        end = stop[np.searchsorted(stop, np.arange(n))]
+        self.run = end + (codes[end] > 0) - np.arange(n)
+        mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((mixed ^ mixed >> np.uint64(29)) * _power("up", n), dtype=np.uint64)))
+
+    def digest(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.sums[at + size] - self.sums[at]) * _power("down", len(self.sums))[at]
+
+
+def common_prefix(a: Suffixes, i: np.ndarray, b: Suffixes, j: np.ndarray, known: int) -> np.ndarray:
+    """Words that suffixes i of a and j of b have in common, at least `known`."""
+    low, high = np.full(len(i), known), np.minimum(a.run[i], b.run[j])
+    while (low < high).any():
+        mid = (low + high + 1) // 2
+        same = a.digest(i, mid) == b.digest(j, mid)
+        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    return low
+
+
+@dataclass
+class Windows:
+    """The distinct windows of one length in order, their test suffixes, and the sets of items that have them."""
+
+    keys: np.ndarray
+    heads: np.ndarray
+    known: np.ndarray
+    bounds: np.ndarray  # of each window's suffixes in `tests`
+    tests: np.ndarray
+    which: np.ndarray  # the set of items of each window
+    sets: list[np.ndarray]
+
+
 class TestIndex:
-    """Sorted test suffixes of one part of the benchmark."""
+    """Sorted test suffixes of one part of the benchmark; items are numbered in the order of their ids."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, str]]):
-        by_text: dict[str, list[str]] = {}
+        by_text: dict[str, set[str]] = {}
         for item, text in items:
-            by_text.setdefault(text, []).append(item)
-        self.items = [sorted(set(v)) for v in by_text.values()]
-        words = Words([t.encode() for t in by_text])
-        self.vocabulary, codes = np.unique(words.hash, return_inverse=True)
-        firsts = np.full(len(self.vocabulary), -1)
-        firsts[codes[::-1]] = np.arange(len(codes))[::-1]
-        self.spelling = [words.word(int(k)) for k in firsts]
-        codes = codes + 1
-        #: By length of window: sorted distinct windows, and for each the (item, place) pairs in one flat table.
-        self.windows = {}
+            by_text.setdefault(text, set()).add(item)
+        entries = sorted((sorted(ids), text) for text, ids in by_text.items())
+        self.items = [ids for ids, _ in entries]
+        words = Words([text.encode("utf-8", "replace") for _, text in entries])
+        self.vocabulary, firsts, codes = np.unique(words.hash, return_index=True, return_inverse=True)
+        self.data, self.at, self.size = words.data, words.start[firsts], words.end[firsts] - words.start[firsts]
+        self.item = words.doc
+        self.suffixes = Suffixes(codes + 1, words.doc)
+        self.depth = int(words.n_words.max(initial=0))
+        order = suffix_array(self.suffixes.codes, self.suffixes.run, self.depth)
         lengths = np.minimum(words.n_words, WINDOW)
+        rng = np.random.default_rng(7)
+        marks = rng.integers(1, 1 << 63, (2, len(entries)), dtype=np.uint64)
+        self.windows = {}
         for size in np.unique(lengths[lengths > 0]).tolist():
-            which = np.flatnonzero(lengths == size)
-            counts = words.n_words[which] - size + 1
-            item = np.repeat(which, counts)
-            place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = words.first[item] + place
-            order = np.argsort(keys := _keys(codes[at[:, None] + np.arange(size)]), kind="stable")
-            keys, item, place, at = keys[order], item[order], place[order], at[order]
+            tests = order[(lengths[self.item[order]] == size) & (self.suffixes.run[order] >= size)]
+            keys = _keys(self.suffixes.codes[tests[:, None] + np.arange(size)])
             fresh = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            heads = _head(codes, at[fresh], min(size, HEAD))
-            self.windows[size] = (keys[fresh], heads, np.unique(heads), np.append(fresh, len(keys)), item, place)
+            pairs = np.unique(np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(keys)))) * len(entries) + self.item[tests])
+            window, item = pairs // len(entries), pairs % len(entries)
+            begins = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
+            sums = np.stack([np.add.reduceat(m[item], begins) for m in marks], 1)
+            _, first, which = np.unique(sums, axis=0, return_index=True, return_inverse=True)
+            ends = np.append(begins[1:], len(item))
+            heads = _head(self.suffixes.codes, tests[fresh], min(size, HEAD))
+            self.windows[size] = Windows(keys[fresh], heads, np.unique(heads), np.append(fresh, len(keys)), tests, which.ravel(), [item[begins[k] : ends[k]] for k in first.tolist()])
 
     def coded(self, words: Words) -> np.ndarray:
-        """Codes of the words; 0 for a word that the benchmark lacks."""
-        if not len(self.vocabulary):
-            return np.zeros(len(words.hash), np.int64)
+        """Codes of the words, compared byte by byte; 0 for a word that the benchmark lacks."""
+        codes = np.zeros(len(words.hash), np.int64)
+        if not len(self.vocabulary) or not len(codes):
+            return codes
         at = np.minimum(np.searchsorted(self.vocabulary, words.hash), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == words.hash, at + 1, 0)
-
-    def occurrences(self, words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(window length, word places, items, places in items) of all verbatim occurrences in a shard."""
-        codes = self.coded(words)
-        n = len(codes)
-        if not n:
-            return
-        stop = np.flatnonzero(np.concatenate((codes[:-1] == 0, [True])) | np.concatenate((words.doc[1:] != words.doc[:-1], [True])))
-        run = stop[np.searchsorted(stop, np.arange(n))] + (codes[stop[np.searchsorted(stop, np.arange(n))]] > 0) - np.arange(n)
-        for size, (keys, heads, known, fresh, item, place) in self.windows.items():
-            at = np.flatnonzero(run >= size)
-            at = at[np.isin(own := _head(codes, at, min(size, HEAD)), known)]
-            if not len(at):
-                continue
-            suffixes = _keys(codes[at[:, None] + np.arange(size)])
-            order = np.argsort(suffixes, kind="stable")  # the shard's suffix array
-            suffixes, at = suffixes[order], at[order]
-            asked = np.flatnonzero(np.isin(heads, own))
-            low, high = np.searchsorted(suffixes, keys[asked], "left"), np.searchsorted(suffixes, keys[asked], "right")
-            hit = high > low
-            asked, low, high = asked[hit], low[hit], high[hit]
+        k = np.flatnonzero((self.vocabulary[at] == words.hash) & (self.size[at] == words.end - words.start))
+        sizes = self.size[at[k]]
+        other = words.data[_ranges(words.start[k], words.end[k])] != self.data[_ranges(self.at[at[k]], self.at[at[k]] + sizes)]
+        codes[k] = at[k] + 1
+        codes[k[np.searchsorted(np.cumsum(sizes), np.flatnonzero(other), "right")]] = 0
+        return codes
+
+    def search(self, shard: Suffixes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(window length, places, windows there) of all verbatim occurrences in a shard."""
+        order = suffix_array(shard.codes, shard.run, self.depth)
+        for size, w in self.windows.items():
+            at = order[shard.run[order] >= size]
+            own = _head(shard.codes, at, min(size, HEAD))
+            able = np.isin(own, w.known)
+            at, own = at[able], own[able]
+            asked = np.flatnonzero(np.isin(w.heads, own))
             if not len(asked):
                 continue
-            # each occurrence with each (item, place) of its window
-            times, kinds = high - low, fresh[asked + 1] - fresh[asked]
-            each = times * kinds
-            of = np.repeat(np.arange(len(asked)), each)
-            k = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            found = at[low[of] + k // kinds[of]]
-            source = fresh[asked[of]] + k % kinds[of]
-            same = self._verified(words, codes, np.unique(found), size)
-            keep = np.isin(found, same)
-            yield size, found[keep], item[source[keep]], place[source[keep]]
-
-    def _verified(self, words: Words, codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-        """Of the places those whose words are spelled as the benchmark's, not only hashed alike."""
-        every = np.unique(at[:, None] + np.arange(size))
-        wrong = [k for k in every.tolist() if words.word(k) != self.spelling[codes[k] - 1]]
-        return at[~np.isin(at[:, None] + np.arange(size), wrong).any(axis=1)] if wrong else at
+            keys = _keys(shard.codes[at[:, None] + np.arange(size)])
+            low, high = np.searchsorted(keys, w.keys[asked], "left"), np.searchsorted(keys, w.keys[asked], "right")
+            if (high > low).any():
+                yield size, at[_ranges(low, high)], np.repeat(asked, high - low)
+
+    def longest(self, shard: Suffixes, doc: np.ndarray, size: int, at: np.ndarray, window: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, words, place, item) of each document's longest match that begins with a window; of equal ones the first place, then the least item."""
+        w, tests = self.windows[size], self.suffixes
+        low, high = w.bounds[window], w.bounds[window + 1]
+        best = np.full(len(at), size)
+        while (todo := np.flatnonzero(low < high)).size:
+            mid = (low[todo] + high[todo]) // 2
+            i, j = at[todo], w.tests[mid]
+            same = common_prefix(shard, i, tests, j, size)
+            best[todo] = np.maximum(best[todo], same)
+            ended, over = same == tests.run[j], same == shard.run[i]
+            before = ended | ~over & (tests.codes[np.where(ended, j, j + same)] < shard.codes[np.where(over, i, i + same)])
+            low[todo], high[todo] = np.where(before, mid + 1, low[todo]), np.where(before, high[todo], mid)
+        order = np.lexsort((at, -best, doc[at]))
+        d = doc[at[order]]
+        win = order[np.concatenate(([True], d[1:] != d[:-1]))]
+        # the test suffixes that share the whole match lie around the place that the search ended at
+        i, need, middle = at[win], best[win], low[win]
+        ends = []
+        for outer, step in ((w.bounds[window[win]], -1), (w.bounds[window[win] + 1], 1)):
+            inner, outer = middle.copy(), outer.copy()
+            while (todo := np.flatnonzero(inner != outer)).size:
+                mid = (inner[todo] + outer[todo] + (step > 0)) // 2
+                j = w.tests[mid if step < 0 else mid - 1]
+                shares = common_prefix(shard, i[todo], tests, j, size) >= need[todo]
+                inner[todo] = np.where(shares, mid, inner[todo])
+                outer[todo] = np.where(shares, outer[todo], mid + 1 if step < 0 else mid - 1)
+            ends.append(inner)
+        for k, a, b in zip(win.tolist(), *map(np.ndarray.tolist, ends), strict=True):
+            yield int(doc[at[k]]), int(best[k]), int(at[k]), int(self.item[w.tests[a:b]].min())
 
 
 def matches(index: TestIndex, texts: list[str]) -> dict[str, list]:
     """Of each text: words, hit spans (begin, end, begin, ... in words), items, and the longest verbatim match."""
     words = Words([t.encode("utf-8", "replace") for t in texts])
+    shard = Suffixes(index.coded(words), words.doc)
     n = len(texts)
     out = {"n_words": words.n_words.tolist(), "spans": [[] for _ in range(n)], "items": [[] for _ in range(n)], "longest_words": [0] * n, "longest_at": [None] * n, "longest_item": [None] * n}
     cover = np.zeros(len(words.hash) + 1, np.int64)
-    for size, at, item, place in index.occurrences(words):
-        np.add.at(cover, np.unique(at), 1)
-        np.add.at(cover, np.unique(at) + size, -1)
-        doc = words.doc[at]
-        for d, k in np.unique(np.stack((doc, item), 1), axis=0).tolist():
-            out["items"][d].extend(index.items[k])
-        # occurrences on one diagonal of an item that follow each other are one longer match
-        order = np.lexsort((at, at - place, item))
-        at, item, line, doc = at[order], item[order], (at - place)[order], doc[order]
-        new = np.concatenate(([True], (item[1:] != item[:-1]) | (line[1:] != line[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])))
-        heads = np.flatnonzero(new)
-        length = np.diff(np.append(heads, len(at))) + size - 1
-        for k in np.lexsort((item[heads], at[heads], -length)).tolist():
-            d = int(doc[heads[k]])
-            if length[k] > out["longest_words"][d]:
-                out["longest_words"][d], out["longest_at"][d], out["longest_item"][d] = int(length[k]), int(at[heads[k]] - words.first[d]), index.items[item[heads[k]]][0]
+    best: dict[int, tuple] = {}
+    found: dict[int, list[np.ndarray]] = {}
+    for size, at, window in index.search(shard):
+        cover[at] += 1
+        cover -= np.bincount(at + size, minlength=len(cover))
+        sets = index.windows[size].sets
+        pairs = np.unique(words.doc[at] * len(sets) + index.windows[size].which[window])
+        for d, k in zip((pairs // len(sets)).tolist(), (pairs % len(sets)).tolist(), strict=True):
+            found.setdefault(d, []).append(sets[k])
+        for d, length, place, item in index.longest(shard, words.doc, size, at, window):
+            best[d] = min(best.get(d, (0, 0, 0)), (-length, place, item))
+    names: dict[bytes, list[str]] = {}
+    for d, parts in found.items():
+        has = np.zeros(len(index.items), bool)
+        for part in parts:
+            has[part] = True
+        key = np.packbits(has).tobytes()
+        if key not in names:
+            names[key] = sorted({i for k in np.flatnonzero(has).tolist() for i in index.items[k]})
+        out["items"][d] = names[key]
+    for d, (length, place, item) in best.items():
+        out["longest_words"][d], out["longest_at"][d], out["longest_item"][d] = -length, int(place - words.first[d]), index.items[item][0]
     hit = np.cumsum(cover[:-1]) > 0
     if hit.any():
         joined = np.concatenate(([True], words.doc[1:] != words.doc[:-1]))
@@ -185,7 +293,6 @@ def matches(index: TestIndex, texts: list[str]) -> dict[str, list]:
         end = np.flatnonzero(hit & (np.append(joined[1:], True) | ~np.append(hit[1:], False))) + 1
         for b, e, d in zip(begin.tolist(), end.tolist(), words.doc[begin].tolist(), strict=True):
             out["spans"][d] += [b - int(words.first[d]), e - int(words.first[d])]
-    out["items"] = [sorted(set(x)) for x in out["items"]]
     return out
 
 
@@ -222,23 +329,31 @@ def contamination(
     Null texts have no words; an item without id or text is passed over; items
     of one text share their windows, texts of one item id count as one item;
     repeated rows give repeated rows; an empty benchmark hits nothing; an empty
-    table gives no rows. A benchmark beyond `index_bytes` is taken in parts,
-    each broadcast by itself, whose results are brought together by document.
+    table gives no rows. Of equally long matches the first in the text counts,
+    and there the least item id as a string. A very long text is a shard of its
+    own; further columns are not read, so their names cannot clash. A benchmark
+    beyond `index_bytes` is taken in parts, one scan and one broadcast at a
+    time; each part's hits are written before the next begins, and come
+    together by document with the same results.
     """
     sc = docs.sparkSession.sparkContext
     source = docs.select(F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h")).alias("key"), docs[text_col].alias("text"))
-    found, parts = None, 0
-    for index in indexes(benchmark, item_col, item_text_col, index_bytes):
-        held = sc.broadcast(index)
-        part = map_texts(source, lambda held=held: lambda texts: matches(held.value, texts), MATCHES, "key", "text")
-        found, parts = part if found is None else found.unionByName(part), parts + 1
-    if found is None:
-        empty = sc.broadcast(TestIndex([]))
-        found = map_texts(source, lambda: lambda texts: matches(empty.value, texts), MATCHES, "key", "text")
-    if parts > 1:
-        best = F.max_by(F.struct("longest_words", "longest_at", "longest_item"), F.struct("longest_words", "longest_item")).alias("best")
-        found = found.groupBy("key").agg(
-            F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), best, (F.count(F.lit(1)) / parts).cast("int").alias("rows")
+    parts = indexes(benchmark, item_col, item_text_col, index_bytes)
+    index, following = next(parts, None) or TestIndex([]), next(parts, None)
+    held = sc.broadcast(index)
+    found = map_texts(source, lambda: lambda texts: matches(held.value, texts), MATCHES, "key", "text")
+    if following is not None:
+        found, hits = checkpointed(found.withColumn("copies", F.lit(1))), None
+        while following is not None:
+            held.unpersist()
+            held = sc.broadcast(following)
+            more = map_texts(source, lambda held=held: lambda texts: matches(held.value, texts), MATCHES, "key", "text")
+            more = checkpointed(more.filter(F.size("spans") > 0).withColumn("copies", F.lit(0)))
+            hits, following = more if hits is None else hits.unionByName(more), next(parts, None)
+        held.unpersist()
+        best = F.min_by(F.struct("longest_words", "longest_at", "longest_item"), F.struct(-F.col("longest_words"), "longest_at", "longest_item")).alias("best")
+        found = found.unionByName(hits).groupBy("key").agg(
+            F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"), best, F.sum("copies").cast("int").alias("rows")
         )
         found = found.select("key", "n_words", "spans", "items", "best.*", F.explode(F.sequence(F.lit(1), "rows")).alias("copy"))
     pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda k: F.struct(F.get("spans", 2 * k).alias("b"), F.get("spans", 2 * k + 1).alias("e")))
@@ -256,7 +371,8 @@ def contamination(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """`docs` without contaminated rows (hit words are at least a twentieth of the words).
 
-    With a benchmark of one part the rows are judged where they are; with more
+    Rows with null or empty texts stay, repeated rows fare alike, all columns
+    stay under whatever names; an empty benchmark or table changes nothing. With a benchmark of one part the rows are judged where they are; with more
     parts the verdicts meet the rows by id and text hash.
     """
     parts = indexes(benchmark, item_col, item_text_col, index_bytes)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from paperloom.llm import components, decontaminate, mpegts, pii, secret_scan, simhash, tagger, toxicity
+from paperloom.llm import components, decontaminate, mpegts, pii, queries, secret_scan, simhash, tagger, toxicity
 
 DOCS = "doc_id bigint, text string, score string"
 
@@ -45,6 +46,20 @@ def brute_contamination(docs, items):
     return out
 
 
+def brute_longest(t, items):
+    """(words, place, item) of the longest match that begins with a window; of equal ones the first, then the least item."""
+    w, best = WORD.findall(lower(t)), (0, None, None)
+    for i, x in items:
+        y = WORD.findall(lower(x))
+        size = min(13, len(y))
+        for a in range(len(w) if y else 0):
+            for b in range(len(y) - size + 1):
+                k = next((k for k in range(len(y) - b) if a + k >= len(w) or w[a + k] != y[b + k]), len(y) - b)
+                if k >= size and (-k, a, str(i)) < (-best[0], best[1] or 0, best[2] or ""):
+                    best = (k, a, str(i))
+    return best
+
+
 @pytest.mark.parametrize("index_bytes", [1 << 20, 60])
 def test_decontamination(spark, index_bytes):
     rnd = random.Random(5)
@@ -54,6 +69,9 @@ def test_decontamination(spark, index_bytes):
     want = brute_contamination(docs, [x for x in items if x[0] is not None])
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(frame(spark, docs), benchmark, index_bytes=index_bytes).collect()}
     assert got == want
+    rows = decontaminate.contamination(frame(spark, docs), benchmark, index_bytes=index_bytes).filter("doc_id < 300").collect()
+    for r in rows:
+        assert (r.longest_words, r.longest_at, r.longest_item) == brute_longest(docs[r.doc_id][1], [x for x in items if x[0] is not None and x[1]])
     kept = decontaminate.decontaminate(frame(spark, docs), benchmark, index_bytes=index_bytes)
     assert kept.columns == ["doc_id", "text", "score"] and {r.doc_id for r in kept.collect()} == {d for d in want if not want[d][4]}
 
@@ -68,6 +86,35 @@ def test_decontamination_edges(spark):
     assert decontaminate.decontaminate(docs, benchmark.limit(0)).count() == 3 and decontaminate.contamination(docs.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_of_shared_passages():
+    """Many items with one passage and a text that repeats it: no pairs of occurrences and items; and a long text of few words."""
+    passage = " ".join(f"w{k}" for k in range(60))
+    index = decontaminate.TestIndex([(f"{k:03d}", f"{passage} " + " ".join(f"x{k}_{j}" for j in range(9))) for k in range(400)] + [("z", "a b " * 40)])
+    texts = [f"{passage} " * 120, "a b " * 40000, f"{passage} x17_0 x17_1"]
+    began = time.perf_counter()
+    got = decontaminate.matches(index, texts)
+    assert time.perf_counter() - began < 5
+    assert got["longest_words"] == [60, 80, 64] and got["longest_at"] == [0, 0, 0] and got["longest_item"] == ["000", "z", "017"]
+    assert [len(x) for x in got["items"]] == [400, 1, 400] and [decontaminate.n_hit_of(x) for x in got["spans"]] == [7200, 80000, 64]
+
+
+def test_suffix_array_orders_whole_suffixes():
+    rnd = random.Random(12)
+    for size in (2, 5, 300):
+        codes = np.array([rnd.randrange(size) for _ in range(400)])
+        shard = decontaminate.Suffixes(codes, np.sort(np.array([rnd.randrange(3) for _ in range(400)])))
+        suffix = lambda k: codes[k : k + shard.run[k]].tolist()  # noqa: B023, E731
+        order = decontaminate.suffix_array(codes, shard.run, 400).tolist()
+        assert order == sorted((k for k in range(400) if codes[k]), key=lambda k: (suffix(k), k))
+
+
+def test_decontamination_query_on_driver_tables(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    want = brute_contamination(docs, items)
+    assert {r.doc_id: tuple(r)[1:] for r in queries.op1_decontamination(spark, sf).collect()} == want
+
+
 def test_transport_stream():
     rnd = random.Random(1)
     for size in [0, 1, 63, 64, 65, 150, 161, 162, 163, 164, 165, 170, 183, 184, 185, 16383, 16384, 16385, 50000]:
