@@ -2,8 +2,9 @@
 
 The model file is read here (its protocol-buffer fields are few); the library
 is not used. A text's spaces become U+2581 after a dummy prefix. No piece has
-U+2581 behind another character (checked when the model is loaded), so words
-that begin with it are merged on their own and kept in a bounded memo table.
+U+2581 behind another character (checked when the model is loaded), and none has
+a line's end beside another, so words that begin with a space and lines are
+merged on their own and kept in a bounded memo table, unless they are long.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ class PieceModel:
         self.byte_id = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == BYTE}
         normal = {p: i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == NORMAL}
         #: Symbols: pieces by their id, then characters that only occur within pieces.
-        inner = sorted({c for p in normal for c in p} - normal.keys())
+        self.inner = inner = sorted({c for p in normal for c in p} - normal.keys())
         self.symbol = normal | {c: len(pieces) + k for k, c in enumerate(inner)}
         self.word_split = not any(MARK in p.lstrip(MARK) for p in normal)
         order = {s: k for k, s in enumerate(sorted({scores[i] for i in normal.values()}, reverse=True))}
@@ -91,24 +92,27 @@ class PieceModel:
         self.bytes_of = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else " \u2047 ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(pieces, kinds, strict=True)]
         self.is_byte = np.array([k == BYTE for k in kinds])
         self.words = Memo(self._work_out)
-        self.plain_space = re.compile(f"{MARK}| {{2}}|^ ")
-        self.word = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        #: Control characters that no piece has beside another; no merge crosses them.
+        inside = {c for p in normal if len(p) > 1 for c in p}
+        alone = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in inside)
+        self.odd = re.compile(f" {{2}}|^ |[{alone}]") if alone else re.compile(" {2}|^ ")
+        self.word = re.compile(f" +[^ {alone}]*|[^ {alone}]+|[{alone}]+") if alone else re.compile(" +[^ ]*|[^ ]+")
 
     def words_of(self, text: str) -> list[str]:
-        """The words of a text, each without its first mark; empty for the empty text."""
+        """The words of a text with the spaces before them, its dummy prefix among them; empty for the empty text."""
         if not text:
             return []
+        text = text.replace(MARK, " ")
         if not self.word_split:
-            return [text.replace(" ", MARK)]
-        if not self.plain_space.search(text):
-            return text.split(" ")
-        return [w[1:] for w in self.word.findall(MARK + text.replace(" ", MARK))]
+            return [" " + text]
+        if not self.odd.search(text):
+            return [" " + w for w in text.split(" ")]
+        return self.word.findall(" " + text)
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, its first mark included."""
-        marked = [MARK + w for w in words]
-        flat = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
-        symbols, lengths = merge_words(self._coded(flat), [len(w) for w in marked], self.table)
+        """Ids of each word."""
+        flat = np.frombuffer("".join(words).replace(" ", MARK).encode("utf-32-le"), np.uint32)
+        symbols, lengths = merge_words(self._coded(flat), [len(w) for w in words], self.table)
         flat_ids = symbols.tolist()
         ends = np.cumsum(lengths).tolist()
         out, at = [], 0
@@ -130,7 +134,7 @@ class PieceModel:
     def _fallback(self, symbol: int) -> list[int]:
         if 0 <= symbol < len(self.pieces):
             return [symbol]
-        c = chr(-2 - symbol) if symbol < 0 else next(c for c, i in self.symbol.items() if i == symbol)
+        c = chr(-2 - symbol) if symbol < 0 else self.inner[symbol - len(self.pieces)]
         return [self.byte_id[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte_id else [self.unknown]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
@@ -178,7 +182,8 @@ def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """Per document its token count and digests of its ids and of its decoded text.
 
     A null text counts as empty (0 tokens, digests of nothing); repeated rows
-    give repeated rows; a null id stays null; an empty table gives no rows. The
+    give repeated rows; a null id stays null; an empty table gives no rows; a
+    text or word of any length is encoded whole; further columns are not read. The
     model file (under a few MB) is read on the driver and broadcast.
     """
     with open(model_path, "rb") as f:

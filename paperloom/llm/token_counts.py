@@ -3,7 +3,8 @@
 Offline, every string of the vocabulary is merged from its bytes by the
 tokenizer's own rules; those that come out as one token are the whole tokens.
 A pre-token among them counts as one without any merge; only the rest is
-merged. Both kinds are kept in a bounded memo table per worker.
+merged. Parts of texts between white space are kept in a bounded memo table per
+worker, unless they are long.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ class ByteLevelCounter:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(PRE_TOKEN)
-        self.adjacent_space = re.compile(f"[{SPACE}]{{2}}|[{SPACE}]$")
+        self.odd_space = re.compile(f"[{SPACE}]{{2}}|[{SPACE}]$|(?! )[{SPACE}]")
+        self.part = re.compile(f"[{SPACE}]+(?![^{SPACE}])|[{SPACE}]?[^{SPACE}]+")
         strings = [bytes(letters[c] for c in s) for s in vocab if all(c in letters for c in s)]
         self.whole = {s for s, n in zip(strings, self.merged(strings), strict=True) if n == 1}
         self.rest = Memo(lambda missing: self.merged([s.encode() for s in missing]))
@@ -65,9 +67,14 @@ class ByteLevelCounter:
         return [sum(1 if w.encode() in whole else rest[w] for w in words) for words in found]
 
     def pieces(self, text: str) -> list[str]:
-        """Parts of a text whose counts add up: cut before single spaces, where a pre-token always begins."""
-        if self.adjacent_space.search(text):
-            return [text]
+        """Parts of a text whose counts add up.
+
+        A pre-token always begins where white space follows something else, and
+        before the last of several white-space characters: the pattern takes
+        the others as one pre-token, and a space only with what follows it.
+        """
+        if self.odd_space.search(text):
+            return self.part.findall(text)
         head, *tail = text.split(" ")
         return [head, *(" " + t for t in tail)]
 
@@ -92,7 +99,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 512, id_col
     """Per document its UTF-8 bytes, its tokens, and whether they are over `limit`.
 
     A null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated
-    rows; a null id stays null; an empty table gives no rows. The vocabulary
+    rows; a null id stays null; an empty table gives no rows; a text or word of
+    any length is counted whole; further columns are not read. The vocabulary
     file (a few MB) is read on the driver and broadcast.
     """
     with open(vocabulary_path, "rb") as f:

@@ -1,7 +1,9 @@
 """Operators 5, 7 and 8 against the tokenizer libraries."""
 
+import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +12,8 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from paperloom.llm import bpe
+from paperloom.llm import bpe, queries
+from paperloom.llm.common import Memo
 from paperloom.llm.sentencepiece_bpe import PieceModel, piece_digests
 from paperloom.llm.sstable import Reader, WordEncoder, filesystem, id_of, key_of, read_shards, token_shards, write_shards
 from paperloom.llm.token_counts import ByteLevelCounter, token_counts
@@ -85,6 +88,60 @@ def test_merges_equal_one_at_a_time():
         assert [flat[e - n : e].tolist() for e, n in zip(ends, lengths, strict=True)] == [sequential(w, ok) for w in words]
 
 
+def test_heap_and_cuts_equal_one_at_a_time(monkeypatch):
+    monkeypatch.setattr(bpe, "CUT", 4)
+    monkeypatch.setattr(bpe, "HEAP", 9)
+    test_merges_equal_one_at_a_time()
+
+
+LONG = {
+    "the": "the" * 20000, "a": "a" * 60000, "base64": base64.b64encode(random.Random(1).randbytes(45000)).decode(), "chinese": "".join(chr(0x4E00 + random.Random(k).randrange(3000)) for k in range(20000)), "signs": "=" * 9000,
+    "letters": "".join(random.Random(k).choice("etaoinshrdlu") for k in range(60000)), "syllables": "".join(random.Random(k).choice(["the", "ing", "tion", "er", "an"]) for k in range(20000)),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_words(name):
+    text = LONG[name]
+    began = time.perf_counter()
+    ids, n = PieceModel(data("piece_bpe_32k.model")).encode(text), ByteLevelCounter(data("byte_bpe_50k.json")).counts([text])
+    assert time.perf_counter() - began < 30
+    assert ids == sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")).encode(text)
+    assert n == [len(Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids)]
+
+
+def test_memo_is_bounded_on_real_white_space():
+    """Paragraphs, lists and trailing newlines share the words' entries; long strings are not kept."""
+    rnd = random.Random(2)
+    texts = ["\n\n".join(" ".join(rnd.choice(["alpha", "beta", "gamma", "1.", "-"]) for _ in range(30)) for _ in range(5)) + rnd.choice(["\n", "", "  ", "\t\n"]) for _ in range(500)] + ["x" * 300 + str(k) for k in range(50)]
+    c, m = ByteLevelCounter(data("byte_bpe_50k.json")), PieceModel(data("piece_bpe_32k.model"))
+    library, pieces = Tokenizer.from_file(P.path("byte_bpe_50k.json")), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    assert c.counts(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert m.digests(texts)["n_tokens"] == [len(pieces.encode(t)) for t in texts]
+    c.counts([]), m.digests([])
+    assert len(c.chunks.table) < 60 and len(m.words.table) < 60 and c.chunks.held == sum(map(len, c.chunks.table))
+    memo = Memo(lambda missing: [len(s) for s in missing], entries=10, chars=50)
+    for k in range(40):
+        assert memo.of([str(k), "y" * k])["y" * k] == k and len(memo.table) <= 12 and memo.held <= 100
+
+
+def test_queries_on_driver_tables(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    text = {r.doc_id: r.text or "" for r in rows}
+    library, pieces, lower = Tokenizer.from_file(P.path("byte_bpe_50k.json")), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op5_token_counts(spark, sf).collect()}
+    assert got == {i: (len(t.encode()), n := len(library.encode(t, add_special_tokens=False).ids), n > 512) for i, t in text.items()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op7_sentencepiece(spark, sf).collect()}
+    assert got == {i: (len(ids := pieces.encode(t)), sha(",".join(map(str, ids)).encode()), sha(pieces.decode(ids).encode())) for i, t in text.items()}
+    start, want = 0, {}
+    for i in sorted(text):
+        ids = [*lower.encode(text[i], add_special_tokens=False).ids, 2]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op8_token_shards(spark, sf).collect()} == want
+
+
 def test_count_queries(spark):
     rows = [(1, "hello world"), (1, "hello world"), (None, "x"), (2, None), (3, "")]
     docs = spark.createDataFrame([(*r, "n") for r in rows], "doc_id bigint, text string, n_tokens string")
