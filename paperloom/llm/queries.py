@@ -83,18 +83,23 @@ OP6_SQL = """
 WITH m AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 calls AS (SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id FROM m WHERE role = 'user'),
 results AS (SELECT conv_id, turn, text, conv_id || ':' || (turn - 1) AS call_id FROM m WHERE role = 'assistant'),
+turns AS (SELECT conv_id, turn, max(coalesce(length(text), 0)) AS n FROM m WHERE role = 'user' GROUP BY conv_id, turn),
+waiting AS (SELECT a.conv_id, a.turn, coalesce(a.n < b.n, false) AS waits FROM turns a LEFT JOIN turns b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2),
+ends AS (
+  SELECT conv_id, turn, min(CASE WHEN NOT waits THEN turn END) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after_turn FROM waiting
+),
 firsts AS (SELECT conv_id, call_id, turn, text FROM results QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, text NULLS FIRST) = 1),
 every AS (
-  SELECT c.conv_id, c.call_id, CASE WHEN f.call_id IS NULL THEN 'pending' ELSE 'linked' END AS status, c.turn AS after_turn,
+  SELECT c.conv_id, c.call_id, CASE WHEN f.call_id IS NULL THEN 'pending' ELSE 'linked' END AS status, e.after_turn, (e.after_turn - c.turn) // 2 AS hop,
          coalesce(length(c.text) > 0, false) AND c.turn >= 0 AS valid,
          CASE WHEN c.text IS NULL THEN '$.text: not string' WHEN length(c.text) = 0 THEN '$.text: too short' ELSE '' END AS problems,
          '{"text":' || coalesce(to_json(c.text)::VARCHAR, 'null') || ',"turn":' || c.turn || '}' AS arguments, '"reply"' AS name, f.text AS content
-  FROM calls c LEFT JOIN firsts f ON f.conv_id = c.conv_id AND f.call_id = c.call_id
+  FROM calls c JOIN ends e ON e.conv_id = c.conv_id AND e.turn = c.turn LEFT JOIN firsts f ON f.conv_id = c.conv_id AND f.call_id = c.call_id
   UNION ALL
-  SELECT f.conv_id, f.call_id, 'orphan', f.turn, false, 'no call', 'null', 'null', f.text
+  SELECT f.conv_id, f.call_id, 'orphan', f.turn, 0, false, 'no call', 'null', 'null', f.text
   FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = f.conv_id AND c.call_id = f.call_id)
 )
-SELECT conv_id, call_id, status, after_turn, 0::BIGINT AS after_k, 0::BIGINT AS hop, false AS cyclic, valid, problems,
+SELECT conv_id, call_id, status, after_turn, 0::BIGINT AS after_k, hop::BIGINT AS hop, false AS cyclic, valid, problems,
        '{"arguments":' || arguments || ',"conversation":' || conv_id || ',"id":"' || call_id || '","name":' || name || ',"result":' ||
        coalesce(to_json(content)::VARCHAR, 'null') || ',"status":"' || status || '","valid":' || valid::VARCHAR || '}' AS line
 FROM every

@@ -1,9 +1,11 @@
 """Operator 6, the pipeline, and the queries' SQL."""
 
 import json
+import random
 
 import duckdb
 import public_tokenizers as P
+import pytest
 import sentencepiece
 
 import __spark_entry__
@@ -20,8 +22,48 @@ def test_schema_problems():
     assert check({"x": 1, "z": 1, "k": "c", "l": ["a"]}) == ["$.k: not in enum", "$.l[0]: too short", "$.z: unknown"] and check([]) == ["$: not object"]
 
 
-def test_linking(spark, monkeypatch):
-    monkeypatch.setattr(tool_calls, "ROUNDS", 8)
+def brute_order(edges, positions):
+    """(key, cyclic) of each call: keys by recursion; what recursion cannot reach is on or behind a cycle."""
+    keys = {}
+    while True:
+        free = [c for c in positions if c not in keys and all(d in keys for d in edges.get(c, ()) if d in positions)]
+        if not free:
+            return {c: (keys[c], False) if c in keys else ((positions[c], 0), True) for c in positions}
+        for c in free:
+            keys[c] = max([(positions[c], 0), *((keys[d][0], keys[d][1] + 1) for d in edges.get(c, ()) if d in positions)])
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_order_against_brute_force(spark, monkeypatch, block):
+    """Long chains of forward references, references over blocks, cycles and what lies behind them."""
+    monkeypatch.setattr(tool_calls, "BLOCK_TURNS", block)
+    rnd = random.Random(block)
+    cases = {1: {k: [k + 1] for k in range(70)}, 2: {k: [rnd.randrange(60) for _ in range(rnd.randrange(3))] for k in range(40)}, 3: {k: [rnd.randrange(k + 1, 40)] if k < 39 and rnd.random() < 0.4 else [max(0, k - 1)] if k else [] for k in range(40)}, 4: {0: [0], 1: [0], 2: [77]}, 6: {k: [k - 1] for k in range(1, 50)}}
+    if block > 100:
+        cases[5] = {k: [k + 1] for k in range(1000)} | {1000: [1200]}
+    rows, want = [], {}
+    for conv, edges in cases.items():
+        positions = {k: k for k in range(max(max(d, default=0) for d in edges.values()) + 1)} if conv != 4 else {0: 0, 1: 1, 2: 2}
+        rows += [(conv, str(k), {"turn": k, "k": 0}, "f", "1", [str(d) for d in edges.get(k, ())]) for k in positions]
+        want |= {(conv, str(k)): (key[0], key[1], bad) for k, (key, bad) in brute_order(edges, positions).items()}
+    calls = spark.createDataFrame(rows, "conv_id bigint, call_id string, position struct<turn:bigint,k:int>, name string, arguments string, depends_on array<string>")
+    got = {(r.conv_id, r.call_id): (r.after.turn, r.hop, r.cyclic) for r in tool_calls.ordered(calls).collect()}
+    assert got == want and not any(bad for (conv, _), (_, _, bad) in want.items() if conv in (1, 5, 6)) and want[4, "1"][2]
+
+
+def test_arguments_that_are_no_json(spark):
+    bad = ["NaN", "[1e400]", "[" * 100000, "{", '{"x": Infinity}', None]
+    odd = ['"\\ud800"', "true", "[1, {}]"]
+    schemas = {"f": {"enum": [1, "\ud800", [1, {}]]}}
+    rows = [(1, str(k), {"turn": k, "k": 0}, "f", a, []) for k, a in enumerate(bad + odd)]
+    calls = spark.createDataFrame(rows, "conv_id bigint, call_id string, position struct<turn:bigint,k:int>, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id bigint, call_id string, position struct<turn:bigint,k:int>, content string")
+    got = {int(r.call_id): r for r in tool_calls.link_tool_calls(calls, results, schemas).collect()}
+    assert [got[k].problems for k in range(5)] == ["$: not JSON"] * 5 and [got[k].valid for k in range(5, 9)] == [False, True, False, True]
+    assert all(json.loads(got[k].line)["arguments"] == bad[k] for k in range(6)) and json.loads(got[6].line)["arguments"] == "\ud800"
+
+
+def test_linking(spark):
     call = lambda i, a, deps=(), name="f": {"id": i, "name": name, "arguments": a, "depends_on": list(deps)}
     messages = [
         (1, 0, "user", "hello"), (1, 1, "assistant", json.dumps({"tool_calls": [call("a", {"x": 1}, ["b"]), call("b", {"x": 2}, ["zzz"])]})), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": "é"})),
