@@ -1,11 +1,14 @@
 """Personal data: four base patterns, and a BiLSTM-CRF tagger that adds what they miss.
 
 Base matches always stay. The tagger is trained on generated lines with known
-spans, also in spellings that the base patterns do not take (no plus sign,
-other separators, spaces in addresses). Its spans are decoded in overlapping
-windows, reconciled over the whole text, and kept where they touch no base span
-and pass the kind's own check (digits, parts up to 255, Luhn). As every such
-span holds a digit or an @, windows without either are not decoded.
+spans, also in spellings that the base patterns do not take (telephone numbers
+without a plus sign, other separators in card numbers, two numbers side by side,
+addresses with [at] and [dot]), and with look-alikes that are none (ISBNs, order
+numbers, dates, versions, amounts). Its emissions in overlapping windows are
+averaged and decoded as one sequence over the text; its spans are kept where
+they touch no base span, stand alone and pass the kind's own check (layout,
+parts up to 255, Luhn). Every span that it may add holds a digit or a sign for
+@, so windows without either are not read.
 """
 
 from __future__ import annotations
@@ -28,9 +31,17 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SIGN = re.compile(r"[0-9@]")
+BASE_SIGN = re.compile(r"[0-9@]")
+SIGN = re.compile(r"[0-9@]|[\[(]at[\])]")
+#: What an added span of each kind looks like as a whole.
+ADDED = {
+    "email": re.compile(r"[\w.%+-]+(?: ?@ ?|\[at\]|\(at\))[\w-]+(?:(?:\.|\[dot\]|\(dot\))[\w-]+)+"),
+    "ip": re.compile(r"[0-9]{1,3}(\.|\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}(?:\1[0-9]{1,3}){2}"),
+    "card": re.compile(r"[0-9]{14,19}|[0-9]{4}([ ./_-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}"),
+    "phone": re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}([. -]))[0-9]{3}[. -][0-9]{4}|00[0-9]{2}(?:[ -]?[0-9]{2,5}){2,5}|\+[0-9][ ().0-9-]+[0-9]"),
+}
 #: Lines of the tagger's training set, a parameter of the operator.
-TRAINING_LINES = 1600
+TRAINING_LINES = 2400
 
 
 def luhn(digits: str) -> bool:
@@ -76,7 +87,7 @@ def _emails(text: str) -> list[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place, end) of the base matches, in order."""
-    if not SIGN.search(text):
+    if not BASE_SIGN.search(text):
         return []
     found = [(a, 0, b) for a, b in _emails(text)]
     for k, (kind, pattern) in enumerate((("ip", IP), ("card", CARD), ("phone", PHONE)), 1):
@@ -84,6 +95,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+#: Words of the generated lines: before numbers that are telephone numbers, and before numbers that are none.
+CALL = ("call", "tel", "tel.", "phone", "phone:", "fax", "mobile", "cell", "dial", "ring", "contact", "Tel:", "Telefon", "hotline", "call us at", "reach me on", "text", "whatsapp", "office", "téléphone")
+NUMBERED = ("ISBN", "isbn", "order", "order no.", "no.", "nr.", "ref", "ref.", "invoice", "ticket", "sku", "part", "item", "serial", "tracking", "lot", "case", "doi", "build", "version", "id", "catalog", "article", "model", "page", "account", "batch", "#", "No", "code")
+
+
 def training_lines(n: int, seed: int = 17) -> tuple[list[str], list[list[tuple[int, int, str]]]]:
     """Generated lines of up to a window with their spans."""
     rnd = random.Random(seed)
@@ -100,42 +116,65 @@ def training_lines(n: int, seed: int = 17) -> tuple[list[str], list[list[tuple[i
         return "".join(rnd.choices("abcdefghijklmnoprstuvwy", k=rnd.randint(2, k)))
 
     def email():
-        local = rnd.choice([name(), f"{name()}.{name()}", f"{name()}.{digits(2)}", f"{name()}_{digits(1)}", f"{name()}+{name()}"])
-        domain = f"{name()}{rnd.choice(['', digits(1), '-' + name()])}.{rnd.choice(['com', 'org', 'net', 'example.com', 'co.uk', 'de', 'io'])}"
-        at = rnd.choice(["@"] * 6 + [" @ ", " @", "@ "])
-        return local + at + domain, "email"
+        local = rnd.choice([name(), f"{name()}.{name()}", f"{name()}.{digits(2)}", f"{name()}_{digits(1)}", f"{name()}+{name()}", f"{name(3)}{digits(3)}"])
+        at, dot = rnd.choice([("@", ".")] * 3 + [(" @ ", "."), ("[at]", "[dot]"), ("(at)", "(dot)"), ("[at]", "."), ("(at)", ".")])
+        domain = f"{name()}{rnd.choice(['', digits(1), '-' + name()])}{dot}{rnd.choice(['com', 'org', 'net', f'example{dot}com', f'co{dot}uk', 'de', 'io'])}"
+        return [("", ""), (local + at + domain, "email")]
 
     def ip():
-        sep = rnd.choice(["."] * 5 + [" . ", ". "])
-        return sep.join(str(rnd.randint(0, 255)) for _ in range(4)), "ip"
+        sep = rnd.choice([".", ".", "[.]", "[.]", "(.)", "[dot]"])
+        return [("", ""), (sep.join(str(rnd.randint(0, 255)) for _ in range(4)), "ip")]
 
-    def card():
-        d = rnd.choice("3456") + digits(rnd.choice([13, 14, 14, 14]))
+    def a_card(sep):
+        d = rnd.choice("3456") + digits(rnd.choice([14, 14, 14, 13, 15]))
         d += next(c for c in "0123456789" if luhn(d + c))
-        sep = rnd.choice(["", "", " ", "-", ".", "/"])
-        return sep.join(d[k : k + 4] for k in range(0, len(d), 4)), "card"
+        return sep.join((d[:4], d[4:8], d[8:12], d[12:]))
+
+    def card():
+        sep = rnd.choice(["", "", "", " ", "-", ".", "/", "_"])
+        return [(a_card(sep), "card")] if rnd.random() < 0.7 else [(a_card(sep), "card"), (a_card(sep), "card")]
+
+    def parts():
+        a, b, c = digits(3), digits(3), digits(4)
+        return rnd.choice([f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{digits(2)} {a} {b} {c}", f"00{digits(2)} {digits(2)} {digits(7)}"])
 
     def phone():
         a, b, c = digits(3), digits(3), digits(4)
-        return rnd.choice([f"+{digits(1)} ({a}) {b}-{c}", f"+{digits(2)} {a} {b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{digits(2)} {a} {b} {c}", f"+{digits(11)}", f"({a}) {b} {c}", f"{a} {b} {c}"]), "phone"
+        if rnd.random() < 0.4:
+            return [(rnd.choice([f"+{digits(1)} ({a}) {b}-{c}", f"+{digits(2)} {a} {b}{c}", f"+{digits(11)}", f"({a}) {b}-{c}", f"({a}) {b} {c}"]), "phone")]
+        return [(rnd.choice(CALL), None), (parts(), "phone")]
+
+    def isbn():
+        return rnd.choice([f"97{rnd.choice('89')}-{digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}", f"97{rnd.choice('89')}-{digits(3)}-{digits(5)}", f"97{rnd.choice('89')}{digits(10)}", f"{digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}", f"97{rnd.choice('89')} {digits(1)} {digits(4)} {digits(4)} {digits(1)}"])
 
     def other():
-        return rnd.choice([
+        kind = rnd.random()
+        if kind < 0.3:
+            return [(rnd.choice(NUMBERED), None), (rnd.choice([parts(), parts(), isbn(), f"{digits(3)}-{digits(4)}-{digits(4)}", digits(rnd.randint(5, 13)), f"{digits(4)}-{digits(6)}", f"{digits(3)}-{digits(7)}"]), None)]
+        if kind < 0.4:
+            return [(rnd.choice([isbn(), f"{digits(3)}-{digits(4)}-{digits(4)}", f"{digits(4)} {digits(4)} {digits(4)}", f"{digits(5)}-{digits(4)}"]), None)]
+        if kind < 0.5:
+            return [(rnd.choice([f"{name()} [at] {digits(2)}", f"@{name()}", f"{name()} (at) {word()}", f"{digits(1)}. {digits(1)}. {digits(1)}. {digits(1)}."]), None)]
+        return [(rnd.choice([
             digits(rnd.randint(1, 6)), f"{rnd.randint(1900, 2030)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(2)},{digits(3)}.{digits(2)}",
-            f"@{name()}", "AKIA" + digits(3) + name().upper() + digits(4), f"{name(3)}{digits(12)}{name(3)}{digits(9)}", f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(3)} | {digits(2)} | {digits(4)}", f"v{digits(1)}.{digits(2)}", f"{digits(1)}%", f"{digits(8)}-{digits(4)}-{name(4)}",
-        ]), None
+            "AKIA" + digits(3) + name().upper() + digits(4), f"{name(3)}{digits(12)}{name(3)}{digits(9)}", f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(3)} | {digits(2)} | {digits(4)}", f"v{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(1)}%",
+            f"{digits(8)}-{digits(4)}-{name(4)}", f"{digits(2)}.{digits(2)}.{rnd.randint(1900, 2030)} {digits(2)}:{digits(2)}", f"${digits(3)},{digits(3)}", f"{digits(3)}-{digits(3)}", f"{digits(4)}-{digits(4)}",
+        ]), None)]
 
     lines, spans = [], []
     for _ in range(n):
-        line, own = "", []
+        line, own = word() if rnd.random() < 0.5 else "", []
+        line += " " if line else ""
         while len(line) < 64:
             r = rnd.random()
-            piece, kind = rnd.choice([email, ip, card, phone])() if r < 0.16 else other() if r < 0.3 else (word(), None)
-            if kind and len(line) + len(piece) > 64:
+            pieces = rnd.choice([email, ip, card, phone, phone])() if r < 0.2 else other() if r < 0.42 else [(word(), None)]
+            pieces = [p for p in pieces if p[0]]
+            if any(kind for _, kind in pieces) and len(line) + sum(len(p) + 1 for p, _ in pieces) > 64:
                 break
-            if kind:
-                own.append((len(line), len(line) + len(piece), kind))
-            line += piece + rnd.choice([" "] * 7 + [", ", ".\n", ". ", ") ", " | ", ": "])
+            for k, (piece, kind) in enumerate(pieces):
+                if kind:
+                    own.append((len(line), len(line) + len(piece), kind))
+                line += piece + (" " if k + 1 < len(pieces) else rnd.choice([" "] * 7 + [", ", ".\n", ". ", ") ", " | ", ": ", "!! "]))
         lines.append(line[:64])
         spans.append(own)
     return lines, spans
@@ -147,12 +186,8 @@ def trained_tagger(lines: int = TRAINING_LINES) -> Tagger:
     return fit(*training_lines(lines), KINDS)
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], tagger: Tagger) -> list[tuple[int, int, int]]:
-    """What the tagger adds to the base spans of a text."""
-    wanted = np.array([m.start() for m in SIGN.finditer(text)], np.int64)
-    if not len(wanted):
-        return []
-    tags = tagger.tag(text, wanted)
+def added_spans(text: str, base: list[tuple[int, int, int]], tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """What a text's tags add to its base spans."""
     inside = np.flatnonzero(tags)
     if not len(inside):
         return []
@@ -164,34 +199,41 @@ def added_spans(text: str, base: list[tuple[int, int, int]], tagger: Tagger) ->
     kind = (tags[inside] - 1) // 2
     new = np.concatenate(([True], (inside[1:] != inside[:-1] + 1) | (kind[1:] != kind[:-1]) | (tags[inside[1:]] % 2 == 1)))
     heads = np.flatnonzero(new)
-    found = []
+    found, floor = [], 0
     for k, to in zip(heads.tolist(), [*heads[1:].tolist(), len(inside)], strict=True):
-        a, b = int(inside[k]), int(inside[to - 1]) + 1
+        a, b, which = int(inside[k]), int(inside[to - 1]) + 1, int(kind[k])
         while b > a and text[b - 1] in " .,-\n(":
             b -= 1
         while a < b and text[a] in " .,-\n)":
             a += 1
-        part, which = text[a:b], int(kind[k])
-        if b <= a or taken[a:b].any() or "\n" in part:
+        if which == 0 and b > a:  # an address goes on over its letters, whatever window they fell into
+            while a > floor and text[a - 1] in LOCAL:
+                a -= 1
+            while b < len(text) and (text[b].isalnum() or text[b] in "-_" or text[b] == "." and text[b + 1 : b + 2].isalnum()):
+                b += 1
+        if b <= a or a < floor or taken[a:b].any() or not _alone(text, a, b):
             continue
-        # a span must be whole: no digit goes on at either side
-        if "0" <= text[a] <= "9" and a and "0" <= text[a - 1] <= "9" or "0" <= part[-1] <= "9" and b < len(text) and "0" <= text[b] <= "9":
-            continue
-        ok = _email_ok(part) if which == 0 else CHECKS[KINDS[which]](part)
-        if ok:
+        if ADDED[KINDS[which]].fullmatch(text, a, b) and (which == 0 or CHECKS[KINDS[which]](text[a:b])):
             found.append((a, which, b))
+            floor = b
     return found
 
 
-def _email_ok(s: str) -> bool:
-    local, _, domain = s.partition("@")
-    return bool(re.fullmatch(r"[\w.%+-]+ ?", local)) and bool(re.fullmatch(r" ?[\w-]+(\.[\w-]+)+", domain))
+def _alone(text: str, a: int, b: int) -> bool:
+    """Whether neither a letter or digit, nor a joined one, goes on at either side."""
+    before, after = text[max(0, a - 2) : a], text[b : b + 2]
+    return not (before[-1:].isalnum() or after[:1].isalnum() or before[-1:] in "-._/+#" and before[:1].isalnum() and len(before) == 2 or after[:1] in "-_/" and after[1:].isalnum() or before[-1:] in "#$")
 
 
-def all_spans(text: str, tagger: Tagger) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The base spans, and all spans, in order."""
-    base = base_spans(text)
-    return base, sorted(base + added_spans(text, base, tagger)) if SIGN.search(text) else base
+def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """Of each text the base spans, and all spans, in order."""
+    base = [base_spans(t) for t in texts]
+    wanted = [np.array([m.start() for m in SIGN.finditer(t)], np.int64) for t in texts]
+    some = [k for k, w in enumerate(wanted) if len(w)]
+    every = list(base)
+    for k, tags in zip(some, tagger.tag_all([texts[k] for k in some], [wanted[k] for k in some]), strict=True):
+        every[k] = sorted(base[k] + added_spans(texts[k], base[k], tags))
+    return list(zip(base, every, strict=True))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -202,16 +244,17 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines:
     """Per document the base matches by kind, their digest, and all spans in code points.
 
     A null text counts as empty; repeated rows give repeated rows; a null id
-    stays null; an empty table gives no rows. The tagger (some thousand numbers)
-    is trained on the driver from `lines` generated lines and broadcast.
+    stays null; an empty table gives no rows; texts of any length are read
+    whole; spans that begin at one place are ordered by kind; further columns
+    are not read. The tagger (some thousand numbers) is trained on the driver
+    from `lines` generated lines and broadcast.
     """
     tagger = docs.sparkSession.sparkContext.broadcast(trained_tagger(lines))
 
     def make():
         def run(texts):
             out = {"n_email": [], "n_ip": [], "n_card": [], "n_phone": [], "base_sha256": [], "spans": []}
-            for t in texts:
-                base, every = all_spans(t, tagger.value)
+            for base, every in all_spans(texts, tagger.value):
                 for k, kind in enumerate(KINDS):
                     out[f"n_{kind}"].append(sum(s[1] == k for s in base))
                 out["base_sha256"].append(hashlib.sha256(_joined(base).encode()).hexdigest())
@@ -234,6 +277,9 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", lines: int = TRAINING_LINES) -> DataFrame:
-    """`docs` with personal data replaced; all rows and columns stay, `length_col` follows changed texts."""
+    """`docs` with personal data replaced; all rows and columns stay, `length_col` follows changed texts.
+
+    Null and empty texts, null ids, repeated rows and further columns stay as they are.
+    """
     tagger = docs.sparkSession.sparkContext.broadcast(trained_tagger(lines))
-    return rewrite_rows(docs, lambda: lambda texts: {"text": [redacted(t, all_spans(t, tagger.value)[1]) for t in texts]}, text_col, length_col)
+    return rewrite_rows(docs, lambda: lambda texts: {"text": [redacted(t, every) for t, (_, every) in zip(texts, all_spans(texts, tagger.value), strict=True)]}, text_col, length_col)

@@ -14,8 +14,9 @@ _CLASS = np.full(0x250, OTHER, np.int64)
 for _k, _c in enumerate(OWN):
     _CLASS[ord(_c)] = _CLASS[ord(_c.upper())] = 3 + _k
 _CLASS[48:58] = DIGIT
+LINE_END = _CLASS[10]
 
-EMBED, HIDDEN, FORBIDDEN = 12, 16, -1e4
+EMBED, HIDDEN, FORBIDDEN = 12, 20, -1e4
 
 
 def classes(text: str) -> np.ndarray:
@@ -25,47 +26,53 @@ def classes(text: str) -> np.ndarray:
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _lstm(x, wx, wh, b):
-    """Hidden states (n, t, h) and what the way back needs."""
-    n, t, _ = x.shape
-    size = wh.shape[0]
-    h, c, out, kept = np.zeros((n, size)), np.zeros((n, size)), np.zeros((n, t, size)), []
-    gates_x = x @ wx + b
+def _lstm(x, wx, wh, b, keep):
+    """Hidden states (time, direction, row, size) of both directions at once, and what the way back needs, if kept.
+
+    x is (time, direction, row, embedding); the second direction has its time reversed.
+    """
+    t, d, n, _ = x.shape
+    size = wh.shape[1]
+    gates = x @ wx + b[:, None]
+    h, c = np.zeros((d, n, size), x.dtype), np.zeros((d, n, size), x.dtype)
+    out = np.empty((t, d, n, size), x.dtype)
+    cells, squashed = (np.empty((t, d, n, size), x.dtype), np.empty((t, d, n, size), x.dtype)) if keep else (None, None)
     for k in range(t):
-        a = gates_x[:, k] + h @ wh
-        i, f, o, g = _sigmoid(a[:, :size]), _sigmoid(a[:, size : 2 * size]), _sigmoid(a[:, 2 * size : 3 * size]), np.tanh(a[:, 3 * size :])
-        before = (h, c)
-        c = f * c + i * g
+        a = gates[k]
+        a += h @ wh
+        a[..., : 3 * size] = _sigmoid(a[..., : 3 * size])
+        g = np.tanh(a[..., 3 * size :], out=a[..., 3 * size :])
+        c = a[..., size : 2 * size] * c + a[..., :size] * g
         th = np.tanh(c)
-        h = o * th
-        out[:, k] = h
-        kept.append((i, f, o, g, th, *before))
-    return out, kept
+        h = np.multiply(a[..., 2 * size : 3 * size], th, out=out[k])
+        if keep:
+            cells[k], squashed[k] = c, th
+    return out, (gates, cells, squashed)
 
 
-def _lstm_back(x, wx, wh, kept, d_out):
-    n, t, size = d_out.shape
-    dx, d_wx, d_wh, d_b = np.zeros_like(x), np.zeros_like(wx), np.zeros_like(wh), np.zeros(4 * size)
-    dh, dc = np.zeros((n, size)), np.zeros((n, size))
+def _lstm_back(x, wx, wh, out, kept, d_out):
+    """Gradients of x, wx, wh and b from those of the hidden states."""
+    gates, cells, squashed = kept
+    t, d, n, size = d_out.shape
+    a = np.empty_like(gates)
+    dh, dc = np.zeros((d, n, size), x.dtype), np.zeros((d, n, size), x.dtype)
+    none = np.zeros((d, n, size), x.dtype)
+    back = wh.transpose(0, 2, 1)
     for k in reversed(range(t)):
-        i, f, o, g, th, h0, c0 = kept[k]
-        dh = dh + d_out[:, k]
-        dc = dc + dh * o * (1 - th**2)
-        a = np.concatenate((dc * g * i * (1 - i), dc * c0 * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - g**2)), 1)
-        d_wx += x[:, k].T @ a
-        d_wh += h0.T @ a
-        d_b += a.sum(0)
-        dx[:, k] = a @ wx.T
-        dh, dc = a @ wh.T, dc * f
-    return dx, d_wx, d_wh, d_b
-
-
-def _logsum(a, axis):
-    top = a.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+        i, f, o, g = (gates[k][..., q * size : (q + 1) * size] for q in range(4))
+        dh = dh + d_out[k]
+        dc = dc + dh * o * (1 - squashed[k] ** 2)
+        a[k, ..., :size] = dc * g * i * (1 - i)
+        a[k, ..., size : 2 * size] = dc * (cells[k - 1] if k else none) * f * (1 - f)
+        a[k, ..., 2 * size : 3 * size] = dh * squashed[k] * o * (1 - o)
+        a[k, ..., 3 * size :] = dc * i * (1 - g**2)
+        dh, dc = a[k] @ back, dc * f
+    d_wx = np.stack([x[:, q].reshape(-1, x.shape[-1]).T @ a[:, q].reshape(-1, 4 * size) for q in range(d)])
+    d_wh = np.stack([out[:-1, q].reshape(-1, size).T @ a[1:, q].reshape(-1, 4 * size) for q in range(d)])
+    return a @ wx.transpose(0, 2, 1), d_wx, d_wh, a.sum((0, 2))
 
 
 @dataclass
@@ -83,99 +90,156 @@ class Tagger:
 
     def emissions(self, x: np.ndarray, keep: bool = False):
         p = self.params
-        e = p["embed"][x]
-        ahead, kept_a = _lstm(e, p["wx0"], p["wh0"], p["b0"])
-        back, kept_b = _lstm(e[:, ::-1], p["wx1"], p["wh1"], p["b1"])
-        both = np.concatenate((ahead, back[:, ::-1]), 2)
+        e = np.stack([p["embed"][x.T], p["embed"][x.T[::-1]]], 1)
+        hidden, kept = _lstm(e, p["wx"], p["wh"], p["b"], keep)
+        both = np.concatenate((hidden[:, 0], hidden[::-1, 1]), 2).transpose(1, 0, 2)
         scores = both @ p["out"] + p["bias"]
-        return (scores, (e, both, kept_a, kept_b)) if keep else scores
+        return (scores, (e, both, hidden, kept)) if keep else scores
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tag sequences, and its gradients."""
         p, (n, t) = self.params, x.shape
-        s, (e, both, kept_a, kept_b) = self.emissions(x, True)
+        s, (e, both, hidden, kept) = self.emissions(x, True)
         trans = p["trans"] + self.allowed()
         first = p["start"] + np.where([tag[0] == "I" for tag in self.tags], FORBIDDEN / 10, 0.0)
-        alpha, beta = np.zeros_like(s), np.zeros_like(s)
-        alpha[:, 0] = first + s[:, 0]
-        for k in range(1, t):
-            alpha[:, k] = _logsum(alpha[:, k - 1, :, None] + trans, 1) + s[:, k]
-        for k in reversed(range(t - 1)):
-            beta[:, k] = _logsum(trans + (s[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
-        z = _logsum(alpha[:, -1], 1)
+        # forward and backward sums as probabilities, scaled at each character
+        top = s.max(2, keepdims=True)
+        scaled, moves, begin = np.exp(s - top), np.exp(trans).astype(s.dtype), np.exp(first).astype(s.dtype)
+        alpha, beta, total = np.empty_like(s), np.ones_like(s), np.empty((n, t), s.dtype)
+        for k in range(t):
+            now = (alpha[:, k - 1] @ moves if k else begin) * scaled[:, k]
+            total[:, k] = now.sum(1)
+            np.divide(now, total[:, k, None], out=alpha[:, k])
+        ahead = np.empty_like(s)
+        for k in reversed(range(1, t)):
+            np.multiply(scaled[:, k], beta[:, k] / total[:, k, None], out=ahead[:, k])
+            beta[:, k - 1] = ahead[:, k] @ moves.T
+        z = np.log(total).sum(1) + top.sum((1, 2))
         rows = np.arange(n)
         gold = first[y[:, 0]] + s[rows[:, None], np.arange(t), y].sum(1) + trans[y[:, :-1], y[:, 1:]].sum(1)
-        d_s = np.exp(alpha + beta - z[:, None, None])
+        d_s = alpha * beta
         d_start = d_s[:, 0].sum(0) - np.bincount(y[:, 0], minlength=len(self.tags))
-        d_trans = np.zeros_like(trans)
-        for k in range(t - 1):
-            d_trans += np.exp(alpha[:, k, :, None] + trans + (s[:, k + 1] + beta[:, k + 1])[:, None, :] - z[:, None, None]).sum(0)
+        d_trans = moves * (alpha[:, :-1].reshape(-1, len(self.tags)).T @ ahead[:, 1:].reshape(-1, len(self.tags)))
         np.subtract.at(d_trans, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
         d_s[rows[:, None], np.arange(t), y] -= 1
         d_both = d_s @ p["out"].T
-        size = p["wh0"].shape[0]
-        de0, wx0, wh0, b0 = _lstm_back(e, p["wx0"], p["wh0"], kept_a, d_both[:, :, :size])
-        de1, wx1, wh1, b1 = _lstm_back(e[:, ::-1], p["wx1"], p["wh1"], kept_b, d_both[:, ::-1, size:])
+        size = p["wh"].shape[1]
+        d_both = d_both.transpose(1, 0, 2)
+        d_out = np.stack([d_both[:, :, :size], d_both[::-1, :, size:]], 1)
+        de, wx, wh, b = _lstm_back(e, p["wx"], p["wh"], hidden, kept, d_out)
         d_embed = np.zeros_like(p["embed"])
-        np.add.at(d_embed, x, de0 + de1[:, ::-1])
-        grads = {"embed": d_embed, "wx0": wx0, "wh0": wh0, "b0": b0, "wx1": wx1, "wh1": wh1, "b1": b1, "out": np.einsum("nti,ntk->ik", both, d_s), "bias": d_s.sum((0, 1)), "trans": d_trans, "start": d_start}
+        np.add.at(d_embed, x.T, de[:, 0] + de[::-1, 1])
+        out = both.reshape(n * t, -1).T @ d_s.reshape(n * t, -1)
+        grads = {"embed": d_embed, "wx": wx, "wh": wh, "b": b, "out": out, "bias": d_s.sum((0, 1)), "trans": d_trans, "start": d_start}
         return float((z - gold).mean()), {k: g / n for k, g in grads.items()}
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each window."""
-        s = self.emissions(x)
-        n, t, k = s.shape
+    def decode(self, runs: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tag sequence of each run of emissions (length, tags)."""
+        order = sorted(range(len(runs)), key=lambda k: -len(runs[k]))
         trans = self.params["trans"] + self.allowed()
-        best, back = self.params["start"] + np.where([tag[0] == "I" for tag in self.tags], FORBIDDEN / 10, 0.0) + s[:, 0], np.zeros((n, t, k), np.int64)
-        for step in range(1, t):
-            both = best[:, :, None] + trans
-            back[:, step] = both.argmax(1)
-            best = both.max(1) + s[:, step]
-        tags = np.zeros((n, t), np.int64)
-        tags[:, -1] = best.argmax(1)
-        for step in reversed(range(1, t)):
-            tags[:, step - 1] = back[np.arange(n), step, tags[:, step]]
-        return tags
+        first = self.params["start"] + np.where([tag[0] == "I" for tag in self.tags], FORBIDDEN / 10, 0.0)
+        out: list = [None] * len(runs)
+        for at in range(0, len(order), 256):
+            part = [k for k in order[at : at + 256] if len(runs[k])]
+            for k in order[at + len(part) : at + 256]:
+                out[k] = np.zeros(0, np.int64)
+            if not part:
+                continue
+            lengths = np.array([len(runs[k]) for k in part])
+            t = int(lengths[0])
+            s = np.zeros((t, len(part), len(self.tags)), np.float32)
+            for row, k in enumerate(part):
+                s[: lengths[row], row] = runs[k]
+            back = np.zeros((t, len(part), len(self.tags)), np.int8)
+            best = first + s[0]
+            for step in range(1, t):
+                live = int(np.searchsorted(-lengths, -step))  # runs that are longer than `step`
+                both = best[:live, :, None] + trans
+                back[step, :live] = both.argmax(1)
+                best[:live] = both.max(1) + s[step, :live]
+            tags = np.zeros((t, len(part)), np.int64)
+            now = best.argmax(1)
+            rows = np.arange(len(part))
+            for step in reversed(range(t)):
+                live = int(np.searchsorted(-lengths, -step))
+                tags[step, :live] = now[:live]
+                now[:live] = back[step, rows[:live], now[:live]]
+            for row, k in enumerate(part):
+                out[k] = tags[: lengths[row], row]
+        return out
 
-    def tag(self, text: str, wanted: np.ndarray, batch: int = 256) -> np.ndarray:
-        """Tags of a whole text from half-overlapping windows; only windows with a wanted character are decoded.
+    def tag_all(self, texts: list[str], wanted: list[np.ndarray], batch: int = 1024) -> list[np.ndarray]:
+        """Tags of whole texts: windows of all texts go through the LSTM together, and each text is decoded as one.
 
-        Each character takes its tag from the window in which it lies farthest
-        from an edge; characters of no decoded window are "O".
+        Half-overlapping windows are read around the wanted characters. A
+        character's emissions are averaged over its windows, weighted by its
+        distance from their edges; then each run of read characters gets one
+        best sequence under the CRF, whatever windows it spans. Characters of
+        no window are "O", and no span goes over the end of a line.
         """
         w, half = self.window, self.window // 2
-        x = classes(text)
-        tags = np.zeros(len(x), np.int64)
-        starts = np.unique(np.maximum(0, np.concatenate((wanted // half - 1, wanted // half)) * half))
-        for k in range(0, len(starts), batch):
-            part = starts[k : k + batch]
-            at = part[:, None] + np.arange(w)
-            found = self.decode(np.where(at < len(x), x[np.minimum(at, len(x) - 1)], PAD))
-            for s, row in zip(part.tolist(), found, strict=True):
-                a, b = (0 if s == 0 else half // 2), min(w - half // 2, len(x) - s)
-                if b > a:
-                    tags[s + a : s + b] = row[a:b]
-                if s + w >= len(x) > s + b:
-                    tags[s + b :] = row[b : len(x) - s]
+        coded = [classes(t) for t in texts]
+        starts = [np.unique(np.maximum(0, np.concatenate((p // half - 1, p // half)) * half)) for p in wanted]
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in starts])
+        begin = np.concatenate([*starts, np.zeros(0, np.int64)]).astype(np.int64)
+        sizes = np.array([len(x) for x in coded], np.int64)
+        offset = np.cumsum(sizes) - sizes
+        flat = np.concatenate([*coded, np.zeros(0, np.int64)])
+        # only characters of windows are kept: windows of a text follow each other in steps of half a window or more
+        fresh = np.concatenate(([True], (owner[1:] != owner[:-1]) | (begin[1:] > begin[:-1] + half))) if len(begin) else np.zeros(0, bool)
+        last = np.minimum(begin + w, sizes[owner])
+        run = np.cumsum(fresh) - 1
+        heads = np.flatnonzero(fresh)
+        run_size = last[np.append(heads[1:], len(begin)) - 1] - begin[heads] if len(heads) else np.zeros(0, np.int64)
+        run_at = np.cumsum(run_size) - run_size
+        place = run_at[run] + begin - begin[heads][run] if len(heads) else begin
+        scores, weights = np.zeros((int(run_size.sum()), len(self.tags)), np.float32), np.zeros(int(run_size.sum()), np.float32)
+        weight = (np.minimum(np.arange(w), np.arange(w)[::-1]) + 1).astype(np.float32)
+        for k in range(0, len(begin), batch):
+            o, b, to = owner[k : k + batch], begin[k : k + batch], last[k : k + batch]
+            at = b[:, None] + np.arange(w)
+            valid = at < to[:, None]
+            x = np.where(valid, flat[np.minimum(offset[o][:, None] + at, len(flat) - 1)], PAD)
+            found = self.emissions(x)
+            spot = place[k : k + batch, None] + np.arange(w)
+            for even in (0, 1):  # windows that do not overlap are added at once
+                rows = np.arange(even, len(b), 2)
+                ok = valid[rows]
+                scores[spot[rows][ok]] += (found[rows] * weight[:, None])[ok]
+                weights[spot[rows][ok]] += np.broadcast_to(weight, ok.shape)[ok]
+        scores /= np.maximum(weights, 1)[:, None]
+        tags = [np.zeros(n, np.int64) for n in sizes.tolist()]
+        runs = []
+        for h, n, at in zip(heads.tolist(), run_size.tolist(), run_at.tolist(), strict=True):
+            part = scores[at : at + n]
+            a = int(offset[owner[h]] + begin[h])
+            part[flat[a : a + n] == LINE_END, 1:] = FORBIDDEN
+            runs.append(part)
+        for h, found in zip(heads.tolist(), self.decode(runs), strict=True):
+            tags[owner[h]][begin[h] : begin[h] + len(found)] = found
         return tags
 
+    def tag(self, text: str, wanted: np.ndarray) -> np.ndarray:
+        """Tags of one text."""
+        return self.tag_all([text], [np.asarray(wanted, np.int64)])[0]
+
 
-def fit(texts: list[str], spans: list[list[tuple[int, int, str]]], kinds: tuple[str, ...], window: int = 64, epochs: int = 24, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Tagger:
+def fit(texts: list[str], spans: list[list[tuple[int, int, str]]], kinds: tuple[str, ...], window: int = 64, epochs: int = 12, batch: int = 96, rate: float = 0.02, seed: int = 5, kind=np.float32) -> Tagger:
     """Train on texts of up to one window with their labelled (start, end, kind) spans, by Adam."""
     tags = ["O", *(f"{b}-{k}" for k in kinds for b in "BI")]
     x, y = np.zeros((len(texts), window), np.int64), np.zeros((len(texts), window), np.int64)
     for n, (t, own) in enumerate(zip(texts, spans, strict=True)):
         c = classes(t[:window])
         x[n, : len(c)] = c
-        for a, b, kind in own:
-            y[n, a : min(b, window)] = tags.index(f"I-{kind}")
+        for a, b, what in own:
+            y[n, a : min(b, window)] = tags.index(f"I-{what}")
             if a < window:
-                y[n, a] = tags.index(f"B-{kind}")
+                y[n, a] = tags.index(f"B-{what}")
     rng = np.random.default_rng(seed)
     g = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     params = {"embed": rng.normal(0, 0.3, (CLASSES, EMBED)), "out": g(2 * HIDDEN, len(tags)), "bias": np.zeros(len(tags)), "trans": np.zeros((len(tags), len(tags))), "start": np.zeros(len(tags))}
-    for d in "01":
-        params |= {f"wx{d}": g(EMBED, 4 * HIDDEN), f"wh{d}": g(HIDDEN, 4 * HIDDEN), f"b{d}": np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)}
+    params |= {"wx": np.stack([g(EMBED, 4 * HIDDEN) for _ in "01"]), "wh": np.stack([g(HIDDEN, 4 * HIDDEN) for _ in "01"]), "b": np.tile(np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN), (2, 1))}
+    params = {k: v.astype(kind) for k, v in params.items()}
     model = Tagger(tags, window, params)
     first, second, step = {k: np.zeros_like(v) for k, v in params.items()}, {k: np.zeros_like(v) for k, v in params.items()}, 0
     for epoch in range(epochs):
@@ -185,8 +249,8 @@ def fit(texts: list[str], spans: list[list[tuple[int, int, str]]], kinds: tuple[
             _, grads = model.gradients(x[order[k : k + batch]], y[order[k : k + batch]])
             norm = np.sqrt(sum((v**2).sum() for v in grads.values()))
             for name, v in grads.items():
-                v = v * min(1.0, 5.0 / (norm + 1e-9))
+                v = (v * min(1.0, 5.0 / (norm + 1e-9))).astype(kind)
                 first[name] = 0.9 * first[name] + 0.1 * v
                 second[name] = 0.99 * second[name] + 0.01 * v**2
-                params[name] -= rate * (1 - 0.9 * epoch / epochs) * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
+                params[name] -= kind(rate) * (1 - 0.9 * epoch / epochs) * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
     return model

@@ -242,6 +242,62 @@ def test_base_pii():
     assert [pii.base_spans(t) for t in texts] == [brute_pii(t) for t in texts]
 
 
+def sentences(n, seed):
+    """Labelled sentences from another generator than the tagger's: English with addresses and numbers, and look-alikes."""
+    rnd = random.Random(seed)
+    d = lambda k: "".join(rnd.choices("0123456789", k=k))
+
+    def card(sep):
+        x = "4" + d(14)
+        x += next(c for c in "0123456789" if pii.luhn(x + c))
+        return sep.join(x[k : k + 4] for k in range(0, 16, 4))
+
+    made = {
+        "phone": lambda: (rnd.choice(["Please call our office at ", "You can phone ", "My new mobile is ", "Send a fax to ", "For help dial "]), rnd.choice([f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"0044 {d(2)} {d(4)} {d(4)}"]), rnd.choice([" before noon", " and ask for Ann", ""])),
+        "email": lambda: (rnd.choice(["Write to ", "Her address is ", "Questions go to "]), rnd.choice(["anna.smith[at]company[dot]com", "sales(at)shop.example.org", "info @ museum.net", f"user{d(2)}[at]mail[dot]example[dot]org"]), rnd.choice([" today", " with your name", ""])),
+        "ip": lambda: (rnd.choice(["The server at ", "Traffic from ", "Block "]), rnd.choice(["[.]", "(.)", "[dot]"]).join(str(rnd.randrange(256)) for _ in range(4)), rnd.choice([" was seen", ""])),
+        "card": lambda: (rnd.choice(["Charge the card ", "Paid with ", "Her visa "]), card(rnd.choice([".", "/", "_"])), rnd.choice([" on Monday", ""])),
+        None: lambda: ("", rnd.choice([
+            f"The book has ISBN 978-{d(3)}-{d(5)} on its back", f"See ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)} there", f"Your order {d(3)}-{d(3)}-{d(4)} has been shipped", f"Invoice no. {d(3)}-{d(3)}-{d(4)} is due on 2024-{d(2)}-{d(2)}", f"Upgrade to version {d(2)}.{d(1)}.{d(3)} now",
+            f"We sold {d(2)},{d(3)} units for ${d(3)},{d(3)}.{d(2)}", f"Pages {d(3)}-{d(3)} and {d(4)}", f"Ticket {d(4)}-{d(6)} was closed at {d(2)}:{d(2)}", f"Look (at) point {d(2)} [at] night", f"Reference {d(3)}.{d(3)}.{d(4)} applies", f"From 1999 to 2024 it grew {d(2)}.{d(1)}%", f"1. {d(1)}. 2. {d(1)}. 3.",
+        ]), ""),
+    }
+    out = []
+    for _ in range(n):
+        text, own = "", []
+        for kind in rnd.choices(list(made), k=rnd.randrange(1, 5)):
+            before, span, after = made[kind]()
+            text += before
+            if kind:
+                own.append((len(text), pii.KINDS.index(kind), len(text) + len(span)))
+            text += span + after + ". "
+        out.append((text, own))
+    return out
+
+
+def test_tagger_on_another_generator():
+    """What the tagger adds is right on sentences it was not trained on: precision 0.95 or more for every kind, and most of the spans are found."""
+    made = sentences(1500, 3)
+    got = pii.all_spans([t for t, _ in made], pii.trained_tagger())
+    right, wrong, there = [0] * 4, [0] * 4, [0] * 4
+    for (_, own), (base, every) in zip(made, got, strict=True):
+        assert set(base) <= set(every)
+        for s in set(every) - set(base):
+            (right if s in own else wrong)[s[1]] += 1
+        for s in set(own) - set(base):
+            there[s[1]] += 1
+    print(right, wrong, there)
+    assert all(r / (r + w) >= 0.95 and r > 100 for r, w in zip(right, wrong, strict=True))
+    assert sum(right) / sum(there) > 0.7
+
+
+def test_nothing_is_added_to_clean_lines():
+    rnd = random.Random(8)
+    d = lambda k: "".join(rnd.choices("0123456789", k=k))
+    lines = [rnd.choice([f"ISBN 978-{d(3)}-{d(5)}", f"isbn: 978-{d(1)}-{d(3)}-{d(5)}-{d(1)} (hardback)", f"order number {d(3)}-{d(7)}-{d(7)}", f"order {d(10)} of {d(2)}.{d(2)}.2024", f"Order no. {d(3)}-{d(3)}-{d(4)}, item {d(6)}", f"released 2023-{d(2)}-{d(2)} as v{d(1)}.{d(2)}.{d(1)}"]) for _ in range(400)]
+    assert all(base == every for base, every in pii.all_spans(lines, pii.trained_tagger()))
+
+
 def test_tagger_learns_and_adds(spark):
     model = pii.trained_tagger()
     lines, spans = pii.training_lines(200, seed=99)
@@ -252,8 +308,9 @@ def test_tagger_learns_and_adds(spark):
             found += 1
             good += tags[a] == f"B-{kind}" and all(t == f"I-{kind}" for t in tags[a + 1 : b])
     assert good / found > 0.8
-    base, every = pii.all_spans("call (415) 555-2671 or joe@site.com", model)
+    (base, every), (none, cards) = pii.all_spans(["call (415) 555-2671 or joe@site.com", "ea 4040549990366437 4572801887383181 the"], model)
     assert base == [(23, 0, 35)] and set(base) < set(every)
+    assert none == [] and cards == [(3, 2, 19), (20, 2, 36)]  # two card numbers side by side are one failing base match
     rows = {r.doc_id: r for r in pii.pii(frame(spark, [(1, None), (2, "mail joe@site.com"), (2, "mail joe@site.com")])).collect()}
     assert rows[1].spans == "" and rows[2].spans == "email:5:17" and rows[2].n_email == 1
     clean = frame(spark, [(1, "mail joe@site.com or +1 (555) 123-4567"), (2, None), (3, "nothing")]).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.lit(0)))
@@ -261,12 +318,43 @@ def test_tagger_learns_and_adds(spark):
     assert back == {1: ("mail [EMAIL] or [PHONE]", 23), 2: (None, 0), 3: ("nothing", 7)}
 
 
+def test_windows_are_reconciled_globally():
+    """A text's tags do not hang on where windows fall or on its neighbours; a long run is one sequence."""
+    model = pii.trained_tagger()
+    text = "call 415-555-2671 today and " * 8 + "x" * 500 + " mail anna.smith[at]company[dot]com now\n7 of 9"
+    wanted = np.array([m.start() for m in pii.SIGN.finditer(text)])
+    alone = model.tag(text, wanted)
+    for other in model.tag_all(["", text, "1" * 3000, text], [np.zeros(0, np.int64), wanted, np.arange(3000), wanted])[1::2]:
+        assert (other == alone).all()
+    assert sum(k == 3 for _, k, _ in pii.all_spans([text], model)[0][1]) == 8
+    runs = [np.random.default_rng(k).normal(0, 2, (n, len(model.tags))).astype(np.float32) for k, n in enumerate((1, 7, 300, 0, 7))]
+    trans = model.params["trans"] + model.allowed()
+    first = model.params["start"] + np.where([t[0] == "I" for t in model.tags], tagger.FORBIDDEN / 10, 0.0)
+    score = lambda s, y: first[y[0]] + s[np.arange(len(y)), y].sum() + trans[y[:-1], y[1:]].sum()
+    rng = np.random.default_rng(9)
+    for s, y in zip(runs, model.decode(runs), strict=True):
+        assert len(y) == len(s)
+        for _ in range(50 if len(s) else 0):
+            z = y.copy()
+            z[rng.integers(len(z))] = rng.integers(len(model.tags))
+            assert score(s, z) <= score(s, y) + 1e-3
+
+
+def test_pii_query_on_driver_tables(spark, sf):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    name = lambda found: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in found)
+    for r in queries.op9_pii(spark, sf).collect():
+        base = brute_pii(docs[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for _, k, _ in base) for j in range(4)]
+        assert r.base_sha256 == hashlib.sha256(name(base).encode()).hexdigest() and set(name(base).split(",")) <= set(r.spans.split(",") + [""])
+
+
 def test_tagger_gradients():
     rng = np.random.default_rng(0)
-    model = tagger.fit(["ab1", "c2"], [[(2, 3, "x")], []], ("x",), window=5, epochs=1)
+    model = tagger.fit(["ab1", "c2"], [[(2, 3, "x")], []], ("x",), window=5, epochs=1, kind=np.float64)
     x, y = rng.integers(0, tagger.CLASSES, (3, 5)), np.array([[0, 1, 2, 0, 0], [0, 0, 0, 0, 1], [1, 2, 2, 0, 1]])
     _, grads = model.gradients(x, y)
-    for name in ("embed", "wx0", "wh1", "out", "start"):
+    for name in ("embed", "wx", "wh", "b", "out", "trans", "start"):
         k = np.unravel_index(np.abs(grads[name]).argmax(), grads[name].shape)
         losses = []
         for step in (1e-5, -1e-5):
