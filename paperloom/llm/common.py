@@ -183,6 +183,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_values(rows: DataFrame, values: DataFrame, key: str, share: int = 10_000) -> DataFrame:
+    """`rows` with the one row of `values` (key, n, ...) for its key, where `n` is the number of rows with that key.
+
+    Keys with over a `share`-th of all rows, fewer than `share` by their
+    definition, go by broadcast, so no key's rows meet in one task; all others
+    have few rows and are shuffled.
+    """
+    limit = max(1000, (values.agg(F.sum("n")).first()[0] or 0) // share)
+    hot = F.broadcast(values.filter(F.col("n") > limit))
+    rest = rows.join(F.broadcast(values.filter(F.col("n") > limit).select(key)), key, "left_anti").join(values.filter(F.col("n") <= limit), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def crc_mod(column, by: int):
     """crc32 of the value as text, modulo `by`."""
     return F.crc32(column.cast("string").cast("binary")) % by

@@ -5,20 +5,24 @@ elementary stream: PES packets of a fixed number of samples with presentation
 time stamps, cut into packets of 188 bytes behind a program association and a
 program map table; each PES packet begins with a random-access point and a
 clock reference. The reader parses the tables, checks sync bytes, table CRCs
-and continuity counters, reassembles the elementary packets, and gives back the
-samples with the time stamps and random-access points.
+and continuity counters, reassembles the elementary packets of every stream of
+every program, and gives back the samples with the time stamps and random-access
+points. Lost packets are counted, not fatal; repeated packets are passed over.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_texts
+from .common import blocks, map_texts
 
 #: Fixed values of the format.
 PACKET, SYNC, PAT_PID, STREAM_ID, PRIVATE_STREAM = 188, 0x47, 0, 0xBD, 0x06
@@ -107,15 +111,17 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What the reader finds."""
+    """What the reader finds of one elementary stream."""
 
-    payload: bytes = b""
     program: int = 0
     pid: int = 0
-    packets: int = 0
+    kind: int = 0
+    payload: bytes = b""
+    packets: int = 0  # of the whole file
     stamps: list[int] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)  # packet numbers in the file
     discontinuities: int = 0
+    damaged: int = 0  # PES packets without a start code, or shorter than they say
 
 
 def _sections(packets: np.ndarray, pid: int, pids: np.ndarray) -> list[bytes]:
@@ -135,81 +141,133 @@ def _sections(packets: np.ndarray, pid: int, pids: np.ndarray) -> list[bytes]:
     return found
 
 
-def demux(media: bytes) -> Stream:
-    """Parse a transport stream of one program with one elementary stream."""
-    if len(media) % PACKET:
-        raise ValueError("not a whole number of packets")
-    packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    if not (packets[:, 0] == SYNC).all():
-        raise ValueError("sync byte lost")
-    pids = (packets[:, 1].astype(np.int32) & 31) << 8 | packets[:, 2]
-    pat = _sections(packets, PAT_PID, pids)[0]
-    program, pmt_pid = next((int.from_bytes(pat[k : k + 2], "big"), int.from_bytes(pat[k + 2 : k + 4], "big") & 0x1FFF) for k in range(8, len(pat) - 4, 4) if pat[k] or pat[k + 1])
-    pmt = _sections(packets, pmt_pid, pids)[0]
-    at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
-    pid = int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
-    own = np.flatnonzero(pids == pid)
+def _tables(packets: np.ndarray, pids: np.ndarray) -> list[tuple[int, int, int]]:
+    """(program, PID, stream type) of all elementary streams, by the association and map tables."""
+    maps, streams = {}, {}
+    for pat in _sections(packets, PAT_PID, pids):
+        for k in range(8, len(pat) - 4, 4):
+            if number := int.from_bytes(pat[k : k + 2], "big"):
+                maps[number] = int.from_bytes(pat[k + 2 : k + 4], "big") & 0x1FFF
+    for number, pid in maps.items():
+        for pmt in _sections(packets, pid, pids):
+            if pmt[0] != 2 or int.from_bytes(pmt[3:5], "big") != number:
+                continue
+            at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
+            while at < len(pmt) - 4:
+                streams[number, int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF] = pmt[at]
+                at += 5 + ((pmt[at + 3] & 15) << 8 | pmt[at + 4])
+    return [(number, pid, kind) for (number, pid), kind in streams.items()]
+
+
+def _stream(packets: np.ndarray, own: np.ndarray, result: Stream) -> Stream:
+    """Fill in one stream from its packets."""
     rows = packets[own]
+    if not len(own):
+        return result
     has_field, has_load = rows[:, 3] & 0x20 > 0, rows[:, 3] & 0x10 > 0
-    counter = rows[:, 3] & 15
-    steps = (counter[1:].astype(np.int16) - counter[:-1]) % 16
-    result = Stream(program=program, pid=int(pid), packets=len(packets), discontinuities=int((steps != has_load[1:]).sum()))
+    counter = rows[:, 3].astype(np.int16) & 15
+    flags = np.where(has_field & (rows[:, 4] > 0), rows[:, 5], 0)
+    # a packet may be sent twice: same counter, same bytes
+    again = np.append(False, (counter[1:] == counter[:-1]) & has_load[1:] & has_load[:-1] & (rows[1:, 188 - 16 :] == rows[:-1, 188 - 16 :]).all(1))
+    again[1:] &= (rows[1:, 1:4] == rows[:-1, 1:4]).all(1)
+    own, rows, has_load, counter, flags, has_field = (x[~again] for x in (own, rows, has_load, counter, flags, has_field))
+    broken = (counter[1:] - counter[:-1]) % 16 != has_load[1:]
+    result.discontinuities = int((broken & (flags[1:] & 0x80 == 0)).sum())
     begin = np.where(has_field, 5 + rows[:, 4].astype(np.int64), 4)
     begin[~has_load] = PACKET
-    flagged = has_field & (rows[:, 4] > 0) & (rows[:, 5] & 0x40 > 0)
-    result.random_access = own[flagged].tolist()
+    begin = np.minimum(begin, PACKET)
+    result.random_access = own[flags & 0x40 > 0].tolist()
     # all payload bytes in order, then the PES packets by where their first packets begin
     load = rows[np.arange(PACKET)[None, :] >= begin[:, None]].tobytes()
     offset = np.concatenate(([0], np.cumsum(PACKET - begin)))
     heads = [*offset[:-1][rows[:, 1] & 0x40 > 0].tolist(), len(load)]
     parts = []
     for a, b in zip(heads, heads[1:], strict=False):
-        if load[a : a + 3] != b"\0\0\1":
-            raise ValueError("a PES packet has no start code")
+        if load[a : a + 3] != b"\0\0\1" or b - a < 9:
+            result.damaged += 1
+            continue
         size = int.from_bytes(load[a + 4 : a + 6], "big")
         end = a + 6 + size if size else b
-        if end > b:
-            raise ValueError("a PES packet is cut short")
+        result.damaged += end > b
         if load[a + 7] & 0x80:
             s = load[a + 9 : a + 14]
             result.stamps.append((s[0] & 14) << 29 | s[1] << 22 | (s[2] & 254) << 14 | s[3] << 7 | s[4] >> 1)
-        parts.append(load[a + 9 + load[a + 8] : end])
+        parts.append(load[a + 9 + load[a + 8] : min(end, b)])
     result.payload = b"".join(parts)
     return result
 
 
-def describe(data: bytes) -> dict:
-    """Store one document's bytes, read them back, and give its row."""
-    media = mux(pad(data))
-    back = demux(media)
-    stamps = back.stamps
-    feature = (
-        f"program={back.program};pid={back.pid};packets={back.packets};pes={len(stamps)};first_pts={stamps[0]};last_pts={stamps[-1]};"
-        f"random_access={','.join(map(str, back.random_access))};discontinuities={back.discontinuities}"
-    )
-    return {
-        "n_bytes": len(data), "payload_bytes": len(back.payload), "payload_sha256": hashlib.sha256(back.payload).hexdigest(), "tail_crc32": zlib.crc32(back.payload[-PAD:]),
-        "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature,
-    }
+def demux(media: bytes) -> list[Stream]:
+    """Parse a transport stream: one entry for each elementary stream of each program."""
+    if len(media) % PACKET:
+        raise ValueError("not a whole number of packets")
+    packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
+    if not (packets[:, 0] == SYNC).all():
+        raise ValueError("sync byte lost")
+    pids = (packets[:, 1].astype(np.int32) & 31) << 8 | packets[:, 2]
+    found = []
+    for program, pid, kind in _tables(packets, pids):
+        found.append(_stream(packets, np.flatnonzero(pids == pid), Stream(program, pid, kind, packets=len(packets))))
+    return found
 
 
-COLUMNS = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document its text as a media column: `n_bytes` and `media`, the transport stream, as binary.
 
+    A null text counts as empty (64 zero bytes of payload); equal texts give
+    equal streams; repeated rows give repeated rows; a null id stays null; an
+    empty table gives no rows; a text of any length is one stream; further
+    columns are not read, and an id named like a column of the result is an
+    error.
+    """
 
-def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document the digests and features of its text kept as a transport stream.
+    def run(texts):
+        raw = [t.encode() for t in texts]
+        return {"n_bytes": [len(r) for r in raw], "media": [mux(pad(r)) for r in raw]}
 
-    A null text counts as empty (64 zero bytes of payload); equal texts give
-    equal values; repeated rows give repeated rows; a null id stays null; an
-    empty table gives no rows. The random-access points of a very long text are
-    all listed.
+    return map_texts(docs, lambda: run, "n_bytes bigint, media binary", id_col, text_col)
+
+
+STREAMS = "program int, pid int, packets bigint, stamps array<bigint>, random_access array<bigint>, discontinuities bigint, damaged bigint, payload binary"
+
+
+def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """`media` with what the first elementary stream of each transport stream holds, next to all its columns but `media_col` itself.
+
+    Adds program, pid, packets, stamps, random_access, discontinuities, damaged,
+    payload, media_bytes and media_sha256; a null stream gives nulls.
     """
+    kept = [c for c in media.columns if c != media_col]
+    added = STREAMS + ", media_bytes bigint, media_sha256 string"
+    made = T.StructType.fromDDL(added)
+    schema = T.StructType([*(media.schema[c] for c in kept), *made])
+    source = media.select(*kept, media_col)
 
-    def make():
-        def run(texts):
-            rows = [describe(t.encode()) for t in texts]
-            return {k.split(" ")[0]: [r[k.split(" ")[0]] for r in rows] for k in COLUMNS.split(", ")}
+    def run(batches):
+        for block in blocks(batches, len(kept)):
+            rows = []
+            for data in block.column(len(kept)).to_pylist():
+                s = (demux(data) or [Stream()])[0] if data is not None else None
+                rows.append(None if s is None else (s.program, s.pid, s.packets, s.stamps, s.random_access, s.discontinuities, s.damaged, s.payload, len(data), hashlib.sha256(data).hexdigest()))
+            columns = [pa.array([None if r is None else r[k] for r in rows], to_arrow_type(f.dataType)) for k, f in enumerate(made)]
+            yield pa.RecordBatch.from_arrays([*block.columns[: len(kept)], *columns], names=[*kept, *made.names])
 
-        return run
+    return source.mapInArrow(run, schema)
 
-    return map_texts(docs, make, COLUMNS, id_col, text_col)
+
+def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document the digests and features of its media column, read back: see `media_column`.
+
+    The random-access points and first and last time stamps stand in `feature`.
+    """
+    read = read_media(media_column(docs, id_col, text_col))
+    parts = {
+        "program": F.col("program"), "pid": F.col("pid"), "packets": F.col("packets"), "pes": F.size("stamps"), "first_pts": F.get("stamps", F.lit(0)), "last_pts": F.try_element_at("stamps", F.lit(-1)),
+        "random_access": F.array_join(F.col("random_access").cast("array<string>"), ","), "discontinuities": F.col("discontinuities"),
+    }
+    feature = F.concat_ws(";", *(F.concat(F.lit(f"{name}="), c.cast("string")) for name, c in parts.items()))
+    payload = F.col("payload")
+    return read.select(
+        id_col, "n_bytes", F.octet_length(payload).cast("bigint").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -PAD, PAD)).alias("tail_crc32"),
+        "media_bytes", "media_sha256", feature.alias("feature"),
+    )

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, map_texts
+from .common import checkpointed, fresh, join_values, map_texts
 from .components import components
 
 BITS, NEAR, SEED, SHINGLE = 64, 3, 42, 3
@@ -66,7 +66,7 @@ def fingerprints_of(texts: list[str], size: int = SHINGLE) -> np.ndarray:
 
 def simhash(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): each row's fingerprint as a signed 64-bit integer; a text without words has 0."""
-    return map_texts(docs, lambda: lambda texts: {"fp": fingerprints_of(texts, size).view(np.int64)}, "fp bigint", id_col, text_col)
+    return map_texts(docs, lambda: lambda texts: {"fp": fingerprints_of(texts, size).view(np.int64)}, "fp bigint", id_col, text_col, "id")
 
 
 def masks(blocks: int, kept: int) -> list[int]:
@@ -153,24 +153,29 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
     A null or wordless text has fingerprint zero, linked like any other;
     repeated rows are rows of one component; a null id is passed over as a
     smallest id unless all ids of a component are null; an empty table gives no
-    rows. Only distinct fingerprints are paired, so exact copies cost nothing.
+    rows; texts of any length are read whole; further columns are not read, and
+    an id named like a column of the result is an error. Only distinct
+    fingerprints are paired, so exact copies cost nothing.
     """
+    if id_col in ("fingerprint", "component_id"):
+        raise ValueError(f"the id column needs another name than {id_col}")
     marked = checkpointed(simhash(docs, size, id_col, text_col))
-    distinct = checkpointed(marked.groupBy("fp").agg(F.min(id_col).alias("first")))
+    distinct = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
     roots = checkpointed(components(fingerprint_links(distinct.select("fp"))))
     members = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = members.groupBy("root").agg(F.min("first").alias("least"))
     named = members.join(least, "root").select("fp", "least")
-    of = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    of = checkpointed(distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return marked.join(of, "fp").select(id_col, digits, "component_id")
+    return join_values(marked, of, "fp").select(F.col("id").alias(id_col), digits, "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each component: that of its smallest id (of equal ids, of the smallest text hash).
 
     Rows without an id are kept. A row that is repeated with id and text stays
-    once. The columns are those of `docs`.
+    once. Null and wordless texts are one component. The columns are those of
+    `docs`, whatever their names; an empty table stays empty.
     """
     names, k, rows = docs.columns, fresh(docs, "__key"), fresh(docs, "__rows")
     key = F.struct(docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("h"))

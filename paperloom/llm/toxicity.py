@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import Memo, crc_mod, map_texts, rewrite_rows
 
-BUCKET_BITS, SIZE, NGRAMS = 18, 8, (3, 4, 5, 6)
+BUCKET_BITS, SIZE, NGRAMS = 18, 4, (3, 4, 5, 6)
 #: Bounds of the training sample: labelled documents of each class, and characters in all.
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 16_000_000
-EPOCHS, RATE, DECAY, PRIOR = 120, 0.05, 1e-3, -5.0
+EPOCHS, BATCHES, RATE, DECAY, PRIOR = 4, 24, 0.05, 1e-3, -5.0
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 
 #: Letters and digits with at least one letter.
@@ -70,68 +70,53 @@ class Model:
         return np.bincount(owner, self.share[bucket], len(words)) / np.bincount(owner, minlength=len(words)) + self.bias
 
 
-def _summed(rows: np.ndarray, which: np.ndarray, starts: np.ndarray, part: int = 1 << 18) -> np.ndarray:
-    """Sums of rows[which] over the groups that begin at `starts`, a part of the groups at a time."""
-    out = np.empty((len(starts), rows.shape[1]), np.float32)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + part)))
-        end = starts[to] if to < len(starts) else len(which)
-        out[at:to] = np.add.reduceat(rows[which[starts[at] : end]], starts[at:to] - starts[at])
-        at = to
-    return out
-
-
 def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
-    """Fit embeddings and softmax jointly (Adam over the whole sample) on words that occur in two documents or more."""
-    bags = [sorted(set(WORD.findall(t.lower()))) for t in texts]
-    seen: dict[str, int] = {}
-    for bag in bags:
-        for w in bag:
-            seen[w] = seen.get(w, 0) + 1
-    words = sorted(w for w, n in seen.items() if n > 1)
-    del seen
-    if not words or len(set(labels)) < 2:
-        return Model(np.zeros(1 << BUCKET_BITS), PRIOR)
-    number = {w: k for k, w in enumerate(words)}
-    own = [np.array([number[w] for w in bag if w in number], np.int32) for bag in bags]
-    doc, word = np.repeat(np.arange(len(bags), dtype=np.int32), [len(o) for o in own]), np.concatenate(own)
-    del bags, number, own
+    """Fit embeddings and softmax jointly, by Adam on minibatches of documents; every word of the sample takes part."""
     y = np.array(labels, float)
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    owner, bucket = subwords(words)
-    used, bucket = np.unique(bucket, return_inverse=True)
-    order = np.argsort(owner, kind="stable")
-    owner, bucket = owner[order].astype(np.int32), bucket[order].astype(np.int32)
-    counts = np.bincount(owner)
-    starts = np.cumsum(counts) - counts
-    back = np.argsort(bucket, kind="stable")
-    back_starts = np.searchsorted(bucket[back], np.arange(len(used)))
-    back_owner = owner[back]
-    del order, back, owner
+    number: dict[str, int] = {}
+    bags = [np.array(sorted({number.setdefault(w, len(number)) for w in WORD.findall(t.lower())}), np.int32) for t in texts]
+    if not number or len(set(labels)) < 2:
+        return Model(np.zeros(1 << BUCKET_BITS), PRIOR)
+    words, counts, buckets = list(number), [], []
+    for k in range(0, len(words), 20_000):
+        owner, bucket = subwords(words[k : k + 20_000])
+        order = np.argsort(owner, kind="stable")
+        counts.append(np.bincount(owner))
+        buckets.append(bucket[order].astype(np.int32))
+    counts, buckets = np.concatenate(counts), np.concatenate(buckets)
+    ends = np.cumsum(counts)
+    del number, words
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
     rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.1, (len(used), SIZE)).astype(np.float32), rng.normal(0, 0.5, (SIZE, 2)), np.array([0.0, PRIOR])]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, EPOCHS + 1):
-        table, out, bias = params
-        mean = _summed(table, bucket, starts) / counts[:, None]
-        z = mean @ out + bias
-        p = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -30, 30)))
-        clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9))[word], len(y))  # log of the chance that no word is toxic
-        some = np.maximum(-np.expm1(clean), 1e-9)
-        pull = weight * np.where(y == 1, -np.exp(clean) / some, 1.0)
-        g = np.bincount(word, pull[doc], len(words)) * p
-        dz = np.stack((-g, g), 1) / len(y)
-        d_mean = (dz @ out.T / counts[:, None]).astype(np.float32)
-        grads = [_summed(d_mean, back_owner, back_starts) + DECAY * table / len(y), mean.T @ dz + DECAY * out / len(y), dz.sum(0)]
-        for k, grad in enumerate(grads):
-            first[k] = 0.9 * first[k] + 0.1 * grad
-            second[k] = 0.99 * second[k] + 0.01 * grad**2
-            params[k] = (params[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(params[k].dtype)
+    params = [rng.normal(0, 0.1, (1 << BUCKET_BITS, SIZE)).astype(np.float32), rng.normal(0, 0.5, (SIZE, 2)).astype(np.float32), np.array([0.0, PRIOR], np.float32)]
+    first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    for _ in range(EPOCHS):
+        for docs in np.array_split(rng.permutation(len(bags)), min(BATCHES, len(bags))):
+            step += 1
+            table, out, bias = params
+            word, inverse = np.unique(np.concatenate([bags[k] for k in docs.tolist()]), return_inverse=True)
+            if not len(word):
+                continue
+            doc = np.repeat(np.arange(len(docs)), [len(bags[k]) for k in docs.tolist()])
+            n = counts[word]
+            heads = np.cumsum(n) - n
+            entry = buckets[np.repeat(ends[word] - n - heads, n) + np.arange(n.sum())]
+            mean = np.add.reduceat(table[entry], heads) / n[:, None].astype(np.float32)
+            z = mean @ out + bias
+            p = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -30, 30)))
+            clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-6))[inverse], len(docs))  # log of the chance that no word is toxic
+            some = np.maximum(-np.expm1(clean), 1e-9)
+            pull = weight[docs] * np.where(y[docs] == 1, -np.exp(clean) / some, 1.0)
+            g = np.bincount(inverse, pull[doc], len(word)) * p
+            dz = (np.stack((-g, g), 1) / len(docs)).astype(np.float32)
+            each = np.repeat(dz @ out.T / n[:, None], n, 0)
+            grad = np.stack([np.bincount(entry, each[:, k], 1 << BUCKET_BITS) for k in range(SIZE)], 1).astype(np.float32)
+            for k, d in enumerate((grad + DECAY * table / len(y), mean.T @ dz + DECAY * out / len(y), dz.sum(0))):
+                first[k] += 0.1 * (d - first[k])
+                second[k] += 0.01 * (d * d - second[k])
+                params[k] = params[k] - np.float32(RATE / (1 - 0.9**step)) * first[k] / (np.sqrt(second[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
     table, out, bias = params
-    share = np.zeros(1 << BUCKET_BITS)
-    share[used] = table @ (out[:, 1] - out[:, 0])
-    return Model(share, float(bias[1] - bias[0]))
+    return Model((table @ (out[:, 1] - out[:, 0])).astype(float), float(bias[1] - bias[0]))
 
 
 class Scorer:
@@ -157,8 +142,9 @@ class Scorer:
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
     """Texts and labels of at most `limit` held-in documents of each class and about `chars` characters, by a hash of their ids.
 
-    Only ids and labels are read to choose them; their count bounds what is
-    broadcast and collected.
+    Of an id's several texts the one of the least hash is taken. Only ids and
+    labels are read to choose; their count bounds what is broadcast and
+    collected.
     """
     own = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_mod(F.col(id_col), FOLDS) != HELD_OUT))
     known = own.groupBy(id_col).agg(F.max(label_col).alias("y")).join(docs.select(id_col).distinct(), id_col, "left_semi")
@@ -167,7 +153,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(order, id_col).limit(limit)
         chosen = part if chosen is None else chosen.unionByName(part)
-    found = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).dropDuplicates([id_col]).orderBy(order, id_col)
+    own_text = F.min(F.struct(F.xxhash64(text_col), F.col(text_col).alias("text"))).alias("one")
+    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(own_text, F.first("y").alias("y")).select(id_col, "one.text", "y").orderBy(order, id_col)
     texts, ys, size = [], [], 0
     for row in found.toLocalIterator():
         texts.append(row.text or "")
@@ -190,7 +177,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     other than 0 and 1 and labels of unknown ids are passed over; an id labelled
     twice counts as toxic if once so; without labels of both classes every score
     is low. Null and empty texts have score 0; a null id is not held out;
-    repeated rows give repeated rows; an empty table gives no rows.
+    repeated rows give repeated rows; an empty table gives no rows; a text of
+    any length is read whole; of equally toxic words it does not matter which
+    counts; further columns are not read.
     """
     make = _scorer(docs, labels, id_col, text_col, label_col)
 
@@ -204,7 +193,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without the rows whose score reaches the threshold; no shuffle of texts."""
+    """`docs` without the rows whose score reaches the threshold; no shuffle of texts.
+
+    Rows with null or empty texts stay; repeated rows fare alike; further columns stay, whatever their names.
+    """
     make = _scorer(docs, labels, id_col, text_col, label_col)
 
     def keep():

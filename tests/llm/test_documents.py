@@ -1,6 +1,7 @@
 """Operators 1, 3, 4, 9 and 10 against brute force; 2 on held-out documents."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from paperloom.llm import components, decontaminate, mpegts, pii, queries, secret_scan, simhash, tagger, toxicity
+from paperloom.llm import common, components, decontaminate, mpegts, pii, queries, secret_scan, simhash, tagger, toxicity
 
 DOCS = "doc_id bigint, text string, score string"
 
@@ -115,23 +116,75 @@ def test_decontamination_query_on_driver_tables(spark, sf):
     assert {r.doc_id: tuple(r)[1:] for r in queries.op1_decontamination(spark, sf).collect()} == want
 
 
+def naive_reader(media):
+    """(program, PID, payload, stamps, random-access packets) of a stream of one program, one bit field at a time as the standard words them."""
+    bits = lambda data, at, n: int("".join(f"{x:08b}" for x in data)[at : at + n], 2)
+    programs, streams, loads, access, pes = {}, {}, {}, [], []
+    for number in range(len(media) // 188):
+        p = media[number * 188 : (number + 1) * 188]
+        assert bits(p, 0, 8) == 0x47
+        start, pid, control = bits(p, 9, 1), bits(p, 11, 13), bits(p, 26, 2)
+        at = 4
+        if control in (2, 3):
+            if p[4] and bits(p, 41, 1):
+                access.append(number)
+            at = 5 + p[4]
+        load = p[at:] if control in (1, 3) else b""
+        if pid == 0:
+            section = load[1 + load[0] :]
+            programs = {bits(section, k * 8, 16): bits(section, k * 8 + 19, 13) for k in range(8, 3 + bits(section, 12, 12) - 4, 4)}
+        elif pid in programs.values():
+            section = load[1 + load[0] :]
+            streams[bits(section, (12 + bits(section, 84, 12)) * 8 + 11, 13)] = bits(section, 24, 16)
+        elif pid in streams:
+            if start:
+                pes.append(b"")
+            pes[-1] += load
+    stamps, payload = [], b""
+    for x in pes:
+        assert x[:3] == b"\0\0\1" and bits(x, 32, 16) == len(x) - 6
+        stamps.append(bits(x, 76, 3) << 30 | bits(x, 80, 15) << 15 | bits(x, 96, 15))
+        payload += x[9 + x[8] :]
+    ((pid, program),) = streams.items()
+    return program, pid, payload, stamps, access
+
+
 def test_transport_stream():
     rnd = random.Random(1)
     for size in [0, 1, 63, 64, 65, 150, 161, 162, 163, 164, 165, 170, 183, 184, 185, 16383, 16384, 16385, 50000]:
         raw = bytes(rnd.randrange(256) for _ in range(size))
         media = mpegts.mux(mpegts.pad(raw))
-        back = mpegts.demux(media)
-        assert back.payload == mpegts.pad(raw) and back.discontinuities == 0 and back.program == mpegts.PROGRAM
+        (back,) = mpegts.demux(media)
+        assert back.payload == mpegts.pad(raw) and back.discontinuities == back.damaged == 0 and back.program == mpegts.PROGRAM
         assert back.stamps == [k * mpegts.PES_SAMPLES * mpegts.TICKS for k in range(len(back.stamps))] and len(back.random_access) == len(back.stamps)
-    lost = media[: 188 * 20] + media[188 * 21 :]
-    try:
-        assert mpegts.demux(lost).discontinuities == 1
-    except ValueError as e:
-        assert "cut short" in str(e)
+        assert naive_reader(media) == (back.program, back.pid, back.payload, back.stamps, back.random_access)
+    cut = lambda a, b: media[: 188 * a] + media[188 * b :]
+    (lost,) = mpegts.demux(cut(20, 21))
+    assert (lost.discontinuities, lost.damaged, len(back.payload) - len(lost.payload)) == (1, 1, 184)
+    (twice,) = mpegts.demux(media[: 188 * 20] + media[188 * 19 :])
+    assert (twice.payload, twice.discontinuities) == (back.payload, 0)
+    told = bytearray(media)
+    at = 188 * back.random_access[1]
+    told[at + 5] |= 0x80
+    for k in range(at, len(told), 188):
+        told[k + 3] = told[k + 3] & 0xF0 | (told[k + 3] + 5) & 15
+    assert mpegts.demux(bytes(told))[0].discontinuities == 0
     broken = bytearray(media)
     broken[10] ^= 1
     with pytest.raises(ValueError, match="CRC"):
         mpegts.demux(bytes(broken))
+    with pytest.raises(ValueError, match="sync"):
+        mpegts.demux(b"\0" * 188)
+
+
+def test_streams_of_two_programs():
+    pat = mpegts._table_packet(0, mpegts._section(0, 1, b"".join(n.to_bytes(2, "big") + (0xE000 | pid).to_bytes(2, "big") for n, pid in ((0, 0x10), (1, 0x100), (2, 0x200)))))
+    entry = lambda kind, pid: bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\0"
+    pmts = mpegts._table_packet(0x100, mpegts._section(2, 1, b"\xe1\x01\xf0\0" + entry(6, 0x101))) + mpegts._table_packet(0x200, mpegts._section(2, 2, b"\xe2\x01\xf0\0" + entry(6, 0x201) + entry(15, 0x202)))
+    packets = mpegts.mux(b"x" * 300)[2 * 188 :]
+    moved = b"".join(packets[k : k + 1] + bytes([packets[k + 1] & 0xE0 | 2, 1]) + packets[k + 3 : k + 188] for k in range(0, len(packets), 188))
+    found = {(s.program, s.pid): (s.kind, s.payload) for s in mpegts.demux(pat + pmts + packets + moved)}
+    assert found == {(1, 0x101): (6, b"x" * 300), (2, 0x201): (6, b"x" * 300), (2, 0x202): (15, b"")}
 
 
 def test_media_query(spark):
@@ -139,6 +192,23 @@ def test_media_query(spark):
     zeros = hashlib.sha256(bytes(64)).hexdigest()
     assert (rows[1].n_bytes, rows[1].payload_bytes, rows[1].payload_sha256, rows[1].tail_crc32) == (0, 64, zeros, zlib.crc32(bytes(64)))
     assert rows[1].media_sha256 == rows[2].media_sha256 and rows[3].payload_bytes == 128
+    kept = mpegts.media_column(frame(spark, [(1, "a" * 40000), (None, None), (1, "a" * 40000)]))
+    read = mpegts.read_media(kept.withColumn("pid_of", F.lit(7))).collect()
+    assert sorted(len(r.stamps) for r in read) == [1, 3, 3] and {r.pid_of for r in read} == {7} and len({r.media_sha256 for r in read}) == 2
+    assert mpegts.read_media(kept.select("doc_id", F.lit(None).cast("binary").alias("media"))).filter("payload IS NOT NULL").count() == 0
+    assert mpegts.media_features(frame(spark, []).limit(0)).count() == 0
+
+
+def test_media_query_on_driver_tables(spark, sf):
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    media = {r.doc_id: bytes(r.media) for r in mpegts.media_column(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    for r in queries.op3_media_columns(spark, sf).collect():
+        payload = text[r.doc_id].encode() + bytes(-len(text[r.doc_id].encode()) % 64 or (64 if not text[r.doc_id] else 0))
+        program, pid, read, stamps, access = naive_reader(media[r.doc_id])
+        assert read == payload and stamps[-1] < 1 << 33
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text[r.doc_id].encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media[r.doc_id]), hashlib.sha256(media[r.doc_id]).hexdigest())
+        assert r.feature == f"program={program};pid={pid};packets={r.media_bytes // 188};pes={len(stamps)};first_pts={stamps[0]};last_pts={stamps[-1]};random_access={','.join(map(str, access))};discontinuities=0"
 
 
 def brute_fingerprint(t):
@@ -183,6 +253,27 @@ def test_near_duplicates(spark):
     kept = simhash.one_of_each(frame(spark, [*rows, rows[0], rows[0], (None, "null id")]))
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(brute_components(fps))) and kept.filter("doc_id IS NULL").count() == 1
     assert kept.columns == ["doc_id", "text", "score"] and simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
+    other = simhash.near_duplicates(frame(spark, rows).withColumnRenamed("doc_id", "fp"), id_col="fp")
+    assert {r.fp: (r.fingerprint, r.component_id) for r in other.collect()} == got
+    with pytest.raises(ValueError, match="another name"):
+        simhash.near_duplicates(frame(spark, rows).withColumnRenamed("doc_id", "fingerprint"), id_col="fingerprint")
+
+
+def test_near_duplicate_query_on_driver_tables(spark, sf):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    fps = [brute_fingerprint(t) for _, t in docs]
+    want = {i: (f"{fp:016x}", docs[c][0]) for (i, _), fp, c in zip(docs, fps, brute_components(fps), strict=True)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op4_simhash(spark, sf).collect()} == want
+
+
+def test_values_of_hot_keys(spark):
+    """A key with most of the rows goes by broadcast, all others by shuffle, and no row is lost."""
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 99, k) for k in range(9000)], "k int, v int")
+    values = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"))
+    got = common.join_values(rows, values, "k", share=5)
+    assert sorted((r.v, r.least) for r in got.collect()) == sorted((r.v, r.least) for r in rows.join(values, "k").collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan
 
 
 def test_dense_fingerprints(spark):
@@ -382,11 +473,37 @@ def test_secrets(spark):
     shared, own = "AKIA" + "A" * 16, "AKIA" + "B" * 16
     rows = [(1, f"x {shared}", "a"), (2, f"{shared} {own}", "b"), (2, f"{shared} {own}", "b"), (3, None, "c"), (None, f"{own}", None), (4, "plain", "a")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got = sorted(((r.doc_id or 0), r.n_access, r.n_live, r.n_copied) for r in secret_scan.scan_secrets(docs).collect())
-    assert got == [(0, 1, 0, 1), (1, 1, 0, 1), (2, 2, 0, 2), (2, 2, 0, 2), (3, 0, 0, 0), (4, 0, 0, 0)]
+    out = secret_scan.scan_secrets(docs).collect()
+    assert sorted(((r.doc_id or 0), r.n_access, r.n_live, r.n_copied) for r in out) == [(0, 1, 0, 1), (1, 1, 0, 1), (2, 2, 0, 2), (2, 2, 0, 2), (3, 0, 0, 0), (4, 0, 0, 0)]
+    assert [tuple(f) for f in next(r for r in out if r.doc_id == 2).findings] == [("access:0:20", 2, 2, "copied"), ("access:21:41", 2, 2, "copied")]
+    # one owner: live in up to five repositories, a copied example beyond
+    rows = [(k, f"{shared if k < 5 else own}", "a") for k in range(11)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r.doc_id: (r.findings[0].repositories, r.findings[0].verdict, r.n_live) for r in secret_scan.scan_secrets(docs).collect()} == {k: (5, "live", 1) if k < 5 else (6, "copied", 0) for k in range(11)}
     assert secret_scan.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_secret_query_on_driver_tables(spark, sf):
+    """Spans and ownership against a count in plain Python, on the least table that holds secrets."""
+    sf = f"{os.path.dirname(sf)}/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    holders = {}
+    for i, r in docs.items():
+        for f in secret_scan.find_secrets(r.text or ""):
+            holders.setdefault(f[3], (set(), set()))
+            holders[f[3]][0].add(i)
+            holders[f[3]][1].add(r.source)
+    some = 0
+    for r in queries.op10_secret_scan(spark, sf).collect():
+        spans = brute_secrets(docs[r.doc_id].text or "")
+        assert r.spans == ",".join(spans) and r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+        values = [f[3] for f in secret_scan.find_secrets(docs[r.doc_id].text or "")]
+        want = [(s, len(holders[v][0]), len(holders[v][1]), "live" if len(holders[v][1]) <= 1 and len(holders[v][0]) <= 5 else "copied") for s, v in zip(spans, values, strict=True)]
+        assert [tuple(f) for f in r.findings] == want
+        some += len(want)
+    assert some
+
+
 def test_toxicity_held_out(spark, sf):
     rnd = random.Random(8)
     clean, bad = [f"{a}{b}" for a in "bcdfglmnprst" for b in ("ana", "ore", "ith", "ust", "elm")], ["grumb", "zlork"]
@@ -407,5 +524,9 @@ def test_toxicity_held_out(spark, sf):
     assert sum(p == y for p, y in held) / len(held) > 0.95
     kept = toxicity.without_toxic(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
     assert kept.columns == ["doc_id", "text", "score"] and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
+    # an id with several texts is sampled by the least hash, whatever the order of its rows
+    again = frame(spark, [(0, "other text"), *rows[:50], (0, "a third")])
+    sampled = [toxicity.training_sample(again.orderBy(F.desc("text") if k else F.asc("text")).repartition(3 + k), spark.createDataFrame(labels, "doc_id bigint, toxic int"), "doc_id", "text", "toxic") for k in range(2)]
+    assert sampled[0] == sampled[1] and len(sampled[0][0]) == len({k for k in range(50) if zlib.crc32(str(k).encode()) % 4 != 2})
     none = toxicity.toxicity(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert none.filter("predicted = 1").count() == 0 and toxicity.toxicity(docs.limit(0), spark.createDataFrame(labels, "doc_id bigint, toxic int")).count() == 0
