@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import insort
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
 
+try:
+    import ahocorasick
+except ModuleNotFoundError:  # keywords are then looked for one by one
+    ahocorasick = None
+
 # Fixed values.
 CANDIDATES, RESULTS, KEYWORD_LIMIT = 25, 8, 10
 DETAILED_CANDIDATES, DETAILED_RESULTS = 35, 10
-#: Query vectors that one broadcast block holds.
-QUERY_BLOCK = 4096
+#: Query vectors, and questions' keywords, that one broadcast block holds.
+QUERY_BLOCK, KEYWORD_BLOCK = 4096, 200_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -34,73 +41,214 @@ def top(df: DataFrame, per: str, k: int, *order: Column, name: str = "rank") ->
     return df.withColumn(name, F.row_number().over(Window.partitionBy(per).orderBy(*order))).filter(F.col(name) <= k)
 
 
-def vector_search(queries: DataFrame, store: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """JN01/TK01: for queries (qid, company_document_id, revision_number, vector) the k nearest chunks of their document's revision."""
-    both = queries.join(store, ["company_document_id", "revision_number"])
-    scored = both.select("qid", "chunk_id", rounded(cosine(F.col("vector"), F.col("embedding"))).alias("score"))
-    return top(scored, "qid", k, F.desc("score"), F.col("chunk_id"))
+IDENTITY = ("company_document_id", "revision_number")
 
 
-def global_search(queries: DataFrame, store: DataFrame, k: int = 5) -> DataFrame:
-    """TK02: for queries (qid, vector) the k nearest chunks of the whole store.
+def _blocks(rows: DataFrame, weigh: Callable[[Row], int], limit: int) -> Iterator[list[Row]]:
+    """The rows of a stated query set in blocks of about `limit` weight; the driver holds one at a time."""
+    block, size = [], 0
+    for row in rows.toLocalIterator():
+        block.append(row)
+        size += weigh(row)
+        if size >= limit:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def _nearest(queries: DataFrame, store: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
+    """For queries (qid, keys, vector) the k nearest chunks among those with the same keys.
 
-    The query set is taken in blocks of at most QUERY_BLOCK vectors; each task
-    multiplies its chunks with a block and passes on its own k best of each
-    query, so the shuffle carries k rows per query and task at most.
+    The query set is taken in blocks of at most QUERY_BLOCK vectors, each
+    normalised once and broadcast; each task multiplies its chunks with the
+    block and passes on its own k best of each query, so no pair is shuffled.
+    Vectors that are null have no neighbours.
     """
-    k = max(1, min(k, 20))
-    sc, found, block = store.sparkSession.sparkContext, None, []
+    spark, found = store.sparkSession, None
+    source = store.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding", *keys)
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
     def search(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, matrix = held.value
             for batch in batches:
-                rows = np.array(batch.column(1).to_pylist(), np.float64)
-                if not len(rows):
+                if not batch.num_rows:
                     continue
-                rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-                sims = np.round(matrix @ rows.T, 6)
+                rows = unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
                 ids = np.array(batch.column(0).to_pylist(), object)
-                by_id = np.argsort(ids, kind="stable")
-                best = by_id[np.argsort(-sims[:, by_id], axis=1, kind="stable")[:, :k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, best.shape[1])), pa.array(ids[best.ravel()].tolist(), pa.string()), pa.array(np.take_along_axis(sims, best, 1).ravel())], names=["qid", "chunk_id", "score"])
-
-        return store.select("chunk_id", "embedding").mapInArrow(run, "qid bigint, chunk_id string, score double")
-
-    def put():
-        nonlocal found, block
-        if block:
-            m = np.array([b[1] for b in block], np.float64)
-            part = search(sc.broadcast((np.array([b[0] for b in block], np.int64), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))))
-            found, block = part if found is None else found.unionByName(part), []
-
-    for row in queries.select("qid", "vector").toLocalIterator():
-        block.append((row.qid, row.vector))
-        if len(block) == QUERY_BLOCK:
-            put()
-    put()
+                groups: dict[tuple, list[int]] = {}
+                for n, key in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True) if keys else [()] * batch.num_rows):
+                    groups.setdefault(key, []).append(n)
+                for key, at in groups.items():
+                    if key not in held.value:
+                        continue
+                    qids, matrix = held.value[key]
+                    by_id = np.array(at)[np.argsort(ids[at], kind="stable")]
+                    sims = np.round(matrix @ rows[by_id].T, 6)
+                    best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, best.shape[1])), pa.array(ids[by_id[best.ravel()]].tolist(), pa.string()), pa.array(np.take_along_axis(sims, best, 1).ravel())], names=["qid", "chunk_id", "score"])
+
+        return source.mapInArrow(run, "qid bigint, chunk_id string, score double")
+
+    for block in _blocks(queries.filter(F.col("vector").isNotNull()).select("qid", "vector", *keys), lambda row: 1, QUERY_BLOCK):
+        groups: dict[tuple, list] = {}
+        for row in block:
+            groups.setdefault(tuple(row[2:]), []).append(row)
+        made = {key: (np.array([r.qid for r in rows], np.int64), unit(np.array([r.vector for r in rows], np.float64))) for key, rows in groups.items() if None not in key}
+        part = search(spark.sparkContext.broadcast(made))
+        found = part if found is None else found.unionByName(part)
     if found is None:
-        return store.sparkSession.createDataFrame([], "qid bigint, chunk_id string, score decimal(12,6), rank int")
+        return spark.createDataFrame([], "qid bigint, chunk_id string, score decimal(12,6), rank int")
     return top(found.withColumn("score", F.col("score").cast("decimal(12,6)")), "qid", k, F.desc("score"), F.col("chunk_id"))
 
 
+def vector_search(queries: DataFrame, store: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """JN01/TK01: for queries (qid, company_document_id, revision_number, vector) the k nearest chunks of their document's revision."""
+    return _nearest(queries, store, k, IDENTITY)
+
+
+def global_search(queries: DataFrame, store: DataFrame, k: int = 5) -> DataFrame:
+    """TK02: for queries (qid, vector) the k nearest chunks of the whole store."""
+    return _nearest(queries, store, max(1, min(k, 20)), ())
+
+
+class Keywords:
+    """The keywords of one document's questions, and which questions have each."""
+
+    def __init__(self, postings: dict[str, list[int]]):
+        self.words = list(postings)
+        self.asking = [np.array(n, np.int64) for n in postings.values()]
+        self.everyone = np.unique(np.concatenate(self.asking))
+        self.machine = None
+
+    def asked_by(self, body: str) -> np.ndarray:
+        """The questions of which the text contains a keyword; one pass over the text if the automaton library is there."""
+        if ahocorasick is None:
+            found = [n for w, n in zip(self.words, self.asking, strict=True) if w in body]
+        else:
+            if self.machine is None:
+                self.machine = ahocorasick.Automaton()
+                for k, w in enumerate(self.words):
+                    self.machine.add_word(w, k)
+                self.machine.make_automaton()
+            found = [self.asking[k] for k in {k for _, k in self.machine.iter(body)}]
+        return np.unique(np.concatenate(found)) if found else self.everyone[:0]
+
+
+def _asked(questions: DataFrame) -> DataFrame:
+    """FL03: the questions with identity and keywords."""
+    keyed = questions.withColumn("keywords", X.extract_keywords(F.col("question")))
+    return keyed.filter(F.col("company_document_id").isNotNull() & F.col("revision_number").isNotNull() & (F.size("keywords") > 0)).select("qid", *IDENTITY, "keywords")
+
+
+def _scanned(questions: DataFrame, store: DataFrame, fold: Callable, schema: str) -> DataFrame | None:
+    """Each chunk scanned once for the keywords of all questions about its document, with what `fold` makes of a task's hits.
+
+    The query set is taken in blocks of about KEYWORD_BLOCK keywords, each
+    broadcast; `fold(qids)` gives an object with `want(numbers, n)`,
+    `add(numbers, chunk_id, n, h)` and `rows()`. None without questions.
+    """
+    spark, found = store.sparkSession, None
+    # length and hash are taken once per chunk; shorter chunks of a batch come first, as they fill the limits
+    body = store.select(*IDENTITY, "chunk_id", F.lower("content").alias("body"), F.length("content").cast("bigint").alias("n"), F.md5("content").alias("h")).filter("body IS NOT NULL")
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def search(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, documents = held.value
+            hits, made = fold(qids), {}
+            for batch in batches:
+                document, revision, chunk, text, n, h = (c.to_pylist() for c in batch.columns)
+                for k in np.argsort(np.array(n, np.int64), kind="stable").tolist():
+                    key = document[k], revision[k]
+                    if key not in documents:
+                        continue
+                    if key not in made:
+                        made[key] = Keywords(documents[key])
+                    if hits.want(made[key].everyone, n[k]).any():
+                        numbers = made[key].asked_by(text[k])
+                        hits.add(numbers[hits.want(numbers, n[k])], chunk[k], n[k], h[k])
+            rows = hits.rows()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+
+        return body.mapInArrow(run, schema)
+
+    for block in _blocks(_asked(questions), lambda row: len(row.keywords), KEYWORD_BLOCK):
+        documents: dict[tuple, dict[str, list[int]]] = {}
+        for number, row in enumerate(block):
+            words = documents.setdefault((row.company_document_id, row.revision_number), {})
+            for w in row.keywords:
+                words.setdefault(w, []).append(number)
+        part = search(spark.sparkContext.broadcast(([row.qid for row in block], documents)))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+class Shortest:
+    """A task's shortest hits of each question, at most `limit`."""
+
+    def __init__(self, qids: list[int], limit: int):
+        self.qids, self.limit = qids, limit
+        self.best: dict[int, list] = {}
+        self.bound = np.full(len(qids), np.iinfo(np.int64).max)
+
+    def want(self, numbers: np.ndarray, n: int) -> np.ndarray:
+        return self.bound[numbers] >= n
+
+    def add(self, numbers: np.ndarray, chunk_id: str, n: int, h: str) -> None:
+        for q in numbers.tolist():
+            held = self.best.setdefault(q, [])
+            insort(held, (n, chunk_id, h))
+            if len(held) >= self.limit:
+                del held[self.limit :]
+                self.bound[q] = held[-1][0]
+
+    def rows(self) -> list[tuple]:
+        return [(self.qids[q], chunk_id, n, h) for q, held in self.best.items() for n, chunk_id, h in held]
+
+
+class Counted:
+    """A task's number of hits of each question."""
+
+    def __init__(self, qids: list[int]):
+        self.qids, self.n = qids, np.zeros(len(qids), np.int64)
+
+    def want(self, numbers: np.ndarray, n: int) -> np.ndarray:
+        return np.ones(len(numbers), bool)
+
+    def add(self, numbers: np.ndarray, chunk_id: str, n: int, h: str) -> None:
+        self.n[numbers] += 1
+
+    def rows(self) -> list[tuple]:
+        return [(q, n) for q, n in zip(self.qids, self.n.tolist(), strict=True) if n]
+
+
 def keyword_search(questions: DataFrame, store: DataFrame, limit: int = KEYWORD_LIMIT) -> DataFrame:
-    """JN08/TK03/SO03: chunks of the question's document that contain one of its keywords, shortest first; equal contents once, after the limit.
+    """TK03/SO03: chunks of the question's document that contain one of its keywords, shortest first; equal contents once, after the limit.
 
     Questions are (qid, company_document_id, revision_number, question); those
-    without identity or keywords find nothing (FL03).
+    without identity or keywords find nothing (FL03). Each chunk is read once
+    for all questions about its document, and a task passes on the `limit`
+    shortest of each question.
     """
-    # short keywords occur most often, so they are tried first
-    keywords = F.array_sort(X.extract_keywords(F.col("question")), lambda a, b: F.length(a) - F.length(b))
-    asked = questions.withColumn("keywords", keywords).filter(F.col("company_document_id").isNotNull() & F.col("revision_number").isNotNull() & (F.size("keywords") > 0))
-    # length and hash are taken once per chunk, not once per pair
-    body = store.select("company_document_id", "revision_number", "chunk_id", F.lower("content").alias("body"), F.length("content").alias("n"), F.md5("content").alias("h"))
-    both = asked.select("qid", "company_document_id", "revision_number", "keywords").join(body, ["company_document_id", "revision_number"])
-    hits = both.filter(F.exists("keywords", lambda k: F.contains(F.col("body"), k))).select("qid", "chunk_id", "n", "h")
+    hits = _scanned(questions, store, partial(Shortest, limit=limit), "qid bigint, chunk_id string, n bigint, h string")
+    if hits is None:
+        return store.sparkSession.createDataFrame([], "qid bigint, chunk_id string, rank int")
     best = top(hits, "qid", limit, F.col("n"), F.col("chunk_id"))
     return best.withColumn("again", F.row_number().over(Window.partitionBy("qid", "h").orderBy("rank"))).filter("again = 1").select("qid", "chunk_id", "rank")
 
 
+def keyword_counts(questions: DataFrame, store: DataFrame) -> DataFrame:
+    """JN08: how many chunks of its document contain one of a question's keywords; questions without any do not appear."""
+    hits = _scanned(questions, store, Counted, "qid bigint, n bigint")
+    if hits is None:
+        return store.sparkSession.createDataFrame([], "qid bigint, n_chunks bigint")
+    return hits.groupBy("qid").agg(F.sum("n").alias("n_chunks"))
+
+
 def union_hits(vector: DataFrame, keyword: DataFrame, profile: str = "documented") -> DataFrame:
     """SO01: hits of both kinds once by chunk: at their first place, with their last value.
 
@@ -113,10 +261,22 @@ def union_hits(vector: DataFrame, keyword: DataFrame, profile: str = "documented
     return v.unionByName(k).groupBy("qid", "chunk_id").agg(F.min("pos").alias("pos"), F.max_by("origin", "pos").alias("origin"))
 
 
+def candidates(hits: DataFrame, store: DataFrame, questions: DataFrame, scorer=X.keyword_match_score) -> DataFrame:
+    """Hits (qid, chunk_id, pos) with their chunks' section, chunk_type, parent_id and score; of rows with one chunk_id the first by row_id counts.
+
+    Only the hits' chunks are taken from the store, and their contents are
+    scored where they are read.
+    """
+    asked = hits.join(questions.select("qid", "question"), "qid")
+    found = store.join(asked, "chunk_id").select("qid", "chunk_id", "pos", "row_id", F.struct("section", "chunk_type", "parent_id", rounded(scorer(F.col("question"), F.col("content"))).alias("score")).alias("chunk"))
+    return found.groupBy("qid", "chunk_id", "pos").agg(F.min_by("chunk", "row_id").alias("chunk")).select("qid", "chunk_id", "pos", "chunk.*")
+
+
 def rerank(candidates: DataFrame, k: int = RESULTS, scorer=X.keyword_match_score) -> DataFrame:
-    """TK04: the k candidates (qid, question, content, pos) with the best score; `scorer` is any function of two columns."""
-    scored = candidates.withColumn("score", rounded(scorer(F.col("question"), F.col("content"))))
-    return top(scored, "qid", k, F.desc("score"), F.col("pos"), F.col("chunk_id"))
+    """TK04: the k candidates (qid, chunk_id, pos, and score or question and content) with the best score; `scorer` is any function of two columns."""
+    if "score" not in candidates.columns:
+        candidates = candidates.withColumn("score", rounded(scorer(F.col("question"), F.col("content"))))
+    return top(candidates, "qid", k, F.desc("score"), F.col("pos"), F.col("chunk_id"))
 
 
 def resolve_parents(hits: DataFrame, store: DataFrame, profile: str = "documented") -> DataFrame:

@@ -115,9 +115,7 @@ def tk03(spark, d):
 
 @query("jn08_keyword_containment", sql("SELECT qid, count(*) AS n_chunks FROM hits GROUP BY 1", "chunk_store", **_KEYWORD))
 def jn08(spark, d):
-    q = asked(spark, d).withColumn("keywords", X.extract_keywords(F.col("question")))
-    both = q.join(chunk_store(spark, d), ["company_document_id", "revision_number"]).withColumn("body", F.lower("content"))
-    return both.filter(F.exists("keywords", lambda k: F.contains(F.col("body"), k))).groupBy("qid").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return R.keyword_counts(asked(spark, d), chunk_store(spark, d))
 
 
 @query("fl03_keyword_guard", sql("SELECT qid, len(keywords) > 0 AND company_document_id IS NOT NULL AS searchable FROM kw", "chunk_store", **_KEYWORD))
@@ -176,14 +174,8 @@ def so01_observed(spark, d):
     return _hybrid_hits(spark, d, "observed")
 
 
-def _contents(spark, d):
-    s = chunk_store(spark, d)
-    return s.groupBy("chunk_id").agg(*(F.min_by(c, "row_id").alias(c) for c in ("content", "section", "chunk_type", "parent_id", "page", "company_document_id")))
-
-
 def reranked(spark, d):
-    hits = _hybrid_hits(spark, d).join(_contents(spark, d), "chunk_id").join(asked(spark, d).select("qid", "question"), "qid")
-    return R.rerank(hits)
+    return R.rerank(R.candidates(_hybrid_hits(spark, d), chunk_store(spark, d), asked(spark, d)))
 
 
 _RERANK = _HYBRID | {
@@ -218,7 +210,9 @@ def jn02_observed(spark, d):
 
 
 def _as_chunks(spark, d):
-    rows = jn02(spark, d).join(_contents(spark, d).select("chunk_id", "section", "chunk_type"), "chunk_id")
+    placed = jn02(spark, d)
+    of_store = chunk_store(spark, d).select("chunk_id", "row_id", F.struct("section", "chunk_type").alias("chunk"))
+    rows = of_store.join(placed, "chunk_id").groupBy("qid", "chunk_id", "score", "place").agg(F.min_by("chunk", "row_id").alias("chunk")).select("qid", "score", "place", "chunk.*")
     return rows.select(F.col("qid").cast("string").alias("query_id"), F.col("place").alias("rank"), "section", "chunk_type", F.col("score").cast("decimal(10,6)").alias("score"))
 
 
