@@ -24,8 +24,8 @@ def count_categories(elements: DataFrame) -> DataFrame:
 
 
 def discard_breakdown(elements: DataFrame) -> DataFrame:
-    """AG02: kept elements, and removed ones by reason (too short, or the category)."""
-    short = F.col("category").isin(*KEPT) & (F.length(X.strip("text")) <= 2)
+    """AG02: kept elements, and removed ones by reason (too short, null texts among them, or the category)."""
+    short = F.col("category").isin(*KEPT) & F.coalesce(F.length(X.strip("text")) <= 2, F.lit(True))
     reason = F.when(short, "Too Short").when(F.col("category").isin(*KEPT), "kept").otherwise(F.col("category"))
     return elements.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 

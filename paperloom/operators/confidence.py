@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Weights, thresholds and limits.
@@ -34,10 +34,10 @@ def hundredths(c: Column, kind: str) -> Column:
     return F.when(c.isin(BELOW), down / 100).when(c.isin(ABOVE), (down + 1) / 100).otherwise(F.bround(c, 2))
 
 
-def sanitized(scores: Column) -> Column:
-    """AG14: scores between 0 and 1; those below the floor go."""
-    clamped = F.transform(scores, lambda s: F.greatest(dec("0"), F.least(dec("1"), s)))
-    return F.filter(clamped, lambda s: s.isNotNull() & (s >= dec(FLOOR)))
+def sanitized(score: Column) -> Column:
+    """AG14: a score between 0 and 1; null where it is below the floor."""
+    clamped = F.greatest(dec("0"), F.least(dec("1"), score))
+    return F.when(score.isNotNull() & (clamped >= dec(FLOOR)), clamped)
 
 
 def count_score(n: Column) -> Column:
@@ -45,11 +45,10 @@ def count_score(n: Column) -> Column:
     return (F.least(n, F.lit(MAX_CHUNKS)).cast("decimal(10,6)") / dec("5")).cast("decimal(10,6)")
 
 
-def similarity_strength(scores: Column) -> Column:
-    """AG11: of scores in falling order 0.7 of the first and 0.3 of the second, rounded half to even; a single score is itself."""
-    first, second = F.get(scores, F.lit(0)), F.get(scores, F.lit(1))
+def similarity_strength(first: Column, second: Column) -> Column:
+    """AG11: 0.7 of the best score and 0.3 of the next, rounded half to even; a single score is itself."""
     both = F.bround((dec("0.7") * first + dec("0.3") * second).cast("decimal(12,8)"), 2)
-    return F.when(F.size(scores) == 1, first).otherwise(both).cast("decimal(10,6)")
+    return F.when(second.isNull(), first).otherwise(both).cast("decimal(10,6)")
 
 
 def redundancy(unique: Column, total: Column) -> Column:
@@ -64,12 +63,19 @@ def level(confidence: Column, sections: Column) -> Column:
 
 
 def signals(chunks: DataFrame) -> DataFrame:
-    """Per query of (query_id, section, score): counts, sanitised scores in falling order, and the three signals."""
+    """Per query of (query_id, section, score): counts, the two best sanitised scores, and the three signals.
+
+    The two best come from a window that streams over a query's rows, so a
+    query with any number of chunks is never collected.
+    """
     section = F.when(F.col("section") != "", F.col("section"))
-    g = chunks.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count(section).alias("n_sections"), F.countDistinct(section).alias("sections"), F.sort_array(sanitized(F.collect_list("score")), asc=False).alias("scores"), F.count("score").alias("n_scores")
-    )
-    return g.select("*", count_score(F.col("n")).alias("count_score"), similarity_strength(F.col("scores")).alias("strength"), redundancy(F.col("sections"), F.col("n_sections")).alias("redundancy"))
+    by_score = Window.partitionBy("query_id").orderBy(F.col("clean").desc_nulls_last())
+    placed = chunks.select("query_id", section.alias("section"), sanitized(F.col("score")).alias("clean")).withColumn("place", F.row_number().over(by_score))
+    g = placed.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("section").alias("n_sections"), F.countDistinct("section").alias("sections"), F.count("clean").cast("int").alias("n_scores"),
+        F.max(F.when(F.col("place") == 1, F.col("clean"))).alias("best"), F.max(F.when(F.col("place") == 2, F.col("clean"))).alias("next"),
+    )
+    return g.select("*", count_score(F.col("n")).alias("count_score"), similarity_strength(F.col("best"), F.col("next")).alias("strength"), redundancy(F.col("sections"), F.col("n_sections")).alias("redundancy"))
 
 
 def confidence(chunks: DataFrame, kind: str = DECIMAL) -> DataFrame:
@@ -78,7 +84,7 @@ def confidence(chunks: DataFrame, kind: str = DECIMAL) -> DataFrame:
     `kind` is the type in which the three weighted signals are added up.
     """
     s = signals(chunks)
-    weak = (F.size("scores") == 0) | (F.get("scores", F.lit(0)) <= dec(FLOOR))
+    weak = F.col("best").isNull() | (F.col("best") <= dec(FLOOR))
     terms = [F.lit(w).cast(kind) * F.col(c).cast(kind) for w, c in zip(WEIGHTS, ("count_score", "strength", "redundancy"), strict=True)]
     total = (terms[0] + terms[1] + terms[2]).cast("decimal(12,8)" if kind == DECIMAL else kind)
     value = F.when(weak, dec(LOW)).otherwise(hundredths(F.greatest(F.lit("0").cast(kind), F.least(F.lit("1").cast(kind), total)), kind).cast(DECIMAL))
@@ -92,9 +98,15 @@ def first_distinct(pairs: Column, most: int) -> Column:
 
 
 def retrieval_stats(chunks: DataFrame) -> DataFrame:
-    """AG05–AG08: one statistics row per query of (query_id, rank, section, chunk_type, score)."""
+    """AG05–AG08: one statistics row per query of (query_id, rank, section, chunk_type, score).
+
+    Rows are first brought down to one for each type and section of a query, so
+    no list is longer than the distinct ones.
+    """
+    few = chunks.groupBy("query_id", "chunk_type", "section").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"), F.sum("score").alias("total"), F.count("score").alias("scored"), F.max("score").alias("max_score"))
     pair = lambda c: F.collect_list(F.struct("rank", F.col(c).alias("v")))
-    return chunks.groupBy("query_id").agg(
-        F.count(F.lit(1)).cast("int").alias("chunk_count"), F.array_join(first_distinct(pair("chunk_type"), 5), ",").alias("chunk_types"), F.array_join(first_distinct(pair("section"), 10), ",").alias("sections"),
-        F.bround(F.avg("score").cast("decimal(20,10)"), 4).cast("decimal(10,4)").alias("avg_score"), F.bround(F.max("score"), 4).cast("decimal(10,4)").alias("max_score"),
+    mean = (F.sum("total") / F.sum("scored")).cast("decimal(20,10)")
+    return few.groupBy("query_id").agg(
+        F.sum("n").cast("int").alias("chunk_count"), F.array_join(first_distinct(pair("chunk_type"), 5), ",").alias("chunk_types"), F.array_join(first_distinct(pair("section"), 10), ",").alias("sections"),
+        F.bround(mean, 4).cast("decimal(10,4)").alias("avg_score"), F.bround(F.max("max_score"), 4).cast("decimal(10,4)").alias("max_score"),
     )

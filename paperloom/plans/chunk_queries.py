@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import chunking as C
+from paperloom.sources import files as S
 
 from .bindings import elements, quoted, sql, table
 from .registry import query
@@ -35,7 +36,10 @@ _TABLES = _SECTIONED | {
 
 @query("io03_elements_source", sql("SELECT * FROM elements", "elements"))
 def io03(spark, d):
-    return elements(spark, d)
+    """The elements written as one JSON array a document, and read from the files with their order."""
+    path = S.scratch_folder(spark)
+    S.write_element_arrays(elements(spark, d), path)
+    return S.read_elements(spark, path).select("doc_id", "seq", "category", "text", "page_number")
 
 
 @query("fl01_filter_elements", sql(f"SELECT * FROM elements WHERE {KEPT} AND length({s_strip('text')}) > 2", "elements"))
@@ -48,7 +52,7 @@ def ag01(spark, d):
     return C.count_categories(elements(spark, d))
 
 
-@query("ag02_discard_breakdown", sql(f"SELECT CASE WHEN {KEPT} THEN CASE WHEN length({s_strip('text')}) <= 2 THEN 'Too Short' ELSE 'kept' END ELSE category END AS reason, count(*) AS n FROM elements GROUP BY 1", "elements"))
+@query("ag02_discard_breakdown", sql(f"SELECT CASE WHEN {KEPT} THEN CASE WHEN coalesce(length({s_strip('text')}) <= 2, true) THEN 'Too Short' ELSE 'kept' END ELSE category END AS reason, count(*) AS n FROM elements GROUP BY 1", "elements"))
 def ag02(spark, d):
     return C.discard_breakdown(elements(spark, d))
 

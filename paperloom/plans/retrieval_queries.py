@@ -267,7 +267,7 @@ def ag13(spark, d):
 
 @query("ag14_sanitized_scores", sql("SELECT query_id, len(scores)::INTEGER AS kept, scores[1]::DECIMAL(10,6) AS best FROM per", "retrieved", **_CONF))
 def ag14(spark, d):
-    return K.signals(retrieved(spark, d)).select("query_id", F.size("scores").alias("kept"), F.get("scores", F.lit(0)).alias("best"))
+    return K.signals(retrieved(spark, d)).select("query_id", F.col("n_scores").alias("kept"), "best")
 
 
 _STATS = """SELECT query_id, count(*)::INTEGER AS chunk_count, list(chunk_type ORDER BY rank) FILTER (chunk_type <> '') AS ts, list(section ORDER BY rank) FILTER (section <> '') AS ss,

@@ -185,11 +185,25 @@ def pj12(spark, d):
     return P.valid_result(P.apply_policy(chunk_store(spark, d), lambda c: c.filter(F.col("content").isNotNull()))).select("valid", "n")
 
 
-@query("st03_rate_limiter")
+def s_limited(source: str, keys: str, most: int, seconds: int) -> str:
+    """SQL of the limiter over rows (keys, event_id, t): one step for each request of a key, with the admitted times so far."""
+    same = " AND ".join(f"s.{k} IS NOT DISTINCT FROM r.{k}" for k in keys.split(", "))
+    own = ", ".join(f"s.{k}" for k in keys.split(", "))
+    return f"""WITH RECURSIVE {source}, numbered AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY t, event_id) AS n FROM rows_of),
+      r AS (SELECT {keys}, event_id, n, [t] AS times, true AS admitted FROM numbered WHERE n = 1
+        UNION ALL SELECT {own}, s.event_id, s.n, CASE WHEN len(s.live) < {most} THEN list_append(s.live, s.t) ELSE s.live END, len(s.live) < {most}
+        FROM (SELECT s.*, list_filter(r.times, lambda x: x >= s.t - {seconds}) AS live FROM r JOIN numbered s ON {same} AND s.n = r.n + 1) s)
+      SELECT {keys}, event_id, admitted FROM r"""
+
+
+_ROWS_OF = "rows_of AS (SELECT user_id AS session_id, event_id, epoch_us(ts)::DOUBLE / 1e6 AS t FROM events)"
+
+
+@query("st03_rate_limiter", s_limited(_ROWS_OF, "session_id", 3, 86400))
 def st03(spark, d):
-    rows = logged(spark, d).select("event_id", F.col("event_type").alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t"))
-    hourly = rows.withColumn("t", F.col("t") / 1e6)
-    return Q.fold(hourly, ["client"], [F.col("t"), F.col("event_id")], lambda: Q.Limiter(30, 36000), "client string, event_id bigint, admitted boolean")
+    """Requests of a session, at most three a day."""
+    rows = logged(spark, d).select("session_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6).alias("t"))
+    return Q.fold(rows, ["session_id"], [F.col("t"), F.col("event_id")], lambda: Q.Limiter(3, 86400), "session_id bigint, event_id bigint, admitted boolean")
 
 
 @query("st05_stream_frames")
@@ -201,7 +215,23 @@ def st05(spark, d):
     return Q.fold(rows, ["stream_id"], [F.col("seq")], Q.FrameParser, "stream_id bigint, seq bigint, kind string, value string")
 
 
-@query("st07_job_states")
+_JOB_STEPS = """WITH RECURSIVE numbered AS (
+    SELECT user_id AS session_id, event_id AS seq, 'job-' || event_id AS job_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'update' WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'error' ELSE 'clear' END AS action,
+      CASE WHEN event_id % 2 = 0 THEN ['title'] ELSE [] END AS missing, ['title'] AS given, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+  r AS (SELECT DISTINCT session_id, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS status, []::VARCHAR[] AS missing, NULL::VARCHAR AS job, NULL::VARCHAR AS told, NULL::VARCHAR AS before, false AS accepted FROM numbered
+    UNION ALL SELECT session_id, n, seq,
+      CASE WHEN action = 'create' THEN CASE WHEN len(own) > 0 THEN 'WAIT_FOR_METADATA' ELSE 'PROCESSING' END WHEN NOT ok THEN status WHEN action = 'update' THEN CASE WHEN len(rest) = 0 THEN 'PROCESSING' ELSE status END
+        WHEN action = 'ready' THEN 'READY' WHEN action = 'error' THEN 'ERROR' END,
+      CASE WHEN action = 'create' THEN own WHEN action = 'clear' AND ok THEN [] WHEN action = 'update' AND ok THEN rest ELSE missing END,
+      CASE WHEN action = 'create' THEN job_id WHEN action = 'clear' AND ok THEN NULL ELSE job END, CASE WHEN action = 'create' THEN job_id ELSE job END,
+      CASE WHEN action = 'create' AND status IS NOT NULL THEN job END, ok
+    FROM (SELECT s.session_id, s.n, s.seq, s.action, s.job_id, s.missing AS own, r.status, r.missing, r.job, list_filter(r.missing, lambda x: NOT list_contains(s.given, x)) AS rest,
+        CASE s.action WHEN 'create' THEN true WHEN 'update' THEN coalesce(r.status = 'WAIT_FOR_METADATA', false) WHEN 'ready' THEN coalesce(r.status = 'PROCESSING', false) ELSE r.status IS NOT NULL END AS ok
+      FROM r JOIN numbered s ON s.session_id = r.session_id AND s.n = r.n + 1))
+  SELECT session_id, seq, told AS job_id, status, accepted FROM r WHERE n > 0 UNION ALL SELECT session_id, seq, before, 'ERROR', true FROM r WHERE before IS NOT NULL"""
+
+
+@query("st07_job_states", _JOB_STEPS)
 def st07(spark, d):
     kind = F.col("event_type")
     action = F.when(kind == "signup", "create").when(kind == "view", "update").when(kind == "purchase", "ready").when(kind == "error", "error").otherwise("clear")
@@ -335,7 +365,10 @@ def sc38(spark, d):
     return table(spark, d, "events").select("event_id", provider.alias("provider"), F.concat(provider, F.lit("-"), F.when(i % 2 == 0, "rank_1").otherwise("rank_2")).alias("model"))
 
 
-@query("st13_limiter_reset")
+_EPOCHS_OF = "rows_of AS (SELECT user_id AS session_id, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS epoch, event_id, epoch_us(ts)::DOUBLE / 1e6 AS t FROM events)"
+
+
+@query("st13_limiter_reset", s_limited(_EPOCHS_OF, "session_id, epoch", 2, 86400))
 def st13(spark, d):
     """The limiter with a reset at each signup: a client's requests between resets are limited by themselves."""
     from pyspark.sql import Window

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom import schemas
 
@@ -16,14 +18,31 @@ Parser = Callable[[bytes], Iterable[list[tuple[str, str]] | None]]
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or in local mode, where it is unset, a new temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="paperloom-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """IO03: JSON element files (an array, or one element a line) with their order kept as `seq` where it is stored."""
-    return spark.read.schema(schemas.ELEMENT).json(path, multiLine=False)
+def read_elements(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """IO03: elements of JSON files: each line (or, for arrays over several lines, each file as a whole) is an array of elements, or one element.
+
+    `seq` is the stored one, or else the place in the array. A text that is no
+    JSON is an error.
+    """
+    element = T.StructType.fromDDL(schemas.ELEMENT)
+    lines = spark.read.text(path, wholetext=whole_files).filter(F.trim("value") != "")
+    parsed = lines.select(F.posexplode(F.from_json("value", T.ArrayType(element), {"mode": "FAILFAST"})).alias("place", "e"))
+    return parsed.select(*(F.coalesce("e.seq", F.col("place").cast("bigint")).alias("seq") if c == "seq" else F.col(f"e.{c}") for c in element.names))
+
+
+def write_element_arrays(elements: DataFrame, path: str) -> None:
+    """IO03: one line a document, the array of its elements in order."""
+    parts = F.array_sort(F.collect_list(F.struct("seq", *(c for c in elements.columns if c != "seq"))))
+    elements.groupBy("doc_id").agg(F.to_json(parts).alias("value")).select("value").write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def write_json(df: DataFrame, path: str, compression: str | None = None) -> None:

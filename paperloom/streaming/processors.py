@@ -12,7 +12,10 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.operators.events import PREFIX, TYPES
@@ -25,36 +28,37 @@ def fold(df: DataFrame, keys: list[str], order: list[Column], make: Callable, sc
     """Rows of each key in order through a fresh processor.
 
     `make()` gives an object with `row(dict) -> list of dicts` and `end() -> list of dicts`;
-    output rows carry the keys. Rows of a key lie in one partition, sorted.
+    output rows carry the keys. Rows of a key lie in one partition, sorted; a
+    null key is a key of its own, and null values reach the processor as None.
     """
-    columns = df.columns
+    columns, made = df.columns, T.StructType.fromDDL(schema)
     sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    form = to_arrow_schema(made)
+    places = [columns.index(k) for k in keys]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, processor, out = None, None, []
 
         def put(rows, key):
             out.extend(dict(zip(keys, key, strict=True)) | r for r in rows)
 
         for batch in batches:
-            for values in batch.itertuples(index=False, name=None):
-                row = dict(zip(columns, values, strict=True))
-                now = tuple(row[k] for k in keys)
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now = tuple(values[k] for k in places)
                 if processor is None or now != key:
                     if processor is not None:
                         put(processor.end(), key)
                     key, processor = now, make()
-                put(processor.row(row), key)
+                put(processor.row(dict(zip(columns, values, strict=True))), key)
             if out:
-                yield pd.DataFrame(out, columns=names)
-                out = []
+                yield pa.RecordBatch.from_pylist(out, schema=form)
+                out.clear()
         if processor is not None:
             put(processor.end(), key)
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield pa.RecordBatch.from_pylist(out, schema=form)
 
-    return sorted_rows.mapInPandas(run, schema)
+    return sorted_rows.mapInArrow(run, made)
 
 
 class Limiter:
@@ -173,11 +177,12 @@ def limited_stream(requests: DataFrame, key: str = "session_id", most: int = MOS
             state.remove()
             return
         limiter = Limiter(most, seconds, json.loads(state.get[0]) if state.exists else ())
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        admitted = [limiter.admit(t.timestamp()) for t in rows["ts"]]
+        # only times and ids of a trigger's rows are held, to bring them in order
+        rows = sorted(pair for batch in batches for pair in zip(batch["ts"].map(pd.Timestamp.timestamp), batch["event_id"], strict=True))
+        admitted = [limiter.admit(t) for t, _ in rows]
         state.update((json.dumps(list(limiter.times)),))
         state.setTimeoutDuration(2 * seconds * 1000)
-        yield pd.DataFrame({key: k[0], "event_id": rows["event_id"], "admitted": admitted})
+        yield pd.DataFrame({key: k[0], "event_id": [i for _, i in rows], "admitted": admitted})
 
     kind = requests.schema[key].dataType.simpleString()
     return requests.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id bigint, admitted boolean", "times string", "append", GroupStateTimeout.ProcessingTimeTimeout)
