@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ TOPIC_STOPWORDS = (
     "what", "is", "the", "of", "at", "in", "on", "for", "and", "to", "does", "do", "did", "explain", "tell", "me", "more", "about", "give", "details", "this", "that", "how", "why",
     "when", "where", "which", "who", "are", "was", "were", "please", "can", "could", "would", "should",
 )
-NON_INFORMATIVE = ("hi", "hello", "hey", "ok", "okay", "thanks", "thank you", "yes", "no")
+NON_INFORMATIVE = ("hi", "hello", "hey", "ok", "okay", "yes", "no", "thanks", "thank you")
 VAGUE_PHRASES = ("explain more", "tell more", "tell me more", "give more details", "more details", "elaborate", "explain in detail", "explain this", "what about this", "what about that", "details")
 GREETINGS = ("hi", "hello", "hey", "hai", "hola", "good morning", "good afternoon", "good evening")
 CONFIRMATIONS = ("ok", "okay", "yes", "yeah", "yep", "no", "nah", "thanks", "thank you", "cool", "fine")
@@ -119,6 +122,19 @@ def estimate_tokens(c: Column) -> Column:
     return F.ceil(F.length(F.coalesce(c, F.lit(""))) / 4).cast("bigint")
 
 
+def count_tokens(c: Column, tokenizer: Callable[[list[str]], list[int]] | None = None) -> Column:
+    """SC11: tokens of a text by a tokenizer plug-in (texts to counts, a batch at a time), or estimated without one; a null text has none."""
+    if tokenizer is None:
+        return F.coalesce(estimate_tokens(c), F.lit(0))
+
+    @F.pandas_udf("bigint")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(tokenizer(["" if t is None else t for t in batch]), dtype="int64")
+
+    return counted(c)
+
+
 def is_vague(c: Column) -> Column:
     """SC12: a known vague phrase, or at most three words."""
     q = strip(F.lower(F.coalesce(c, F.lit(""))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
@@ -18,6 +18,8 @@ STYLES = {
     "detailed": "OUTPUT STYLE:\n- Detailed and comprehensive.\n- Explain the concept fully using the document context.\n- Break down complex points.\n- You may use multiple paragraphs if necessary.\n",
 }
 NO_CONTEXT = "No document context available."
+TITLE_TASK = "You are a helpful assistant.\nSummarize the user's input into a concise title (maximum 5 words).\nDo not answer the question.\nDo not use quotes.\nDo not use \"Title:\" prefix.\nJust the text."
+REFINE_TASK = "You are a technical editor.\n\nRULES:\n- Improve grammar and clarity only.\n- Preserve meaning EXACTLY.\n- Do NOT add or remove facts.\n- Do NOT expand explanations."
 
 
 def event(kind: str, **fields: Column) -> Column:
@@ -58,6 +60,14 @@ def context_block(page: Column, section: Column, content: Column) -> Column:
     return F.concat(F.lit("[Page "), F.coalesce(page, F.lit("?")), F.lit(" | Section: "), F.coalesce(section, F.lit("General")), F.lit("]\n"), F.coalesce(content, F.lit("")))
 
 
+def context_text(rows: DataFrame, key: str, order: str, block: str, most: int = 8) -> DataFrame:
+    """PJ04: the context of each key: the first `most` of its blocks in order, as a prompt takes its results."""
+    from paperloom.operators.retrieval import top
+
+    few = top(rows, key, most, F.col(order))
+    return few.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, block))), lambda b: b[block]), "\n\n").alias("context"))
+
+
 def style_text(verbosity: Column) -> Column:
     """The style of a verbosity, `short` by default."""
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in STYLES.items() for x in kv]), verbosity), F.lit(STYLES["short"]))
@@ -70,6 +80,59 @@ def prompt(system: Column, style: Column, context: Column, question: Column) ->
     return F.concat(head("system"), system, F.lit("\n\n"), style, F.lit("\n"), end, head("user"), F.lit("CONTEXT:\n"), F.coalesce(context, F.lit(NO_CONTEXT)), F.lit("\n\nQUESTION:\n"), question, end, head("assistant"))
 
 
+def title_prompt(question: Column) -> Column:
+    """SC36: the prompt that asks for a conversation's title."""
+    head = lambda role: F.lit(f"<|start_header_id|>{role}<|end_header_id|>\n\n")
+    return F.concat(head("system"), F.lit(TITLE_TASK), F.lit("\n\n<|eot_id|>"), head("user"), question, F.lit("<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n"))
+
+
+def chat_prompt(system: Column, style: Column, history: Column, context: Column, question: Column) -> Column:
+    """SC36: `prompt` with the last four (role, content) messages of a history between its parts.
+
+    The models' prompts are this one: with a persona as system text and a style
+    for chat models, with a reasoning persona and the default style for chains
+    of thought, and without history (a null array) for small local models.
+    """
+    turn = lambda m: F.concat(F.lit("<|start_header_id|>"), F.when(m["role"] == "user", "user").otherwise("assistant"), F.lit("<|end_header_id|>\n"), X.clean_model_output(m["content"]), F.lit("<|eot_id|>"))
+    last = F.slice(history, F.greatest(F.size(history) - 3, F.lit(1)), F.lit(4))
+    said = F.coalesce(F.array_join(F.transform(last, turn), ""), F.lit(""))
+    whole = prompt(system, style, context, question)
+    cut = F.locate("<|start_header_id|>user<|end_header_id|>\nCONTEXT:", whole)
+    return F.concat(F.substring(whole, F.lit(1), cut - 1), said, F.substring(whole, cut, F.length(whole)))
+
+
+def refine_prompt(question: Column, draft: Column) -> Column:
+    """SC36: the prompt that asks for better wording only."""
+    return X.strip(F.concat(F.lit(REFINE_TASK + "\n\nQUESTION:\n"), question, F.lit("\n\nDRAFT ANSWER:\n"), draft, F.lit("\n\nREFINED ANSWER:\n")))
+
+
+def model_id(mode: Column, known: dict[str, str], unknown: str | None = None) -> Column:
+    """SC28: the model of a mode; `unknown` for any other, or an error where that is not given."""
+    found = F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), mode)
+    return F.coalesce(found, F.lit(unknown) if unknown is not None else F.raise_error(F.concat(F.lit("unknown model: "), F.coalesce(mode, F.lit("null")))).cast("string"))
+
+
+def retry_delay(attempt: Column, base: int = 400) -> Column:
+    """SC30: milliseconds to wait before an attempt: doubled each time."""
+    return (F.lit(base) * F.pow(F.lit(2), attempt - 1)).cast("bigint")
+
+
+def key_provider(key: Column) -> Column:
+    """SC32: the provider that a key's prefix tells, else null."""
+    return F.when(key.startswith("gsk_"), "groq").when(key.startswith("xai-"), "xai")
+
+
+def upload_progress(percent: Column) -> Column:
+    """SC35: an upload's share of the whole progress, 40 at most."""
+    return F.least((percent.cast("decimal(10,2)") * F.lit("0.4").cast("decimal(2,1)")).cast("decimal(12,4)"), F.lit(40).cast("decimal(12,4)"))
+
+
+def net_model(override: Column, kept: Column, name: Column) -> tuple[Column, Column]:
+    """SC38: the provider (an override, else the kept one) and its model."""
+    provider = F.coalesce(override, kept)
+    return provider, F.concat(provider, F.lit("-"), name)
+
+
 def token_cost(tokens: Column, provider: Column) -> Column:
     """AG15: dollars for a number of tokens, six places."""
     rate = F.coalesce(F.element_at(F.create_map(*[x for k, v in RATES.items() for x in (F.lit(k), F.lit(v).cast("decimal(10,6)"))]), provider), F.lit("0").cast("decimal(10,6)"))

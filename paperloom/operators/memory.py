@@ -13,6 +13,11 @@ def clamp(n: int, most: int) -> int:
     return max(1, min(n, most))
 
 
+def clamped(n: Column, most: int) -> Column:
+    """TK08: requested counts, one in each row, between 1 and a cap."""
+    return F.greatest(F.lit(1), F.least(n, F.lit(most)))
+
+
 def numbered(df: DataFrame, keys: list[str], *order: Column, name: str = "n") -> DataFrame:
     """Rows numbered from 1 within their key."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -81,6 +86,34 @@ def abort_flags(rows: DataFrame, key: str, time: str, kind: str, sets: str, rese
     return rows.withColumn("aborted", F.coalesce(last == sets, F.lit(False))).filter(~F.col(kind).isin(sets, resets))
 
 
+def kept_messages(rows: DataFrame, key: str, kind: str, sets: str, resets: str, assistant: str, *order: Column) -> DataFrame:
+    """MU01: the messages that are kept: all but control events and an assistant's messages while its session is aborted."""
+    seen = abort_flags(rows, key, "ts", kind, sets, resets, *order)
+    return seen.filter(~((F.col(kind) == assistant) & F.col("aborted"))).drop("aborted")
+
+
+def chat_search(messages: DataFrame, titles: DataFrame, text: str) -> DataFrame:
+    """FL12: the non-empty chats whose title contains a text, or a message of theirs that is not the system's."""
+    wanted = text.lower()
+    said = messages.groupBy("session_id").agg(F.max((F.col("role") != "system") & F.lower("content").contains(wanted)).alias("said"))
+    named = F.coalesce(F.lower("title").contains(wanted), F.lit(False))
+    return said.join(titles.select("session_id", "title"), "session_id", "left").filter(F.coalesce("said", F.lit(False)) | named).select("session_id")
+
+
+#: The steps of a job's progress, while metadata is asked for and in a whole run.
+PROGRESS = ((5, 15, 20), (5, 30, 45, 60, 80, 95, 100))
+
+
+def progress_steps(rows: DataFrame, key: str, progress: str, *order: Column) -> DataFrame:
+    """ST08: rows with `regular`: whether a job's progress is the first step, or follows the one before in one of the fixed sequences."""
+    pairs = sorted({p for steps in PROGRESS for p in zip(steps, steps[1:], strict=False)})
+    before = F.lag(progress).over(Window.partitionBy(key).orderBy(*order))
+    follows = F.lit(False)
+    for a, b in pairs:
+        follows = follows | ((before == a) & (F.col(progress) == b))
+    return rows.withColumn("regular", F.when(before.isNull(), F.col(progress) == PROGRESS[0][0]).otherwise(follows))
+
+
 def concurrency(rows: DataFrame, key: str, begin: str, end: str) -> DataFrame:
     """ST04: the most intervals of a key that overlap (an end at the same time comes first)."""
     marks = rows.select(key, F.col(begin).alias("at"), F.lit(1).alias("step")).unionByName(rows.select(key, F.col(end).alias("at"), F.lit(-1).alias("step")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as X
 from paperloom.operators import events as E
 from paperloom.operators import memory as M
+from paperloom.streaming import processors as Q
 
 from .bindings import chunk_store, messages, questions, quoted, sql, table
 from .registry import query
@@ -97,6 +98,15 @@ def fl12(spark, d):
     return messages(spark, d).filter(hit).select("session_id").distinct()
 
 
+_TITLED = "SELECT DISTINCT session_id, CASE session_id % 7 WHEN 0 THEN 'Some THING else' ELSE 'Chat ' || session_id END AS title FROM messages"
+
+
+@query("fl12_chat_and_title_search", sql("SELECT m.session_id FROM messages m JOIN titled t ON t.session_id = m.session_id GROUP BY 1 HAVING bool_or(role <> 'system' AND contains(lower(content), 'thing')) OR bool_or(contains(lower(title), 'thing'))", "messages", titled=_TITLED))
+def fl12_titles(spark, d):
+    titles = messages(spark, d).select("session_id").distinct().select("session_id", F.when(F.col("session_id") % 7 == 0, "Some THING else").otherwise(F.concat(F.lit("Chat "), F.col("session_id").cast("string"))).alias("title"))
+    return M.chat_search(messages(spark, d), titles, "Thing")
+
+
 @query("ag17_session_counts", sql("SELECT session_id, count(*) AS n_messages, count(DISTINCT role) AS n_roles FROM messages GROUP BY 1", "messages"))
 def ag17(spark, d):
     return messages(spark, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_messages"), F.countDistinct("role").alias("n_roles"))
@@ -137,6 +147,52 @@ def st04(spark, d):
     return M.concurrency(rows, "session_id", "ts", "end")
 
 
+_REQUESTS = "SELECT user_id AS session_id, event_id, epoch_us(ts)::DOUBLE / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events"
+
+
+def requests(spark, d):
+    return logged(spark, d).select("session_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6).alias("t"))
+
+
+@query("st04_admission", f"""WITH RECURSIVE numbered AS ({_REQUESTS}),
+  r AS (SELECT session_id, event_id, n, [t] AS times, [t + 43200] AS ends, true AS admitted, NULL::VARCHAR AS reason FROM numbered WHERE n = 1
+    UNION ALL SELECT session_id, event_id, n, CASE WHEN ok THEN list_append(live, t) ELSE live END, CASE WHEN ok THEN list_append(open, t + 43200) ELSE open END, ok, CASE WHEN len(live) >= 4 THEN 'rate' WHEN len(open) >= 2 THEN 'streams' END
+    FROM (SELECT *, len(live) < 4 AND len(open) < 2 AS ok FROM (SELECT s.*, list_filter(r.times, lambda x: x >= s.t - 172800) AS live, list_filter(r.ends, lambda x: x > s.t) AS open FROM r JOIN numbered s ON s.session_id = r.session_id AND s.n = r.n + 1)))
+  SELECT session_id, event_id, admitted, reason FROM r""")
+def st04_admission(spark, d):
+    """At most two streams of a session at a time, each twelve hours long, and four requests in two days."""
+    rows = requests(spark, d).withColumn("until", F.col("t") + 43200)
+    return Q.fold(rows, ["session_id"], [F.col("t"), F.col("event_id")], lambda: Q.Admission(4, 172800, 2), "session_id bigint, event_id bigint, admitted boolean, reason string")
+
+
+@query("st10_cached_reads", f"""WITH RECURSIVE numbered AS ({_REQUESTS}),
+  r AS (SELECT session_id, event_id, n, t AS fetched, false AS cached FROM numbered WHERE n = 1
+    UNION ALL SELECT s.session_id, s.event_id, s.n, CASE WHEN s.event_id % 10 <> 0 AND s.t - r.fetched < 86400 THEN r.fetched ELSE s.t END, s.event_id % 10 <> 0 AND s.t - r.fetched < 86400 FROM r JOIN numbered s ON s.session_id = r.session_id AND s.n = r.n + 1)
+  SELECT session_id, event_id, cached FROM r""")
+def st10_reads(spark, d):
+    """A day's cache anchored at each fetch; every tenth read is forced."""
+    rows = requests(spark, d).withColumn("force", F.col("event_id") % 10 == 0)
+    return Q.fold(rows, ["session_id"], [F.col("t"), F.col("event_id")], lambda: Q.CachedReads(86400), "session_id bigint, event_id bigint, cached boolean")
+
+
+_GUARDED = f"""SELECT session_id, turn, CASE WHEN session_id % 6 = 1 THEN '' ELSE content END AS content, CASE WHEN turn % 5 = 3 THEN 'unwrapped' WHEN turn % 5 = 2 THEN 'event' ELSE 'plain' END AS form, session_id % 4 = 0 AND turn >= 2 AS aborted, session_id % 7 = 0 AND turn >= 3 AS failed FROM messages"""
+
+
+@query("st06_safe_stream_frames", sql(f"""SELECT session_id, turn AS seq, kind, value FROM (
+    SELECT session_id, turn, CASE WHEN turn = stop THEN 'event' WHEN form = 'event' THEN 'event' ELSE 'text' END AS kind,
+      CASE WHEN turn = stop THEN '{E.PREFIX}{{"type":"ERROR","message":"' || CASE WHEN aborted THEN 'Generation aborted' ELSE 'Generation failed' END || '"}}' || chr(10) WHEN form = 'event' THEN '{E.PREFIX}{{"type":"PROGRESS","value":5,"label":"x"}}' || chr(10) ELSE content END AS value
+    FROM (SELECT *, min(turn) FILTER (aborted OR failed) OVER (PARTITION BY session_id) AS stop FROM guarded) WHERE (stop IS NULL OR turn <= stop) AND (turn = stop OR form <> 'plain' OR content <> ''))
+  UNION ALL SELECT session_id, NULL, CASE WHEN answer = '' THEN 'event' ELSE 'kept' END, CASE WHEN answer = '' THEN '{E.PREFIX}{{"type":"SYSTEM_MESSAGE","message":"Model produced no output"}}' || chr(10) ELSE answer END
+  FROM (SELECT session_id, {s_strip("string_agg(CASE WHEN form = 'event' THEN '' ELSE content END, '' ORDER BY turn)")} AS answer FROM guarded GROUP BY 1 HAVING NOT bool_or(aborted OR failed))""", "messages", guarded=_GUARDED))
+def st06_frames(spark, d):
+    """Streams with TEXT events, other events, aborts, failures, and streams that say nothing."""
+    said = F.when(F.col("session_id") % 6 == 1, "").otherwise(F.col("content"))
+    unwrapped = E.event_line(F.to_json(F.struct(F.lit("TEXT").alias("type"), said.alias("content"))))
+    chunk = F.when(F.col("turn") % 5 == 3, unwrapped).when(F.col("turn") % 5 == 2, E.event_line(E.event("PROGRESS", value=F.lit(5), label=F.lit("x")))).otherwise(said)
+    rows = messages(spark, d).select("session_id", F.col("turn").alias("seq"), chunk.alias("chunk"), ((F.col("session_id") % 4 == 0) & (F.col("turn") >= 2)).alias("aborted"), ((F.col("session_id") % 7 == 0) & (F.col("turn") >= 3)).alias("failed"))
+    return Q.fold(rows, ["session_id"], [F.col("seq")], Q.SafeStream, "session_id bigint, seq bigint, kind string, value string")
+
+
 @query("st06_safe_stream_answer", sql(f"SELECT session_id, {s_strip('''string_agg(content, '' ORDER BY turn)''')} AS answer FROM messages WHERE role <> 'system' GROUP BY 1", "messages"))
 def st06(spark, d):
     """The answer of a stream: its chunks in order without event lines (here the system turns are event lines)."""
@@ -154,6 +210,17 @@ def st08(spark, d):
     return rows.groupBy("session_id").agg(F.max("progress").alias("progress"), F.count_if(F.col("progress") < F.col("before")).alias("steps_back"))
 
 
+_STEPS = "[0, 5, 15, 20, 30, 45, 60, 80, 95, 100]"
+
+
+@query("st08_progress_sequences", sql(f"""SELECT session_id, count(*) FILTER (NOT regular) AS irregular, count(*) AS n FROM (SELECT *, CASE WHEN before IS NULL THEN progress = 5 ELSE (before, progress) IN ((5, 15), (15, 20), (5, 30), (30, 45), (45, 60), (60, 80), (80, 95), (95, 100)) END AS regular
+    FROM (SELECT *, lag(progress) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS before FROM (SELECT *, {_STEPS}[((event_id + session_id) % 9 + 2)::INTEGER] AS progress FROM logged))) GROUP BY 1""", **LOG))
+def st08_sequences(spark, d):
+    steps = F.array(*(F.lit(x) for x in (0, 5, 15, 20, 30, 45, 60, 80, 95, 100)))
+    rows = logged(spark, d).withColumn("progress", F.get(steps, ((F.col("event_id") + F.col("session_id")) % 9 + 1).cast("int")))
+    return M.progress_steps(rows, "session_id", "progress", *map(F.col, ORDER)).groupBy("session_id").agg(F.count_if(~F.col("regular")).alias("irregular"), F.count(F.lit(1)).alias("n"))
+
+
 _STATUS = "CASE event_type WHEN 'signup' THEN 'WAIT_FOR_METADATA' WHEN 'view' THEN 'PROCESSING' WHEN 'purchase' THEN 'READY' WHEN 'error' THEN 'ERROR' END"
 
 
@@ -262,6 +329,12 @@ def mu01(spark, d):
     return logged(spark, d).groupBy("session_id").agg(F.min("ts").alias("created_at"), F.max("ts").alias("last_active"), F.count_if(F.col("event_type") != "error").alias("kept"))
 
 
+@query("mu01_messages_after_aborts", sql("SELECT session_id, event_id, event_type FROM (SELECT *, coalesce(last_value(CASE WHEN event_type IN ('error', 'signup') THEN event_type END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'error', false) AS aborted FROM logged) WHERE event_type NOT IN ('error', 'signup') AND NOT (event_type = 'view' AND aborted)", **LOG))
+def mu01_kept(spark, d):
+    """Errors abort, sign-ups start anew, views are the assistant's messages."""
+    return M.kept_messages(logged(spark, d), "session_id", "event_type", "error", "signup", "view", *ORDER).select("session_id", "event_id", "event_type")
+
+
 @query("mu02_topic_hint_upsert", sql("SELECT session_id, turn, content FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS n FROM messages WHERE role = 'user') WHERE n = 1", "messages"))
 def mu02(spark, d):
     return M.latest(messages(spark, d).filter("role = 'user'"), ["session_id"], "turn").select("session_id", "turn", "content")
@@ -282,10 +355,11 @@ def mu05(spark, d):
 _PAGE = "coalesce(try_cast(page AS INTEGER)::VARCHAR, '?')"
 
 
-@query("pj04_context_text", sql(f"SELECT company_document_id, string_agg('[Page ' || {_PAGE} || ' | Section: ' || coalesce(section, 'General') || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY row_id) AS context FROM chunk_store WHERE chunk_type = 'parent' GROUP BY 1", "chunk_store"))
+@query("pj04_context_text", sql(f"SELECT company_document_id, string_agg('[Page ' || {_PAGE} || ' | Section: ' || coalesce(section, 'General') || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY row_id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY company_document_id ORDER BY row_id) AS n FROM chunk_store WHERE chunk_type = 'parent') WHERE n <= 8 GROUP BY 1", "chunk_store"))
 def pj04(spark, d):
+    """The first eight table chunks of each document, as many as a prompt takes."""
     rows = chunk_store(spark, d).filter("chunk_type = 'parent'").select("company_document_id", "row_id", E.context_block(F.col("page"), F.col("section"), F.col("content")).alias("block"))
-    return rows.groupBy("company_document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "block"))), lambda b: b.block), "\n\n").alias("context"))
+    return E.context_text(rows, "company_document_id", "row_id", "block")
 
 
 @query("pj05_plain_context", sql("SELECT session_id, string_agg(content, chr(10) || chr(10) ORDER BY turn) FILTER (content <> '') AS context FROM messages GROUP BY 1", "messages"))
@@ -338,6 +412,14 @@ def tg11(spark, d):
     return messages(spark, d).select("session_id", "turn", F.posexplode(F.split("content", "\n")).alias("k", "line"))
 
 
+@query("tg11_carried_lines", sql(f"""SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY k) - 1)::BIGINT AS k, line FROM (SELECT session_id, k, {s_strip('lines[k]')} AS line
+    FROM (SELECT session_id, lines, unnest(range(1, len(lines))) AS k FROM (SELECT session_id, string_split(string_agg(content, '' ORDER BY turn), chr(10)) AS lines FROM messages GROUP BY 1))) WHERE line <> ''""", "messages"))
+def tg11_carried(spark, d):
+    """Lines of each session's stream of messages, carried over from one message to the next."""
+    rows = messages(spark, d).select("session_id", "turn", F.col("content").alias("chunk"))
+    return Q.fold(rows, ["session_id"], [F.col("turn")], Q.LineBuffer, "session_id bigint, k bigint, line string")
+
+
 @query("tg09_debug_snapshot", "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN event_type END AS question, CASE WHEN event_id % 4 <> 0 THEN event_id END AS chunks FROM events")
 def tg09(spark, d):
     saved = F.to_json(F.struct(F.col("event_type").alias("question"), F.col("event_id").alias("chunks")))
@@ -347,6 +429,7 @@ def tg09(spark, d):
 
 
 _SYSTEM = "You answer from documents."
+MODES = {"click": "base", "view": "lite", "purchase": "net"}
 
 
 @query("sc36_prompts", sql(f"""SELECT qid, '<|start_header_id|>system<|end_header_id|>' || chr(10) || {quoted(_SYSTEM)} || chr(10) || chr(10) || CASE WHEN qid % 2 = 0 THEN {quoted(E.STYLES['one_line'])} ELSE {quoted(E.STYLES['short'])} END || chr(10) || '<|eot_id|>'
@@ -356,6 +439,37 @@ def sc36(spark, d):
     return questions(spark, d).select("qid", E.prompt(F.lit(_SYSTEM), style, F.when(F.col("qid") % 3 == 0, "ctx"), F.col("question")).alias("prompt"))
 
 
+_HEAD = lambda role: f"'<|start_header_id|>{role}<|end_header_id|>' || chr(10)"
+
+
+@query("sc36_title_prompts", sql(f"SELECT qid, {_HEAD('system')} || chr(10) || {quoted(E.TITLE_TASK)} || chr(10) || chr(10) || '<|eot_id|>' || {_HEAD('user')} || chr(10) || question || '<|eot_id|>' || {_HEAD('assistant')} AS prompt FROM questions", "questions"))
+def sc36_title(spark, d):
+    return questions(spark, d).select("qid", E.title_prompt(F.col("question")).alias("prompt"))
+
+
+@query("sc36_refine_prompts", sql(f"SELECT qid, {quoted(E.REFINE_TASK)} || chr(10) || chr(10) || 'QUESTION:' || chr(10) || question || chr(10) || chr(10) || 'DRAFT ANSWER:' || chr(10) || 'draft ' || qid || chr(10) || chr(10) || 'REFINED ANSWER:' AS prompt FROM questions", "questions"))
+def sc36_refine(spark, d):
+    return questions(spark, d).select("qid", E.refine_prompt(F.col("question"), F.concat(F.lit("draft "), F.col("qid").cast("string"))).alias("prompt"))
+
+
+@query("sc36_chat_prompts", sql(f"""SELECT qid, {_HEAD('system')} || {quoted(_SYSTEM)} || chr(10) || chr(10) || {quoted(E.STYLES['short'])} || chr(10) || '<|eot_id|>'
+    || CASE qid % 3 WHEN 0 THEN '' WHEN 1 THEN {_HEAD('assistant')} || 'm2<|eot_id|>' || {_HEAD('user')} || 'm3<|eot_id|>' || {_HEAD('assistant')} || 'm4<|eot_id|>' || {_HEAD('user')} || 'm5<|eot_id|>' ELSE {_HEAD('user')} || 'm5<|eot_id|>' END
+    || {_HEAD('user')} || 'CONTEXT:' || chr(10) || {quoted(E.NO_CONTEXT)} || chr(10) || chr(10) || 'QUESTION:' || chr(10) || question || '<|eot_id|>' || {_HEAD('assistant')} AS prompt FROM questions WHERE qid >= 0""", "questions"))
+def sc36_chat(spark, d):
+    """Without history, with more than four messages of it, and with one; of all questions but the fixed phrases."""
+    message = lambda k: F.struct(F.lit("user" if k % 2 else "model").alias("role"), F.lit(f"m{k}").alias("content"))
+    history = F.when(F.col("qid") % 3 == 1, F.array(*map(message, range(1, 6)))).when(F.col("qid") % 3 == 2, F.array(message(5)))
+    none = F.lit(None).cast("string")
+    return questions(spark, d).filter("qid >= 0").select("qid", E.chat_prompt(F.lit(_SYSTEM), E.style_text(none), history, none, F.col("question")).alias("prompt"))
+
+
+@query("sc28_known_model_ids", "SELECT event_id, CASE event_type WHEN 'click' THEN 'base' WHEN 'view' THEN 'lite' WHEN 'purchase' THEN 'net' END AS model FROM events WHERE event_type IN ('click', 'view', 'purchase')")
+def sc28_known(spark, d):
+    """The profile in which an unknown mode is an error: over the known ones."""
+    rows = table(spark, d, "events").filter(F.col("event_type").isin("click", "view", "purchase"))
+    return rows.select("event_id", E.model_id(F.col("event_type"), MODES).alias("model"))
+
+
 @query("sc27_model_routing", sql(f"SELECT qid, CASE WHEN qid % 4 = 0 THEN CASE WHEN qid % 8 = 0 THEN 'net' ELSE 'base' END WHEN qid % 5 = 0 THEN 'base' WHEN {s_words('question')} <= 6 THEN 'lite' ELSE 'base' END AS model FROM questions", "questions"))
 def sc27(spark, d):
     q = F.col("qid")
@@ -364,8 +478,7 @@ def sc27(spark, d):
 
 @query("sc28_model_ids", "SELECT event_id, CASE event_type WHEN 'click' THEN 'base' WHEN 'view' THEN 'lite' WHEN 'purchase' THEN 'net' ELSE 'lite' END AS model FROM events")
 def sc28(spark, d):
-    known = F.create_map(*[F.lit(x) for kv in {"click": "base", "view": "lite", "purchase": "net"}.items() for x in kv])
-    return table(spark, d, "events").select("event_id", F.coalesce(F.element_at(known, F.col("event_type")), F.lit("lite")).alias("model"))
+    return table(spark, d, "events").select("event_id", E.model_id(F.col("event_type"), MODES, "lite").alias("model"))
 
 
 @query("sc29_parse_strategy", """SELECT event_id, CASE WHEN memory > 85 OR cpu > 90 OR mb >= 50 THEN 'serial_stream' WHEN mb < 5 THEN 'in_memory' ELSE 'batched_stream' END AS strategy,
@@ -379,18 +492,18 @@ def sc29(spark, d):
 @query("sc30_retry_delays", "SELECT event_id, event_id % 2 + 1 AS attempt, (400 * 2 ** (event_id % 2))::BIGINT AS delay_ms FROM events")
 def sc30(spark, d):
     a = F.col("event_id") % 2 + 1
-    return table(spark, d, "events").select("event_id", a.alias("attempt"), (F.lit(400) * F.pow(F.lit(2), a - 1)).cast("bigint").alias("delay_ms"))
+    return table(spark, d, "events").select("event_id", a.alias("attempt"), E.retry_delay(a).alias("delay_ms"))
 
 
 @query("sc32_key_provider", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'groq' WHEN 1 THEN 'xai' END AS provider FROM events")
 def sc32(spark, d):
     made = F.concat(F.when(F.col("event_id") % 3 == 0, "gsk_").when(F.col("event_id") % 3 == 1, "xai-").otherwise("key-"), F.col("event_id").cast("string"))
-    return table(spark, d, "events").select("event_id", F.when(made.startswith("gsk_"), "groq").when(made.startswith("xai-"), "xai").alias("provider"))
+    return table(spark, d, "events").select("event_id", E.key_provider(made).alias("provider"))
 
 
 @query("sc35_upload_progress", "SELECT event_id, least((value::DECIMAL(10,2) * 0.4)::DECIMAL(12,4), 40)::DECIMAL(12,4) AS progress FROM events")
 def sc35(spark, d):
-    return table(spark, d, "events").select("event_id", F.least((F.col("value").cast("decimal(10,2)") * F.lit("0.4").cast("decimal(2,1)")).cast("decimal(12,4)"), F.lit(40).cast("decimal(12,4)")).alias("progress"))
+    return table(spark, d, "events").select("event_id", E.upload_progress(F.col("value")).alias("progress"))
 
 
 @query("pj10_error_text", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN event_type || '!' WHEN 2 THEN 'a, b' WHEN 3 THEN 'Server error occurred' ELSE event_type END AS message FROM events")

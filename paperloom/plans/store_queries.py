@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import events as E
+from paperloom.operators import memory as M
 from paperloom.operators import policy as P
 from paperloom.operators.chunking import chunk_elements, table_chunks
 from paperloom.sources import files as S
@@ -349,7 +350,7 @@ def tk06(spark, d):
 
 @query("tk08_clamped_counts", "SELECT event_id, greatest(1, least(event_id - 100, 200)) AS n FROM events")
 def tk08(spark, d):
-    return table(spark, d, "events").select("event_id", F.greatest(F.lit(1), F.least(F.col("event_id") - 100, F.lit(200))).alias("n"))
+    return table(spark, d, "events").select("event_id", M.clamped(F.col("event_id") - 100, 200).alias("n"))
 
 
 @query("sc34_box_points", "SELECT vec_id, round(embedding[2]::DOUBLE * (150.0::DOUBLE / 72), 6)::DECIMAL(12,6) AS y FROM embeddings")
@@ -361,8 +362,8 @@ def sc34(spark, d):
 @query("sc38_net_model", "SELECT event_id, provider, provider || '-' || CASE event_id % 2 WHEN 0 THEN 'rank_1' ELSE 'rank_2' END AS model FROM (SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 'xai' END, CASE WHEN event_id % 5 <> 0 THEN 'groq' END) AS provider FROM events)")
 def sc38(spark, d):
     i = F.col("event_id")
-    provider = F.coalesce(F.when(i % 3 == 0, "xai"), F.when(i % 5 != 0, "groq"))  # an override, else what is kept
-    return table(spark, d, "events").select("event_id", provider.alias("provider"), F.concat(provider, F.lit("-"), F.when(i % 2 == 0, "rank_1").otherwise("rank_2")).alias("model"))
+    provider, model = E.net_model(F.when(i % 3 == 0, "xai"), F.when(i % 5 != 0, "groq"), F.when(i % 2 == 0, "rank_1").otherwise("rank_2"))
+    return table(spark, d, "events").select("event_id", provider.alias("provider"), model.alias("model"))
 
 
 _EPOCHS_OF = "rows_of AS (SELECT user_id AS session_id, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS epoch, event_id, epoch_us(ts)::DOUBLE / 1e6 AS t FROM events)"

@@ -7,6 +7,7 @@ the same state in the state store.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -20,8 +21,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.operators.events import PREFIX, TYPES
 
-# Admitted requests in a trailing window of seconds, and characters of text that are sent at once.
-MOST, SECONDS, FLUSH = 30, 60, 20
+# Admitted requests in a trailing window of seconds, streams at a time, seconds of a cached answer, and characters of text that are sent at once.
+MOST, SECONDS, STREAMS, CACHE_SECONDS, FLUSH = 30, 60, 2, 30, 20
 
 
 def fold(df: DataFrame, keys: list[str], order: list[Column], make: Callable, schema: str) -> DataFrame:
@@ -67,10 +68,16 @@ class Limiter:
     def __init__(self, most: int = MOST, seconds: float = SECONDS, times=()):
         self.most, self.seconds, self.times = most, seconds, deque(times)
 
-    def admit(self, t: float) -> bool:
+    def forget(self, t: float) -> None:
         while self.times and self.times[0] < t - self.seconds:
             self.times.popleft()
-        if len(self.times) >= self.most:
+
+    def full(self) -> bool:
+        return len(self.times) >= self.most
+
+    def admit(self, t: float) -> bool:
+        self.forget(t)
+        if self.full():
             return False
         self.times.append(t)
         return True
@@ -82,6 +89,119 @@ class Limiter:
         return []
 
 
+class Admission:
+    """ST04: a request is admitted if fewer than `most` were in the trailing seconds and fewer than `streams` are running; an admitted one runs until its end.
+
+    Rows have `event_id`, `t` and `until`; a stream that ends at the time of a
+    request is released before it.
+    """
+
+    def __init__(self, most: int = MOST, seconds: float = SECONDS, streams: int = STREAMS):
+        self.limiter, self.streams, self.running = Limiter(most, seconds), streams, []
+
+    def row(self, r: dict) -> list[dict]:
+        while self.running and self.running[0] <= r["t"]:
+            heapq.heappop(self.running)
+        self.limiter.forget(r["t"])
+        reason = "rate" if self.limiter.full() else "streams" if len(self.running) >= self.streams else None
+        if reason is None:
+            self.limiter.admit(r["t"])
+            heapq.heappush(self.running, r["until"])
+        return [{"event_id": r["event_id"], "admitted": reason is None, "reason": reason}]
+
+    def end(self) -> list[dict]:
+        return []
+
+
+class CachedReads:
+    """ST10: reads through a cache that keeps an answer for some seconds from when it was fetched; a forced read always fetches.
+
+    Rows have `event_id`, `t` and `force`.
+    """
+
+    def __init__(self, seconds: float = CACHE_SECONDS):
+        self.seconds, self.fetched = seconds, None
+
+    def row(self, r: dict) -> list[dict]:
+        hit = not r["force"] and self.fetched is not None and r["t"] - self.fetched < self.seconds
+        if not hit:
+            self.fetched = r["t"]
+        return [{"event_id": r["event_id"], "cached": hit}]
+
+    def end(self) -> list[dict]:
+        return []
+
+
+class LineBuffer:
+    """TG11: whole lines of pushed chunks, stripped, without empty ones; what follows the last line's end waits and is never a line by itself."""
+
+    def __init__(self):
+        self.rest, self.n = [], 0
+
+    def row(self, r: dict) -> list[dict]:
+        *whole, last = (r["chunk"] or "").split("\n")
+        out = []
+        for part in whole:
+            line = ("".join(self.rest) + part).strip()
+            self.rest = []
+            if line:
+                out.append({"k": self.n, "line": line})
+                self.n += 1
+        self.rest.append(last)
+        return out
+
+    def end(self) -> list[dict]:
+        return []
+
+
+class SafeStream:
+    """ST06: the frames that a guarded stream passes on, and what is kept of it.
+
+    Rows have `seq`, `chunk`, `aborted` and `failed`. Events pass as they are,
+    but a TEXT event becomes its text and a broken one is dropped; an abort or a
+    failure ends the stream with an ERROR event and nothing is kept. At the end
+    the answer is kept, or a SYSTEM_MESSAGE says that there is none.
+    """
+
+    def __init__(self):
+        self.parts, self.over = [], False
+
+    @staticmethod
+    def _event(kind: str, message: str) -> str:
+        return PREFIX + json.dumps({"type": kind, "message": message}, separators=(",", ":")) + "\n"
+
+    def row(self, r: dict) -> list[dict]:
+        put = lambda kind, value: [{"seq": r["seq"], "kind": kind, "value": value}]
+        if self.over:
+            return []
+        if r["aborted"] or r["failed"]:
+            self.over = True
+            return put("event", self._event("ERROR", "Generation aborted" if r["aborted"] else "Generation failed"))
+        chunk = r["chunk"]
+        if not chunk:
+            return []
+        if not chunk.startswith(PREFIX):
+            self.parts.append(chunk)
+            return put("text", chunk)
+        try:
+            event = json.loads(chunk[len(PREFIX) :])
+            kind = event.get("type")
+        except (ValueError, AttributeError):
+            return []
+        if kind != "TEXT":
+            return put("event", chunk)
+        self.parts.append(event.get("content") or "")
+        return put("text", self.parts[-1])
+
+    def end(self) -> list[dict]:
+        if self.over:
+            return []
+        answer = "".join(self.parts).strip()
+        if answer:
+            return [{"seq": None, "kind": "kept", "value": answer}]
+        return [{"seq": None, "kind": "event", "value": self._event("SYSTEM_MESSAGE", "Model produced no output")}]
+
+
 class FrameParser:
     """ST05: text and event frames of pushed chunks; text waits until it looks whole, none is lost.
 
