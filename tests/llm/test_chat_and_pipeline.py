@@ -1,6 +1,7 @@
 """Operator 6, the pipeline, and the queries' SQL."""
 
 import json
+import os
 import random
 
 import duckdb
@@ -11,6 +12,7 @@ import sentencepiece
 import __spark_entry__
 import corpus_pipeline
 from paperloom.llm import pii, queries, tool_calls
+from paperloom.llm.common import shared_dir
 
 SCHEMAS = {"f": {"type": "object", "required": ["x"], "additionalProperties": False, "properties": {"x": {"type": "integer", "minimum": 1}, "k": {"enum": ["a", "b"]}, "l": {"type": "array", "items": {"type": "string", "minLength": 2}}}}}
 
@@ -134,19 +136,31 @@ def test_stages_keep_columns(spark, sf):
 def test_stages_with_odd_rows(spark, sf, tmp_path):
     """Null ids and texts, repeated rows, a very long text, clashing columns, and empty tables through every stage."""
     long = "lorem ipsum dolor " * 60000
-    rows = [(1, "a b c d", "en", "s", 7, "x"), (1, "a b c d", "en", "s", 7, "x"), (2, None, None, None, None, None), (3, "", "en", "s", 0, "x"), (None, "unique words here", "en", "s", 17, "x"), (4, long, "en", "s", len(long), "x"), (5, "mail joe@site.com", "en", None, 17, "x")]
-    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint, {} string"
-    for odd in ("__key", "fp", "score", "__rows", "keep", "spans"):
-        docs = spark.createDataFrame(rows, columns.format(odd))
-        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-            out = stage(spark, docs, sf)
-            if k < 4:
-                assert out.columns == docs.columns
-            path = str(tmp_path / f"{odd}-{k}")
-            out.write.parquet(path)
-            docs = spark.read.parquet(path)
-        got = docs.collect()
-        assert sorted(r.doc_id or 0 for r in got) == [0, 1, 2, 4, 5]
-    empty = spark.createDataFrame([], columns.format("spans"))
+    clashes = ("__key", "__text", "id", "fp", "n", "score", "__rows", "__rows_", "keep", "spans", "uid", "hash", "component_id", "fingerprint", "n_tokens", "ids_sha256", "y", "toxic")
+    rows = [(1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "unique words here", "en", "s", 17), (4, long, "en", "s", len(long)), (5, "mail joe@site.com", "en", None, 17)]
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in clashes)
+    docs = spark.createDataFrame([(*r, *("x" if r[0] != 2 else None for _ in clashes)) for r in rows], columns)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        if k < 4:
+            assert out.columns == docs.columns
+        path = str(tmp_path / str(k))
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        if k < 4:
+            assert {r[c] for r in docs.filter("doc_id <> 2").collect() for c in clashes} == {"x"}
+    got = docs.collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 2, 4, 5]
+    empty = spark.createDataFrame([], columns)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_pipeline_leaves_its_last_folder_alone(spark, sf, monkeypatch):
+    """Earlier stages' folders are gone when the run is over, and its rows are still there."""
+    made = []
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda s: made.append(shared_dir(s)) or made[-1])
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", lambda s, d, f: d.limit(5)), ("two", lambda s, d, f: d), ("three", lambda s, d, f: d.select("doc_id"))])
+    out = corpus_pipeline.run(spark, sf)
+    left = [os.path.exists(f"{path}-{name}") for path, name in zip(made, ("one", "two", "three"), strict=True)]
+    assert left == [False, False, True] and out.count() == 5
