@@ -279,6 +279,40 @@ def rerank(candidates: DataFrame, k: int = RESULTS, scorer=X.keyword_match_score
     return top(candidates, "qid", k, F.desc("score"), F.col("pos"), F.col("chunk_id"))
 
 
+def searchable(questions: DataFrame) -> Column:
+    """FL03: whether a question can be searched for by keywords: it has some, and an identity."""
+    return (F.size(X.extract_keywords(F.col("question"))) > 0) & F.col("company_document_id").isNotNull()
+
+
+def restored_hits(used: DataFrame, store: DataFrame) -> DataFrame:
+    """JN03: chunks that sessions have used (session_id, row_id), as hits with a full score before all others."""
+    return used.distinct().join(store.select("row_id", "chunk_id"), "row_id").select("session_id", "chunk_id", F.lit(1.0).alias("score"), F.lit(-1).alias("rank"))
+
+
+def restored_first(restored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """SO02: restored chunks before new hits (session_id, chunk_id, pos), each chunk once."""
+    old = restored.select("session_id", "chunk_id", F.lit(-1).alias("pos"), F.lit("restored").alias("origin")).distinct()
+    new = fresh.select("session_id", "chunk_id", F.col("pos").cast("int").alias("pos"), F.lit("new").alias("origin"))
+    return old.unionByName(new).groupBy("session_id", "chunk_id").agg(F.min("pos").alias("pos"), F.min_by("origin", "pos").alias("origin"))
+
+
+def source_list(rows: DataFrame) -> DataFrame:
+    """PJ03: the sources of an answer: file, page and revision."""
+    number = lambda c: F.expr(f"try_cast({c} AS int)")
+    return rows.select("row_id", "chunk_id", F.coalesce(F.concat("company_document_id", F.lit(".pdf")), F.lit("Unknown")).alias("file_name"), F.coalesce(number("page"), F.lit(1)).alias("page"), number("revision_number").alias("revision"))
+
+
+def squared_norm(v: Column) -> Column:
+    """SC25: the squared length of a vector, in double precision."""
+    return F.aggregate(F.transform(v, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+
+
+def of_latest_rank(rows: DataFrame) -> DataFrame:
+    """WN03: the rows of the greatest revision of each document, by rank."""
+    w = Window.partitionBy("company_document_id").orderBy(F.expr("try_cast(revision_number AS int)").desc())
+    return rows.withColumn("r", F.rank().over(w)).filter("r = 1").drop("r")
+
+
 def resolve_parents(hits: DataFrame, store: DataFrame, profile: str = "documented") -> DataFrame:
     """JN02/FL13/TK06: child rows are replaced by their table, once each, behind all other hits; parents have score 0.
 

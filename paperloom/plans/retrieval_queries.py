@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as X
 from paperloom.operators import confidence as K
 from paperloom.operators import retrieval as R
+from paperloom.sources import store as T
 
 from .bindings import chunk_store, retrieved, revisions, sql, table, vectors
 from .registry import query
@@ -64,7 +65,7 @@ def tk02_latest(spark, d):
 @query("sc25_normalize_vectors", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4)::DECIMAL(12,4) AS norm2, len(embedding)::INTEGER AS n FROM embeddings")
 def sc25(spark, d):
     v = table(spark, d, "embeddings")
-    return v.select("vec_id", R.rounded(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("norm2"), F.size("embedding").alias("n"))
+    return v.select("vec_id", R.rounded(R.squared_norm(F.col("embedding")), 4).alias("norm2"), F.size("embedding").alias("n"))
 
 
 @query("sc26_neighbour_similarity", f"SELECT q.vec_id, round({COS.format(a='q.embedding', b='s.embedding')}, 6)::DECIMAL(12,6) AS score FROM embeddings q JOIN embeddings s ON s.vec_id = q.vec_id + 1")
@@ -76,10 +77,7 @@ def sc26(spark, d):
 
 @query("wn03_latest_revision", sql("SELECT company_document_id, revision_number FROM (SELECT *, rank() OVER (PARTITION BY company_document_id ORDER BY try_cast(revision_number AS INTEGER) DESC) AS r FROM revisions) WHERE r = 1", "revisions"))
 def wn03(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("company_document_id").orderBy(F.expr("try_cast(revision_number AS int)").desc())
-    return revisions(spark, d).withColumn("r", F.rank().over(w)).filter("r = 1").drop("r")
+    return R.of_latest_rank(revisions(spark, d))
 
 
 @query("ag03_latest_revision", sql("SELECT company_document_id, max(try_cast(revision_number AS INTEGER)) AS latest FROM revisions GROUP BY 1", "revisions"))
@@ -120,21 +118,17 @@ def jn08(spark, d):
 
 @query("fl03_keyword_guard", sql("SELECT qid, len(keywords) > 0 AND company_document_id IS NOT NULL AS searchable FROM kw", "chunk_store", **_KEYWORD))
 def fl03(spark, d):
-    return asked(spark, d).select("qid", ((F.size(X.extract_keywords(F.col("question"))) > 0) & F.col("company_document_id").isNotNull()).alias("searchable"))
+    return asked(spark, d).select("qid", R.searchable(asked(spark, d)).alias("searchable"))
 
 
 @query("fl02_metadata_equality", sql("SELECT chunk_id, row_id FROM chunk_store WHERE company_document_id = 'src3' AND revision_number = '1' AND section = 'en'", "chunk_store"))
 def fl02(spark, d):
-    wanted = {"company_document_id": "src3", "revision_number": 1, "section": "en"}
-    keep = F.lit(True)
-    for k, v in wanted.items():
-        keep = keep & (F.col(k) == F.lit(str(v)))
-    return chunk_store(spark, d).filter(keep).select("chunk_id", "row_id")
+    return T.of_metadata(chunk_store(spark, d), {"company_document_id": "src3", "revision_number": 1, "section": "en"}).select("chunk_id", "row_id")
 
 
 @query("fl06_rows_with_identity", sql("SELECT count(*) AS n FROM chunk_store WHERE chunk_id IS NOT NULL AND chunk_id <> ''", "chunk_store"))
 def fl06(spark, d):
-    return chunk_store(spark, d).filter(F.col("chunk_id").isNotNull() & (F.col("chunk_id") != "")).agg(F.count(F.lit(1)).alias("n"))
+    return T.with_identity(chunk_store(spark, d)).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("pj01_formatted_results", sql("SELECT chunk_id, content, section, chunk_type, coalesce(try_cast(page AS INTEGER), 1) AS page_number, company_document_id || '.pdf' AS source_file FROM chunk_store", "chunk_store"))
@@ -298,12 +292,12 @@ def ag07(spark, d):
 
 @query("tk05_recent_stats", sql("SELECT query_id, rank, created_at FROM retrieved ORDER BY created_at DESC, rank DESC LIMIT 100", "retrieved"))
 def tk05(spark, d):
-    return retrieved(spark, d).select("query_id", "rank", "created_at").orderBy(F.desc("created_at"), F.desc("rank")).limit(100)
+    return T.recent(retrieved(spark, d).select("query_id", "rank", "created_at"), 100, "created_at", "rank")
 
 
 @query("so03_content_dedupe", sql("SELECT md5(content) AS h, min(row_id) AS row_id FROM chunk_store GROUP BY 1", "chunk_store"))
 def so03(spark, d):
-    return chunk_store(spark, d).groupBy(F.md5("content").alias("h")).agg(F.min("row_id").alias("row_id"))
+    return T.by_content(chunk_store(spark, d))
 
 
 @query("so07_keyword_dedupe", sql(f"SELECT qid, len({s_keywords('question')})::INTEGER AS n_keywords, len(list_filter(regexp_extract_all(lower(question), '[a-z0-9\\-.]+'), lambda x: len(x) >= 3 AND NOT {s_in('x', X.STOP_TOKENS)}))::INTEGER AS n_tokens FROM asked", asked=_ASKED))

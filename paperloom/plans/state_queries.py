@@ -6,8 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
+from paperloom.operators import chats as C
 from paperloom.operators import events as E
+from paperloom.operators import jobs as J
 from paperloom.operators import memory as M
+from paperloom.operators import retrieval as R
 from paperloom.streaming import processors as Q
 
 from .bindings import chunk_store, messages, questions, quoted, sql, table
@@ -78,18 +81,17 @@ def wn12(spark, d):
 
 @query("wn14_title_messages", sql("SELECT session_id, min(turn) AS turn FROM messages WHERE role = 'user' GROUP BY 1", "messages"))
 def wn14(spark, d):
-    return M.numbered(messages(spark, d).filter("role = 'user'"), ["session_id"], F.col("turn")).filter("n = 1").select("session_id", "turn")
+    return C.title_messages(messages(spark, d)).select("session_id", "turn")
 
 
 @query("wn15_last_assistant_message", sql("SELECT session_id, turn, role = 'assistant' AND turn = max(turn) FILTER (role = 'assistant') OVER (PARTITION BY session_id) AS is_last FROM messages", "messages").replace("AS is_last", "AS is_last"))
 def wn15(spark, d):
-    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy("session_id"))
-    return messages(spark, d).select("session_id", "turn", F.when(F.col("role") == "assistant", F.col("turn") == last).otherwise(False).alias("is_last"))
+    return C.marked_last(messages(spark, d)).select("session_id", "turn", "is_last")
 
 
 @query("fl11_last_user_texts", sql("SELECT session_id, array_to_string(list_slice(list(content ORDER BY turn), -3, -1), chr(10)) AS texts FROM messages WHERE role = 'user' GROUP BY 1", "messages"))
 def fl11(spark, d):
-    return M.last_user_messages(messages(spark, d), 3).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "content"))), lambda m: m.content), "\n").alias("texts"))
+    return C.last_user_texts(messages(spark, d))
 
 
 @query("fl12_chat_search", sql("SELECT session_id FROM messages GROUP BY 1 HAVING bool_or(role <> 'system' AND contains(lower(content), 'thing'))", "messages"))
@@ -109,7 +111,7 @@ def fl12_titles(spark, d):
 
 @query("ag17_session_counts", sql("SELECT session_id, count(*) AS n_messages, count(DISTINCT role) AS n_roles FROM messages GROUP BY 1", "messages"))
 def ag17(spark, d):
-    return messages(spark, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_messages"), F.countDistinct("role").alias("n_roles"))
+    return C.session_counts(messages(spark, d))
 
 
 _TOKENS = "SELECT session_id, CASE session_id % 3 WHEN 0 THEN 'groq' WHEN 1 THEN 'xai' ELSE 'none' END AS provider, sum(ceil(length(content) / 4.0))::BIGINT AS tokens FROM messages GROUP BY ALL"
@@ -124,8 +126,7 @@ def ag15(spark, d):
 
 @query("ag16_durations", sql("SELECT session_id, date_diff('millisecond', min(ts), max(ts)) AS duration_ms FROM (SELECT session_id, date_trunc('millisecond', ts) AS ts FROM logged) GROUP BY 1", **LOG))
 def ag16(spark, d):
-    ms = lambda c: F.unix_millis(c.cast("timestamp"))
-    return logged(spark, d).groupBy("session_id").agg((ms(F.max("ts")) - ms(F.min("ts"))).alias("duration_ms"))
+    return C.durations(logged(spark, d))
 
 
 @query("st01_ttl_sessions", sql("SELECT session_id, span, min(ts) AS begin, max(ts) AS last_write, count(*) AS writes FROM (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS span FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY session_id ORDER BY ts)) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM logged)) GROUP BY 1, 2", **LOG))
@@ -231,9 +232,7 @@ def _status():
 
 @query("st09_chat_routes", sql(f"SELECT session_id, event_id, CASE status WHEN 'WAIT_FOR_METADATA' THEN 'request_metadata' WHEN 'PROCESSING' THEN 'processing' WHEN 'ERROR' THEN 'failed' WHEN 'READY' THEN 'retrieve' ELSE 'plain_chat' END AS route FROM (SELECT *, last_value({_STATUS} IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS status FROM logged) WHERE event_type = 'click'", **LOG))
 def st09(spark, d):
-    status = F.last(_status(), ignorenulls=True).over(Window.partitionBy("session_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
-    route = F.when(F.col("status") == "WAIT_FOR_METADATA", "request_metadata").when(F.col("status") == "PROCESSING", "processing").when(F.col("status") == "ERROR", "failed").when(F.col("status") == "READY", "retrieve").otherwise("plain_chat")
-    return logged(spark, d).withColumn("status", status).filter("event_type = 'click'").select("session_id", "event_id", route.alias("route"))
+    return J.routed(logged(spark, d), "session_id", _status(), *ORDER).filter("event_type = 'click'").select("session_id", "event_id", "route")
 
 
 @query("st10_cached_status_windows", sql("SELECT time_bucket(INTERVAL 30 SECONDS, ts) AS begin, count(*) AS n FROM logged GROUP BY 1", **LOG))
@@ -261,26 +260,24 @@ def so04(spark, d):
 
 @query("jn03_used_chunk_restore", sql("SELECT u.session_id, s.chunk_id, 1.0::DOUBLE AS score, -1 AS rank FROM (SELECT DISTINCT session_id, (props::JSON ->> 'k')::BIGINT AS row_id FROM logged) u JOIN chunk_store s ON s.row_id = u.row_id", "chunk_store", **LOG))
 def jn03(spark, d):
-    used = logged(spark, d).select("session_id", F.get_json_object("props", "$.k").cast("bigint").alias("row_id")).distinct()
-    return used.join(chunk_store(spark, d).select("row_id", "chunk_id"), "row_id").select("session_id", "chunk_id", F.lit(1.0).alias("score"), F.lit(-1).alias("rank"))
+    used = logged(spark, d).select("session_id", F.get_json_object("props", "$.k").cast("bigint").alias("row_id"))
+    return R.restored_hits(used, chunk_store(spark, d))
 
 
 @query("so02_restored_first_union", sql("SELECT session_id, chunk_id, min(pos)::INTEGER AS pos, arg_min(origin, pos) AS origin FROM (SELECT session_id, chunk_id, -1 AS pos, 'restored' AS origin FROM restored UNION ALL SELECT session_id, chunk_id, event_id::INTEGER, 'new' FROM fresh) GROUP BY 1, 2", "chunk_store", **LOG, restored="SELECT DISTINCT u.session_id, s.chunk_id FROM logged u JOIN chunk_store s ON s.row_id = (u.props::JSON ->> 'k')::BIGINT", fresh="SELECT u.session_id, s.chunk_id, u.event_id FROM logged u JOIN chunk_store s ON s.row_id = u.event_id % 100"))
 def so02(spark, d):
     store = chunk_store(spark, d).select("row_id", "chunk_id")
-    restored = jn03(spark, d).select("session_id", "chunk_id", F.lit(-1).alias("pos"), F.lit("restored").alias("origin")).distinct()
-    fresh = logged(spark, d).withColumn("row_id", F.col("event_id") % 100).join(store, "row_id").select("session_id", "chunk_id", F.col("event_id").cast("int").alias("pos"), F.lit("new").alias("origin"))
-    return restored.unionByName(fresh).groupBy("session_id", "chunk_id").agg(F.min("pos").alias("pos"), F.min_by("origin", "pos").alias("origin"))
+    fresh = logged(spark, d).withColumn("row_id", F.col("event_id") % 100).join(store, "row_id").select("session_id", "chunk_id", F.col("event_id").alias("pos"))
+    return R.restored_first(jn03(spark, d), fresh)
 
 
 @query("so02_restored_first_union_all_ids", sql("SELECT session_id, chunk_id, min(pos)::INTEGER AS pos, arg_min(origin, pos) AS origin FROM (SELECT session_id, chunk_id, -1 AS pos, 'restored' AS origin FROM restored UNION ALL SELECT session_id, chunk_id, event_id::INTEGER, 'new' FROM fresh) GROUP BY 1, 2", "chunk_store", **LOG, restored="SELECT DISTINCT u.session_id, s.chunk_id FROM logged u JOIN chunk_store s ON s.row_id = (u.props::JSON ->> 'k')::BIGINT", fresh="SELECT u.session_id, s.chunk_id, u.event_id FROM logged u JOIN chunk_store s ON s.row_id = u.event_id % (SELECT max(row_id) + 1 FROM chunk_store)"))
 def so02_all(spark, d):
     """New hits over the whole id range of the store."""
     store = chunk_store(spark, d).select("row_id", "chunk_id")
-    restored = jn03(spark, d).select("session_id", "chunk_id", F.lit(-1).alias("pos"), F.lit("restored").alias("origin")).distinct()
     ids = F.broadcast(store.agg((F.max("row_id") + 1).alias("n_ids")))
-    fresh = logged(spark, d).crossJoin(ids).withColumn("row_id", F.col("event_id") % F.col("n_ids")).join(store, "row_id").select("session_id", "chunk_id", F.col("event_id").cast("int").alias("pos"), F.lit("new").alias("origin"))
-    return restored.unionByName(fresh).groupBy("session_id", "chunk_id").agg(F.min("pos").alias("pos"), F.min_by("origin", "pos").alias("origin"))
+    fresh = logged(spark, d).crossJoin(ids).withColumn("row_id", F.col("event_id") % F.col("n_ids")).join(store, "row_id").select("session_id", "chunk_id", F.col("event_id").alias("pos"))
+    return R.restored_first(jn03(spark, d), fresh)
 
 
 _JOBS = LOG | {
@@ -290,15 +287,14 @@ _JOBS = LOG | {
 
 
 def _latest_status(spark, d):
-    return logged(spark, d).withColumn("status", _status()).filter("status IS NOT NULL").groupBy("session_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+    return J.latest_status(logged(spark, d).withColumn("status", _status()), "session_id", "status", *ORDER)
 
 
 @query("jn04_active_document", sql("SELECT c.customer AS session_id, coalesce(s.status, CASE WHEN o.doc IS NOT NULL THEN 'READY' END) AS status, o.doc AS document FROM (SELECT c_custkey AS customer FROM customer) c LEFT JOIN state s ON s.session_id = c.customer LEFT JOIN (SELECT o_custkey, max(o_orderkey)::VARCHAR AS doc FROM orders GROUP BY 1) o ON o.o_custkey = c.customer", **_JOBS))
 def jn04(spark, d):
     stored = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("session_id")).agg(F.max("o_orderkey").cast("string").alias("document"))
     sessions = table(spark, d, "customer").select(F.col("c_custkey").alias("session_id"))
-    both = sessions.join(_latest_status(spark, d), "session_id", "left").join(stored, "session_id", "left")
-    return both.select("session_id", F.coalesce("status", F.when(F.col("document").isNotNull(), "READY")).alias("status"), "document")
+    return J.active_document(sessions, _latest_status(spark, d), stored)
 
 
 _ASKED = "SELECT CASE WHEN event_id % 2 = 0 THEN 'job-' || event_id ELSE session_id::VARCHAR END AS identifier, event_id AS ask_id FROM logged"
@@ -309,14 +305,12 @@ def jn05(spark, d):
     rows = logged(spark, d)
     jobs = rows.filter("event_type = 'signup'").select(F.concat(F.lit("job-"), F.col("event_id").cast("string")).alias("job_id"), "session_id", "event_id")
     asks = rows.select(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("job-"), F.col("event_id").cast("string"))).otherwise(F.col("session_id").cast("string")).alias("identifier"), F.col("event_id").alias("ask_id"))
-    by_id = jobs.select(F.col("job_id").alias("identifier"), F.col("job_id").alias("own"))
-    by_session = jobs.groupBy(F.col("session_id").cast("string").alias("identifier")).agg(F.max_by("job_id", "event_id").alias("bound"))
-    return asks.join(by_id, "identifier", "left").join(by_session, "identifier", "left").select("ask_id", F.coalesce("own", "bound").alias("job_id"))
+    return J.resolve_jobs(asks, jobs).select("ask_id", "job_id")
 
 
 @query("pj09_job_status_summary", sql("SELECT status, count(*) AS n FROM state GROUP BY 1", **_JOBS))
 def pj09(spark, d):
-    return _latest_status(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return J.status_summary(_latest_status(spark, d))
 
 
 @query("rd01_last_topic_reads", sql("SELECT c_custkey AS session_id, l.event_type AS topic FROM customer LEFT JOIN last l ON l.session_id = c_custkey", **LOG, last=_LAST))
@@ -343,13 +337,13 @@ def mu02(spark, d):
 @query("mu03_active_document_upsert", sql("SELECT session_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS n FROM logged WHERE event_type IN ('purchase', 'error')) WHERE n = 1 AND event_type <> 'error'", **LOG))
 def mu03(spark, d):
     rows = logged(spark, d).filter("event_type IN ('purchase', 'error')")
-    return M.latest(rows, ["session_id"], "ts", "event_id").filter("event_type <> 'error'").select("session_id", "event_id", "value")
+    return J.active_bindings(rows, "session_id", F.col("event_type") == "error", *ORDER).select("session_id", "event_id", "value")
 
 
 @query("mu05_chat_edits", "SELECT conv_id AS id, CASE WHEN conv_id % 7 = 0 THEN 'Renamed' ELSE 'Chat ' || conv_id END AS title, conv_id % 5 = 0 AS pinned FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 11 <> 0")
 def mu05(spark, d):
     chats = table(spark, d, "conversations").select(F.col("conv_id").alias("id")).distinct()
-    return chats.filter(F.col("id") % 11 != 0).select("id", F.when(F.col("id") % 7 == 0, "Renamed").otherwise(F.concat(F.lit("Chat "), F.col("id").cast("string"))).alias("title"), (F.col("id") % 5 == 0).alias("pinned"))
+    return C.edited(chats, F.when(F.col("id") % 7 == 0, "Renamed"), F.col("id") % 5 == 0, F.col("id") % 11 == 0)
 
 
 _PAGE = "coalesce(try_cast(page AS INTEGER)::VARCHAR, '?')"
@@ -369,14 +363,14 @@ def pj05(spark, d):
 
 @query("pj03_source_list", sql("SELECT row_id, chunk_id, coalesce(company_document_id || '.pdf', 'Unknown') AS file_name, coalesce(try_cast(page AS INTEGER), 1) AS page, try_cast(revision_number AS INTEGER) AS revision FROM chunk_store", "chunk_store"))
 def pj03(spark, d):
-    return chunk_store(spark, d).select("row_id", "chunk_id", F.coalesce(F.concat("company_document_id", F.lit(".pdf")), F.lit("Unknown")).alias("file_name"), F.coalesce(F.expr("try_cast(page AS int)"), F.lit(1)).alias("page"), F.expr("try_cast(revision_number AS int)").alias("revision"))
+    return R.source_list(chunk_store(spark, d))
 
 
 @query("pj06_chat_normaliser", sql("SELECT session_id, turn, coalesce(role, 'assistant') AS role, CASE turn % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'done' WHEN 2 THEN 'done' ELSE 'error' END AS status, content FROM messages", "messages"))
 def pj06(spark, d):
     raw = F.when(F.col("turn") % 4 == 0, "typing").when(F.col("turn") % 4 == 1, "streaming").when(F.col("turn") % 4 == 3, "error")
-    status = F.when(raw.isin("typing", "streaming"), "done").otherwise(F.coalesce(raw, F.lit("done")))
-    return messages(spark, d).select("session_id", "turn", F.coalesce("role", F.lit("assistant")).alias("role"), status.alias("status"), F.coalesce("content", F.lit("")).alias("content"))
+    role, status, content = C.normalised(F.col("role"), raw, F.col("content"))
+    return messages(spark, d).select("session_id", "turn", role.alias("role"), status.alias("status"), content.alias("content"))
 
 
 _EVENTS_SQL = """SELECT event_id, CASE event_id % 3
@@ -424,7 +418,7 @@ def tg11_carried(spark, d):
 def tg09(spark, d):
     saved = F.to_json(F.struct(F.col("event_type").alias("question"), F.col("event_id").alias("chunks")))
     stored = F.when(F.col("event_id") % 4 == 0, F.substring(saved, 1, 9)).otherwise(saved)
-    back = F.from_json(stored, "question string, chunks bigint", {"mode": "PERMISSIVE"})
+    back = J.debug_snapshot(stored, "question string, chunks bigint")
     return table(spark, d, "events").select("event_id", back.alias("b")).select("event_id", "b.question", "b.chunks")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom.operators import chats as C
 from paperloom.operators import events as E
+from paperloom.operators import jobs as J
 from paperloom.operators import memory as M
 from paperloom.operators import policy as P
 from paperloom.operators.chunking import chunk_elements, table_chunks
@@ -35,7 +37,7 @@ def io06(spark, d):
 
 @query("io10_guarded_rows", sql("SELECT row_id FROM chunk_store WHERE section <> '' AND page IS NOT NULL", "chunk_store"))
 def io10(spark, d):
-    return chunk_store(spark, d).filter((F.col("section") != "") & F.col("page").isNotNull()).select("row_id")
+    return T.guarded(chunk_store(spark, d), "section", "page").select("row_id")
 
 
 @query("io07_html_tables", "SELECT r_regionkey, '| key | name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS grid FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
@@ -109,7 +111,7 @@ def fl08(spark, d):
 def fl09(spark, d):
     dup = table(spark, d, "labels").select(F.col("doc_id").alias("event_id")).distinct().withColumn("dup", F.lit(True))
     rows = _fields(spark, d).join(dup, "event_id", "left")
-    return rows.select("event_id", F.array_join(F.array_union(T.missing_fields(F.col("fields")), F.when(F.col("dup"), F.array(F.lit("revision_code"))).otherwise(F.array().cast("array<string>"))), ",").alias("missing"))
+    return rows.select("event_id", F.array_join(T.with_duplicate(T.missing_fields(F.col("fields")), F.col("dup")), ",").alias("missing"))
 
 
 def _maps(spark, d):
@@ -142,20 +144,20 @@ def fl15(spark, d):
 def tk05_feedback(spark, d):
     k = F.col("quality") * 2 + F.col("toxic")
     label = F.when(k == 2, "correct").when(k == 3, "partial").when(k == 0, "incorrect").otherwise("hallucination")
-    return table(spark, d, "labels").select("doc_id", label.alias("label")).orderBy(F.desc("doc_id")).limit(100)
+    return T.recent(table(spark, d, "labels").select("doc_id", label.alias("label")), 100, "doc_id")
 
 
 @query("so05_key_validation", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'company_document_id' ELSE '' END AS forbidden, CASE WHEN event_id % 2 = 0 THEN 'title' ELSE 'note,title' END AS allowed FROM events")
 def so05(spark, d):
     keys = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("title"), F.lit("company_document_id"))).otherwise(F.array(F.lit("title"), F.lit("note")))
-    fixed = F.array(*map(F.lit, T.IMMUTABLE))
-    return table(spark, d, "events").select("event_id", F.array_join(F.array_intersect(keys, fixed), ",").alias("forbidden"), F.array_join(F.array_sort(F.array_except(keys, fixed)), ",").alias("allowed"))
+    forbidden, allowed = T.checked_keys(keys)
+    return table(spark, d, "events").select("event_id", F.array_join(forbidden, ",").alias("forbidden"), F.array_join(allowed, ",").alias("allowed"))
 
 
 @query("so06_remaining_fields", "SELECT event_id, CASE event_type WHEN 'click' THEN 'view,error' WHEN 'view' THEN 'click,error' WHEN 'error' THEN 'click,view' ELSE 'click,view,error' END AS remaining FROM events")
 def so06(spark, d):
     missing = F.array(F.lit("click"), F.lit("view"), F.lit("error"))
-    return table(spark, d, "events").select("event_id", F.array_join(F.filter(missing, lambda f: f != F.col("event_type")), ",").alias("remaining"))
+    return table(spark, d, "events").select("event_id", F.array_join(T.remaining_fields(missing, F.col("event_type")), ",").alias("remaining"))
 
 
 @query("tg06_metadata_merge", sql("SELECT row_id, CASE WHEN company_document_id = 'src3' THEN 'New title' ELSE section END AS title, company_document_id AS doc FROM chunk_store", "chunk_store"))
@@ -167,13 +169,13 @@ def tg06(spark, d):
 
 @query("tg07_job_metadata_update", sql("SELECT session_id, max(event_id) AS last_event, arg_max(event_type, event_id) AS kind FROM logged GROUP BY 1", **LOG))
 def tg07(spark, d):
-    rows = logged(spark, d).groupBy("session_id").agg(F.max_by(F.create_map(F.lit("kind"), F.col("event_type"), F.lit("id"), F.col("event_id").cast("string")), "event_id").alias("m"))
-    return rows.select("session_id", F.element_at("m", "id").cast("bigint").alias("last_event"), F.element_at("m", "kind").alias("kind"))
+    rows = J.last_metadata(logged(spark, d), "session_id", F.create_map(F.lit("kind"), F.col("event_type"), F.lit("id"), F.col("event_id").cast("string")), "event_id")
+    return rows.select("session_id", F.element_at("metadata", "id").cast("bigint").alias("last_event"), F.element_at("metadata", "kind").alias("kind"))
 
 
 @query("tk07_preview", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 3")
 def tk07(spark, d):
-    return table(spark, d, "documents").select("doc_id").orderBy("doc_id").limit(3)
+    return T.preview(table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
 @query("po01_policy_disabled", sql("SELECT row_id, false AS policy_applied, 'policy_disabled' AS policy_reason FROM chunk_store", "chunk_store"))
@@ -307,9 +309,8 @@ def io13(spark, d):
     """Stored chats read back with defaults; a corrupt one is reset (it is gone)."""
     stored = messages(spark, d).groupBy("session_id").agg(F.to_json(F.struct(F.col("session_id").alias("id"), F.collect_list(F.struct("role", "content")).alias("messages"))).alias("json"))
     broken = F.when(F.col("session_id") % 9 == 0, F.substring("json", 1, 5)).otherwise(F.col("json"))
-    chat = F.from_json(broken, "id bigint, title string, model string, pinned boolean, messages array<struct<role:string,content:string>>")
-    rows = stored.select(chat.alias("c")).filter("c.id IS NOT NULL")
-    return rows.select("c.id", F.coalesce("c.title", F.lit("")).alias("title"), F.coalesce("c.model", F.lit("base")).alias("model"), F.coalesce("c.pinned", F.lit(False)).alias("pinned"), F.size("c.messages").alias("n_messages"))
+    rows = stored.select(C.stored_chats(broken).alias("c")).filter("c IS NOT NULL")
+    return rows.select("c.id", "c.title", "c.model", "c.pinned", F.size("c.messages").alias("n_messages"))
 
 
 @query("io14_truncated_store", "SELECT 0::BIGINT AS n")
@@ -333,9 +334,7 @@ _PARENTS = "SELECT c.row_id, p.row_id AS parent_row FROM chunk_store c LEFT JOIN
 
 
 def _parents(spark, d):
-    store = chunk_store(spark, d)
-    parents = store.filter("chunk_type = 'parent'").groupBy(F.col("table_id").alias("parent_id")).agg(F.min("row_id").alias("parent_row"))
-    return store.filter("chunk_type = 'child'").join(parents, "parent_id", "left").select("row_id", "parent_row")
+    return T.parents_of(chunk_store(spark, d))
 
 
 @query("fl13_parent_predicate", sql(f"SELECT * FROM ({_PARENTS}) WHERE parent_row IS NOT NULL", "chunk_store"))

@@ -41,6 +41,64 @@ def overwrite_revision(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*IMMUTABLE).parquet(path)
 
 
+def of_metadata(rows: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """FL02: the rows of which all the given columns equal the given values as texts."""
+    keep = F.lit(True)
+    for k, v in wanted.items():
+        keep = keep & (F.col(k) == F.lit(str(v)))
+    return rows.filter(keep)
+
+
+def with_identity(rows: DataFrame) -> DataFrame:
+    """FL06: the rows with a chunk id."""
+    return rows.filter(F.col("chunk_id").isNotNull() & (F.col("chunk_id") != ""))
+
+
+def guarded(rows: DataFrame, *required: str) -> DataFrame:
+    """IO10: the rows that have all required values."""
+    keep = F.lit(True)
+    for c in required:
+        keep = keep & F.col(c).isNotNull() & (F.col(c) != "")
+    return rows.filter(keep)
+
+
+def recent(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """TK05/TK07: the last rows by some columns, a bounded report."""
+    return rows.orderBy(*(F.desc(c) for c in by)).limit(most)
+
+
+def preview(rows: DataFrame, by: str, most: int = 3) -> DataFrame:
+    """TK07: the first rows by a column."""
+    return rows.orderBy(by).limit(most)
+
+
+def checked_keys(keys: Column) -> tuple[Column, Column]:
+    """SO05: of the keys of an update those that may not change, and the others in order."""
+    fixed = F.array(*map(F.lit, IMMUTABLE))
+    return F.array_intersect(keys, fixed), F.array_sort(F.array_except(keys, fixed))
+
+
+def remaining_fields(missing: Column, given: Column) -> Column:
+    """SO06: the missing fields but one that was given, in their order."""
+    return F.filter(missing, lambda f: f != given)
+
+
+def with_duplicate(missing: Column, duplicate: Column) -> Column:
+    """FL09: missing fields, and the revision where the document already has it."""
+    return F.array_union(missing, F.when(duplicate, F.array(F.lit("revision_code"))).otherwise(F.array().cast("array<string>")))
+
+
+def by_content(rows: DataFrame) -> DataFrame:
+    """SO03: equal contents once: their hash, and the first row that has them."""
+    return rows.groupBy(F.md5("content").alias("h")).agg(F.min("row_id").alias("row_id"))
+
+
+def parents_of(rows: DataFrame) -> DataFrame:
+    """FL13/TK06: child rows with the first parent row of their table, if there is one."""
+    parents = rows.filter("chunk_type = 'parent'").groupBy(F.col("table_id").alias("parent_id")).agg(F.min("row_id").alias("parent_row"))
+    return rows.filter("chunk_type = 'child'").join(parents, "parent_id", "left").select("row_id", "parent_row")
+
+
 def exists(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """FL04: for each wanted key whether rows have it."""
     known = rows.select(*keys).distinct().withColumn("present", F.lit(True))
@@ -79,11 +137,8 @@ def valid_feedback(session: Column, job: Column, document: Column, label: Column
 
 def append_log(rows: DataFrame, path: str, *required: str) -> bool:
     """IO09/IO10: append telemetry rows that have the required values; a failure is reported, never raised."""
-    keep = F.lit(True)
-    for c in required:
-        keep = keep & F.col(c).isNotNull() & (F.col(c) != "")
     try:
-        rows.filter(keep).write.mode("append").parquet(path)
+        guarded(rows, *required).write.mode("append").parquet(path)
     except Exception:  # telemetry must not break its caller
         return False
     return True
