@@ -18,6 +18,8 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import checkpointed
 
@@ -132,13 +134,13 @@ def calls_of_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 REPLY_SCHEMAS = {"reply": {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}}
 
 
-def peeled(table: pa.Table) -> pa.Table:
-    """One block of open calls after peeling: a call's key is settled when none of its dependencies is open.
+def peeled(block: list[dict]) -> list[dict]:
+    """The open calls of one block after peeling: a call's key is settled when none of its dependencies is open.
 
     Columns: conv_id, block, call_id, turn, k, best (the greatest key that a
     settled dependency asks for), deps (open ones), done.
     """
-    rows = {r["call_id"]: r for r in table.to_pylist()}
+    rows = {r["call_id"]: r for r in block}
     low = -(1 << 63)
     waiting, dependents = {}, {}
     for name, r in rows.items():
@@ -160,11 +162,30 @@ def peeled(table: pa.Table) -> pa.Table:
     out = []
     for r in rows.values():
         (turn, k), hop = r["best"]
-        key = {"turn": None if turn == low else turn, "k": k, "hop": hop}
-        done = r.pop("done", False)
-        out.append(r | {"best": key, "deps": sorted(r["deps"]), "done": done})
-    plain = pa.schema([f if f.name != "deps" else pa.field("deps", pa.list_(pa.string())) for f in table.schema])
-    return pa.Table.from_pylist(out, schema=plain)
+        out.append(r | {"best": {"turn": None if turn == low else turn, "k": k, "hop": hop}, "deps": sorted(r["deps"])})
+    return out
+
+
+def peel_blocks(open_calls: DataFrame, schema: str) -> DataFrame:
+    """`peeled` over every (conv_id, block); a task holds one block at a time."""
+    form = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        block, key, out = [], None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if block and (row["conv_id"], row["block"]) != key:
+                    out += peeled(block)
+                    block = []
+                key = row["conv_id"], row["block"]
+                block.append(row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=form)
+                out = []
+        if block:
+            yield pa.RecordBatch.from_pylist(peeled(block), schema=form)
+
+    return open_calls.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block").mapInArrow(run, schema)
 
 
 def tuple_of(key: dict | None) -> tuple:
@@ -203,7 +224,7 @@ def ordered(calls: DataFrame) -> DataFrame:
     schema = f"conv_id {left.schema['conv_id'].dataType.simpleString()}, block bigint, call_id string, turn bigint, k bigint, best {key}, deps array<string>, done boolean"
     settled = []
     while True:
-        peel = checkpointed(left.groupBy("conv_id", "block").applyInArrow(peeled, schema))
+        peel = checkpointed(peel_blocks(left, schema))
         done, left = peel.filter("done"), peel.filter(~F.col("done"))
         settled.append(done)
         if done.isEmpty() or left.isEmpty():
