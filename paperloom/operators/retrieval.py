@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from bisect import insort
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
@@ -21,8 +19,8 @@ except ModuleNotFoundError:  # keywords are then looked for one by one
 # Fixed values.
 CANDIDATES, RESULTS, KEYWORD_LIMIT = 25, 8, 10
 DETAILED_CANDIDATES, DETAILED_RESULTS = 35, 10
-#: Query vectors, and questions' keywords, that one broadcast block holds.
-QUERY_BLOCK, KEYWORD_BLOCK = 4096, 200_000
+#: Questions that a cell of a search holds, and chunks of one identity from which on it is cut.
+QUERY_BLOCK, HOT = 4096, 16_384
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -44,63 +42,102 @@ def top(df: DataFrame, per: str, k: int, *order: Column, name: str = "rank") ->
 IDENTITY = ("company_document_id", "revision_number")
 
 
-def _blocks(rows: DataFrame, weigh: Callable[[Row], int], limit: int) -> Iterator[list[Row]]:
-    """The rows of a stated query set in blocks of about `limit` weight; the driver holds one at a time."""
-    block, size = [], 0
-    for row in rows.toLocalIterator():
-        block.append(row)
-        size += weigh(row)
-        if size >= limit:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _cells(asking: DataFrame, store: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Both sides of a search, exchanged into cells that a task can work through one after the other.
+
+    A cell is an identity (`keys`), a salt and a block: identities with many
+    chunks are cut into salts, and those with many questions into blocks; the
+    questions of an identity go to all its salts, its chunks to all its blocks.
+    Only identities with over a ten-thousandth of all rows (and HOT or BLOCK)
+    are cut, so their table, which is broadcast, has under 10,000 rows. `asking`
+    has `qid` and `store` has `chunk_id`; rows without them or without a whole
+    identity take no part, and chunks that nobody asks about stay where they
+    are. Each cell's questions come first (`side` 0), then its chunks, shortest
+    first where they have a length `n`. Nothing runs until the result is read.
+    """
+    asking, store = asking.filter(F.col("qid").isNotNull()), store.filter(F.col("chunk_id").isNotNull())
+
+    def cut(rows: DataFrame, least: int, name: str) -> DataFrame:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("of"))
+        share = F.greatest(F.lit(least), F.expr("cast(total div 10000 as bigint)"))
+        total = counts.agg(F.sum("of").alias("total"))
+        return F.broadcast(counts.join(F.broadcast(total)).filter(F.col("of") > share).select(*keys, F.ceil(F.col("of") / share).cast("int").alias(name)))
+
+    salts, blocks = cut(store.select(*keys), HOT, "salts"), cut(asking.select(*keys), QUERY_BLOCK, "blocks")
+    many = asking.join(salts, list(keys), "left").join(blocks, list(keys), "left")
+    spread = many.withColumn("block", F.pmod(F.xxhash64("qid"), F.coalesce("blocks", F.lit(1))).cast("int")).withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")))
+    asked = spread.drop("salts", "blocks").withColumn("side", F.lit(0))
+    wanted = asked.select(*keys, "salt", "block").distinct()
+    salted = store.join(salts, list(keys), "left").withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    chunks = salted.join(wanted, [*keys, "salt"]).withColumn("side", F.lit(1))
+    cell = [*keys, "salt", "block"]
+    both = asked.unionByName(chunks, allowMissingColumns=True)
+    order = [*cell, "side", *(["n", "chunk_id"] if "n" in both.columns else [])]
+    return both.repartition(*cell).sortWithinPartitions(*order)
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Slices of one cell and one side, each with whether it begins a new cell."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = list(zip(*(batch.column(c).to_pylist() for c in [*cell, "side"]), strict=True))
+        starts = [0, *(k for k in range(1, len(marks)) if marks[k] != marks[k - 1])]
+        for at, to in zip(starts, [*starts[1:], len(marks)], strict=True):
+            yield marks[at][:-1] != last, batch.slice(at, to - at)
+            last = marks[at][:-1]
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return _unit(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1))
 
 
 def _nearest(queries: DataFrame, store: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
     """For queries (qid, keys, vector) the k nearest chunks among those with the same keys.
 
-    The query set is taken in blocks of at most QUERY_BLOCK vectors, each
-    normalised once and broadcast; each task multiplies its chunks with the
-    block and passes on its own k best of each query, so no pair is shuffled.
-    Vectors that are null have no neighbours.
+    Questions and chunks meet in cells (see `_cells`), of which each multiplies
+    its chunks with its questions and passes on the k best of each question, so
+    no pair is shuffled, the store is exchanged once for any number of
+    questions, and the driver sees none. Vectors that are null, empty or hold a
+    null have no neighbours and are none; vectors of different lengths are not
+    compared, so the length is part of the cell. Null qids and chunk ids are
+    passed over.
     """
-    spark, found = store.sparkSession, None
-    source = store.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding", *keys)
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def search(held):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                rows = unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
-                ids = np.array(batch.column(0).to_pylist(), object)
-                groups: dict[tuple, list[int]] = {}
-                for n, key in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True) if keys else [()] * batch.num_rows):
-                    groups.setdefault(key, []).append(n)
-                for key, at in groups.items():
-                    if key not in held.value:
-                        continue
-                    qids, matrix = held.value[key]
-                    by_id = np.array(at)[np.argsort(ids[at], kind="stable")]
-                    sims = np.round(matrix @ rows[by_id].T, 6)
-                    best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, best.shape[1])), pa.array(ids[by_id[best.ravel()]].tolist(), pa.string()), pa.array(np.take_along_axis(sims, best, 1).ravel())], names=["qid", "chunk_id", "score"])
-
-        return source.mapInArrow(run, "qid bigint, chunk_id string, score double")
-
-    for block in _blocks(queries.filter(F.col("vector").isNotNull()).select("qid", "vector", *keys), lambda row: 1, QUERY_BLOCK):
-        groups: dict[tuple, list] = {}
-        for row in block:
-            groups.setdefault(tuple(row[2:]), []).append(row)
-        made = {key: (np.array([r.qid for r in rows], np.int64), unit(np.array([r.vector for r in rows], np.float64))) for key, rows in groups.items() if None not in key}
-        part = search(spark.sparkContext.broadcast(made))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "qid bigint, chunk_id string, score decimal(12,6), rank int")
+    usable = F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull())
+    asking = queries.select("qid", *keys, F.col("vector").cast("array<double>").alias("vector")).filter(usable).withColumn("length", F.size("vector"))
+    chunks = store.select("chunk_id", *keys, F.col("embedding").cast("array<double>").alias("vector")).filter(usable).withColumn("length", F.size("vector"))
+    cell = [*keys, "length"]
+    met = _cells(asking, chunks, tuple(cell)).select(*cell, "salt", "block", "side", F.col("qid").cast("bigint").alias("qid"), "chunk_id", "vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, parts, matrix, least = [], [], None, None
+        for new, rows in _by_cell(batches, [*cell, "salt", "block"]):
+            if new:
+                qids, parts, matrix = [], [], None
+            if not rows.column("side")[0].as_py():
+                qids.append(rows.column("qid").to_numpy())
+                parts.append(_matrix(rows.column("vector")))
+                continue
+            if not parts:
+                continue
+            if matrix is None:
+                matrix, asked, least = np.concatenate(parts), np.concatenate(qids), np.full(sum(map(len, qids)), -2.0)
+            ids = np.array(rows.column("chunk_id").to_pylist(), object)
+            by_id = np.argsort(ids, kind="stable")
+            sims = np.round(matrix @ _matrix(rows.column("vector"))[by_id].T, 6)
+            best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            scores = np.take_along_axis(sims, best, 1)
+            keep = scores >= least[:, None]  # a cell's earlier chunks may already have k better ones
+            if best.shape[1] == k:
+                least = np.maximum(least, scores[:, -1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, best.shape[1])[keep.ravel()]), pa.array(ids[by_id[best[keep]]].tolist(), pa.string()), pa.array(scores[keep])], names=["qid", "chunk_id", "score"])
+
+    found = met.mapInArrow(run, "qid bigint, chunk_id string, score double")
     return top(found.withColumn("score", F.col("score").cast("decimal(12,6)")), "qid", k, F.desc("score"), F.col("chunk_id"))
 
 
@@ -115,26 +152,29 @@ def global_search(queries: DataFrame, store: DataFrame, k: int = 5) -> DataFrame
 
 
 class Keywords:
-    """The keywords of one document's questions, and which questions have each."""
+    """The keywords of a cell's questions, and which questions have each."""
+
+    def __init__(self):
+        self.qids: list[int] = []
+        self.postings: dict[str, list[int]] = {}
+        self.machine = self.asking = None
 
-    def __init__(self, postings: dict[str, list[int]]):
-        self.words = list(postings)
-        self.asking = [np.array(n, np.int64) for n in postings.values()]
-        self.everyone = np.unique(np.concatenate(self.asking))
-        self.machine = None
+    def add(self, qid: int, keywords: list[str]) -> None:
+        for w in keywords:
+            self.postings.setdefault(w, []).append(len(self.qids))
+        self.qids.append(qid)
 
     def asked_by(self, body: str) -> np.ndarray:
-        """The questions of which the text contains a keyword; one pass over the text if the automaton library is there."""
-        if ahocorasick is None:
-            found = [n for w, n in zip(self.words, self.asking, strict=True) if w in body]
-        else:
-            if self.machine is None:
+        """The places of the questions of which the text contains a keyword; one pass over the text if the automaton library is there."""
+        if self.asking is None:
+            self.asking = [np.array(n, np.int64) for n in self.postings.values()]
+            if ahocorasick is not None:
                 self.machine = ahocorasick.Automaton()
-                for k, w in enumerate(self.words):
+                for k, w in enumerate(self.postings):
                     self.machine.add_word(w, k)
                 self.machine.make_automaton()
-            found = [self.asking[k] for k in {k for _, k in self.machine.iter(body)}]
-        return np.unique(np.concatenate(found)) if found else self.everyone[:0]
+        hits = {k for _, k in self.machine.iter(body)} if self.machine is not None else [k for k, w in enumerate(self.postings) if w in body]
+        return np.unique(np.concatenate([self.asking[k] for k in hits])) if hits else np.zeros(0, np.int64)
 
 
 def _asked(questions: DataFrame) -> DataFrame:
@@ -143,114 +183,67 @@ def _asked(questions: DataFrame) -> DataFrame:
     return keyed.filter(F.col("company_document_id").isNotNull() & F.col("revision_number").isNotNull() & (F.size("keywords") > 0)).select("qid", *IDENTITY, "keywords")
 
 
-def _scanned(questions: DataFrame, store: DataFrame, fold: Callable, schema: str) -> DataFrame | None:
-    """Each chunk scanned once for the keywords of all questions about its document, with what `fold` makes of a task's hits.
+def _hits(questions: DataFrame, store: DataFrame, limit: int | None) -> DataFrame:
+    """(qid, chunk_id, n, h) of the `limit` shortest chunks in each cell with one of a question's keywords; without a limit (qid, n), their number.
 
-    The query set is taken in blocks of about KEYWORD_BLOCK keywords, each
-    broadcast; `fold(qids)` gives an object with `want(numbers, n)`,
-    `add(numbers, chunk_id, n, h)` and `rows()`. None without questions.
+    Questions and chunks meet in cells (see `_cells`), so each chunk is read
+    once for all of a block's questions about its document. Chunks without id
+    or content are passed over, as are null qids.
     """
-    spark, found = store.sparkSession, None
-    # length and hash are taken once per chunk; shorter chunks of a batch come first, as they fill the limits
     body = store.select(*IDENTITY, "chunk_id", F.lower("content").alias("body"), F.length("content").cast("bigint").alias("n"), F.md5("content").alias("h")).filter("body IS NOT NULL")
-    names = [c.split(" ")[0] for c in schema.split(", ")]
-
-    def search(held):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, documents = held.value
-            hits, made = fold(qids), {}
-            for batch in batches:
-                document, revision, chunk, text, n, h = (c.to_pylist() for c in batch.columns)
-                for k in np.argsort(np.array(n, np.int64), kind="stable").tolist():
-                    key = document[k], revision[k]
-                    if key not in documents:
-                        continue
-                    if key not in made:
-                        made[key] = Keywords(documents[key])
-                    if hits.want(made[key].everyone, n[k]).any():
-                        numbers = made[key].asked_by(text[k])
-                        hits.add(numbers[hits.want(numbers, n[k])], chunk[k], n[k], h[k])
-            rows = hits.rows()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
-
-        return body.mapInArrow(run, schema)
-
-    for block in _blocks(_asked(questions), lambda row: len(row.keywords), KEYWORD_BLOCK):
-        documents: dict[tuple, dict[str, list[int]]] = {}
-        for number, row in enumerate(block):
-            words = documents.setdefault((row.company_document_id, row.revision_number), {})
-            for w in row.keywords:
-                words.setdefault(w, []).append(number)
-        part = search(spark.sparkContext.broadcast(([row.qid for row in block], documents)))
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-class Shortest:
-    """A task's shortest hits of each question, at most `limit`."""
-
-    def __init__(self, qids: list[int], limit: int):
-        self.qids, self.limit = qids, limit
-        self.best: dict[int, list] = {}
-        self.bound = np.full(len(qids), np.iinfo(np.int64).max)
-
-    def want(self, numbers: np.ndarray, n: int) -> np.ndarray:
-        return self.bound[numbers] >= n
-
-    def add(self, numbers: np.ndarray, chunk_id: str, n: int, h: str) -> None:
-        for q in numbers.tolist():
-            held = self.best.setdefault(q, [])
-            insort(held, (n, chunk_id, h))
-            if len(held) >= self.limit:
-                del held[self.limit :]
-                self.bound[q] = held[-1][0]
-
-    def rows(self) -> list[tuple]:
-        return [(self.qids[q], chunk_id, n, h) for q, held in self.best.items() for n, chunk_id, h in held]
-
-
-class Counted:
-    """A task's number of hits of each question."""
-
-    def __init__(self, qids: list[int]):
-        self.qids, self.n = qids, np.zeros(len(qids), np.int64)
-
-    def want(self, numbers: np.ndarray, n: int) -> np.ndarray:
-        return np.ones(len(numbers), bool)
-
-    def add(self, numbers: np.ndarray, chunk_id: str, n: int, h: str) -> None:
-        self.n[numbers] += 1
-
-    def rows(self) -> list[tuple]:
-        return [(q, n) for q, n in zip(self.qids, self.n.tolist(), strict=True) if n]
+    cell = [*IDENTITY, "salt", "block"]
+    met = _cells(_asked(questions), body, IDENTITY).select(*cell, "side", F.col("qid").cast("bigint").alias("qid"), "keywords", "chunk_id", "body", "n", "h")
+    names = ["qid", "chunk_id", "n", "h"] if limit else ["qid", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, counts, rows = Keywords(), np.zeros(0, np.int64), []
+
+        def close():
+            if limit is None:
+                rows.extend((q, n) for q, n in zip(asked.qids, counts.tolist(), strict=False) if n)
+            out = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)] if rows else []
+            rows.clear()
+            return out
+
+        for new, part in _by_cell(batches, cell):
+            if new:
+                yield from close()
+                asked, counts = Keywords(), np.zeros(0, np.int64)
+            if not part.column("side")[0].as_py():
+                for qid, keywords in zip(part.column("qid").to_pylist(), part.column("keywords").to_pylist(), strict=True):
+                    asked.add(qid, keywords)
+                counts = np.zeros(len(asked.qids), np.int64)
+                continue
+            for chunk, text, n, h in zip(*(part.column(c).to_pylist() for c in ("chunk_id", "body", "n", "h")), strict=True):
+                if limit is not None and (counts >= limit).all():
+                    break  # shorter chunks came first
+                places = asked.asked_by(text)
+                if limit is not None:
+                    places = places[counts[places] < limit]
+                    rows.extend((asked.qids[q], chunk, n, h) for q in places.tolist())
+                counts[places] += 1
+        yield from close()
+
+    return met.mapInArrow(run, "qid bigint, chunk_id string, n bigint, h string" if limit else "qid bigint, n bigint")
 
 
 def keyword_search(questions: DataFrame, store: DataFrame, limit: int = KEYWORD_LIMIT) -> DataFrame:
     """TK03/SO03: chunks of the question's document that contain one of its keywords, shortest first; equal contents once, after the limit.
 
     Questions are (qid, company_document_id, revision_number, question); those
-    without identity or keywords find nothing (FL03). Each chunk is read once
-    for all questions about its document, and a task passes on the `limit`
-    shortest of each question.
+    without identity or keywords find nothing (FL03).
     """
-    hits = _scanned(questions, store, partial(Shortest, limit=limit), "qid bigint, chunk_id string, n bigint, h string")
-    if hits is None:
-        return store.sparkSession.createDataFrame([], "qid bigint, chunk_id string, rank int")
-    best = top(hits, "qid", limit, F.col("n"), F.col("chunk_id"))
+    best = top(_hits(questions, store, limit), "qid", limit, F.col("n"), F.col("chunk_id"))
     return best.withColumn("again", F.row_number().over(Window.partitionBy("qid", "h").orderBy("rank"))).filter("again = 1").select("qid", "chunk_id", "rank")
 
 
 def keyword_counts(questions: DataFrame, store: DataFrame) -> DataFrame:
     """JN08: how many chunks of its document contain one of a question's keywords; questions without any do not appear."""
-    hits = _scanned(questions, store, Counted, "qid bigint, n bigint")
-    if hits is None:
-        return store.sparkSession.createDataFrame([], "qid bigint, n_chunks bigint")
-    return hits.groupBy("qid").agg(F.sum("n").alias("n_chunks"))
+    return _hits(questions, store, None).groupBy("qid").agg(F.sum("n").alias("n_chunks"))
 
 
 def union_hits(vector: DataFrame, keyword: DataFrame, profile: str = "documented") -> DataFrame:
-    """SO01: hits of both kinds once by chunk: at their first place, with their last value.
+    """SO01: hits of both kinds once by chunk: at their first place, with their last value; hits without a chunk id are passed over.
 
     In the "observed" profile keyword hits carry no identity, so the union passes over them (§0.1 Q1).
     """
@@ -258,7 +251,7 @@ def union_hits(vector: DataFrame, keyword: DataFrame, profile: str = "documented
         keyword = keyword.limit(0)
     v = vector.select("qid", "chunk_id", F.col("rank").alias("pos"), F.lit("vector").alias("origin"))
     k = keyword.select("qid", "chunk_id", (F.col("rank") + 1000).alias("pos"), F.lit("keyword").alias("origin"))
-    return v.unionByName(k).groupBy("qid", "chunk_id").agg(F.min("pos").alias("pos"), F.max_by("origin", "pos").alias("origin"))
+    return v.unionByName(k).filter(F.col("chunk_id").isNotNull()).groupBy("qid", "chunk_id").agg(F.min("pos").alias("pos"), F.max_by("origin", "pos").alias("origin"))
 
 
 def candidates(hits: DataFrame, store: DataFrame, questions: DataFrame, scorer=X.keyword_match_score) -> DataFrame:

@@ -83,9 +83,10 @@ def keywords_of(spark, asked):
     return {r.qid: r.k or [] for r in df.select("qid", X.extract_keywords(F.col("question")).alias("k")).collect()}
 
 
-@pytest.mark.parametrize(("block", "automaton"), [(200_000, True), (7, True), (200_000, False)])
-def test_keyword_search(spark, library, monkeypatch, block, automaton):
-    monkeypatch.setattr(R, "KEYWORD_BLOCK", block)
+@pytest.mark.parametrize(("block", "hot", "automaton"), [(4096, 16_384, True), (2, 3, True), (4096, 16_384, False)])
+def test_keyword_search(spark, library, monkeypatch, block, hot, automaton):
+    monkeypatch.setattr(R, "QUERY_BLOCK", block)
+    monkeypatch.setattr(R, "HOT", hot)
     if not automaton:
         monkeypatch.setattr(R, "ahocorasick", None)
     chunks, asked, store, questions = library
@@ -103,11 +104,16 @@ def test_keyword_search(spark, library, monkeypatch, block, automaton):
     assert {tuple(r) for r in R.keyword_search(questions, store).collect()} == want and want
     assert {r.qid: r.n_chunks for r in R.keyword_counts(questions, store).collect()} == counts
     assert R.keyword_search(questions.limit(0), store).count() == 0 and R.keyword_search(questions, store.limit(0)).count() == 0
+    # rows without ids take no part
+    odd = store.unionByName(store.withColumn("chunk_id", F.lit(None).cast("string")))
+    asking = questions.unionByName(questions.withColumn("qid", F.lit(None).cast("bigint")))
+    assert {tuple(r) for r in R.keyword_search(asking, odd).collect()} == want
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_vector_search(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(4096, 16_384), (3, 7)])
+def test_vector_search(spark, monkeypatch, block, hot):
     monkeypatch.setattr(R, "QUERY_BLOCK", block)
+    monkeypatch.setattr(R, "HOT", hot)
     rnd = random.Random(7)
     vector = lambda: [rnd.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]
     chunks = [(f"c{k}", f"d{k % 3}", "1", vector() if k % 13 else None) for k in range(120)]
@@ -128,6 +134,20 @@ def test_vector_search(spark, monkeypatch, block):
     want = set().union(*(best(q, chunks, 3) for q in asked if q[3] is not None))
     assert {(r.qid, r.chunk_id, r["rank"]) for r in R.global_search(queries, store, 3).collect()} == want
     assert R.vector_search(queries.limit(0), store).count() == 0 and R.global_search(queries, store.limit(0)).count() == 0
+    # null ids, vectors with nulls and vectors of another length are passed over, on both sides
+    odd = [(None, "d1", "1", [1.0] * 4), ("x", "d1", "1", [1.0, None, 1.0, 1.0]), ("y", "d1", "1", [1.0] * 3), ("z", "d1", "1", [])]
+    more = store.unionByName(spark.createDataFrame(odd, store.schema))
+    asking = queries.unionByName(spark.createDataFrame([(None, "d1", "1", [1.0] * 4), (60, "d1", "1", [1.0] * 2), (61, "d1", "1", [None] * 4), (62, "d1", "1", [])], queries.schema))
+    assert {(r.qid, r.chunk_id, r["rank"]) for r in R.global_search(asking, more, 3).collect()} == want
+    assert {r.chunk_id for r in R.vector_search(spark.createDataFrame([(63, "d1", "1", [1.0] * 3)], queries.schema), more, 3).collect()} == {"y"}
+
+
+def test_searches_run_nothing_while_planned(spark):
+    """No job before the result is read, whatever the questions, and one pass over the cells."""
+    queries = spark.range(3).selectExpr("id AS qid", "'d' AS company_document_id", "'1' AS revision_number", "if(id < 2, array(1D, raise_error('read')), array(0D, 1D)) AS vector", "'which pump pressure' AS question")
+    chunks = spark.range(9).selectExpr("string(id) AS chunk_id", "'d' AS company_document_id", "'1' AS revision_number", "array(1D, id) AS embedding", "concat('pump ', id) AS content")
+    plans = [R.vector_search(queries, chunks), R.global_search(queries, chunks), R.keyword_search(queries, chunks)]
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for df in plans] == [1, 1, 1]
 
 
 def test_token_plug_in(spark):
