@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
 from paperloom.functions.splitter import split_chunks
+from paperloom.operators.scan import Scan
 
 # Fixed values.
 KEPT = ("Title", "NarrativeText", "Table", "ListItem", "UncategorizedText")
@@ -30,25 +31,29 @@ def discard_breakdown(elements: DataFrame) -> DataFrame:
     return elements.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def sectioned(elements: DataFrame) -> DataFrame:
-    """WN01: number-normalised elements with the last title at or before them; other categories are gone."""
+def sectioned(elements: DataFrame, cut: int | None = None) -> DataFrame:
+    """WN01: number-normalised elements with the last title at or before them; other categories are gone.
+
+    With `cut`, documents of more elements are scanned in segments.
+    """
     kept = elements.filter(F.col("category").isin(*KEPT)).withColumn("text", X.normalize_numbers(F.col("text")))
-    w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    title = F.last(F.when(F.col("category") == "Title", X.strip("text")), ignorenulls=True).over(w)
-    return kept.withColumn("section", F.coalesce(title, F.lit(FIRST_SECTION)))
+    title = F.when(F.col("category") == "Title", X.strip("text"))
+    return Scan(kept, "doc_id", ["seq"], cut).last("section", title).result().withColumn("section", F.coalesce("section", F.lit(FIRST_SECTION)))
 
 
-def flush_groups(elements: DataFrame) -> DataFrame:
+def flush_groups(elements: DataFrame, cut: int | None = None) -> DataFrame:
     """WN02: sectioned elements with the number of the text group they are flushed in.
 
     A group begins at a title or table, behind a table, and behind text that
-    ends in a full stop or colon; a title does not end its own group.
+    ends in a full stop or colon; a title does not end its own group. With
+    `cut`, documents of more elements are scanned in segments.
     """
-    w = Window.partitionBy("doc_id").orderBy("seq")
-    before, text = F.lag("category").over(w), F.lag("text").over(w)
-    ended = (before != "Title") & (text.endswith(".") | text.endswith(":"))
+    before = F.col("before_category")
+    ended = (before != "Title") & F.col("before_ended")
     start = F.col("category").isin("Title", "Table") | before.isNull() | (before == "Table") | ended
-    return sectioned(elements).withColumn("grp", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    scan = Scan(sectioned(elements, cut), "doc_id", ["seq"], cut)
+    scan.lag(before_category=F.col("category"), before_ended=F.col("text").endswith(".") | F.col("text").endswith(":"))
+    return scan.sum("grp", start.cast("int")).result().drop("before_category", "before_ended")
 
 
 def text_groups(elements: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
+from paperloom.operators.scan import Scan
 
 
 def clamp(n: int, most: int) -> int:
@@ -48,11 +49,10 @@ def rewrite_bases(messages: DataFrame, among: int = 3) -> DataFrame:
     return messages.filter("role = 'user'").withColumn("base", F.last(F.when(telling, content), ignorenulls=True).over(w))
 
 
-def epochs(rows: DataFrame, key: str, topic: str, *order: Column) -> DataFrame:
-    """WN10: rows with the number of topic changes before them; what a session has used counts within one epoch."""
-    w = Window.partitionBy(key).orderBy(*order)
-    changed = F.coalesce((F.lag(topic).over(w) != F.col(topic)).cast("int"), F.lit(0))
-    return rows.withColumn("changed", changed).withColumn("epoch", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("changed")
+def epochs(rows: DataFrame, key: str, topic: str, *order: str, cut: int | None = None) -> DataFrame:
+    """WN10: rows with the number of topic changes before them; what a session has used counts within one epoch. With `cut`, longer sessions are scanned in segments."""
+    scan = Scan(rows, key, list(order), cut).lag(before=F.col(topic))
+    return scan.sum("epoch", F.coalesce((F.col("before") != F.col(topic)).cast("int"), F.lit(0))).result().drop("before")
 
 
 def latest(rows: DataFrame, keys: list[str], *by: str) -> DataFrame:
@@ -70,12 +70,11 @@ def trailing_count(rows: DataFrame, key: str, seconds: int, time: str = "ts") ->
     return rows.withColumn("recent", F.count(F.lit(1)).over(w))
 
 
-def ttl_sessions(rows: DataFrame, key: str, seconds: int, time: str = "ts") -> DataFrame:
-    """ST01: spans in which keyed state stays alive: writes that are less than the TTL apart, with their count."""
-    w = Window.partitionBy(key).orderBy(time)
-    gap = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))
-    fresh = F.coalesce((gap >= seconds * 1_000_000).cast("int"), F.lit(1))
-    spans = rows.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def ttl_sessions(rows: DataFrame, key: str, seconds: int, time: str = "ts", cut: int | None = None) -> DataFrame:
+    """ST01: spans in which keyed state stays alive: writes that are less than the TTL apart, with their count. With `cut`, keys of more writes are scanned in segments."""
+    scan = Scan(rows.select(key, time), key, [time], cut).lag(before=F.col(time))
+    gap = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))
+    spans = scan.sum("span", F.coalesce((gap >= seconds * 1_000_000).cast("int"), F.lit(1))).result()
     return spans.groupBy(key, "span").agg(F.min(time).alias("begin"), F.max(time).alias("last_write"), F.count(F.lit(1)).alias("writes"))
 
 

@@ -67,6 +67,12 @@ def wn02(spark, d):
     return C.flush_groups(elements(spark, d)).select("doc_id", "seq", "grp")
 
 
+@query("wn02_flush_groups_in_segments", sql("SELECT doc_id, seq, section, grp FROM grouped", "elements", **_GROUPED))
+def wn02_segments(spark, d):
+    """Sections and groups with documents of over 40 elements cut into segments."""
+    return C.flush_groups(elements(spark, d), cut=40).select("doc_id", "seq", "section", "grp")
+
+
 @query("wn04_group_text_and_page", sql("SELECT doc_id, grp, section, seq, page_number, text AS content FROM j2 WHERE text <> ''", "elements", **_TEXTS))
 def wn04(spark, d):
     return C.text_groups(elements(spark, d))

@@ -66,6 +66,12 @@ def wn10(spark, d):
     return M.epochs(logged(spark, d), "session_id", "event_type", *ORDER).groupBy("session_id", "epoch").agg(F.first("event_type").alias("topic"), F.countDistinct("props").alias("used"))
 
 
+@query("wn10_topic_epochs_in_segments", sql("SELECT session_id, event_id, epoch FROM epochs", **_EPOCHS))
+def wn10_segments(spark, d):
+    """Epochs with sessions of over ten events cut into segments."""
+    return M.epochs(logged(spark, d), "session_id", "event_type", *ORDER, cut=10).select("session_id", "event_id", "epoch")
+
+
 _LAST = "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS n FROM logged) WHERE n = 1"
 
 
@@ -129,11 +135,20 @@ def ag16(spark, d):
     return C.durations(logged(spark, d))
 
 
-@query("st01_ttl_sessions", sql("SELECT session_id, span, min(ts) AS begin, max(ts) AS last_write, count(*) AS writes FROM (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS span FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY session_id ORDER BY ts)) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM logged)) GROUP BY 1, 2", **LOG))
+_TTL_SESSIONS = sql("SELECT session_id, span, min(ts) AS begin, max(ts) AS last_write, count(*) AS writes FROM (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS span FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY session_id ORDER BY ts)) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM logged)) GROUP BY 1, 2", **LOG)
+
+
+@query("st01_ttl_sessions", _TTL_SESSIONS)
 def st01(spark, d):
     return M.ttl_sessions(logged(spark, d), "session_id", 1800)
 
 
+@query("st01_ttl_sessions_in_segments", _TTL_SESSIONS)
+def st01_segments(spark, d):
+    """Spans with sessions of over ten events cut into segments."""
+    return M.ttl_sessions(logged(spark, d), "session_id", 1800, cut=10)
+
+
 @query("st02_abort_flags", sql("SELECT session_id, event_id, coalesce(last_value(CASE WHEN event_type IN ('error', 'signup') THEN event_type END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'error', false) AS aborted, event_type FROM logged QUALIFY event_type NOT IN ('error', 'signup')", **LOG))
 def st02(spark, d):
     return M.abort_flags(logged(spark, d), "session_id", "ts", "event_type", "error", "signup", *ORDER).select("session_id", "event_id", "aborted", "event_type")
