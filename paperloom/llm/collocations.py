@@ -28,8 +28,8 @@ LONGEST, LEAST, TOP, SCALE = 4, 30, 2000, 2_000_000
 COVERED = 80
 #: Keys that are broadcast as they are (8 bytes each), and the bits of the table that is broadcast otherwise (16 MB).
 KEYS_SENT, TABLE_BITS = 1 << 21, 27
-#: Distinct words that a task gathers before it sends their counts.
-WORDS_HELD = 300_000
+#: Distinct words and phrases that a task gathers before it sends their counts, words that are taken at a time, and the bits of a word's number.
+WORDS_HELD, PHRASES_HELD, SLICE, WORD_BITS = 300_000, 1_000_000, 500_000, 21
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z in lower case, every separator as a full stop, a tab as a space.
@@ -133,51 +133,104 @@ def word_counts(source: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word", "key").agg(F.sum("f").alias("f"))
 
 
-def packed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """One number for each pair of small whole numbers, both below 2^31."""
-    return first.astype(np.int64) << 31 | second
-
-
-def phrase_counts(source: DataFrame, size: int, frequent, longer_than: int = 0) -> DataFrame:
+class Numbers(dict):
+    """Small numbers for the words of a language as they come up, 0 for the full stop, and their keys."""
+
+    def __init__(self, lang: str):
+        super().__init__({b".": 0})
+        self.lang, self.keys = lang, [0]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.keys)
+        self.keys.append(word_key(self.lang, word))
+        return n
+
+
+def summed_up(codes: np.ndarray, last: np.ndarray | None, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Distinct pairs of a code and a last word, if there is one, with the sums of their counts (1 each where there are none)."""
+    if last is None and counts is None:
+        codes = np.sort(codes)
+    else:
+        order = np.argsort(codes) if last is None else np.lexsort((codes, last))
+        codes = codes[order]
+        last, counts = (v if v is None else v[order] for v in (last, counts))
+    new = codes[1:] != codes[:-1]
+    starts = np.flatnonzero(np.concatenate(([True], new if last is None else new | (last[1:] != last[:-1])))) if len(codes) else np.zeros(0, np.int64)
+    sums = np.diff(np.append(starts, len(codes))) if counts is None else np.add.reduceat(counts, starts) if len(codes) else counts
+    return codes[starts], None if last is None else last[starts], sums
+
+
+class Gathered:
+    """A task's phrases of a language with their counts, as numbers of its words."""
+
+    def __init__(self, lang: str, size: int):
+        self.table, self.size, self.parts, self.held = Numbers(lang), size, [], 0
+
+    def add(self, number: np.ndarray, at: np.ndarray) -> None:
+        codes = number[at]
+        for k in range(1, min(self.size, 3)):
+            codes = codes << WORD_BITS | number[at + k]
+        self.parts.append(summed_up(codes, number[at + 3] if self.size > 3 else None, None))
+        self.held += len(self.parts[-1][0])
+
+    def full(self, most: int) -> bool:
+        """Whether over `most` distinct phrases are held; they are merged whenever there are twice as many parts of them."""
+        if self.held > 2 * most:
+            self.merge()
+            return self.held > most
+        return False
+
+    def merge(self) -> None:
+        codes, last, counts = (None if p[0] is None else np.concatenate(p) for p in zip(*self.parts, strict=True))
+        self.parts = [summed_up(codes, last, counts)]
+        self.held = len(self.parts[0][0])
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self.merge()
+            (codes, last, counts), keys = self.parts[0], np.array(self.table.keys, np.int64)
+            words = [keys[codes >> WORD_BITS * k & (1 << WORD_BITS) - 1] for k in reversed(range(min(self.size, 3)))] + ([keys[last]] if self.size > 3 else [])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, words), pa.array(counts)], names=[*(f"w{k}" for k in range(self.size)), "f"])
+            self.parts, self.held = [], 0
+
+
+def phrase_counts(source: DataFrame, size: int, frequent) -> DataFrame:
     """(w0, .., f) of the phrases of `size` words of which both parts of `size` - 1 words may be frequent.
 
-    A block's phrases are numbered exactly, pair by pair, so that equal numbers
-    are equal phrases; word keys name the words.
+    A task numbers words as they come up, so phrases of up to three words are
+    exact codes of 63 bits and a fourth word goes beside them; it sends each
+    phrase once for about every PHRASES_HELD distinct ones.
     """
-    names = [f"w{k}" for k in range(size)]
 
     def run(batches):
-        known: dict[str, dict[bytes, int]] = {}
         ask = frequent.value
+        known: dict[str, Gathered] = {}
         for block in blocks(batches):
             for lang, texts in by_language(block):
-                table = known.setdefault(lang, {b".": 0})
                 words = tokens(b".".join(texts))
-                new = set(words) - table.keys()
-                if len(table) + len(new) > WORDS_HELD:
-                    table.clear()
-                    table[b"."] = 0
-                    new = set(words) - table.keys()
-                table.update((w, word_key(lang, w)) for w in new)
-                key = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
-                if len(key) < size:
-                    continue
-                windows = [key[k : len(key) - size + 1 + k] for k in range(size)]
-                inside = np.logical_and.reduce([w != 0 for w in windows])
-                # frequent phrases one word shorter, at each place
-                part = [key[k : len(key) - size + 2 + k] for k in range(size - 1)]
-                may = ask.has(phrase_keys(part))
-                at = np.flatnonzero(inside & may[:-1] & may[1:])
-                if not len(at):
-                    continue
-                _, number = np.unique(key, return_inverse=True)
-                code = number[at]
-                for k in range(1, size):
-                    _, code = np.unique(packed(code, number[at + k]), return_inverse=True)
-                _, first, counts = np.unique(code, return_index=True, return_counts=True)
-                place = at[first]
-                yield pa.RecordBatch.from_arrays([*(pa.array(key[place + k]) for k in range(size)), pa.array(counts.astype(np.int64))], names=[*names, "f"])
+                for first in range(0, len(words), SLICE):
+                    own = known.setdefault(lang, Gathered(lang, size))
+                    part = words[first : first + SLICE + size - 1]
+                    number = np.fromiter(map(own.table.__getitem__, part), np.int64, len(part))
+                    if len(number) >= size:
+                        at = np.flatnonzero(np.logical_and.reduce([number[k : len(number) - size + 1 + k] != 0 for k in range(size)]))
+                        keys = np.array(own.table.keys, np.int64)
+                        if size == 2:
+                            may = ask.has(keys)
+                            at = at[may[number[at]] & may[number[at + 1]]]
+                        else:
+                            for shift in (0, 1):
+                                at = at[ask.has(phrase_keys([keys[number[at + k + shift]] for k in range(size - 1)]))]
+                        if len(at):
+                            own.add(number, at)
+                    if own.full(PHRASES_HELD) or len(own.table) > WORDS_HELD:
+                        yield from own.rows()
+                    if len(own.table) > WORDS_HELD:
+                        del known[lang]
+        for own in known.values():
+            yield from own.rows()
 
+    names = [f"w{k}" for k in range(size)]
     schema = ", ".join(f"{c} bigint" for c in names) + ", f bigint"
     return source.mapInArrow(run, schema).groupBy(*names).agg(F.sum("f").alias("f"))
 

@@ -192,9 +192,12 @@ def brute_collocations(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("sent", [1 << 20, 3])
-def test_collocations(spark, sent):
-    """Keys sent as they are, and as a table of bits; a null language is und; ties go by bytes."""
+@pytest.mark.parametrize(("sent", "held"), [(1 << 20, 1_000_000), (3, 1_000_000), (1 << 20, 12)])
+def test_collocations(spark, monkeypatch, sent, held):
+    """Keys sent as they are, and as a table of bits; counts sent in many parts; a null language is und; ties go by bytes."""
+    monkeypatch.setattr(collocations, "PHRASES_HELD", held)
+    monkeypatch.setattr(collocations, "SLICE", min(held, 500_000))
+    monkeypatch.setattr(collocations, "WORDS_HELD", min(held, 300_000))
     rnd = random.Random(6)
     words = ["New", "york", "CITY", "the", "of", "a", "été", "zwölf", "x'y", "-", " ", "b\x1cc", "\x00"]
     texts = []
