@@ -21,7 +21,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, blocks, bound_batches, checkpointed, join_values
@@ -34,6 +34,8 @@ BUCKET_BITS, PARTS = 22, 64
 MATCHES, ROW_COST, MET_COST, VERIFY_COST = 4, 8.0, 1.0, 0.02
 #: Documents under one shingle that are paired at once; larger groups are first thinned, this many times.
 PAIRED, THINNED = 64, 3
+#: Rows that are counted under one shingle in one task, or twice the mean of a bucket.
+COMMON = 4096
 #: Documents whose ids are broadcast to fetch their texts (40 bytes each); more of them are joined by a shuffle.
 FETCHED = 200_000
 _P, _Q = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -131,8 +133,8 @@ def bucket_counts(parts: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
-def prefix(found: np.ndarray, counts: np.ndarray, noise: float, similar: int = SIMILAR) -> tuple[np.ndarray, int]:
-    """A set's prefix in the order of all shingles, and the matches m that it asks for.
+def prefix(found: np.ndarray, counts: np.ndarray, noise: float, similar: int = SIMILAR) -> tuple[np.ndarray, np.ndarray, int]:
+    """A set's prefix in the order of all shingles, its counts, and the matches m that it asks for.
 
     m is what costs least by estimate: rows of the prefix, rows met under its
     shingles (counts above a bucket's mean), and candidates, of which there are
@@ -147,11 +149,12 @@ def prefix(found: np.ndarray, counts: np.ndarray, noise: float, similar: int = S
     m = np.arange(1, most + 1)
     cost = (spare + m) * ROW_COST + met[spare + m - 1] * (MET_COST + VERIFY_COST * n / m)
     best = int(np.argmin(cost)) + 1
-    return found[order[: spare + best]], best
+    order = order[: spare + best]
+    return found[order], seen[order], best
 
 
 def prefixes(source: DataFrame, size: int, counts, noise: float, similar: int) -> DataFrame:
-    """(d, n, m, prefix) of each document with words."""
+    """(d, m, prefix, seen) of each document with words."""
 
     def run(batches):
         shingler, table = Shingler(size), counts.value
@@ -161,27 +164,33 @@ def prefixes(source: DataFrame, size: int, counts, noise: float, similar: int) -
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([digest(s) for s in sets], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([m for _, m in chosen], pa.int32()),
-                    pa.array([p.view(np.int64) for p, _ in chosen], pa.list_(pa.int64())),
+                    pa.array([m for _, _, m in chosen], pa.int32()),
+                    pa.array([p.view(np.int64) for p, _, _ in chosen], pa.list_(pa.int64())),
+                    pa.array([c for _, c, _ in chosen], pa.list_(pa.int32())),
                 ],
-                names=["d", "n", "m", "prefix"],
+                names=["d", "m", "prefix", "seen"],
             )
 
-    return source.select("text").mapInArrow(run, "d binary, n bigint, m int, prefix array<bigint>")
+    return source.select("text").mapInArrow(run, "d binary, m int, prefix array<bigint>, seen array<int>")
 
 
-def shared_rows(classes: DataFrame, similar: int) -> DataFrame:
+def shared_rows(chosen: DataFrame, classes: DataFrame, similar: int, common: int) -> DataFrame:
     """(token, node, size, m, place, layer, n): prefix rows whose shingle n > 1 sets have in their prefixes.
 
-    `layer` is the least m whose prefix holds the row. Counts come from partial
-    sums, and rows of very common shingles meet them by broadcast, so no
-    shingle's rows meet in one task.
+    `layer` is the least m whose prefix holds the row. A bucket's count is never
+    below that of any shingle in it, so shingles seen at most `common` times have
+    no more rows and are counted where they meet; those of fuller buckets are
+    counted by partial sums, and the rows of very common ones meet their count
+    by broadcast, so no shingle's rows need to fit in one task.
     """
-    rows = classes.select("node", F.col("n").alias("size"), "m", F.posexplode("prefix").alias("place", "token"))
-    many = checkpointed(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    layer = F.greatest(F.lit(1), F.expr(f"place + 1 - size * {100 - similar} div 100")).cast("int")
-    return join_values(rows.withColumn("layer", layer), many, "token")
+    once = chosen.groupBy("d").agg(*(F.first(c).alias(c) for c in ("m", "prefix", "seen")))
+    places = once.join(classes.select("d", "node", F.col("size").cast("int")), "d").select("node", "size", "m", F.posexplode(F.arrays_zip("prefix", "seen")).alias("place", "p"))
+    layer = F.greatest(F.lit(1), F.expr(f"place + 1 - cast(size as bigint) * {100 - similar} div 100")).cast("int")
+    rows = places.select(F.col("p.prefix").alias("token"), "node", "size", "m", "place", layer.alias("layer"), F.col("p.seen").alias("seen"))
+    few = rows.filter(F.col("seen") <= common).drop("seen").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("n > 1")
+    often = rows.filter(F.col("seen") > common).drop("seen")
+    many = checkpointed(often.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    return few.unionByName(join_values(often, many, "token"))
 
 
 def may_link(similar: int) -> str:
@@ -265,9 +274,8 @@ def mixed_groups(rows: DataFrame) -> DataFrame:
     return join_values(rows, checkpointed(groups), "token")
 
 
-def set_links(classes: DataFrame, source: DataFrame, size: int, similar: int, paired: int = PAIRED, thinned: int = THINNED) -> DataFrame:
+def set_links(shared: DataFrame, classes: DataFrame, source: DataFrame, size: int, similar: int, paired: int = PAIRED, thinned: int = THINNED) -> DataFrame:
     """(u, v) links between different sets that join them as all links do."""
-    shared = checkpointed(shared_rows(classes, similar))
     links, roots = None, None
     for turn in range(thinned):
         large = checkpointed(mixed_groups(with_roots(shared.filter(F.col("n") > paired).drop("n"), roots)).filter(F.col("n") > paired).drop("n"))
@@ -308,12 +316,12 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, similar: int = SIMILAR
     first_pass = checkpointed(marks_and_counts(source, size))
     counts = bucket_counts(first_pass.filter("part is not null").select("part", "counts"))
     marks = first_pass.filter("part is null").select("id", "n", "d")
-    sets = marks.filter("n > 0").groupBy("d").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    sets = marks.filter("n > 0").groupBy("d").agg(F.first("n").alias("size"), F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = checkpointed(sets.withColumn("node", F.monotonically_increasing_id()))
     noise = float(counts.mean())
     sent = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
-    chosen = prefixes(source, size, sent, noise, similar).groupBy("d").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("prefix").alias("prefix"))
-    classes = checkpointed(chosen.join(sets, "d").withColumn("node", F.monotonically_increasing_id()))
-    links = set_links(classes, source, size, similar, paired, thinned)
+    shared = checkpointed(shared_rows(prefixes(source, size, sent, noise, similar), classes, similar, max(COMMON, int(2 * noise))))
+    links = set_links(shared, classes, source, size, similar, paired, thinned)
     roots = checkpointed(components(links))
     members = classes.select("node", "d", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))

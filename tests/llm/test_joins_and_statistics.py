@@ -70,9 +70,10 @@ def clustered(rnd, groups, members, words=60):
     return rows
 
 
-@pytest.mark.parametrize(("paired", "thinned"), [(64, 3), (2, 2), (3, 0)])
-def test_jaccard_components(spark, paired, thinned):
-    """Near copies on both sides of the bound, odd rows, and a shared passage, with large groups thinned or not."""
+@pytest.mark.parametrize(("paired", "thinned", "common"), [(64, 3, 4096), (2, 2, 4), (3, 0, 4096)])
+def test_jaccard_components(spark, monkeypatch, paired, thinned, common):
+    """Near copies on both sides of the bound, odd rows, and a shared passage, with large groups thinned or not and shingles counted either way."""
+    monkeypatch.setattr(jaccard_join, "COMMON", common)
     rnd = random.Random(paired)
     texts = clustered(rnd, 6, 8) + clustered(rnd, 2, 20, 25)
     passage = " ".join(f"p{k}" for k in range(40))
@@ -98,7 +99,7 @@ def test_jaccard_prefixes_and_names(spark):
         b = np.unique(np.concatenate((a[: max(1, len(a) - int(rng.integers(0, n // 9 + 1)))], rng.integers(0, 1 << 63, int(rng.integers(0, n // 9 + 1))).astype(np.uint64))))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 80 * (len(a) + len(b) - both):
-            (pa, ma), (pb, mb) = (jaccard_join.prefix(s, counts, noise) for s, noise in ((a, 0.0), (b, float(rng.integers(0, 5000)))))
+            (pa, _, ma), (pb, _, mb) = (jaccard_join.prefix(s, counts, noise) for s, noise in ((a, 0.0), (b, float(rng.integers(0, 5000)))))
             m = min(ma, mb)
             assert len(np.intersect1d(pa[: len(a) // 5 + m], pb[: len(b) // 5 + m])) >= m
             chosen.update((ma, mb))
