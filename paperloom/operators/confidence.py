@@ -97,6 +97,16 @@ def first_distinct(pairs: Column, most: int) -> Column:
     return F.slice(F.array_distinct(F.filter(F.transform(F.array_sort(pairs), lambda p: p.v), lambda v: v.isNotNull() & (v != ""))), 1, most)
 
 
+def statistics_of(few: DataFrame, *keys: str) -> DataFrame:
+    """AG05–AG08: one row for each key of rows (chunk_type, section, n, rank, total, scored, max_score) that are one for each type and section."""
+    pair = lambda c: F.collect_list(F.struct("rank", F.col(c).alias("v")))
+    mean = (F.sum("total") / F.sum("scored")).cast("decimal(20,10)")
+    return few.groupBy(*keys).agg(
+        F.sum("n").cast("int").alias("chunk_count"), F.array_join(first_distinct(pair("chunk_type"), 5), ",").alias("chunk_types"), F.array_join(first_distinct(pair("section"), 10), ",").alias("sections"),
+        F.bround(mean, 4).cast("decimal(10,4)").alias("avg_score"), F.bround(F.max("max_score"), 4).cast("decimal(10,4)").alias("max_score"),
+    )
+
+
 def retrieval_stats(chunks: DataFrame) -> DataFrame:
     """AG05–AG08: one statistics row per query of (query_id, rank, section, chunk_type, score).
 
@@ -104,9 +114,4 @@ def retrieval_stats(chunks: DataFrame) -> DataFrame:
     no list is longer than the distinct ones.
     """
     few = chunks.groupBy("query_id", "chunk_type", "section").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"), F.sum("score").alias("total"), F.count("score").alias("scored"), F.max("score").alias("max_score"))
-    pair = lambda c: F.collect_list(F.struct("rank", F.col(c).alias("v")))
-    mean = (F.sum("total") / F.sum("scored")).cast("decimal(20,10)")
-    return few.groupBy("query_id").agg(
-        F.sum("n").cast("int").alias("chunk_count"), F.array_join(first_distinct(pair("chunk_type"), 5), ",").alias("chunk_types"), F.array_join(first_distinct(pair("section"), 10), ",").alias("sections"),
-        F.bround(mean, 4).cast("decimal(10,4)").alias("avg_score"), F.bround(F.max("max_score"), 4).cast("decimal(10,4)").alias("max_score"),
-    )
+    return statistics_of(few, "query_id")

@@ -12,6 +12,7 @@ from paperloom.operators import jobs as J
 from paperloom.operators import memory as M
 from paperloom.operators import retrieval as R
 from paperloom.streaming import processors as Q
+from paperloom.streaming import stateful as S
 
 from .bindings import chunk_store, messages, questions, quoted, sql, table
 from .registry import query
@@ -154,6 +155,27 @@ def st02(spark, d):
     return M.abort_flags(logged(spark, d), "session_id", "ts", "event_type", "error", "signup", *ORDER).select("session_id", "event_id", "aborted", "event_type")
 
 
+_FLAGS = """WITH RECURSIVE numbered AS (SELECT user_id AS session_id, event_id, epoch_us(ts)::DOUBLE / 1e6 AS t, CASE event_type WHEN 'error' THEN 'abort' WHEN 'signup' THEN 'reset' ELSE 'check' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  r AS (SELECT DISTINCT session_id, NULL::BIGINT AS event_id, 0::BIGINT AS n, NULL::DOUBLE AS flag, 'none' AS action, false AS aborted FROM numbered
+    UNION ALL SELECT session_id, event_id, n, CASE WHEN action = 'abort' OR (action = 'check' AND alive) THEN t + 172800 END, action, alive
+    FROM (SELECT s.*, coalesce(s.t < r.flag, false) AS alive FROM r JOIN numbered s ON s.session_id = r.session_id AND s.n = r.n + 1))
+  SELECT session_id, event_id, aborted FROM r WHERE action = 'check'"""
+
+
+@query("st02_abort_flags_with_ttl", _FLAGS)
+def st02_ttl(spark, d):
+    """Flags that live for two days after the abort or the last check that found them."""
+    rows = logged(spark, d).select("session_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6).alias("t"), S.as_check(F.col("event_type"), "error", "signup").alias("action"))
+    return Q.fold(rows, ["session_id"], [F.col("t"), F.col("event_id")], lambda: Q.AbortFlag(172800), "session_id bigint, event_id bigint, aborted boolean")
+
+
+@query("st06_requests_with_aborts", sql("SELECT a.session_id, a.event_id, a.ts, b.ts AS aborted_at FROM logged a LEFT JOIN logged b ON b.event_type = 'error' AND b.session_id = a.session_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 DAYS WHERE a.event_type = 'click'", **LOG))
+def st06_aborts(spark, d):
+    """Clicks as requests, with the errors of their session in the two days from then on as aborts."""
+    rows = logged(spark, d)
+    return S.requests_with_aborts(rows.filter("event_type = 'click'"), rows.filter("event_type = 'error'"), "2 DAYS")
+
+
 _SPANS = LOG | {"marks": "SELECT session_id, ts AS moment, 1 AS step FROM logged UNION ALL SELECT session_id, ts + to_hours(12), -1 FROM logged"}
 
 

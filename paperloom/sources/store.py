@@ -58,7 +58,7 @@ def guarded(rows: DataFrame, *required: str) -> DataFrame:
     """IO10: the rows that have all required values."""
     keep = F.lit(True)
     for c in required:
-        keep = keep & F.col(c).isNotNull() & (F.col(c) != "")
+        keep = keep & F.col(c).isNotNull() & (F.col(c).cast("string") != "")
     return rows.filter(keep)
 
 

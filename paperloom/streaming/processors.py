@@ -62,9 +62,27 @@ def fold(df: DataFrame, keys: list[str], order: list[Column], make: Callable, sc
     return sorted_rows.mapInArrow(run, made)
 
 
-class Limiter:
+class Processor:
+    """What all processors share: nothing at the end, and a snapshot of the named fields that JSON can hold."""
+
+    fields: tuple[str, ...] = ()
+
+    def end(self) -> list[dict]:
+        return []
+
+    def snapshot(self) -> dict:
+        return {f: list(v) if isinstance(v := getattr(self, f), deque) else v for f in self.fields}
+
+    def restore(self, state: dict) -> None:
+        for f in self.fields:
+            setattr(self, f, deque(state[f]) if isinstance(getattr(self, f), deque) else state[f])
+
+
+class Limiter(Processor):
     """ST03: at most `most` admitted requests in the trailing seconds; rejected ones do not count."""
 
+    fields = ("times",)
+
     def __init__(self, most: int = MOST, seconds: float = SECONDS, times=()):
         self.most, self.seconds, self.times = most, seconds, deque(times)
 
@@ -85,11 +103,7 @@ class Limiter:
     def row(self, r: dict) -> list[dict]:
         return [{"event_id": r["event_id"], "admitted": self.admit(r["t"])}]
 
-    def end(self) -> list[dict]:
-        return []
-
-
-class Admission:
+class Admission(Processor):
     """ST04: a request is admitted if fewer than `most` were in the trailing seconds and fewer than `streams` are running; an admitted one runs until its end.
 
     Rows have `event_id`, `t` and `until`; a stream that ends at the time of a
@@ -99,6 +113,12 @@ class Admission:
     def __init__(self, most: int = MOST, seconds: float = SECONDS, streams: int = STREAMS):
         self.limiter, self.streams, self.running = Limiter(most, seconds), streams, []
 
+    def snapshot(self) -> dict:
+        return {"times": list(self.limiter.times), "running": self.running}
+
+    def restore(self, state: dict) -> None:
+        self.limiter.times, self.running = deque(state["times"]), state["running"]
+
     def row(self, r: dict) -> list[dict]:
         while self.running and self.running[0] <= r["t"]:
             heapq.heappop(self.running)
@@ -109,16 +129,14 @@ class Admission:
             heapq.heappush(self.running, r["until"])
         return [{"event_id": r["event_id"], "admitted": reason is None, "reason": reason}]
 
-    def end(self) -> list[dict]:
-        return []
-
-
-class CachedReads:
+class CachedReads(Processor):
     """ST10: reads through a cache that keeps an answer for some seconds from when it was fetched; a forced read always fetches.
 
     Rows have `event_id`, `t` and `force`.
     """
 
+    fields = ("fetched",)
+
     def __init__(self, seconds: float = CACHE_SECONDS):
         self.seconds, self.fetched = seconds, None
 
@@ -128,13 +146,11 @@ class CachedReads:
             self.fetched = r["t"]
         return [{"event_id": r["event_id"], "cached": hit}]
 
-    def end(self) -> list[dict]:
-        return []
-
-
-class LineBuffer:
+class LineBuffer(Processor):
     """TG11: whole lines of pushed chunks, stripped, without empty ones; what follows the last line's end waits and is never a line by itself."""
 
+    fields = ("rest", "n")
+
     def __init__(self):
         self.rest, self.n = [], 0
 
@@ -150,11 +166,7 @@ class LineBuffer:
         self.rest.append(last)
         return out
 
-    def end(self) -> list[dict]:
-        return []
-
-
-class SafeStream:
+class SafeStream(Processor):
     """ST06: the frames that a guarded stream passes on, and what is kept of it.
 
     Rows have `seq`, `chunk`, `aborted` and `failed`. Events pass as they are,
@@ -163,6 +175,8 @@ class SafeStream:
     the answer is kept, or a SYSTEM_MESSAGE says that there is none.
     """
 
+    fields = ("parts", "over")
+
     def __init__(self):
         self.parts, self.over = [], False
 
@@ -202,12 +216,14 @@ class SafeStream:
         return [{"seq": None, "kind": "event", "value": self._event("SYSTEM_MESSAGE", "Model produced no output")}]
 
 
-class FrameParser:
+class FrameParser(Processor):
     """ST05: text and event frames of pushed chunks; text waits until it looks whole, none is lost.
 
     An event may be split across chunks, its prefix may not.
     """
 
+    fields = ("buffer", "text")
+
     def __init__(self):
         self.buffer = self.text = ""
 
@@ -252,9 +268,11 @@ class FrameParser:
         return [{"seq": None, "kind": k, "value": v} for k, v in self.flush()]
 
 
-class Jobs:
+class Jobs(Processor):
     """ST07: the job of a session: waiting for metadata, processing, ready or error; events that its state forbids are rejected."""
 
+    fields = ("status", "missing", "job")
+
     def __init__(self):
         self.status, self.missing, self.job = None, [], None
 
@@ -285,9 +303,42 @@ class Jobs:
             return out
         return [{"seq": r["seq"], "job_id": self.job, "status": self.status, "accepted": ok}]
 
-    def end(self) -> list[dict]:
+class AbortFlag(Processor):
+    """ST02: a session's abort flag with a time to live: an abort sets it, a check that finds it renews it, a reset or `ttl` seconds without either drop it.
+
+    Rows have `event_id`, `t` and `action`: abort, reset, or anything else, which is a check.
+    """
+
+    fields = ("until",)
+
+    def __init__(self, ttl: float):
+        self.ttl, self.until = ttl, None
+
+    def row(self, r: dict) -> list[dict]:
+        if r["action"] == "reset":
+            self.until = None
+            return []
+        aborted = self.until is not None and r["t"] < self.until
+        if r["action"] == "abort" or aborted:
+            self.until = r["t"] + self.ttl
+        else:
+            self.until = None
+        return [] if r["action"] == "abort" else [{"event_id": r["event_id"], "aborted": aborted}]
+
+
+class LastState(Processor):
+    """Another processor's state after its last row, as one row."""
+
+    def __init__(self, of: Processor):
+        self.of = of
+
+    def row(self, r: dict) -> list[dict]:
+        self.of.row(r)
         return []
 
+    def end(self) -> list[dict]:
+        return [self.of.snapshot()]
+
 
 def limited_stream(requests: DataFrame, key: str = "session_id", most: int = MOST, seconds: int = SECONDS) -> DataFrame:
     """ST03 on a stream of (key, event_id, ts): admitted times are kept per key and expire when a key is silent."""
