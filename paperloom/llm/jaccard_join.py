@@ -6,7 +6,8 @@ keeps of the whole corpus. Documents that link share at least t shingles, and
 if both take the first n - t + m of their own, they share m of these. Every
 document chooses its own m: a longer prefix costs more rows but leaves fewer
 candidates, as each must be met m times; of a pair the smaller m holds. Pairs
-that pass sizes, places and matches are verified on their whole sets.
+that pass sizes, places, matches and bit signatures are verified on their whole
+sets.
 
 Very common shingles would bring about all pairs of a large group of near
 copies. So the members of a large group are first compared with one of them, a
@@ -17,14 +18,15 @@ only at pairs of different components, which loses no link between components.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, blocks, bound_batches, checkpointed, join_values
+from .common import KEPT_CHARS, MEMO_ENTRIES, blocks, bound_batches, checkpointed, join_values
 from .components import components
 
 SIZE, SIMILAR = 5, 80
@@ -34,7 +36,7 @@ BUCKET_BITS, PARTS = 22, 64
 MATCHES, ROW_COST, MET_COST, VERIFY_COST = 4, 8.0, 1.0, 0.02
 #: Documents under one shingle that are paired at once; larger groups are first thinned, this many times.
 PAIRED, THINNED = 64, 3
-#: Rows that are counted under one shingle in one task, or twice the mean of a bucket.
+#: Rows of one shingle that may meet in one task, or twice the mean of a bucket.
 COMMON = 4096
 #: Documents whose ids are broadcast to fetch their texts (40 bytes each); more of them are joined by a shuffle.
 FETCHED = 200_000
@@ -47,25 +49,35 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
+class WordHashes(dict):
+    """Hashes of words as they come up; very long words are not kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= KEPT_CHARS:
+            self[word] = h
+        return h
+
+
 class Shingler:
-    """Sets of shingle hashes of texts, with a memo table over words."""
+    """Sets of shingle hashes of texts, with a table of word hashes that begins anew when it is full."""
 
     def __init__(self, size: int = SIZE):
-        self.size = size
-        self.memo = Memo(lambda words: [xxhash.xxh64_intdigest(w) for w in words])
+        self.size, self.hashes = size, WordHashes()
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its sorted distinct hashes: of all runs of `size` words, or of fewer words as one run."""
         words = [t.encode("utf-8", "replace").lower().split() for t in texts]
-        table = self.memo.of(*words)
-        counts = np.array([len(w) for w in words])
-        flat = np.fromiter((table[w] for ws in words for w in ws), np.uint64, int(counts.sum()))
+        if len(self.hashes) > MEMO_ENTRIES:
+            self.hashes.clear()
+        counts = [len(w) for w in words]
+        flat = np.fromiter(map(self.hashes.__getitem__, chain.from_iterable(words)), np.uint64, sum(counts))
         runs = np.zeros(max(len(flat) - self.size + 1, 0), np.uint64)
         for k in range(self.size):
             runs = runs * _P + flat[k : k + len(runs)] + np.uint64(1)
         runs = _mixed(runs)
         out, at = [], 0
-        for n in counts.tolist():
+        for n in counts:
             if n >= self.size:
                 out.append(np.unique(runs[at : at + n - self.size + 1]))
             elif n:
@@ -79,6 +91,12 @@ class Shingler:
         return out
 
 
+def signature(found: np.ndarray) -> list[int]:
+    """Parities of the hashes in 512 buckets, as eight numbers: two sets differ in at least as many shingles as their signatures in bits."""
+    odd = np.bincount((found & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def digest(found: np.ndarray) -> bytes:
     """16 bytes that stand for a set."""
     return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else b""
@@ -89,7 +107,7 @@ def _texts(block: pa.RecordBatch, column: int) -> list[str]:
 
 
 def marks_and_counts(source: DataFrame, size: int) -> DataFrame:
-    """Rows (id, n, d) of documents, and rows (part, counts) of the bucket counts of a task, in one pass over the texts."""
+    """Rows (id, n, d, bits) of documents, and rows (part, counts) of the bucket counts of a task, in one pass over the texts."""
 
     def run(batches):
         shingler, table = Shingler(size), np.zeros(1 << BUCKET_BITS, np.int32)
@@ -101,18 +119,18 @@ def marks_and_counts(source: DataFrame, size: int) -> DataFrame:
                 np.add.at(table, (np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
             m = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                names=["id", "n", "d", "part", "counts"],
+                [block.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([signature(s) for s in sets], pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                names=["id", "n", "d", "bits", "part", "counts"],
             )
         if kind is not None:
             parts = [zlib.compress(p.tobytes(), 1) for p in np.split(table, PARTS)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(PARTS, kind), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())],
-                names=["id", "n", "d", "part", "counts"],
+                [pa.nulls(PARTS, kind), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.nulls(PARTS, pa.list_(pa.int64())), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())],
+                names=["id", "n", "d", "bits", "part", "counts"],
             )
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n bigint, d binary, part int, counts binary")
+    return source.mapInArrow(run, f"id {kind}, n bigint, d binary, bits array<bigint>, part int, counts binary")
 
 
 def bucket_counts(parts: DataFrame) -> np.ndarray:
@@ -142,7 +160,7 @@ def prefix(found: np.ndarray, counts: np.ndarray, noise: float, similar: int = S
     """
     n = len(found)
     seen = counts[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-    order = np.lexsort((found, seen))
+    order = np.argsort(seen, kind="stable")  # equal counts in the order of the hashes
     spare = n * (100 - similar) // 100  # what a set may lack of any partner's
     most = min(MATCHES, n - spare)
     met = np.cumsum(np.maximum(seen[order[: spare + most]] - noise - 1, 0))
@@ -174,23 +192,50 @@ def prefixes(source: DataFrame, size: int, counts, noise: float, similar: int) -
     return source.select("text").mapInArrow(run, "d binary, m int, prefix array<bigint>, seen array<int>")
 
 
+def repeated(rows: DataFrame) -> DataFrame:
+    """The rows whose token another row has; a task streams through its sorted rows."""
+
+    def run(batches):
+        held = None  # the last row so far, and whether it has been passed on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token = batch.column(0).to_numpy()
+            before = np.concatenate(([held is not None and held[0].column(0)[0].as_py() == token[0]], token[1:] == token[:-1]))
+            keep = before | np.append(before[1:], False)
+            if before[0] and not held[1]:
+                yield held[0]
+            held = batch.slice(batch.num_rows - 1, 1), bool(keep[-1])
+            yield batch.filter(pa.array(keep))
+
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, rows.schema)
+
+
 def shared_rows(chosen: DataFrame, classes: DataFrame, similar: int, common: int) -> DataFrame:
-    """(token, node, size, m, place, layer, n): prefix rows whose shingle n > 1 sets have in their prefixes.
+    """(token, node, size, m, place, layer): prefix rows whose shingle several sets may have in their prefixes.
 
     `layer` is the least m whose prefix holds the row. A bucket's count is never
     below that of any shingle in it, so shingles seen at most `common` times have
-    no more rows and are counted where they meet; those of fuller buckets are
-    counted by partial sums, and the rows of very common ones meet their count
-    by broadcast, so no shingle's rows need to fit in one task.
+    no more rows, and those alone are dropped where they meet; rows of fuller
+    buckets all stay, so no shingle's rows need to meet in one task.
     """
     once = chosen.groupBy("d").agg(*(F.first(c).alias(c) for c in ("m", "prefix", "seen")))
     places = once.join(classes.select("d", "node", F.col("size").cast("int")), "d").select("node", "size", "m", F.posexplode(F.arrays_zip("prefix", "seen")).alias("place", "p"))
     layer = F.greatest(F.lit(1), F.expr(f"place + 1 - cast(size as bigint) * {100 - similar} div 100")).cast("int")
     rows = places.select(F.col("p.prefix").alias("token"), "node", "size", "m", "place", layer.alias("layer"), F.col("p.seen").alias("seen"))
-    few = rows.filter(F.col("seen") <= common).drop("seen").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("n > 1")
-    often = rows.filter(F.col("seen") > common).drop("seen")
-    many = checkpointed(often.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    return few.unionByName(join_values(often, many, "token"))
+    return repeated(rows.filter(F.col("seen") <= common).drop("seen")).unionByName(rows.filter(F.col("seen") > common).drop("seen"))
+
+
+def may_be_near(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
+    """The pairs (u, v) whose sizes and signatures leave room for a link."""
+    for end in ("u", "v"):
+        own = classes.select(F.col("node").alias(end), F.struct("size", "bits").alias(f"_{end}"))
+        many = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
+        pairs = checkpointed(join_values(pairs, checkpointed(many.join(own, end)), end).drop("n"))
+    differ = F.aggregate(F.zip_with("_u.bits", "_v.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # sets of a and b shingles that share c differ in a + b - 2 c, and 100 c >= similar * (a + b - c)
+    total = F.col("_u.size") + F.col("_v.size")
+    return pairs.filter(differ * (100 + similar) <= total * (100 - similar)).select("u", "v")
 
 
 def may_link(similar: int) -> str:
@@ -200,21 +245,22 @@ def may_link(similar: int) -> str:
 
 
 def whole_sets(source: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, found): the whole set, as bytes, of each of `nodes` (node, first, d), from one document that has it."""
+    """(node, found): the whole set, as bytes, of each of `nodes` (node, first, d), once from each task that meets it (a repeated row may be met by several)."""
 
     def run(batches):
-        shingler = Shingler(size)
+        shingler, given = Shingler(size), set()
         for block in blocks(batches, 0):
-            sets = shingler.sets(_texts(block, 0))
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["d", "found"])
+            sets = [(digest(s), s.tobytes()) for s in shingler.sets(_texts(block, 0))]
+            new = dict(item for item in sets if item[0] not in given)
+            given.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], names=["d", "found"])
 
     nodes = checkpointed(nodes)
     few = nodes.count() <= FETCHED
     near = F.broadcast if few else (lambda df: df)
     ids = near(nodes.select(F.col("first").alias("id")).distinct())
     texts = source.alias("s").join(ids.alias("i"), F.expr("s.id <=> i.id"), "left_semi").select("text")
-    found = texts.mapInArrow(run, "d binary, found binary")
-    return found.join(near(nodes.select("node", "d")), "d").groupBy("node").agg(F.first("found").alias("found"))
+    return texts.mapInArrow(run, "d binary, found binary").join(near(nodes.select("node", "d")), "d").select("node", "found")
 
 
 def oriented(pairs: DataFrame) -> DataFrame:
@@ -234,7 +280,7 @@ def verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int,
     of up to 64 salted parts of its partners, where rows are compared in a
     stream.
     """
-    pairs = checkpointed(pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(64)).alias("salt")))
+    pairs = checkpointed(may_be_near(pairs, classes, similar).select("u", "v", F.pmod(F.xxhash64("v"), F.lit(64)).alias("salt")))
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = checkpointed(whole_sets(source, classes.select("node", "first", "d").join(nodes, "node"), size))
     second = pairs.select("u", "salt", F.lit(1).alias("side"), F.col("v").alias("node"))
@@ -278,7 +324,7 @@ def set_links(shared: DataFrame, classes: DataFrame, source: DataFrame, size: in
     """(u, v) links between different sets that join them as all links do."""
     links, roots = None, None
     for turn in range(thinned):
-        large = checkpointed(mixed_groups(with_roots(shared.filter(F.col("n") > paired).drop("n"), roots)).filter(F.col("n") > paired).drop("n"))
+        large = checkpointed(mixed_groups(with_roots(shared, roots)).filter(F.col("n") > paired).drop("n"))
         if large.isEmpty():
             break
         one = F.min_by(F.struct("node", "root", "size", "place"), F.xxhash64("node", F.lit(turn))).alias("a")
@@ -288,8 +334,7 @@ def set_links(shared: DataFrame, classes: DataFrame, source: DataFrame, size: in
         new = checkpointed(verified(pairs, classes, source, size, similar))
         links = new if links is None else links.unionByName(new)
         roots = checkpointed(components(links))
-    rows = with_roots(shared.drop("n"), roots)
-    rows = checkpointed(rows if roots is None else mixed_groups(rows).drop("n"))
+    rows = checkpointed(mixed_groups(with_roots(shared, roots)).drop("n"))
     met = rows.alias("a").join(rows.alias("b"), F.expr(f"a.token = b.token and a.node < b.node and a.root <> b.root and a.layer <= b.m and b.layer <= a.m and {may_link(similar)}"))
     counted = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.least("a.m", "b.m").alias("m")).groupBy("u", "v", "m").agg(F.count(F.lit(1)).alias("matches"))
     last = verified(oriented(counted.filter("matches >= m")), classes, source, size, similar)
@@ -315,8 +360,8 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, similar: int = SIMILAR
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     first_pass = checkpointed(marks_and_counts(source, size))
     counts = bucket_counts(first_pass.filter("part is not null").select("part", "counts"))
-    marks = first_pass.filter("part is null").select("id", "n", "d")
-    sets = marks.filter("n > 0").groupBy("d").agg(F.first("n").alias("size"), F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    marks = first_pass.filter("part is null").select("id", "n", "d", "bits")
+    sets = marks.filter("n > 0").groupBy("d").agg(F.first("n").alias("size"), F.first("bits").alias("bits"), F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = checkpointed(sets.withColumn("node", F.monotonically_increasing_id()))
     noise = float(counts.mean())
     sent = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
@@ -326,6 +371,6 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, similar: int = SIMILAR
     members = classes.select("node", "d", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
     of = checkpointed(members.join(least, "root").select("d", F.col("copies").alias("n"), "component_id"))
-    linked = join_values(marks.filter("n > 0").withColumnRenamed("n", "n_shingles"), of, "d").select("id", "n_shingles", "component_id")
+    linked = join_values(marks.filter("n > 0").select("id", "d", F.col("n").alias("n_shingles")), of, "d").select("id", "n_shingles", "component_id")
     alone = marks.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).withColumnRenamed("id", id_col)
