@@ -35,7 +35,7 @@ BUCKET_BITS, PARTS = 22, 64
 #: The most matches that a document asks for, and the cost of a prefix row, a met row and a verified shingle.
 MATCHES, ROW_COST, MET_COST, VERIFY_COST = 4, 8.0, 1.0, 0.02
 #: Documents under one shingle that are paired at once; larger groups are first thinned, this many times.
-PAIRED, THINNED = 64, 3
+PAIRED, THINNED = 64, 2
 #: Rows of one shingle that may meet in one task, or twice the mean of a bucket.
 COMMON = 4096
 #: Documents whose ids are broadcast to fetch their texts (40 bytes each); more of them are joined by a shuffle.
@@ -226,12 +226,20 @@ def shared_rows(chosen: DataFrame, classes: DataFrame, similar: int, common: int
     return repeated(rows.filter(F.col("seen") <= common).drop("seen")).unionByName(rows.filter(F.col("seen") > common).drop("seen"))
 
 
+def attached(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """`rows` with the one row of `values` for their key: by broadcast if `values` has at most FETCHED rows, else so that no key's rows meet in one task."""
+    if values.count() <= FETCHED:
+        return rows.join(F.broadcast(values), key)
+    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return join_values(rows, checkpointed(many.join(values, key)), key).drop("n")
+
+
 def may_be_near(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
     """The pairs (u, v) whose sizes and signatures leave room for a link."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    own = checkpointed(classes.join(nodes, "node").select("node", F.struct("size", "bits").alias("own")))
     for end in ("u", "v"):
-        own = classes.select(F.col("node").alias(end), F.struct("size", "bits").alias(f"_{end}"))
-        many = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
-        pairs = checkpointed(join_values(pairs, checkpointed(many.join(own, end)), end).drop("n"))
+        pairs = attached(pairs, own.select(F.col("node").alias(end), F.col("own").alias(f"_{end}")), end)
     differ = F.aggregate(F.zip_with("_u.bits", "_v.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     # sets of a and b shingles that share c differ in a + b - 2 c, and 100 c >= similar * (a + b - c)
     total = F.col("_u.size") + F.col("_v.size")
@@ -266,9 +274,9 @@ def whole_sets(source: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 def oriented(pairs: DataFrame) -> DataFrame:
     """The pairs with the member of more pairs as u, so that its set is sent to its partners and not theirs to it."""
     pairs = checkpointed(pairs.select("u", "v"))
-    ends = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("n")))
+    ends = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("times")))
     for end in ("u", "v"):
-        pairs = join_values(pairs, ends.withColumnRenamed("end", end), end).withColumnRenamed("n", f"{end}s")
+        pairs = attached(pairs, ends.select(F.col("end").alias(end), F.col("times").alias(f"{end}s")), end)
     turned = F.col("vs") > F.col("us")
     return pairs.select(F.when(turned, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(turned, F.col("u")).otherwise(F.col("v")).alias("v"))
 
