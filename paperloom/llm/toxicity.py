@@ -5,11 +5,15 @@ buckets' embeddings are averaged and go through a linear softmax of two classes,
 so misspelled and inflected words share the vectors of their n-grams. A document
 is toxic if one of its words is: training takes the noisy-or over its words, so
 only documents need labels, and a document's score is that of its most toxic
-word, which no length of clean text can dilute.
+word, calibrated for the number of its distinct words, so that clean text
+neither hides a toxic word nor adds up to one. Training hides words' own
+buckets, misspells words and adds invented ones, so that the n-grams learn.
 """
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from dataclasses import dataclass
 
@@ -22,7 +26,9 @@ from .common import Memo, crc_mod, map_texts, rewrite_rows
 BUCKET_BITS, SIZE, NGRAMS = 18, 4, (3, 4, 5, 6)
 #: Bounds of the training sample: labelled documents of each class, and characters in all.
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 16_000_000
-EPOCHS, BATCHES, RATE, DECAY, PRIOR = 4, 24, 0.05, 1e-3, -5.0
+EPOCHS, BATCHES, RATE, DECAY, PRIOR = 6, 24, 0.05, 1e-3, -5.0
+#: Shares of a word's occurrences as it is and without its own bucket (the rest is misspelt, in so many ways); invented words; unexplained toxic labels; distinct words that cost nothing.
+PLAIN, HIDDEN, MISSPELT, INVENTED, LEAK, FREE = 0.15, 0.15, 8, 20_000, 0.3, 30
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 
 #: Letters and digits with at least one letter.
@@ -30,8 +36,8 @@ WORD = re.compile(r"\d*[^\W\d_][^\W_]*")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(places of words, buckets) of all words' bags; a word stands between < and >."""
+def subwords(words: list[str], own: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(places of words, buckets) of all words' bags; a word stands between < and >, and is in its own bag only with `own`."""
     marked = [f"<{w}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.array([len(m) for m in marked], np.int64)
@@ -47,7 +53,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             owners.append(owner[at])
             buckets.append((h[at] + np.uint64(n)) * _MIX >> np.uint64(64 - BUCKET_BITS))
     # the word itself, by a sum of its characters with weights of their places
-    if len(words):
+    if len(words) and own:
         place = np.arange(len(codes)) - (ends - sizes)[owner]
         whole = np.add.reduceat(codes * (place.astype(np.uint64) * _MIX | np.uint64(1)), ends - sizes)
         owners.append(np.arange(len(words)))
@@ -55,6 +61,56 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(buckets).astype(np.int64)
 
 
+class Bags:
+    """The bags of many words, one behind the other."""
+
+    def __init__(self, words: list[str], own: bool):
+        counts, buckets = [], []
+        for k in range(0, len(words), 20_000):
+            owner, bucket = subwords(words[k : k + 20_000], own)
+            counts.append(np.bincount(owner, minlength=len(words[k : k + 20_000])))
+            buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        self.counts, self.buckets = np.concatenate(counts), np.concatenate(buckets)
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and buckets of the words' bags."""
+        n = self.counts[words]
+        return n, self.buckets[np.repeat(self.starts[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def misspelt(word: str, rng: random.Random) -> str:
+    """The word with a letter left out, doubled or swapped with the next; a word of one or two letters stays."""
+    if len(word) < 3:
+        return word
+    k, how = rng.randrange(len(word)), rng.randrange(3)
+    if how == 0:
+        return word[:k] + word[k + 1 :]
+    if how == 1:
+        return word[:k] + word[k] + word[k:]
+    k = min(k, len(word) - 2)
+    return word[:k] + word[k + 1] + word[k] + word[k + 2 :]
+
+
+def invented(words: list[str], n: int, rng: random.Random) -> list[str]:
+    """`n` words that stand for all that the sample lacks: half of letters at random, half of letters as they follow one another in the words."""
+    letters = sorted({c for w in words[:50_000] for c in w})
+    follow: dict[str, str] = {}
+    for w in words[:50_000]:
+        for a, b in zip("<" + w, w + ">", strict=True):
+            follow[a] = follow.get(a, "") + b if len(follow.get(a, "")) < 2000 else follow[a]
+    out = []
+    while len(out) < n:
+        if len(out) % 2:
+            out.append("".join(rng.choice(letters if rng.random() < 0.1 else "abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 12))))
+            continue
+        w, c = "", rng.choice(follow["<"])
+        while c != ">" and len(w) < 14:
+            w, c = w + c, rng.choice(follow[c])
+        out.append(w or "a")
+    return out
+
+
 @dataclass
 class Model:
     """A trained model; since averaging and softmax's logit are linear, each bucket's share of the logit is one number."""
@@ -71,20 +127,23 @@ class Model:
 
 
 def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
-    """Fit embeddings and softmax jointly, by Adam on minibatches of documents; every word of the sample takes part."""
+    """Fit embeddings and softmax jointly, by Adam on minibatches of documents; every word of the sample takes part.
+
+    So that n-grams carry the weight and not words by heart, a word's own bucket
+    is hidden in half of its occurrences and a misspelling stands for it in a
+    third; each minibatch also holds invented words, all clean. A share LEAK of
+    the toxic label is left unexplained, as some documents are labelled wrongly.
+    """
     y = np.array(labels, float)
     number: dict[str, int] = {}
     bags = [np.array(sorted({number.setdefault(w, len(number)) for w in WORD.findall(t.lower())}), np.int32) for t in texts]
     if not number or len(set(labels)) < 2:
         return Model(np.zeros(1 << BUCKET_BITS), PRIOR)
-    words, counts, buckets = list(number), [], []
-    for k in range(0, len(words), 20_000):
-        owner, bucket = subwords(words[k : k + 20_000])
-        order = np.argsort(owner, kind="stable")
-        counts.append(np.bincount(owner))
-        buckets.append(bucket[order].astype(np.int32))
-    counts, buckets = np.concatenate(counts), np.concatenate(buckets)
-    ends = np.cumsum(counts)
+    words = list(number)
+    own_rng = random.Random(seed)
+    forms = [Bags(words, True), Bags(words, False), *(Bags([misspelt(w, own_rng) for w in words], False) for _ in range(MISSPELT))]
+    shares = [PLAIN, HIDDEN, *[(1 - PLAIN - HIDDEN) / MISSPELT] * MISSPELT]
+    made = Bags(invented(words, INVENTED, own_rng), True)
     del number, words
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
     rng = np.random.default_rng(seed)
@@ -98,16 +157,23 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
             if not len(word):
                 continue
             doc = np.repeat(np.arange(len(docs)), [len(bags[k]) for k in docs.tolist()])
-            n = counts[word]
+            form = rng.choice(len(forms), len(word), p=shares)
+            order = np.argsort(form, kind="stable")
+            parts = [bags_of.of(word[form == f]) for f, bags_of in enumerate(forms)]
+            parts.append(made.of(rng.integers(0, INVENTED, len(word) // 4 + 1)))
+            n, entry = (np.concatenate(p) for p in zip(*parts, strict=True))
             heads = np.cumsum(n) - n
-            entry = buckets[np.repeat(ends[word] - n - heads, n) + np.arange(n.sum())]
             mean = np.add.reduceat(table[entry], heads) / n[:, None].astype(np.float32)
             z = mean @ out + bias
-            p = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -30, 30)))
-            clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-6))[inverse], len(docs))  # log of the chance that no word is toxic
-            some = np.maximum(-np.expm1(clean), 1e-9)
+            p_all = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -30, 30)))
+            p = np.empty(len(word))
+            p[order] = p_all[: len(word)]
+            clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-6))[inverse], len(docs)) + np.log1p(-LEAK)  # log of the chance that no word is toxic
+            some = -np.expm1(clean)
             pull = weight[docs] * np.where(y[docs] == 1, -np.exp(clean) / some, 1.0)
-            g = np.bincount(inverse, pull[doc], len(word)) * p
+            g = np.empty(len(n))
+            g[: len(word)] = (np.bincount(inverse, pull[doc], len(word)) * p)[order]
+            g[len(word) :] = p_all[len(word) :]  # every invented word is a clean document of its own
             dz = (np.stack((-g, g), 1) / len(docs)).astype(np.float32)
             each = np.repeat(dz @ out.T / n[:, None], n, 0)
             grad = np.stack([np.bincount(entry, each[:, k], 1 << BUCKET_BITS) for k in range(SIZE)], 1).astype(np.float32)
@@ -133,10 +199,11 @@ class Scorer:
         return [max((z[w] for w in ws), default=-745.0) for ws in found]
 
     def scores(self, texts: list[str]) -> list[float]:
-        """0 to 1; a text without words has 0."""
-        cut = [t.lower().split() for t in texts]
+        """0 to 1: the most toxic word's odds, divided by the number of distinct words over FREE, as the greatest of many clean words' odds grows with their number; a text without words has 0."""
+        cut = [set(t.lower().split()) for t in texts]
         table = self.memo.of(*cut)
-        return [float(1 / (1 + np.exp(-max(map(table.__getitem__, chunks), default=-745.0)))) if chunks else 0.0 for chunks in cut]
+        logits = [max(map(table.__getitem__, chunks), default=-745.0) - math.log(max(len(chunks) / FREE, 1.0)) for chunks in cut]
+        return [float(1 / (1 + math.exp(min(-z, 700)))) if chunks else 0.0 for z, chunks in zip(logits, cut, strict=True)]
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
@@ -178,8 +245,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     twice counts as toxic if once so; without labels of both classes every score
     is low. Null and empty texts have score 0; a null id is not held out;
     repeated rows give repeated rows; an empty table gives no rows; a text of
-    any length is read whole; of equally toxic words it does not matter which
-    counts; further columns are not read.
+    any length is read whole, and of many distinct words the most toxic one must
+    stand out further; of equally toxic words it does not matter which counts; further columns are not read.
     """
     make = _scorer(docs, labels, id_col, text_col, label_col)
 

@@ -530,3 +530,26 @@ def test_toxicity_held_out(spark, sf):
     assert sampled[0] == sampled[1] and len(sampled[0][0]) == len({k for k in range(50) if zlib.crc32(str(k).encode()) % 4 != 2})
     none = toxicity.toxicity(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert none.filter("predicted = 1").count() == 0 and toxicity.toxicity(docs.limit(0), spark.createDataFrame(labels, "doc_id bigint, toxic int")).count() == 0
+
+
+def test_toxicity_on_driver_tables(spark, sf):
+    """The trained model on labelled held-out rows, unseen variants of words, random texts and plain prose."""
+    sf = f"{os.path.dirname(sf)}/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts, ys = toxicity.training_sample(docs, labels, "doc_id", "text", "toxic")
+    scorer = toxicity.Scorer(toxicity.train(texts, ys))
+    rows = [r for r in docs.select("doc_id", "text").join(labels.filter("toxic IN (0, 1)"), "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    found = [s >= toxicity.THRESHOLD for s in scorer.scores([r.text or "" for r in rows])]
+    hit, toxic = sum(f and r.toxic for f, r in zip(found, rows, strict=True)), sum(r.toxic for r in rows)
+    assert hit / toxic > 0.92 and hit / sum(found) > 0.92
+    seen = {w for t in texts for w in toxicity.WORD.findall(t.lower())}
+    variants = set()
+    for w in ("idiot", "disgusting", "trash", "worthless", "loser", "stupid", "pathetic", "clown", "scum", "moron"):
+        variants |= {w[:k] + w[k + 1 :] for k in range(len(w))} | {w[:k] + w[k] + w[k:] for k in range(len(w))} | {w[:k] + w[k + 1] + w[k] + w[k + 2 :] for k in range(len(w) - 1)} | {w + e for e in ("s", "ed", "er", "ing", "y")}
+    scores = scorer.scores(sorted(variants - seen))
+    assert len(scores) > 150 and np.mean(np.array(scores) >= toxicity.THRESHOLD) > 0.65
+    rnd = random.Random(3)
+    noise = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 11))) for _ in range(10_000)) for _ in range(20)]
+    assert sum(s >= toxicity.THRESHOLD for s in scorer.scores(noise)) <= 1
+    with open(os.path.join(os.path.dirname(__file__), "../../README.md")) as prose:
+        assert scorer.scores([prose.read()])[0] < toxicity.THRESHOLD
