@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as X
 from paperloom.functions.splitter import split_chunks
 from paperloom.operators.scan import Scan
+from paperloom.sources.html_tables import markdown_table
 
 # Fixed values.
 KEPT = ("Title", "NarrativeText", "Table", "ListItem", "UncategorizedText")
@@ -71,23 +72,38 @@ def text_chunks(elements: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "seq", "chunk_index", F.lit("text").alias("type"), "section", F.lit(False).alias("is_parent"), "page_number", content.alias("content"), F.lit(None).cast("string").alias("table_id"), F.lit(None).cast("string").alias("parent_id"))
 
 
+def box_text(points: Column) -> Column:
+    """The corners of a box as stored text, `[[x, y], ...]`; empty without corners."""
+    corner = lambda p: F.concat(F.lit("["), F.array_join(F.transform(p, lambda v: v.cast("string")), ", "), F.lit("]"))
+    return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(points, corner), ", "), F.lit("]")), F.lit(""))
+
+
 def table_chunks(elements: DataFrame) -> DataFrame:
     """TG03/TG04/TG08: each table as a parent chunk, and each of its rows with the two header lines as a child.
 
-    A table's id is the md5 of its document and place, so runs agree.
+    A table's id is the md5 of its document and place, so runs agree. Where
+    elements have `text_as_html`, a table's first HTML table is its text, as a
+    grid, if there is any HTML; where they have `points`, parent and children
+    carry the table's box as `bbox`.
     """
     tables = sectioned(elements).filter("category = 'Table'").withColumn("table_id", F.md5(F.concat("doc_id", F.lit(":"), F.col("seq").cast("string"))))
+    if "text_as_html" in elements.columns:
+        html = F.col("text_as_html")
+        tables = tables.withColumn("text", F.when(html.isNotNull() & (html != ""), markdown_table(html)).otherwise(F.col("text")))
+    box = [box_text(F.col("points")).alias("bbox")] if "points" in elements.columns else []
+    tables = tables.select("doc_id", "seq", "section", "page_number", "text", "table_id", *box)
+    kept = [F.col(c) for c in ("bbox",) if box]
     lines = F.split("text", "\n")
-    parent = tables.select("doc_id", "seq", F.lit(0).alias("chunk_index"), F.lit("parent").alias("type"), "section", F.lit(True).alias("is_parent"), "page_number", F.concat(F.lit("### Table: "), "section", F.lit("\n"), "text").alias("content"), "table_id", F.lit(None).cast("string").alias("parent_id"))
+    parent = tables.select("doc_id", "seq", F.lit(0).alias("chunk_index"), F.lit("parent").alias("type"), "section", F.lit(True).alias("is_parent"), "page_number", F.concat(F.lit("### Table: "), "section", F.lit("\n"), "text").alias("content"), "table_id", F.lit(None).cast("string").alias("parent_id"), *kept)
     rows = tables.filter(F.size(lines) > 2).select("*", F.slice(lines, 1, 2).alias("head"), F.posexplode(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0)))).alias("k", "row")).filter(X.strip("row") != "")
     content = F.concat(F.lit("Context: "), "section", F.lit("\n"), F.array_join("head", "\n"), F.lit("\n"), "row")
-    child = rows.select("doc_id", "seq", (F.col("k") + 1).alias("chunk_index"), F.lit("child").alias("type"), "section", F.lit(False).alias("is_parent"), "page_number", content.alias("content"), F.lit(None).cast("string").alias("table_id"), F.col("table_id").alias("parent_id"))
+    child = rows.select("doc_id", "seq", (F.col("k") + 1).alias("chunk_index"), F.lit("child").alias("type"), "section", F.lit(False).alias("is_parent"), "page_number", content.alias("content"), F.lit(None).cast("string").alias("table_id"), F.col("table_id").alias("parent_id"), *kept)
     return parent.unionByName(child)
 
 
 def chunk_elements(elements: DataFrame) -> DataFrame:
-    """All raw chunks; (doc_id, seq, chunk_index) is their order."""
-    return text_chunks(elements).unionByName(table_chunks(elements))
+    """All raw chunks; (doc_id, seq, chunk_index) is their order. Text chunks have no box."""
+    return text_chunks(elements).unionByName(table_chunks(elements), allowMissingColumns=True)
 
 
 def enrich_chunks(chunks: DataFrame, revision: str, source_file: Column) -> DataFrame:
@@ -100,6 +116,29 @@ def enrich_chunks(chunks: DataFrame, revision: str, source_file: Column) -> Data
     )
 
 
+def enriched_rows(chunks: DataFrame, revision: str, source_file: Column, created_at: int, revision_code: str | None = None, revision_date: int | None = None, document_type: str | None = None) -> DataFrame:
+    """TG05: chunks as stored entities (schemas.ENRICHED_CHUNK): metadata with box and time of creation, identity with the revision's code, date and the document's type.
+
+    The revision's date is the time of creation where none is given; a missing
+    section, type, page or box takes its default; empty contents go; without a
+    revision it is an error.
+    """
+    if not revision:
+        raise ValueError("a revision number is required")
+    box = F.coalesce("bbox", F.lit("")) if "bbox" in chunks.columns else F.lit("")
+    text, at = (lambda v: F.lit(v).cast("string")), (lambda v: F.lit(v).cast("bigint"))
+    kept = chunks.filter("content <> ''")
+    metadata = F.struct(
+        F.coalesce("section", F.lit("Unknown")).alias("section"), F.coalesce("type", F.lit("text")).alias("chunk_type"), source_file.alias("source_file"), X.estimate_tokens(F.col("content")).cast("int").alias("tokens"),
+        at(created_at).alias("created_at"), F.coalesce("page_number", F.lit(1)).alias("page_number"), box.alias("bbox"),
+    )
+    identity = F.struct(
+        F.col("doc_id").alias("company_document_id"), F.lit(revision).alias("revision_number"), text(revision_code).alias("revision_code"),
+        at(created_at if revision_date is None else revision_date).alias("revision_date"), text(document_type).alias("document_type"),
+    )
+    return kept.select(F.col("content").alias("page_content"), metadata.alias("metadata"), identity.alias("cmetadata"), X.chunk_id(F.col("doc_id"), F.lit(revision), F.col("content")).alias("chunk_id"), "parent_id", F.col("table_id").alias("doc_id"))
+
+
 def ingest_summary(enriched: DataFrame) -> DataFrame:
     """AG18: chunks by document and revision."""
     return enriched.groupBy("company_document_id", "revision_number", "source_file").agg(F.count(F.lit(1)).alias("chunk_count"))

@@ -59,6 +59,22 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_docs.unionByName(of_regions)
 
 
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed elements as a parser gives them: for each customer a title, a table of all orders (as HTML, but for every fifth customer) with its box, and a line."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("status"))
+    cells = F.struct("o_orderkey", F.concat(F.lit("<tr><td>"), "key", F.lit("</td><td> "), "status", F.lit("</td></tr>")).alias("html"), F.concat(F.lit("| "), "key", F.lit(" | "), "status", F.lit(" |")).alias("line"))
+    of = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(cells)).alias("rows"))
+    html = F.concat(F.lit("<p>x</p><table><tr><th>key</th><th>status</th></tr>"), F.array_join(F.transform("rows", lambda r: r.html), ""), F.lit("</table>"))
+    grid = F.concat(F.lit("| key | status |\n|---|---|\n"), F.array_join(F.transform("rows", lambda r: r.line), "\n"))
+    plain = F.col("o_custkey") % 5 == 0
+    x = (F.col("o_custkey") % 100).cast("double")
+    points = F.array(F.array(x, F.lit(1.5)), F.array(x + 0.25, F.lit(20.0)))
+    none = F.lit(None)
+    part = lambda k, cat, text, html, points: F.struct(F.lit(k).cast("bigint").alias("seq"), F.lit(cat).alias("category"), text.alias("text"), html.cast("string").alias("text_as_html"), points.cast("array<array<double>>").alias("points"))
+    parts = F.array(part(0, "Title", F.concat(F.lit("Customer no "), F.col("o_custkey").cast("string")), none, none), part(1, "Table", F.when(plain, grid).otherwise("key status"), F.when(~plain, html), points), part(2, "NarrativeText", F.lit("After the table."), none, none))
+    return of.select(F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")).alias("doc_id"), (F.col("o_custkey") % 7 + 1).cast("int").alias("page_number"), F.explode(parts).alias("p")).select("doc_id", "p.*", "page_number")
+
+
 def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored chunks: the documents, by source; the first and only revision."""
     docs = table(spark, sf_dir, "documents")
@@ -111,6 +127,9 @@ VIEWS = {
       SELECT 'region-' || r_regionkey, seq, category, CASE seq WHEN 0 THEN 'Region ' || r_name WHEN 1 THEN 'Nations 1 0 0 of the region:' WHEN 2 THEN '| key | name |' || chr(10) || '|---|---|' || chr(10) || grid WHEN 3 THEN 'After table:' ELSE 'ok' END, page_number
       FROM region JOIN (SELECT n_regionkey, string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS grid FROM nation GROUP BY 1) ON n_regionkey = r_regionkey
       CROSS JOIN (VALUES (0, 'Title', 1), (1, 'NarrativeText', 1), (2, 'Table', 2), (3, 'NarrativeText', 2), (4, 'NarrativeText', 3)) AS p(seq, category, page_number)""",
+    "ingested_tables": """SELECT 'customer-' || o_custkey AS doc_id, 1::BIGINT AS seq, 'Customer no ' || o_custkey AS section, (o_custkey % 7 + 1)::INTEGER AS page_number,
+        '| key | status |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey) AS grid,
+        '[[' || (o_custkey % 100)::DOUBLE || ', 1.5], [' || ((o_custkey % 100)::DOUBLE + 0.25) || ', 20.0]]' AS bbox FROM orders GROUP BY o_custkey""",
     "chunk_store": """SELECT md5(source || ':1:' || text) AS chunk_id, source AS company_document_id, '1' AS revision_number, text AS content, lang AS section, doc_id AS row_id,
         CASE doc_id % 3 WHEN 0 THEN 'parent' WHEN 1 THEN 'child' ELSE 'text' END AS chunk_type, CASE WHEN doc_id % 3 = 0 THEN 't' || doc_id END AS table_id,
         CASE WHEN doc_id % 3 = 1 THEN 't' || (doc_id - 1) END AS parent_id, CASE WHEN doc_id % 4 <> 0 THEN (n_chars % 9 + 1)::VARCHAR END AS page,

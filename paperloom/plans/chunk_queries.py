@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import chunking as C
 from paperloom.sources import files as S
 
-from .bindings import elements, quoted, sql, table
+from .bindings import elements, ingested, quoted, sql, table
 from .registry import query
 from .text_queries import WS, _numbers, s_in, s_strip
 
@@ -111,6 +111,35 @@ def tg08(spark, d):
     return C.sectioned(elements(spark, d)).filter("category = 'Table'").select("doc_id", lines[0].alias("head"), lines[1].alias("rule"), (F.size(lines) - 2).alias("n_rows"))
 
 
+_INGESTED = {
+    "tables": "SELECT *, md5(doc_id || ':' || seq) AS table_id, string_split(grid, chr(10)) AS lines FROM ingested_tables",
+    "chunks": """SELECT doc_id, seq, 0 AS chunk_index, 'parent' AS type, section, true AS is_parent, page_number, '### Table: ' || section || chr(10) || grid AS content, table_id, NULL AS parent_id, bbox FROM tables
+      UNION ALL SELECT doc_id, seq, (k - 2)::INTEGER, 'child', section, false, page_number, 'Context: ' || section || chr(10) || lines[1] || chr(10) || lines[2] || chr(10) || lines[k], NULL, table_id, bbox
+      FROM (SELECT *, unnest(range(3, len(lines) + 1)) AS k FROM tables)""",
+}
+
+
+@query("tg03_html_table_chunks", sql("SELECT * FROM chunks", "ingested_tables", **_INGESTED))
+def tg03_html(spark, d):
+    """Parents and children of tables that came as HTML, with their boxes."""
+    return C.table_chunks(ingested(spark, d))
+
+
+@query(
+    "tg05_enriched_rows",
+    sql(
+        """SELECT content AS page_content, md5(doc_id || ':C:' || content) AS chunk_id, parent_id, table_id AS doc_id, section, type AS chunk_type, doc_id || '.pdf' AS source_file, ceil(length(content) / 4.0)::INTEGER AS tokens,
+        1700000000::BIGINT AS created_at, page_number, bbox, doc_id AS company_document_id, 'C' AS revision_number, 'IFC' AS revision_code, 1690000000::BIGINT AS revision_date, 'report' AS document_type FROM chunks""",
+        "ingested_tables",
+        **_INGESTED,
+    ),
+)
+def tg05_rows(spark, d):
+    """Stored entities of those tables, their structs laid out as columns."""
+    rows = C.enriched_rows(C.table_chunks(ingested(spark, d)), "C", F.concat("doc_id", F.lit(".pdf")), 1_700_000_000, "IFC", 1_690_000_000, "report")
+    return rows.select("page_content", "chunk_id", "parent_id", "doc_id", "metadata.*", "cmetadata.*")
+
+
 _ENRICHED = """SELECT md5(doc_id || ':1:' || content) AS chunk_id, content, section, type AS chunk_type, doc_id || '.pdf' AS source_file, ceil(length(content) / 4.0)::BIGINT AS tokens, page_number,
   doc_id AS company_document_id, '1' AS revision_number, parent_id, table_id FROM chunks"""
 

@@ -301,14 +301,11 @@ def jn03(spark, d):
     return R.restored_hits(used, chunk_store(spark, d))
 
 
-@query("so02_restored_first_union", sql("SELECT session_id, chunk_id, min(pos)::INTEGER AS pos, arg_min(origin, pos) AS origin FROM (SELECT session_id, chunk_id, -1 AS pos, 'restored' AS origin FROM restored UNION ALL SELECT session_id, chunk_id, event_id::INTEGER, 'new' FROM fresh) GROUP BY 1, 2", "chunk_store", **LOG, restored="SELECT DISTINCT u.session_id, s.chunk_id FROM logged u JOIN chunk_store s ON s.row_id = (u.props::JSON ->> 'k')::BIGINT", fresh="SELECT u.session_id, s.chunk_id, u.event_id FROM logged u JOIN chunk_store s ON s.row_id = u.event_id % 100"))
-def so02(spark, d):
-    store = chunk_store(spark, d).select("row_id", "chunk_id")
-    fresh = logged(spark, d).withColumn("row_id", F.col("event_id") % 100).join(store, "row_id").select("session_id", "chunk_id", F.col("event_id").alias("pos"))
-    return R.restored_first(jn03(spark, d), fresh)
+_RESTORED_FIRST = sql("SELECT session_id, chunk_id, min(pos)::INTEGER AS pos, arg_min(origin, pos) AS origin FROM (SELECT session_id, chunk_id, -1 AS pos, 'restored' AS origin FROM restored UNION ALL SELECT session_id, chunk_id, event_id::INTEGER, 'new' FROM fresh) GROUP BY 1, 2", "chunk_store", **LOG, restored="SELECT DISTINCT u.session_id, s.chunk_id FROM logged u JOIN chunk_store s ON s.row_id = (u.props::JSON ->> 'k')::BIGINT", fresh="SELECT u.session_id, s.chunk_id, u.event_id FROM logged u JOIN chunk_store s ON s.row_id = u.event_id % (SELECT max(row_id) + 1 FROM chunk_store)")
 
 
-@query("so02_restored_first_union_all_ids", sql("SELECT session_id, chunk_id, min(pos)::INTEGER AS pos, arg_min(origin, pos) AS origin FROM (SELECT session_id, chunk_id, -1 AS pos, 'restored' AS origin FROM restored UNION ALL SELECT session_id, chunk_id, event_id::INTEGER, 'new' FROM fresh) GROUP BY 1, 2", "chunk_store", **LOG, restored="SELECT DISTINCT u.session_id, s.chunk_id FROM logged u JOIN chunk_store s ON s.row_id = (u.props::JSON ->> 'k')::BIGINT", fresh="SELECT u.session_id, s.chunk_id, u.event_id FROM logged u JOIN chunk_store s ON s.row_id = u.event_id % (SELECT max(row_id) + 1 FROM chunk_store)"))
+@query("so02_restored_first_union", _RESTORED_FIRST)
+@query("so02_restored_first_union_all_ids", _RESTORED_FIRST)
 def so02_all(spark, d):
     """New hits over the whole id range of the store."""
     store = chunk_store(spark, d).select("row_id", "chunk_id")

@@ -2,6 +2,7 @@
 
 ELEMENT = "doc_id string, seq bigint, category string, text string, page_number int, text_as_html string, points array<array<double>>"
 RAW_CHUNK = "doc_id string, seq bigint, chunk_index int, type string, section string, is_parent boolean, page_number int, content string, table_id string, parent_id string"
+BOXED_CHUNK = RAW_CHUNK + ", bbox string"
 ENRICHED_CHUNK = (
     "page_content string, metadata struct<section:string,chunk_type:string,source_file:string,tokens:int,created_at:bigint,page_number:int,bbox:string>, "
     "cmetadata struct<company_document_id:string,revision_number:string,revision_code:string,revision_date:bigint,document_type:string>, chunk_id string, parent_id string, doc_id string"

@@ -21,11 +21,19 @@ def load_enriched(rows: DataFrame) -> DataFrame:
     return checked.select("chunk_id", F.col("page_content").alias("content"), F.col("cmetadata.company_document_id").alias("company_document_id"), F.col("cmetadata.revision_number").alias("revision_number"), both.alias("meta"))
 
 
-def append_store(rows: DataFrame, path: str, once: bool = False) -> None:
-    """IO08: append chunks, partitioned by document and revision; `once` drops repeated chunk ids of the batch."""
+def append_store(rows: DataFrame, path: str, once: bool = False, identity: tuple[str, str] | None = None) -> None:
+    """IO08: append chunks, partitioned by document and revision; `once` drops repeated chunk ids of the batch.
+
+    A row without its identity, or, where the ingest's `identity` (document,
+    revision) is given, of another one, fails the write before any row is kept.
+    """
+    own = F.lit(True)
+    for k, c in enumerate(IMMUTABLE):
+        own = own & (F.col(c).isNotNull() if identity is None else F.col(c).eqNullSafe(F.lit(identity[k])))
     if once:
         rows = rows.dropDuplicates(["chunk_id"])
-    rows.write.mode("append").partitionBy(*IMMUTABLE).parquet(path)
+    checked = F.when(own, F.col(IMMUTABLE[0])).otherwise(F.raise_error(F.lit("a chunk belongs to another document or revision")))
+    rows.withColumn(IMMUTABLE[0], checked.cast(rows.schema[IMMUTABLE[0]].dataType)).write.mode("append").partitionBy(*IMMUTABLE).parquet(path)
 
 
 def merge_metadata(rows: DataFrame, document: str, revision: str, new: dict[str, str]) -> DataFrame:
