@@ -38,6 +38,8 @@ MATCHES, ROW_COST, MET_COST, VERIFY_COST = 4, 8.0, 1.0, 0.02
 PAIRED, THINNED = 64, 2
 #: Rows of one shingle that may meet in one task, or twice the mean of a bucket.
 COMMON = 4096
+#: Bits of a place in a prefix; sets may have 2^31 shingles.
+PLACE_BITS = 29
 #: Documents whose ids are broadcast to fetch their texts (40 bytes each); more of them are joined by a shuffle.
 FETCHED = 200_000
 _P, _Q = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -171,8 +173,8 @@ def prefix(found: np.ndarray, counts: np.ndarray, noise: float, similar: int = S
     return found[order], seen[order], best
 
 
-def prefixes(source: DataFrame, size: int, counts, noise: float, similar: int) -> DataFrame:
-    """(d, m, prefix, seen) of each document with words."""
+def prefixes(source: DataFrame, size: int, counts, noise: float, similar: int, common: int) -> DataFrame:
+    """(d, m, prefix, rare) of each document with words: the first `rare` shingles of the prefix were seen at most `common` times."""
 
     def run(batches):
         shingler, table = Shingler(size), counts.value
@@ -184,12 +186,12 @@ def prefixes(source: DataFrame, size: int, counts, noise: float, similar: int) -
                     pa.array([digest(s) for s in sets], pa.binary()),
                     pa.array([m for _, _, m in chosen], pa.int32()),
                     pa.array([p.view(np.int64) for p, _, _ in chosen], pa.list_(pa.int64())),
-                    pa.array([c for _, c, _ in chosen], pa.list_(pa.int32())),
+                    pa.array([int(np.searchsorted(c, common, side="right")) for _, c, _ in chosen], pa.int32()),
                 ],
-                names=["d", "m", "prefix", "seen"],
+                names=["d", "m", "prefix", "rare"],
             )
 
-    return source.select("text").mapInArrow(run, "d binary, m int, prefix array<bigint>, seen array<int>")
+    return source.select("text").mapInArrow(run, "d binary, m int, prefix array<bigint>, rare int")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -211,19 +213,22 @@ def repeated(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, rows.schema)
 
 
-def shared_rows(chosen: DataFrame, classes: DataFrame, similar: int, common: int) -> DataFrame:
+def shared_rows(chosen: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
     """(token, node, size, m, place, layer): prefix rows whose shingle several sets may have in their prefixes.
 
     `layer` is the least m whose prefix holds the row. A bucket's count is never
-    below that of any shingle in it, so shingles seen at most `common` times have
-    no more rows, and those alone are dropped where they meet; rows of fuller
-    buckets all stay, so no shingle's rows need to meet in one task.
+    below that of any shingle in it, so rare shingles have no more rows than
+    that, and those alone are dropped where they meet; rows of fuller buckets all
+    stay, so no shingle's rows need to meet in one task.
     """
-    once = chosen.groupBy("d").agg(*(F.first(c).alias(c) for c in ("m", "prefix", "seen")))
-    places = once.join(classes.select("d", "node", F.col("size").cast("int")), "d").select("node", "size", "m", F.posexplode(F.arrays_zip("prefix", "seen")).alias("place", "p"))
-    layer = F.greatest(F.lit(1), F.expr(f"place + 1 - cast(size as bigint) * {100 - similar} div 100")).cast("int")
-    rows = places.select(F.col("p.prefix").alias("token"), "node", "size", "m", "place", layer.alias("layer"), F.col("p.seen").alias("seen"))
-    return repeated(rows.filter(F.col("seen") <= common).drop("seen")).unionByName(rows.filter(F.col("seen") > common).drop("seen"))
+    once = chosen.groupBy("d").agg(*(F.first(c).alias(c) for c in ("m", "prefix", "rare")))
+    rows = once.join(classes.select("d", "node", "size"), "d").select("node", "size", "m", "rare", F.posexplode("prefix").alias("place", "token"))
+    # size, place and m in one number, as every row is exchanged
+    thin = rows.filter("place < rare").select("token", "node", F.expr(f"size << {PLACE_BITS + 3} | cast(place as bigint) << 3 | m").alias("packed"))
+    back = {"size": f"packed >> {PLACE_BITS + 3}", "m": "cast(packed & 7 as int)", "place": f"cast(packed >> 3 & {(1 << PLACE_BITS) - 1} as int)"}
+    few = repeated(thin).select("token", "node", *(F.expr(e).alias(c) for c, e in back.items()))
+    every = few.unionByName(rows.filter("place >= rare").select("token", "node", "size", "m", "place"))
+    return every.withColumn("layer", F.greatest(F.lit(1), F.expr(f"place + 1 - size * {100 - similar} div 100")).cast("int"))
 
 
 def attached(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
@@ -335,7 +340,10 @@ def set_links(shared: DataFrame, classes: DataFrame, source: DataFrame, size: in
         large = checkpointed(mixed_groups(with_roots(shared, roots)).filter(F.col("n") > paired).drop("n"))
         if large.isEmpty():
             break
-        one = F.min_by(F.struct("node", "root", "size", "place"), F.xxhash64("node", F.lit(turn))).alias("a")
+        # a document whose prefix has the most shingles of large groups differs least from the others; later turns take any
+        best = F.struct(F.lit(0) if turn else -F.col("common"), F.xxhash64("node", F.lit(turn)))
+        one = F.min_by(F.struct("node", "root", "size", "place"), best).alias("a")
+        large = large.withColumn("common", F.lit(0)) if turn else checkpointed(attached(large, large.groupBy("node").agg(F.count(F.lit(1)).alias("common")), "node"))
         hubs = checkpointed(large.groupBy("token").agg(one, F.count(F.lit(1)).alias("n")))
         met = join_values(large, hubs, "token").select("a", F.struct("node", "root", "size", "place").alias("b"))
         pairs = met.filter(F.expr(f"a.root <> b.root and {may_link(similar)}")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
@@ -373,7 +381,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, similar: int = SIMILAR
     classes = checkpointed(sets.withColumn("node", F.monotonically_increasing_id()))
     noise = float(counts.mean())
     sent = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
-    shared = checkpointed(shared_rows(prefixes(source, size, sent, noise, similar), classes, similar, max(COMMON, int(2 * noise))))
+    shared = checkpointed(shared_rows(prefixes(source, size, sent, noise, similar, max(COMMON, int(2 * noise))), classes, similar))
     links = set_links(shared, classes, source, size, similar, paired, thinned)
     roots = checkpointed(components(links))
     members = classes.select("node", "d", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
