@@ -105,7 +105,7 @@ def test_sql(spark, sf):
 
 def test_names():
     names = set(queries.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} and "pipeline" in __spark_entry__.queries()
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)} and "pipeline" in __spark_entry__.queries()
 
 
 def test_pipeline_against_brute_force(spark, sf):
