@@ -121,42 +121,73 @@ class Stream:
     stamps: list[int] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)  # packet numbers in the file
     discontinuities: int = 0
-    damaged: int = 0  # PES packets without a start code, or shorter than they say
+    damaged: int = 0  # PES packets without a start code or whole header, or shorter than they say
+    lost: int = 0  # bytes between packets, or after the last whole one
+    bad_tables: int = 0  # tables whose CRC is wrong, of the whole file
 
 
-def _sections(packets: np.ndarray, pid: int, pids: np.ndarray) -> list[bytes]:
-    """The sections that begin in packets of a PID; one that spans packets is put together."""
-    found, held = [], b""
+def _sections(packets: np.ndarray, pid: int, pids: np.ndarray) -> tuple[list[bytes], int]:
+    """The sections that begin in packets of a PID, and how many more have a wrong CRC; one that spans packets is put together."""
+    found, bad, held = [], 0, b""
     for p in np.flatnonzero(pids == pid):
         row = packets[p].tobytes()
         at = 4 + (1 + row[4] if row[3] & 0x20 else 0)
+        if at >= PACKET or not row[3] & 0x10:
+            continue
         if row[1] & 0x40:
             held, at = b"", at + 1 + row[at]
         held += row[at:]
         while len(held) >= 3 and held[0] != 0xFF and len(held) >= (size := 3 + ((held[1] & 15) << 8 | held[2])):
-            if table_crc(held[:size]):
-                raise ValueError("a table's CRC is wrong")
-            found.append(held[:size])
+            if size < 12 or table_crc(held[:size]):
+                bad += 1
+            else:
+                found.append(held[:size])
             held = held[size:]
-    return found
+    return found, bad
 
 
-def _tables(packets: np.ndarray, pids: np.ndarray) -> list[tuple[int, int, int]]:
-    """(program, PID, stream type) of all elementary streams, by the association and map tables."""
+def _tables(packets: np.ndarray, pids: np.ndarray) -> tuple[list[tuple[int, int, int]], int]:
+    """(program, PID, stream type) of all elementary streams, by the association and map tables, and the number of damaged tables."""
     maps, streams = {}, {}
-    for pat in _sections(packets, PAT_PID, pids):
+    found, bad = _sections(packets, PAT_PID, pids)
+    for pat in found:
         for k in range(8, len(pat) - 4, 4):
             if number := int.from_bytes(pat[k : k + 2], "big"):
                 maps[number] = int.from_bytes(pat[k + 2 : k + 4], "big") & 0x1FFF
     for number, pid in maps.items():
-        for pmt in _sections(packets, pid, pids):
-            if pmt[0] != 2 or int.from_bytes(pmt[3:5], "big") != number:
+        found, more = _sections(packets, pid, pids)
+        bad += more
+        for pmt in found:
+            if pmt[0] != 2 or int.from_bytes(pmt[3:5], "big") != number or len(pmt) < 16:
                 continue
             at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
-            while at < len(pmt) - 4:
+            while at + 5 <= len(pmt) - 4:
                 streams[number, int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF] = pmt[at]
                 at += 5 + ((pmt[at + 3] & 15) << 8 | pmt[at + 4])
-    return [(number, pid, kind) for (number, pid), kind in streams.items()]
+    return [(number, pid, kind) for (number, pid), kind in streams.items()], bad
+
+
+def _packets(media: bytes) -> tuple[np.ndarray, int]:
+    """The whole packets of a file, and the bytes that belong to none: where the sync byte is lost, reading goes on at the next one that another follows a packet later, or that ends the file."""
+    data = np.frombuffer(media, np.uint8)
+    whole = data[: len(data) // PACKET * PACKET].reshape(-1, PACKET)
+    if (whole[:, 0] == SYNC).all():
+        return whole, len(data) - whole.size
+    sync = data == SYNC
+    follows = np.ones(len(data), bool)
+    follows[: max(len(data) - PACKET, 0)] = sync[PACKET:]
+    sure = np.flatnonzero((sync & follows)[: max(len(data) - PACKET + 1, 0)])
+    starts, at = [], 0
+    while at + PACKET <= len(data):
+        if not sync[at]:
+            k = np.searchsorted(sure, at)
+            if k == len(sure):
+                break
+            at = int(sure[k])
+        starts.append(at)
+        at += PACKET
+    packets = data[np.array(starts, np.int64)[:, None] + np.arange(PACKET)] if starts else data[:0].reshape(0, PACKET)
+    return packets, len(data) - packets.size
 
 
 def _stream(packets: np.ndarray, own: np.ndarray, result: Stream) -> Stream:
@@ -168,8 +199,9 @@ def _stream(packets: np.ndarray, own: np.ndarray, result: Stream) -> Stream:
     counter = rows[:, 3].astype(np.int16) & 15
     flags = np.where(has_field & (rows[:, 4] > 0), rows[:, 5], 0)
     # a packet may be sent twice: same counter, same bytes
-    again = np.append(False, (counter[1:] == counter[:-1]) & has_load[1:] & has_load[:-1] & (rows[1:, 188 - 16 :] == rows[:-1, 188 - 16 :]).all(1))
-    again[1:] &= (rows[1:, 1:4] == rows[:-1, 1:4]).all(1)
+    again = np.append(False, (counter[1:] == counter[:-1]) & has_load[1:] & has_load[:-1])
+    maybe = np.flatnonzero(again)
+    again[maybe] = (rows[maybe] == rows[maybe - 1]).all(1)
     own, rows, has_load, counter, flags, has_field = (x[~again] for x in (own, rows, has_load, counter, flags, has_field))
     broken = (counter[1:] - counter[:-1]) % 16 != has_load[1:]
     result.discontinuities = int((broken & (flags[1:] & 0x80 == 0)).sum())
@@ -183,7 +215,8 @@ def _stream(packets: np.ndarray, own: np.ndarray, result: Stream) -> Stream:
     heads = [*offset[:-1][rows[:, 1] & 0x40 > 0].tolist(), len(load)]
     parts = []
     for a, b in zip(heads, heads[1:], strict=False):
-        if load[a : a + 3] != b"\0\0\1" or b - a < 9:
+        # a header has nine bytes and those it says, a time stamp five of them
+        if load[a : a + 3] != b"\0\0\1" or b - a < 9 or a + 9 + load[a + 8] > b or load[a + 7] & 0x80 and load[a + 8] < 5:
             result.damaged += 1
             continue
         size = int.from_bytes(load[a + 4 : a + 6], "big")
@@ -198,17 +231,16 @@ def _stream(packets: np.ndarray, own: np.ndarray, result: Stream) -> Stream:
 
 
 def demux(media: bytes) -> list[Stream]:
-    """Parse a transport stream: one entry for each elementary stream of each program."""
-    if len(media) % PACKET:
-        raise ValueError("not a whole number of packets")
-    packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    if not (packets[:, 0] == SYNC).all():
-        raise ValueError("sync byte lost")
+    """Parse a transport stream: one entry for each elementary stream of each program.
+
+    Damage is counted and passed over, whatever it is: bytes out of step with
+    packets, tables with a wrong CRC, cut headers. A file without a readable
+    table has no stream.
+    """
+    packets, lost = _packets(media)
     pids = (packets[:, 1].astype(np.int32) & 31) << 8 | packets[:, 2]
-    found = []
-    for program, pid, kind in _tables(packets, pids):
-        found.append(_stream(packets, np.flatnonzero(pids == pid), Stream(program, pid, kind, packets=len(packets))))
-    return found
+    tables, bad = _tables(packets, pids)
+    return [_stream(packets, np.flatnonzero(pids == pid), Stream(program, pid, kind, packets=len(packets), lost=lost, bad_tables=bad)) for program, pid, kind in tables]
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,14 +260,16 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(docs, lambda: run, "n_bytes bigint, media binary", id_col, text_col)
 
 
-STREAMS = "program int, pid int, packets bigint, stamps array<bigint>, random_access array<bigint>, discontinuities bigint, damaged bigint, payload binary"
+STREAMS = "program int, pid int, packets bigint, stamps array<bigint>, random_access array<bigint>, discontinuities bigint, damaged bigint, lost bigint, bad_tables bigint, payload binary"
 
 
 def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
     """`media` with what the first elementary stream of each transport stream holds, next to all its columns but `media_col` itself.
 
     Adds program, pid, packets, stamps, random_access, discontinuities, damaged,
-    payload, media_bytes and media_sha256; a null stream gives nulls.
+    lost, bad_tables, payload, media_bytes and media_sha256; a null stream gives
+    nulls, and one without readable tables a null program and payload, next to
+    its size and digest: no damage fails the job.
     """
     kept = [c for c in media.columns if c != media_col]
     added = STREAMS + ", media_bytes bigint, media_sha256 string"
@@ -247,9 +281,13 @@ def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
         for block in blocks(batches, len(kept)):
             rows = []
             for data in block.column(len(kept)).to_pylist():
-                s = (demux(data) or [Stream()])[0] if data is not None else None
-                rows.append(None if s is None else (s.program, s.pid, s.packets, s.stamps, s.random_access, s.discontinuities, s.damaged, s.payload, len(data), hashlib.sha256(data).hexdigest()))
-            columns = [pa.array([None if r is None else r[k] for r in rows], to_arrow_type(f.dataType)) for k, f in enumerate(made)]
+                if data is None:
+                    rows.append((None,) * len(made))
+                    continue
+                s = next(iter(demux(data)), None)
+                found = (None,) * (len(made) - 2) if s is None else (s.program, s.pid, s.packets, s.stamps, s.random_access, s.discontinuities, s.damaged, s.lost, s.bad_tables, s.payload)
+                rows.append((*found, len(data), hashlib.sha256(data).hexdigest()))
+            columns = [pa.array([r[k] for r in rows], to_arrow_type(f.dataType)) for k, f in enumerate(made)]
             yield pa.RecordBatch.from_arrays([*block.columns[: len(kept)], *columns], names=[*kept, *made.names])
 
     return source.mapInArrow(run, schema)
