@@ -23,8 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import checkpointed
 
-#: Turns of a conversation whose calls one task orders at a time.
-BLOCK_TURNS = 4096
+#: Turns of a conversation whose calls one task orders at a time: in the first round, how many times more in each round after it, and at most.
+BLOCK_TURNS, GROWTH, WIDEST = 4096, 16, 1 << 18
 
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 LONE = re.compile("[\ud800-\udfff]")
@@ -203,7 +203,9 @@ def ordered(calls: DataFrame) -> DataFrame:
     the calls without open dependencies are peeled off, block by block within
     tasks, and the settled keys go to other blocks between rounds, until nothing
     moves. What is left lies on a cycle or behind one: `cyclic`, with its own
-    position as key. Rounds are as many as a chain of references changes blocks.
+    position as key. Blocks grow from round to round, as fewer calls are open,
+    so a chain that goes to and fro soon lies within one block; only beyond the
+    widest block are there as many rounds as a chain changes blocks.
     """
     keys = calls.groupBy("conv_id", "call_id").agg(F.min("position").alias("after"))
     edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).distinct()
@@ -222,7 +224,7 @@ def ordered(calls: DataFrame) -> DataFrame:
         F.lit(None).cast(key).alias("best"), F.coalesce("deps", F.array().cast("array<string>")).alias("deps"), F.lit(False).alias("done"),
     )
     schema = f"conv_id {left.schema['conv_id'].dataType.simpleString()}, block bigint, call_id string, turn bigint, k bigint, best {key}, deps array<string>, done boolean"
-    settled = []
+    settled, width = [], BLOCK_TURNS
     while True:
         peel = checkpointed(peel_blocks(left, schema))
         done, left = peel.filter("done"), peel.filter(~F.col("done"))
@@ -233,7 +235,8 @@ def ordered(calls: DataFrame) -> DataFrame:
         given = done.select("conv_id", F.col("call_id").alias("dep"), F.struct("best.turn", "best.k", (F.col("best.hop") + 1).alias("hop")).alias("given"))
         met = left.select("conv_id", "call_id", F.explode("deps").alias("dep")).join(given, ["conv_id", "dep"], "left")
         met = met.groupBy("conv_id", "call_id").agg(F.max("given").alias("given"), F.collect_set(F.when(F.col("given").isNull(), F.col("dep"))).alias("open"))
-        left = left.join(met, ["conv_id", "call_id"]).select("conv_id", "block", "call_id", "turn", "k", F.greatest("best", "given").alias("best"), F.col("open").alias("deps"), "done")
+        width = max(width, min(width * GROWTH, WIDEST))
+        left = left.join(met, ["conv_id", "call_id"]).select("conv_id", F.floor(F.col("turn") / width).alias("block"), "call_id", "turn", "k", F.greatest("best", "given").alias("best"), F.col("open").alias("deps"), "done")
     position = lambda turn, k: F.struct(F.col(turn).alias("turn"), F.col(k).alias("k")).alias("after")
     found = reduce(DataFrame.unionByName, settled).select("conv_id", "call_id", position("best.turn", "best.k"), F.col("best.hop").alias("hop"), F.lit(False).alias("cyclic"))
     rest = left.select("conv_id", "call_id", position("turn", "k"), F.lit(0).cast("bigint").alias("hop"), F.lit(True).alias("cyclic"))

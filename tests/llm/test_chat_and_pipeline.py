@@ -53,6 +53,22 @@ def test_order_against_brute_force(spark, monkeypatch, block):
     assert got == want and not any(bad for (conv, _), (_, _, bad) in want.items() if conv in (1, 5, 6)) and want[4, "1"][2]
 
 
+@pytest.mark.parametrize("widest", [1 << 18, 4096])
+def test_a_chain_to_and_fro(spark, monkeypatch, widest):
+    """Blocks grow, so a chain that changes blocks with each call takes few rounds; at the widest block it takes as many as it must."""
+    monkeypatch.setattr(tool_calls, "WIDEST", widest)
+    rounds = []
+    peel = tool_calls.peel_blocks
+    monkeypatch.setattr(tool_calls, "peel_blocks", lambda *a: rounds.append(1) or peel(*a))
+    n = 400 if widest > 4096 else 5
+    turn = lambda k: k + (5000 if k % 2 else 0)
+    rows = [(1, str(k), {"turn": turn(k), "k": 0}, "f", "1", [str(k + 1)] if k + 1 < n else []) for k in range(n)]
+    calls = spark.createDataFrame(rows, "conv_id bigint, call_id string, position struct<turn:bigint,k:int>, name string, arguments string, depends_on array<string>")
+    want = brute_order({k: [k + 1] for k in range(n - 1)}, {k: turn(k) for k in range(n)})
+    got = {int(r.call_id): ((r.after.turn, r.hop), r.cyclic) for r in tool_calls.ordered(calls).collect()}
+    assert got == want and len(rounds) == (2 if widest > 4096 else n)
+
+
 def test_arguments_that_are_no_json(spark):
     bad = ["NaN", "[1e400]", "[" * 100000, "{", '{"x": Infinity}', None]
     odd = ['"\\ud800"', "true", "[1, {}]"]
