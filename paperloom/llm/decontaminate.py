@@ -14,7 +14,7 @@ document is shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,14 +23,18 @@ from pyspark.sql import functions as F
 from .common import checkpointed, fresh, map_texts, rewrite_rows
 
 WINDOW, HEAD = 13, 4
-#: Text bytes of the benchmark in one broadcast index; a larger benchmark is taken in several.
-INDEX_BYTES = 16 << 20
+#: Bytes of one broadcast index as it is sent, at most (or those of one item): WORD_BYTES a word, and the words themselves.
+#: A larger benchmark is taken in several parts.
+INDEX_BYTES, WORD_BYTES = 64 << 20, 16
+#: Texts whose words the index hashes at once, in bytes.
+BLOCK_BYTES = 1 << 20
 
 #: Bytes of words (digits, letters and all of UTF-8 beyond ASCII), and A-Z lower-cased.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[65:91] = IS_WORD[128:] = True
+SPACED = bytes(int(b) if IS_WORD[b] else 32 for b in LOWER)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -75,10 +79,11 @@ def _keys(rows: np.ndarray) -> np.ndarray:
 
 
 def _head(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """32 bits of hash of the first words of windows; equal windows have equal ones."""
     key = np.zeros(len(at), np.uint64)
     for k in range(size):
         key = (key + codes[at + k].astype(np.uint64)) * np.uint64(_BASE)
-    return key
+    return (key >> np.uint64(32)).astype(np.uint32)
 
 
 def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -129,7 +134,7 @@ class Suffixes:
         last = np.concatenate((doc[1:] != doc[:-1], [True])) if n else np.zeros(0, bool)
         stop = np.flatnonzero(last | (codes == 0))
         end = stop[np.searchsorted(stop, np.arange(n))]
-        self.run = end + (codes[end] > 0) - np.arange(n)
+        self.run = (end + (codes[end] > 0) - np.arange(n)).astype(np.int32)
         mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((mixed ^ mixed >> np.uint64(29)) * _power("up", n), dtype=np.uint64)))
@@ -152,17 +157,39 @@ def common_prefix(a: Suffixes, i: np.ndarray, b: Suffixes, j: np.ndarray, known:
 class Windows:
     """The distinct windows of one length in order, their test suffixes, and the sets of items that have them."""
 
-    keys: np.ndarray
-    heads: np.ndarray
-    known: np.ndarray
-    bounds: np.ndarray  # of each window's suffixes in `tests`
     tests: np.ndarray
+    bounds: np.ndarray  # of each window's suffixes in `tests`
     which: np.ndarray  # the set of items of each window
     sets: list[np.ndarray]
+    heads: np.ndarray | None = None
+    known: np.ndarray | None = None
+
+
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
+    """Of all texts the hashes of their words in order, the number of words of each, and the words by their hashes; a block of texts at a time."""
+    hashes, counts, words, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], {}, 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= BLOCK_BYTES):
+            size += len(texts[to])
+            to += 1
+        block = Words(texts[at:to])
+        own, first = np.unique(block.hash, return_index=True)
+        for h, k in zip(own.tolist(), first.tolist(), strict=True):
+            if h not in words:
+                words[h] = block.word(k)
+        hashes.append(block.hash)
+        counts.append(block.n_words)
+        at = to
+    return np.concatenate(hashes), np.concatenate(counts), words
 
 
 class TestIndex:
-    """Sorted test suffixes of one part of the benchmark; items are numbered in the order of their ids."""
+    """Sorted test suffixes of one part of the benchmark; items are numbered in the order of their ids.
+
+    It is sent with what cannot be worked out from the rest: codes of words,
+    suffixes, windows. Workers add prefix sums and heads.
+    """
 
     __test__ = False
 
@@ -172,29 +199,60 @@ class TestIndex:
             by_text.setdefault(text, set()).add(item)
         entries = sorted((sorted(ids), text) for text, ids in by_text.items())
         self.items = [ids for ids, _ in entries]
-        words = Words([text.encode("utf-8", "replace") for _, text in entries])
-        self.vocabulary, firsts, codes = np.unique(words.hash, return_index=True, return_inverse=True)
-        self.data, self.at, self.size = words.data, words.start[firsts], words.end[firsts] - words.start[firsts]
-        self.item = words.doc
-        self.suffixes = Suffixes(codes + 1, words.doc)
-        self.depth = int(words.n_words.max(initial=0))
+        hashes, self.n_words, words = _hashed([text.encode("utf-8", "replace") for _, text in entries])
+        self.vocabulary, codes = np.unique(hashes, return_inverse=True)
+        del hashes
+        known = [words[h] for h in self.vocabulary.tolist()]
+        self.size = np.array([len(w) for w in known], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(known), np.uint8)
+        self.codes = (codes + 1).astype(np.int32)
+        self._rebuilt()
         order = suffix_array(self.suffixes.codes, self.suffixes.run, self.depth)
-        lengths = np.minimum(words.n_words, WINDOW)
+        lengths = np.minimum(self.n_words, WINDOW)
         rng = np.random.default_rng(7)
         marks = rng.integers(1, 1 << 63, (2, len(entries)), dtype=np.uint64)
         self.windows = {}
         for size in np.unique(lengths[lengths > 0]).tolist():
-            tests = order[(lengths[self.item[order]] == size) & (self.suffixes.run[order] >= size)]
-            keys = _keys(self.suffixes.codes[tests[:, None] + np.arange(size)])
-            fresh = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            pairs = np.unique(np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(keys)))) * len(entries) + self.item[tests])
+            tests = order[(lengths[self.item[order]] == size) & (self.suffixes.run[order] >= size)].astype(np.int32)
+            new = np.zeros(len(tests), bool)
+            new[0] = True
+            for k in range(size):
+                new[1:] |= self.codes[tests[1:] + k] != self.codes[tests[:-1] + k]
+            fresh = np.flatnonzero(new)
+            pairs = np.unique((np.cumsum(new) - 1) * len(entries) + self.item[tests])
             window, item = pairs // len(entries), pairs % len(entries)
             begins = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
-            sums = np.stack([np.add.reduceat(m[item], begins) for m in marks], 1)
-            _, first, which = np.unique(sums, axis=0, return_index=True, return_inverse=True)
             ends = np.append(begins[1:], len(item))
-            heads = _head(self.suffixes.codes, tests[fresh], min(size, HEAD))
-            self.windows[size] = Windows(keys[fresh], heads, np.unique(heads), np.append(fresh, len(keys)), tests, which.ravel(), [item[begins[k] : ends[k]] for k in first.tolist()])
+            # most windows belong to one item; of the others equal sets are told by sums of two marks
+            one, several = np.flatnonzero(ends - begins == 1), np.flatnonzero(ends - begins > 1)
+            which = np.zeros(len(begins), np.int32)
+            single, which[one] = np.unique(item[begins[one]], return_inverse=True)
+            sums = np.stack([np.add.reduceat(m[item], begins)[several] for m in marks], 1)
+            _, first, numbers = np.unique(sums, axis=0, return_index=True, return_inverse=True)
+            which[several] = len(single) + numbers.ravel()
+            sets = [np.array([k]) for k in single.tolist()] + [item[begins[k] : ends[k]] for k in several[first].tolist()]
+            self.windows[size] = Windows(tests, np.append(fresh, len(tests)).astype(np.int32), which, sets)
+        self._headed()
+
+    def _rebuilt(self) -> None:
+        self.item = np.repeat(np.arange(len(self.n_words), dtype=np.int32), self.n_words)
+        self.suffixes = Suffixes(self.codes, self.item)
+        self.depth = int(self.n_words.max(initial=0))
+
+    def _headed(self) -> None:
+        for size, w in self.windows.items():
+            w.heads = _head(self.codes, w.tests[w.bounds[:-1]], min(size, HEAD))
+            w.known = np.unique(w.heads)
+
+    def __getstate__(self) -> dict:
+        sent = {k: v for k, v in self.__dict__.items() if k not in ("item", "suffixes", "depth")}
+        return sent | {"windows": {size: replace(w, heads=None, known=None) for size, w in self.windows.items()}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._rebuilt()
+        self._headed()
 
     def coded(self, words: Words) -> np.ndarray:
         """Codes of the words, compared byte by byte; 0 for a word that the benchmark lacks."""
@@ -221,7 +279,8 @@ class TestIndex:
             if not len(asked):
                 continue
             keys = _keys(shard.codes[at[:, None] + np.arange(size)])
-            low, high = np.searchsorted(keys, w.keys[asked], "left"), np.searchsorted(keys, w.keys[asked], "right")
+            wanted = _keys(self.codes[w.tests[w.bounds[asked]][:, None] + np.arange(size)])
+            low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
             if (high > low).any():
                 yield size, at[_ranges(low, high)], np.repeat(asked, high - low)
 
@@ -305,17 +364,20 @@ def n_hit_of(spans: list[int]) -> int:
     return total
 
 
-def indexes(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[TestIndex]:
-    """Indexes of parts of the benchmark with about `limit` text bytes each; the driver holds one part at a time."""
+def parts_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
+    """Parts of the benchmark, (item, text) each, whose index has up to `limit` bytes as it is sent, or one item; rows come to the driver one part at a time, and one row more."""
     part, size = [], 0
-    for item, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).filter(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
-        part.append((item, text))
-        size += len(text.encode())
-        if size >= limit:
-            yield TestIndex(part)
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).filter(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
+    for item, text in rows.toLocalIterator():
+        raw = text.encode("utf-8", "replace")
+        own = len(raw) + WORD_BYTES * len(raw.translate(SPACED).split())
+        if part and size + own > limit:
+            yield part
             part, size = [], 0
+        part.append((item, text))
+        size += own
     if part:
-        yield TestIndex(part)
+        yield part
 
 
 MATCHES = "n_words bigint, spans array<bigint>, items array<string>, longest_words bigint, longest_at bigint, longest_item string"
@@ -332,21 +394,20 @@ def contamination(
     table gives no rows. Of equally long matches the first in the text counts,
     and there the least item id as a string. A very long text is a shard of its
     own; further columns are not read, so their names cannot clash. A benchmark
-    beyond `index_bytes` is taken in parts, one scan and one broadcast at a
+    whose index is beyond `index_bytes` is taken in parts, one scan and one broadcast at a
     time; each part's hits are written before the next begins, and come
     together by document with the same results.
     """
     sc = docs.sparkSession.sparkContext
     source = docs.select(F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h")).alias("key"), docs[text_col].alias("text"))
-    parts = indexes(benchmark, item_col, item_text_col, index_bytes)
-    index, following = next(parts, None) or TestIndex([]), next(parts, None)
-    held = sc.broadcast(index)
+    parts = parts_of(benchmark, item_col, item_text_col, index_bytes)
+    held, following = sc.broadcast(TestIndex(next(parts, []))), next(parts, None)
     found = map_texts(source, lambda: lambda texts: matches(held.value, texts), MATCHES, "key", "text")
     if following is not None:
         found, hits = checkpointed(found.withColumn("copies", F.lit(1))), None
         while following is not None:
             held.unpersist()
-            held = sc.broadcast(following)
+            held = sc.broadcast(TestIndex(following))
             more = map_texts(source, lambda held=held: lambda texts: matches(held.value, texts), MATCHES, "key", "text")
             more = checkpointed(more.filter(F.size("spans") > 0).withColumn("copies", F.lit(0)))
             hits, following = more if hits is None else hits.unionByName(more), next(parts, None)
@@ -375,12 +436,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     stay under whatever names; an empty benchmark or table changes nothing. With a benchmark of one part the rows are judged where they are; with more
     parts the verdicts meet the rows by id and text hash.
     """
-    parts = indexes(benchmark, item_col, item_text_col, index_bytes)
-    index, more = next(parts, None), next(parts, None)
-    if index is None:
+    parts = parts_of(benchmark, item_col, item_text_col, index_bytes)
+    part, more = next(parts, None), next(parts, None)
+    if part is None:
         return docs
     if more is None:
-        held = docs.sparkSession.sparkContext.broadcast(index)
+        held = docs.sparkSession.sparkContext.broadcast(TestIndex(part))
 
         def make():
             def keep(texts):
