@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
+from paperloom.sources.files import scratch_folder
 
 #: A loader gives a model: a function of one or more lists of equal length to a sequence of results, one for each place.
 Loader = Callable[[], Callable[..., Sequence[Any]]]
@@ -85,6 +86,13 @@ def embedded(rows: DataFrame, load: Loader, text_col: str = "content", vector_co
     return rows.withColumn(vector_col, model_column(unit_vectors(load), "array<double>", batch)(F.col(text_col)))
 
 
+def embedded_once(rows: DataFrame, load: Loader, text_col: str = "content", vector_col: str = "embedding", batch: int = BATCH) -> DataFrame:
+    """`embedded`, written to the shared folder and read again, so a model sees each text once, however often and by whatever filters the rows are read."""
+    path = scratch_folder(rows.sparkSession)
+    embedded(rows, load, text_col, vector_col, batch).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def zero_shot_scorer(load: Loader, labels: Sequence[str], batch: int = BATCH) -> Callable[[Column], Column]:
     """A column function: (label, top, second) of a text, by a model that gives a score for each of `labels`, in their order; of equal scores the first label counts."""
     scores = model_column(load, "array<double>", batch)

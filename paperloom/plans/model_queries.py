@@ -38,9 +38,10 @@ def _letters(t: str) -> str:
     ),
 )
 def sc25_search(spark, d):
-    """Chunks and questions embedded by a plug-in and searched in one plan."""
-    asking = M.embedded(asked(spark, d), letter_counts, "question", "vector")
-    return R.vector_search(asking, M.embedded(chunk_store(spark, d), letter_counts), 5)
+    """Chunks and questions embedded by a plug-in, each once, and searched."""
+    asking = M.embedded_once(asked(spark, d), letter_counts, "question", "vector")
+    chunks = chunk_store(spark, d).select("chunk_id", "company_document_id", "revision_number", "content")
+    return R.vector_search(asking, M.embedded_once(chunks, letter_counts).drop("content"), 5)
 
 
 def label_words():

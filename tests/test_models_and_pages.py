@@ -32,6 +32,34 @@ def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
     assert len(pids) == len(set(pids)) < 16
 
 
+def test_a_model_sees_each_text_once(spark, tmp_path):
+    def load():
+        def embed(texts):
+            with open(f"{tmp_path}/seen", "a") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return [[1.0, float(t[1:])] for t in texts]
+
+        return embed
+
+    chunks = spark.range(60).select(F.format_string("c%02d", "id").alias("chunk_id"), F.lit("d").alias("company_document_id"), F.lit("1").alias("revision_number"), F.concat(F.lit("t"), "id").alias("content"))
+    asked = chunks.filter("chunk_id = 'c07'").select(F.lit(1).alias("qid"), "company_document_id", "revision_number", F.array(F.lit(1.0), F.lit(7.0)).alias("vector"))
+    found = R.vector_search(asked, M.embedded_once(chunks, load), 1).collect()
+    assert [r.chunk_id for r in found] == ["c07"] and sorted((tmp_path / "seen").read_text().split()) == sorted(f"t{k}" for k in range(60))
+    questions = spark.createDataFrame([(f"t{k} which of the wells flows", k) for k in range(9)], "question string, k int")
+    (tmp_path / "asked").mkdir()
+
+    def counted():
+        def score(texts):
+            with open(f"{tmp_path}/asked/seen", "a") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return [[0.1, 0.9] for _ in texts]
+
+        return score
+
+    assert {r.intent for r in M.classified(questions, counted, ["greeting", "definition"]).collect()} == {"definition"}
+    assert len((tmp_path / "asked" / "seen").read_text().splitlines()) == 9
+
+
 def test_null_texts_and_wrong_models(spark, tmp_path):
     rows = spark.createDataFrame([(1, "ab"), (2, None), (3, ""), (1, "ab")], "id int, content string")
     got = {r.id: r.embedding for r in M.embedded(rows, lambda: lambda texts: [[0.0, 3.0 * len(t)] for t in texts]).collect()}
