@@ -13,6 +13,14 @@ Very common shingles would bring about all pairs of a large group of near
 copies. So the members of a large group are first compared with one of them, a
 few times; documents found linked are one component, and the join then looks
 only at pairs of different components, which loses no link between components.
+
+Members that resemble the one but do not link with it would still bring about
+all pairs with the rest. The one becomes the home of all that resemble it, and
+of these only the differences from the home's most central member are joined:
+two sets differ in what one of their differences has and the other lacks, so a
+pair that links, of which at most one links with the centre, shares many
+shingles of its differences, most of them rare. Pairs of one home are met by
+differences alone, all others by prefixes.
 """
 
 from __future__ import annotations
@@ -25,6 +33,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import KEPT_CHARS, MEMO_ENTRIES, blocks, bound_batches, checkpointed, join_values
 from .components import components
@@ -36,6 +46,8 @@ BUCKET_BITS, PARTS = 22, 64
 MATCHES, ROW_COST, MET_COST, VERIFY_COST = 4, 8.0, 1.0, 0.02
 #: Documents under one shingle that are paired at once; larger groups are first thinned, this many times.
 PAIRED, THINNED = 64, 2
+#: Hundredths of similarity from which on a document may be at home with another.
+HOME = 50
 #: Rows of one shingle that may meet in one task, or twice the mean of a bucket.
 COMMON = 4096
 #: Bits of a place in a prefix; sets may have 2^31 shingles.
@@ -286,8 +298,8 @@ def oriented(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.when(turned, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(turned, F.col("u")).otherwise(F.col("v")).alias("v"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int, similar: int) -> DataFrame:
-    """(u, v) of the distinct pairs (u, v) whose sets are similar enough.
+def compared(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int, similar: int, look, schema: str) -> DataFrame:
+    """What `look` gives for a set and a list of partners (own, [(u, v, other)]), of the distinct pairs (u, v) that may be as similar.
 
     A set travels once for each pair in which it is v; u's set goes once to each
     of up to 64 salted parts of its partners, where rows are compared in a
@@ -299,11 +311,12 @@ def verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int,
     second = pairs.select("u", "salt", F.lit(1).alias("side"), F.col("v").alias("node"))
     first = pairs.select("u", "salt").distinct().select("u", "salt", F.lit(0).alias("side"), F.col("u").alias("node"))
     dealt = first.unionByName(second).join(sets, "node").select("u", "salt", "side", "node", "found").repartition("u", "salt").sortWithinPartitions("u", "salt", "side")
+    names = T.StructType.fromDDL(schema)
 
     def run(batches):
         held, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            us, vs = [], []
+            rows = []
             for u, salt, side, node, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 other = np.frombuffer(found, np.uint64)
                 if not side:
@@ -311,13 +324,112 @@ def verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int,
                     continue
                 if held != (u, salt):
                     raise ValueError("a pair came without its first set")
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * both >= similar * (len(own) + len(other) - both):
-                    us.append(u)
-                    vs.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                made = look(own, other)
+                if made is not None:
+                    rows.append((u, node, *made))
+            columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, names, strict=True)], names=names.names)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def linked(own: np.ndarray, other: np.ndarray, similar: int) -> bool:
+    """Whether two sets are similar enough."""
+    both = len(np.intersect1d(own, other, assume_unique=True))
+    return 100 * both >= similar * (len(own) + len(other) - both)
+
+
+def verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int, similar: int) -> DataFrame:
+    """(u, v) of the distinct pairs (u, v) whose sets are similar enough."""
+    return compared(pairs, classes, source, size, similar, lambda own, other: () if linked(own, other, similar) else None, "u bigint, v bigint")
+
+
+def shown(own: np.ndarray, gone: np.ndarray, n: int, h: int, counts: np.ndarray, most: int, similar: int) -> tuple[bool, int, int, int, np.ndarray]:
+    """Of a set of n shingles that has `own` and lacks `gone` of a home of h: whether they link, the size of the difference, how many of it to show to sets that don't and that do link with the home, and those, rare ones first.
+
+    Let a and b be the sizes of two sets with differences of d and e shingles, c
+    of them in both, and r = (100 - similar) / (100 + similar). The two link if
+    d + e - 2 c <= (a + b) r. With a partner that does not link with the home,
+    e > (b + h) r, so c > (d + (h - a) r) / 2. With one that does and as c <= e,
+    c >= d - (a + b) r, where b is at most 100 a / similar. All but c - 1
+    shingles of each difference, in one order, then share one.
+    """
+    apart = np.concatenate((own, gone))
+    d = len(apart)
+    links = d * (100 + similar) <= (n + h) * (100 - similar)
+    to_far = (d * (100 + similar) + (h - n) * (100 - similar)) // (2 * (100 + similar)) + 1
+    to_near = d - n * (100 - similar) // similar
+    far, near = (max(0, min(d, d + 1 - c)) for c in (to_far, to_near))
+    near = 0 if links else near
+    # about as many lack a shingle of the home as `most` is above its count
+    seen = counts[(apart >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.int64)
+    seen[len(own) :] = most - seen[len(own) :]
+    return links, d, far, near, apart[np.lexsort((apart, seen))[: max(far, near)]]
+
 
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+def differences(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int, similar: int, counts) -> DataFrame:
+    """(u, v, h, most, n, own, gone) of the distinct pairs (u, v) that are similar enough for v to be at home with u: u's size and its highest count, v's size, what v has and what it lacks of u."""
+
+    def look(own, other):
+        if not linked(own, other, similar):
+            return None
+        most = int(counts.value[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].max())
+        return len(own), most, len(other), *(np.setdiff1d(*x, assume_unique=True).view(np.int64).tolist() for x in ((other, own), (own, other)))
+
+    return compared(pairs, classes, source, size, similar, look, "u bigint, v bigint, h bigint, most bigint, n bigint, own array<bigint>, gone array<bigint>")
+
+
+def with_homes(found: DataFrame) -> DataFrame:
+    """(home, most, node, n, own, gone): each node with the home that it differs least from; a home is its own."""
+    none = F.array().cast("array<bigint>")
+    selves = found.groupBy("u").agg(F.first("most").alias("most"), F.first("h").alias("n")).select("u", "most", F.col("u").alias("v"), "n", none.alias("own"), none.alias("gone"))
+    every = found.drop("h").unionByName(selves)
+    best = F.min_by(F.struct(F.col("u").alias("home"), "most", "n", "own", "gone"), F.struct(F.size("own") + F.size("gone"), "u"))
+    return every.groupBy(F.col("v").alias("node")).agg(best.alias("o")).select("o.home", "o.most", "node", "o.n", "o.own", "o.gone")
+
+
+def centred(homes: DataFrame, counts, similar: int) -> DataFrame:
+    """(home, centre, node, links, n, d, far, near, apart): the difference of each node from the centre of its home.
+
+    That is the node that differs least from the shingles that most nodes of the
+    home have; the closer it is, the fewer shingles do all differences share.
+    """
+    apart = F.concat("own", "gone")
+    sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("nodes"))
+    often = homes.select("home", F.explode(apart).alias("token")).groupBy("home", "token").agg(F.count(F.lit(1)).alias("times"))
+    usual = checkpointed(often.join(F.broadcast(sizes), "home").filter("2 * times > nodes").groupBy("home").agg(F.collect_list("token").alias("usual")))
+    off = F.when(F.col("usual").isNull(), F.size(apart)).otherwise(F.size(apart) + F.size("usual") - 2 * F.size(F.array_intersect(apart, "usual")))
+    best = F.min_by(F.struct(F.col("node").alias("centre"), F.col("n").alias("h"), F.col("own").alias("c_own"), F.col("gone").alias("c_gone")), F.struct(off, "node"))
+    centres = checkpointed(homes.join(F.broadcast(usual), "home", "left").groupBy("home").agg(best.alias("c"), F.count(F.lit(1)).alias("nodes")))
+    rows = attached(homes, centres.select("home", "c.*"), "home")
+    has = F.concat(F.array_except("own", "c_own"), F.array_except("c_gone", "gone"))
+    lacks = F.concat(F.array_except("c_own", "own"), F.array_except("gone", "c_gone"))
+    rows = rows.select("home", "centre", "node", "n", "h", "most", has.alias("has"), lacks.alias("lacks"))
+
+    def run(batches):
+        for batch in batches:
+            made = [[] for _ in range(5)]
+            for n, h, most, own, gone in zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True):
+                own, gone = (np.array(x, np.int64).view(np.uint64) for x in (own, gone))
+                for to, value in zip(made, shown(own, gone, n, h, counts.value, most, similar), strict=True):
+                    to.append(value)
+            links, d, far, near, apart = made
+            columns = [pa.array(links, pa.bool_()), pa.array(d, pa.int64()), pa.array(far, pa.int32()), pa.array(near, pa.int32()), pa.array([x.view(np.int64) for x in apart], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], names=["home", "centre", "node", "n", "links", "d", "far", "near", "apart"])
+
+    return rows.mapInArrow(run, "home bigint, centre bigint, node bigint, n bigint, links boolean, d bigint, far int, near int, apart array<bigint>")
+
+
+def near_in_homes(homes: DataFrame, roots: DataFrame, similar: int) -> DataFrame:
+    """(u, v) of different components and one home that may link, by what their differences from its centre share."""
+    rows = with_roots(homes, roots).filter("far > 0 or near > 0").select("home", "node", "root", "links", "n", "d", "far", "near", F.posexplode("apart").alias("place", "token"))
+    mixed = rows.groupBy("home", "token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("links").alias("all_link")).filter("low <> high and not all_link").select("home", "token")
+    rows = checkpointed(rows.join(mixed, ["home", "token"]))
+    room = "least(a.place, b.place) + least(a.d - a.place, b.d - b.place)"
+    shares = f"(a.d + b.d - 2 * ({room})) * {100 + similar} <= (a.n + b.n) * {100 - similar}"
+    allowed = "a.place < if(b.links, a.near, a.far) and b.place < if(a.links, b.near, b.far)"
+    met = rows.filter("not links").alias("a").join(rows.alias("b"), F.expr(f"a.home = b.home and a.token = b.token and a.root <> b.root and (b.links or a.node < b.node) and {allowed} and {shares}"))
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
 def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -333,27 +445,43 @@ def mixed_groups(rows: DataFrame) -> DataFrame:
     return join_values(rows, checkpointed(groups), "token")
 
 
-def set_links(shared: DataFrame, classes: DataFrame, source: DataFrame, size: int, similar: int, paired: int = PAIRED, thinned: int = THINNED) -> DataFrame:
+def mixed_homes(rows: DataFrame) -> DataFrame:
+    """Of rows (token, root, home, ..) those whose token's rows are of several components and homes, with the home `top` of most of them."""
+    by_home = rows.groupBy("token", "home").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+    groups = by_home.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("homes"), F.sum("n").alias("n"), F.max_by("home", F.struct("n", "home")).alias("top"))
+    return join_values(rows, checkpointed(groups.filter("low <> high and homes > 1").select("token", "n", "top")), "token").drop("n")
+
+
+def set_links(shared: DataFrame, classes: DataFrame, source: DataFrame, size: int, similar: int, counts, paired: int = PAIRED, thinned: int = THINNED) -> DataFrame:
     """(u, v) links between different sets that join them as all links do."""
-    links, roots = None, None
+    links, roots, homes = None, None, None
     for turn in range(thinned):
-        large = checkpointed(mixed_groups(with_roots(shared, roots)).filter(F.col("n") > paired).drop("n"))
+        rest = shared if homes is None else shared.join(homes.select("node"), "node", "left_anti")
+        large = checkpointed(mixed_groups(with_roots(rest, roots)).filter(F.col("n") > paired).drop("n"))
         if large.isEmpty():
             break
         # a document whose prefix has the most shingles of large groups differs least from the others; later turns take any
         best = F.struct(F.lit(0) if turn else -F.col("common"), F.xxhash64("node", F.lit(turn)))
-        one = F.min_by(F.struct("node", "root", "size", "place"), best).alias("a")
         large = large.withColumn("common", F.lit(0)) if turn else checkpointed(attached(large, large.groupBy("node").agg(F.count(F.lit(1)).alias("common")), "node"))
-        hubs = checkpointed(large.groupBy("token").agg(one, F.count(F.lit(1)).alias("n")))
-        met = join_values(large, hubs, "token").select("a", F.struct("node", "root", "size", "place").alias("b"))
-        pairs = met.filter(F.expr(f"a.root <> b.root and {may_link(similar)}")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-        new = checkpointed(verified(pairs, classes, source, size, similar))
+        hubs = checkpointed(large.groupBy("token").agg(F.min_by("node", best).alias("u"), F.count(F.lit(1)).alias("n")))
+        pairs = join_values(large.select("token", "node"), hubs, "token").filter("u <> node").select("u", F.col("node").alias("v")).distinct()
+        found = with_homes(checkpointed(differences(pairs, classes, source, size, min(HOME, similar), counts)))
+        found = checkpointed(centred(checkpointed(found), counts, similar))
+        new = found.filter("links and node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v"))
         links = new if links is None else links.unionByName(new)
         roots = checkpointed(components(links))
-    rows = checkpointed(mixed_groups(with_roots(shared, roots)).drop("n"))
-    met = rows.alias("a").join(rows.alias("b"), F.expr(f"a.token = b.token and a.node < b.node and a.root <> b.root and a.layer <= b.m and b.layer <= a.m and {may_link(similar)}"))
-    counted = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.least("a.m", "b.m").alias("m")).groupBy("u", "v", "m").agg(F.count(F.lit(1)).alias("matches"))
-    last = verified(oriented(counted.filter("matches >= m")), classes, source, size, similar)
+        homes = found if homes is None else homes.unionByName(found)
+    rows = with_roots(shared, roots)
+    rows = rows.withColumn("home", F.col("node")) if homes is None else rows.join(homes.select("node", "home"), "node", "left").withColumn("home", F.coalesce("home", "node"))
+    rows = checkpointed(mixed_homes(checkpointed(rows)))
+    # of a pair of different homes at most one is of the home that most rows of the shingle have
+    once = "(b.home = b.top or a.node < b.node)"
+    met = rows.filter("home <> top").alias("a").join(rows.alias("b"), F.expr(f"a.token = b.token and {once} and a.root <> b.root and a.home <> b.home and a.layer <= b.m and b.layer <= a.m and {may_link(similar)}"))
+    ends = F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")
+    last = met.select(*ends, F.least("a.m", "b.m").alias("m")).groupBy("u", "v", "m").agg(F.count(F.lit(1)).alias("matches")).filter("matches >= m").select("u", "v")
+    if homes is not None:
+        last = last.unionByName(near_in_homes(homes, roots, similar)).distinct()
+    last = verified(oriented(last), classes, source, size, similar)
     return last if links is None else links.unionByName(last)
 
 
@@ -382,7 +510,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, similar: int = SIMILAR
     noise = float(counts.mean())
     sent = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
     shared = checkpointed(shared_rows(prefixes(source, size, sent, noise, similar, max(COMMON, int(2 * noise))), classes, similar))
-    links = set_links(shared, classes, source, size, similar, paired, thinned)
+    links = set_links(shared, classes, source, size, similar, sent, paired, thinned)
     roots = checkpointed(components(links))
     members = classes.select("node", "d", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))

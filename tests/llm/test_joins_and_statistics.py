@@ -88,6 +88,46 @@ def test_jaccard_components(spark, monkeypatch, paired, thinned, common):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_jaccard_far_members(spark, monkeypatch):
+    """Near copies of which many link with no hub are met by their differences, not each with all others."""
+    rnd, met = random.Random(5), []
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(260):
+        own = list(base)
+        for j in range(rnd.choice((1, 2, 3, 4, 5, 7))):
+            at = rnd.randrange(len(own) - 1)
+            own[at : at + rnd.choice((1, 1, 2))] = [f"x{rnd.randrange(40) if j % 2 else rnd.random()}"] * rnd.choice((0, 1, 1, 2))
+        rows.append((k, " ".join(own[rnd.randrange(3) :])))
+    verified = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *rest: met.append(pairs.count()) or verified(pairs, *rest))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = brute_components(rows)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert len({c for _, _, c in want}) > 20 and sum(met) < 5000
+
+
+def test_jaccard_differences_share(spark):
+    """Of two linked sets of which at most one links with the home, the parts of their differences that are shown share a shingle."""
+    rng, seen = np.random.default_rng(6), 0
+    counts = rng.integers(0, 50, 1 << jaccard_join.BUCKET_BITS)
+    for _ in range(4000):
+        pool = np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64) * np.uint64(2))
+        n, few = int(rng.integers(5, 90)), int(rng.integers(0, 24))
+        home = pool[:n]
+        a = np.setxor1d(home, rng.choice(pool[: n + 20], few, replace=False))
+        b = np.setxor1d(a, rng.choice(pool[: n + 20], int(rng.integers(1, 12)), replace=False))
+        if not len(a) or not len(b) or not jaccard_join.linked(a, b, 80):
+            continue
+        both = [jaccard_join.shown(np.setdiff1d(x, home), np.setdiff1d(home, x), len(x), n, counts, 50, 80) for x in (a, b)]
+        (la, da, fa, na, pa), (lb, db, fb, nb, pb) = both
+        assert (la, lb) == (jaccard_join.linked(home, a, 80), jaccard_join.linked(home, b, 80))
+        if not la or not lb:
+            assert len(np.intersect1d(pa[: na if lb else fa], pb[: nb if la else fb]))
+            seen += 1
+    assert seen > 100
+
+
 def test_jaccard_prefixes_and_names(spark):
     """Linked sets share as many prefix shingles as the smaller m asks for, whatever each chose; ids may be strings."""
     rng = np.random.default_rng(4)
