@@ -15,13 +15,15 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, crc_mod, map_texts, rewrite_rows
+from .common import Memo, bound_batches, crc_mod, map_texts, rewrite_rows
 
 BUCKET_BITS, SIZE, NGRAMS = 18, 4, (3, 4, 5, 6)
 #: Bounds of the training sample: labelled documents of each class, and characters in all.
@@ -206,12 +208,11 @@ class Scorer:
         return [float(1 / (1 + math.exp(min(-z, 700)))) if chunks else 0.0 for z, chunks in zip(logits, cut, strict=True)]
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most `limit` held-in documents of each class and about `chars` characters, by a hash of their ids.
+def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int = SAMPLE_DOCS) -> DataFrame:
+    """(text, y) of at most `limit` held-in documents of each class, one partition in the order of a hash of their ids.
 
     Of an id's several texts the one of the least hash is taken. Only ids and
-    labels are read to choose; their count bounds what is broadcast and
-    collected.
+    labels are read to choose; their count bounds what is broadcast.
     """
     own = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (crc_mod(F.col(id_col), FOLDS) != HELD_OUT))
     known = own.groupBy(id_col).agg(F.max(label_col).alias("y")).join(docs.select(id_col).distinct(), id_col, "left_semi")
@@ -221,19 +222,42 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         part = known.filter(F.col("y") == y).orderBy(order, id_col).limit(limit)
         chosen = part if chosen is None else chosen.unionByName(part)
     own_text = F.min(F.struct(F.xxhash64(text_col), F.col(text_col).alias("text"))).alias("one")
-    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(own_text, F.first("y").alias("y")).select(id_col, "one.text", "y").orderBy(order, id_col)
+    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(own_text, F.first("y").cast("int").alias("y"))
+    return found.repartition(1).sortWithinPartitions(order, id_col).select(F.col("one.text").cast("string").alias("text"), "y")
+
+
+def first_chars(rows: Iterable[tuple[str | None, int]], chars: int) -> tuple[list[str], list[int]]:
+    """Texts and labels of the first rows, about `chars` characters of them."""
     texts, ys, size = [], [], 0
-    for row in found.toLocalIterator():
-        texts.append(row.text or "")
-        ys.append(row.y)
+    for text, y in rows:
+        texts.append(text or "")
+        ys.append(y)
         size += len(texts[-1])
         if size >= chars:
             break
     return texts, ys
 
 
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most `limit` held-in documents of each class and about `chars` characters, as the model is trained on."""
+    return first_chars(map(tuple, sample_rows(docs, labels, id_col, text_col, label_col, limit).toLocalIterator()), chars)
+
+
+def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
+    """The model of the bounded sample, trained by one task, so that the driver gets neither texts nor what training takes, but one number for each bucket."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        model = train(*first_chars(rows, SAMPLE_CHARS))
+        yield pa.RecordBatch.from_arrays([pa.array([model.share.tobytes()], pa.binary()), pa.array([model.bias])], names=["share", "bias"])
+
+    made = sample_rows(docs, labels, id_col, text_col, label_col).mapInArrow(run, "share binary, bias double").collect()
+    return Model(np.frombuffer(made[0].share), made[0].bias) if made else train([], [])
+
+
 def _scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
-    model = docs.sparkSession.sparkContext.broadcast(train(*training_sample(docs, labels, id_col, text_col, label_col)))
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, id_col, text_col, label_col))
     return lambda: Scorer(model.value).scores
 
 

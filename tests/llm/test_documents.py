@@ -571,6 +571,20 @@ def test_toxicity_held_out(spark, sf):
     assert none.filter("predicted = 1").count() == 0 and toxicity.toxicity(docs.limit(0), spark.createDataFrame(labels, "doc_id bigint, toxic int")).count() == 0
 
 
+def test_toxicity_trains_in_a_task(spark, monkeypatch):
+    """The driver gets the model, not what training takes, and the model is that of the sample."""
+    docs = spark.createDataFrame([(k, f"plain words number {k} of a text" + " you idiot" * (k % 2)) for k in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int")
+    want = toxicity.train(*toxicity.training_sample(docs, labels, "doc_id", "text", "toxic"))
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "train", lambda texts, ys: toxicity.Model(np.zeros(1), float(os.getpid())))
+        assert toxicity._scorer(docs, labels, "doc_id", "text", "toxic")().__self__.model.bias != os.getpid()
+    got = toxicity.trained(docs, labels, "doc_id", "text", "toxic")
+    assert np.array_equal(got.share, want.share) and got.bias == want.bias
+    empty = toxicity.trained(docs.limit(0), labels, "doc_id", "text", "toxic")
+    assert not empty.share.any() and empty.bias == toxicity.PRIOR
+
+
 def test_toxicity_on_driver_tables(spark, sf):
     """The trained model on labelled held-out rows, unseen variants of words, random texts and plain prose."""
     sf = f"{os.path.dirname(sf)}/sf0.1"
