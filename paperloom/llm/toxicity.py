@@ -7,7 +7,8 @@ is toxic if one of its words is: training takes the noisy-or over its words, so
 only documents need labels, and a document's score is that of its most toxic
 word, calibrated for the number of its distinct words, so that clean text
 neither hides a toxic word nor adds up to one. Training hides words' own
-buckets, misspells words and adds invented ones, so that the n-grams learn.
+buckets, misspells words and adds invented ones, so that the n-grams learn;
+a word outside the sample only resembles a toxic one, so its odds are bounded.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ EPOCHS, BATCHES, RATE, DECAY, PRIOR = 6, 24, 0.05, 1e-3, -5.0
 #: Shares of a word's occurrences as it is and without its own bucket (the rest is misspelt, in so many ways); invented words; unexplained toxic labels; distinct words that cost nothing.
 PLAIN, HIDDEN, MISSPELT, INVENTED, LEAK, FREE = 0.15, 0.15, 8, 20_000, 0.3, 30
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
+#: The highest logit of a word that the training sample lacks: it may be a clean word that looks like a misspelt toxic one (lose, path).
+UNSEEN = 2.0
 
 #: Letters and digits with at least one letter.
 WORD = re.compile(r"\d*[^\W\d_][^\W_]*")
@@ -115,17 +118,25 @@ def invented(words: list[str], n: int, rng: random.Random) -> list[str]:
 
 @dataclass
 class Model:
-    """A trained model; since averaging and softmax's logit are linear, each bucket's share of the logit is one number."""
+    """A trained model; since averaging and softmax's logit are linear, each bucket's share of the logit is one number.
+
+    `known` are the words of the sample with a logit over UNSEEN.
+    """
 
     share: np.ndarray
     bias: float
+    known: frozenset[str] = frozenset()
 
     def logits(self, words: list[str]) -> np.ndarray:
         """The toxic class's logit of each word."""
         if not words:
             return np.zeros(0)
         owner, bucket = subwords(words)
-        return np.bincount(owner, self.share[bucket], len(words)) / np.bincount(owner, minlength=len(words)) + self.bias
+        z = np.bincount(owner, self.share[bucket], len(words)) / np.bincount(owner, minlength=len(words)) + self.bias
+        for k in np.flatnonzero(z > UNSEEN).tolist():
+            if words[k] not in self.known:
+                z[k] = UNSEEN
+        return z
 
 
 def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
@@ -146,7 +157,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     forms = [Bags(words, True), Bags(words, False), *(Bags([misspelt(w, own_rng) for w in words], False) for _ in range(MISSPELT))]
     shares = [PLAIN, HIDDEN, *[(1 - PLAIN - HIDDEN) / MISSPELT] * MISSPELT]
     made = Bags(invented(words, INVENTED, own_rng), True)
-    del number, words
+    del number
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (1 << BUCKET_BITS, SIZE)).astype(np.float32), rng.normal(0, 0.5, (SIZE, 2)).astype(np.float32), np.array([0.0, PRIOR], np.float32)]
@@ -184,7 +195,9 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
                 second[k] += 0.01 * (d * d - second[k])
                 params[k] = params[k] - np.float32(RATE / (1 - 0.9**step)) * first[k] / (np.sqrt(second[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
     table, out, bias = params
-    return Model((table @ (out[:, 1] - out[:, 0])).astype(float), float(bias[1] - bias[0]))
+    share, bias = (table @ (out[:, 1] - out[:, 0])).astype(float), float(bias[1] - bias[0])
+    z = np.add.reduceat(share[forms[0].buckets], forms[0].starts) / forms[0].counts + bias
+    return Model(share, bias, frozenset(words[k] for k in np.flatnonzero(z > UNSEEN).tolist()))
 
 
 class Scorer:
@@ -244,16 +257,17 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
-    """The model of the bounded sample, trained by one task, so that the driver gets neither texts nor what training takes, but one number for each bucket."""
+    """The model of the bounded sample, trained by one task, so that the driver gets neither texts nor what training takes, but one number for each bucket and the toxic words."""
     bound_batches(docs.sparkSession)
 
     def run(batches):
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         model = train(*first_chars(rows, SAMPLE_CHARS))
-        yield pa.RecordBatch.from_arrays([pa.array([model.share.tobytes()], pa.binary()), pa.array([model.bias])], names=["share", "bias"])
+        known = pa.array([sorted(model.known)], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array([model.share.tobytes()], pa.binary()), pa.array([model.bias]), known], names=["share", "bias", "known"])
 
-    made = sample_rows(docs, labels, id_col, text_col, label_col).mapInArrow(run, "share binary, bias double").collect()
-    return Model(np.frombuffer(made[0].share), made[0].bias) if made else train([], [])
+    made = sample_rows(docs, labels, id_col, text_col, label_col).mapInArrow(run, "share binary, bias double, known array<string>").collect()
+    return Model(np.frombuffer(made[0].share), made[0].bias, frozenset(made[0].known)) if made else train([], [])
 
 
 def _scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
@@ -270,7 +284,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     is low. Null and empty texts have score 0; a null id is not held out;
     repeated rows give repeated rows; an empty table gives no rows; a text of
     any length is read whole, and of many distinct words the most toxic one must
-    stand out further; of equally toxic words it does not matter which counts; further columns are not read.
+    stand out further, so a misspelling is found among up to about 500 distinct words; of equally toxic words it does not matter which counts; further columns are not read.
     """
     make = _scorer(docs, labels, id_col, text_col, label_col)
 

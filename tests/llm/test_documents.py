@@ -585,6 +585,21 @@ def test_toxicity_trains_in_a_task(spark, monkeypatch):
     assert not empty.share.any() and empty.bias == toxicity.PRIOR
 
 
+def test_toxicity_of_words_that_only_look_toxic(spark):
+    """A word outside the sample that resembles a toxic one is found alone, but does not flag a long text; the toxic word itself does."""
+    rnd = random.Random(8)
+    made = lambda n: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n)]
+    plain = made(600)
+    rows = [(k, " ".join([*rnd.sample(plain, 20), *["pathetic"] * (k % 2)])) for k in range(600)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.trained(docs, labels, "doc_id", "text", "toxic")
+    prose = " ".join(made(1000))
+    alone, clean, toxic = toxicity.Scorer(model).scores(["pathetc", f"{prose} pathetc", f"{prose} pathetic"])
+    assert alone >= toxicity.THRESHOLD and toxic >= toxicity.THRESHOLD
+    assert clean < toxicity.THRESHOLD
+    assert "pathetic" in model.known and "pathetc" not in model.known
+
+
 def test_toxicity_on_driver_tables(spark, sf):
     """The trained model on labelled held-out rows, unseen variants of words, random texts and plain prose."""
     sf = f"{os.path.dirname(sf)}/sf0.1"
