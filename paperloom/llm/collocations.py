@@ -30,6 +30,8 @@ COVERED = 80
 KEYS_SENT, TABLE_BITS = 1 << 21, 27
 #: Distinct words and phrases that a task gathers before it sends their counts, words that are taken at a time, and the bits of a word's number.
 WORDS_HELD, PHRASES_HELD, SLICE, WORD_BITS = 300_000, 1_000_000, 500_000, 21
+#: Classes of scores and counts for each factor of e; a language has at most some thousand.
+CLASSES = 64
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z in lower case, every separator as a full stop, a tab as a space.
@@ -287,6 +289,22 @@ def scored(tables: list[DataFrame]) -> DataFrame:
     return left.join(least, "id").select("words", "a", "cut.l", "cut.r", "cut.score")
 
 
+def leading(rows: DataFrame, top: int) -> DataFrame:
+    """The rows (lang, score, a, ..) that may be among their language's first `top` by score and count, without sorting a language in one task.
+
+    Each row has a class that rises with its score, and among rows of the
+    highest possible score with its count; a language goes down to the class
+    with which it has `top` rows.
+    """
+    fine = lambda c: F.floor(F.log(c.cast("double")) * CLASSES)
+    classed = rows.withColumn("class", F.when(F.col("score") >= SCALE // 2, 100 * CLASSES + fine(F.col("a"))).otherwise(fine(F.col("score") + 1)))
+    sizes = classed.groupBy("lang", "class").agg(F.count(F.lit(1)).alias("size"))
+    so_far = F.sum("size").over(Window.partitionBy("lang").orderBy(F.desc("class")))
+    lowest = sizes.withColumn("so_far", so_far).filter(F.col("so_far") >= top).groupBy("lang").agg(F.max("class").alias("lowest"))
+    # a language without `top` rows has no lowest class
+    return classed.join(F.broadcast(lowest), "lang", "left").filter(F.col("class") >= F.coalesce("lowest", "class")).drop("class", "lowest")
+
+
 def collocations(
     docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text", sent: int = KEYS_SENT
 ) -> DataFrame:
@@ -302,10 +320,10 @@ def collocations(
     source = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), docs[text_col].cast("string").alias("text"))
     totals, tables = level_tables(source, least, longest, sent)
     found = checkpointed(scored(tables).withColumn("first", F.element_at("words", 1)))
-    named = by_key(found, tables[0].select(F.col("w0").alias("first"), "lang"), "first").drop("first")
+    named = checkpointed(by_key(found, tables[0].select(F.col("w0").alias("first"), "lang"), "first").drop("first"))
     # only what may still be among the first by score and count gets its words' strings
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    best = checkpointed(named.withColumn("place", F.rank().over(order)).filter(F.col("place") <= top).drop("place").withColumn("id", F.monotonically_increasing_id()))
+    best = checkpointed(leading(named, top).withColumn("place", F.rank().over(order)).filter(F.col("place") <= top).drop("place").withColumn("id", F.monotonically_increasing_id()))
     parts = checkpointed(best.select("id", F.posexplode("words").alias("k", "w0")))
     spelt = by_key(parts, tables[0].select("w0", "word"), "w0")
     phrases = spelt.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda s: s["word"]), " ").alias("phrase"))

@@ -262,6 +262,20 @@ def test_collocation_scores_are_exact(spark):
     assert (row.a, row.l, row.r, row.score) == (a, left, right, 2_000_000 * a // (left + right))
 
 
+def test_collocations_rank_few_rows(spark):
+    """All that can be among a language's first by score and count reaches the ranking, and little else of a large language does."""
+    rnd = random.Random(9)
+    scores = {"en": lambda: rnd.choice([0, 1, rnd.randrange(1000), rnd.randrange(1_000_001)]), "de": lambda: 1_000_000, "fr": lambda: 7, "la": lambda: rnd.randrange(50)}
+    rows = [(lang, scores[lang](), rnd.choice([30, 31, rnd.randrange(30, 10**9)]), k) for k in range(20_000) for lang in scores if lang != "fr" or k < 15]
+    got = [tuple(r) for r in collocations.leading(spark.createDataFrame(rows, "lang string, score bigint, a bigint, id int").repartition(3), 20).collect()]
+    assert len(got) == len(set(got))
+    for lang in scores:
+        best = sorted((r[1:3] for r in rows if r[0] == lang), reverse=True)
+        kept = [r for r in got if r[0] == lang]
+        assert {r for r in rows if r[0] == lang and r[1:3] >= best[:20][-1]} <= set(kept)
+        assert len(kept) < (1000 if lang == "la" else 250), lang
+
+
 def test_word_counts_flush(spark, monkeypatch):
     monkeypatch.setattr(collocations, "WORDS_HELD", 3)
     source = spark.createDataFrame([("en", "a b c d a"), ("en", "a. e f g b")], "lang string, text string")
