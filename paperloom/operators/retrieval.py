@@ -21,6 +21,8 @@ CANDIDATES, RESULTS, KEYWORD_LIMIT = 25, 8, 10
 DETAILED_CANDIDATES, DETAILED_RESULTS = 35, 10
 #: Questions that a cell of a search holds, and chunks of one identity from which on it is cut.
 QUERY_BLOCK, HOT = 4096, 16_384
+#: Where all pairs are scored: chunks of one identity from which on it is cut, and pairs that a task passes on at once.
+SCORED, PAIRS = 4096, 32_768
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -42,14 +44,15 @@ def top(df: DataFrame, per: str, k: int, *order: Column, name: str = "rank") ->
 IDENTITY = ("company_document_id", "revision_number")
 
 
-def _cells(asking: DataFrame, store: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _cells(asking: DataFrame, store: DataFrame, keys: tuple[str, ...], hot: int | None = None, tasks: int | None = None) -> DataFrame:
     """Both sides of a search, exchanged into cells that a task can work through one after the other.
 
     A cell is an identity (`keys`), a salt and a block: identities with many
     chunks are cut into salts, and those with many questions into blocks; the
     questions of an identity go to all its salts, its chunks to all its blocks.
-    Only identities with over a ten-thousandth of all rows (and HOT or BLOCK)
-    are cut, so their table, which is broadcast, has under 10,000 rows. `asking`
+    Only identities with over a ten-thousandth of all rows (and `hot`, else HOT,
+    or QUERY_BLOCK) are cut, so their table, which is broadcast, has under 10,000
+    rows. Cells are dealt to `tasks` tasks, or as Spark chooses by bytes. `asking`
     has `qid` and `store` has `chunk_id`; rows without them or without a whole
     identity take no part, and chunks that nobody asks about stay where they
     are. Each cell's questions come first (`side` 0), then its chunks, shortest
@@ -63,7 +66,7 @@ def _cells(asking: DataFrame, store: DataFrame, keys: tuple[str, ...]) -> DataFr
         total = counts.agg(F.sum("of").alias("total"))
         return F.broadcast(counts.join(F.broadcast(total)).filter(F.col("of") > share).select(*keys, F.ceil(F.col("of") / share).cast("int").alias(name)))
 
-    salts, blocks = cut(store.select(*keys), HOT, "salts"), cut(asking.select(*keys), QUERY_BLOCK, "blocks")
+    salts, blocks = cut(store.select(*keys), hot or HOT, "salts"), cut(asking.select(*keys), QUERY_BLOCK, "blocks")
     many = asking.join(salts, list(keys), "left").join(blocks, list(keys), "left")
     spread = many.withColumn("block", F.pmod(F.xxhash64("qid"), F.coalesce("blocks", F.lit(1))).cast("int")).withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")))
     asked = spread.drop("salts", "blocks").withColumn("side", F.lit(0))
@@ -73,20 +76,21 @@ def _cells(asking: DataFrame, store: DataFrame, keys: tuple[str, ...]) -> DataFr
     cell = [*keys, "salt", "block"]
     both = asked.unionByName(chunks, allowMissingColumns=True)
     order = [*cell, "side", *(["n", "chunk_id"] if "n" in both.columns else [])]
-    return both.repartition(*cell).sortWithinPartitions(*order)
+    return both.repartition(*([tasks] if tasks else []), *cell).sortWithinPartitions(*order)
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
-    """Slices of one cell and one side, each with whether it begins a new cell."""
+def _by_cell(batches: Iterator[pa.RecordBatch], cell: list[str], *more: str) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Slices of one cell and one side, and one value of `more`, each with whether it begins a new cell."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        marks = list(zip(*(batch.column(c).to_pylist() for c in [*cell, "side"]), strict=True))
+        marks = list(zip(*(batch.column(c).to_pylist() for c in [*cell, "side", *more]), strict=True))
         starts = [0, *(k for k in range(1, len(marks)) if marks[k] != marks[k - 1])]
         for at, to in zip(starts, [*starts[1:], len(marks)], strict=True):
-            yield marks[at][:-1] != last, batch.slice(at, to - at)
-            last = marks[at][:-1]
+            now = marks[at][: len(cell)]
+            yield now != last, batch.slice(at, to - at)
+            last = now
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -142,7 +146,7 @@ def _nearest(queries: DataFrame, store: DataFrame, k: int, keys: tuple[str, ...]
 
 
 def vector_search(queries: DataFrame, store: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """JN01/TK01: for queries (qid, company_document_id, revision_number, vector) the k nearest chunks of their document's revision."""
+    """TK01: for queries (qid, company_document_id, revision_number, vector) the k nearest chunks of their document's revision."""
     return _nearest(queries, store, k, IDENTITY)
 
 
@@ -151,6 +155,78 @@ def global_search(queries: DataFrame, store: DataFrame, k: int = 5) -> DataFrame
     return _nearest(queries, store, max(1, min(k, 20)), ())
 
 
+def _dimensions(vectors: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of n entries, one row a dimension, and their squared lengths, added up one dimension after the other."""
+    rows = np.ascontiguousarray(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n).T)
+    squares = np.zeros(rows.shape[1])
+    for x in rows:
+        squares += x * x
+    return rows, squares
+
+
+def _scores(a: np.ndarray, aa: np.ndarray, b: np.ndarray, bb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cosine similarities of all vectors of `a` with all of `b` (see `_dimensions`) in millionths, and which of them exist.
+
+    Products are added up one dimension after the other and halves are rounded
+    away from zero, as SQL does, so no last digit hangs on the size of a block.
+    """
+    dot, term = np.zeros((len(aa), len(bb))), np.empty((len(aa), len(bb)))
+    for x, y in zip(a, b, strict=True):
+        dot += np.multiply(x[:, None], y, out=term)
+    with np.errstate(all="ignore"):
+        score = np.clip(dot / np.sqrt(np.multiply.outer(aa, bb)), -1, 1) * 1e6
+    exists = ~np.isnan(score)
+    score[~exists] = 0
+    whole = np.trunc(score)
+    return (whole + np.copysign(np.abs(score - whole) >= 0.5, score)).astype(np.int64), exists
+
+
+def similarity_scores(queries: DataFrame, store: DataFrame) -> DataFrame:
+    """JN01: the similarity of queries (qid, company_document_id, revision_number, vector) with every chunk of their document's revision.
+
+    All pairs are the result, so it grows with the square of an identity.
+    Questions and chunks meet in cells (see `_cells`) of at most about SCORED
+    chunks, so the work of any identity is dealt to many tasks, and a task keeps
+    a cell's questions and passes its pairs on PAIRS at a time. As work is in
+    pairs, not bytes, Spark does not put small cells together. A vector that is
+    null, empty, all zero, of another length or with a null has no similarity:
+    the pair stays, its score is null. Null ids are passed over.
+    """
+
+    def side(rows: DataFrame, name: str, vector: str) -> DataFrame:
+        rows = rows.select(F.col(name), *IDENTITY, F.col(vector).alias("vector"))
+        return rows.withColumn("n", F.when(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()), F.size("vector")).otherwise(0))
+
+    tasks = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = [*IDENTITY, "salt", "block"]
+    met = _cells(side(queries, "qid", "vector"), side(store, "chunk_id", "embedding"), IDENTITY, SCORED, tasks)
+    met = met.select(*cell, "side", "n", F.col("qid").cast("bigint").alias("qid"), "chunk_id", "vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = []
+        for new, rows in _by_cell(batches, cell, "n"):
+            if new:
+                asked = []
+            n, m = rows.column("n")[0].as_py(), rows.num_rows
+            vectors, squares = _dimensions(rows.column("vector"), n) if n else (None, None)
+            if not rows.column("side")[0].as_py():
+                asked.append((n, rows.column("qid").to_numpy(), vectors, squares))
+                continue
+            step = max(1, PAIRS // m)
+            ids = pa.concat_arrays([rows.column("chunk_id")] * min(step, max((len(qids) for _, qids, _, _ in asked), default=1)))
+            for length, qids, a, aa in asked:
+                for at in range(0, len(qids), step):
+                    to = slice(at, at + step)
+                    of = len(qids[to]) * m
+                    units, exists = _scores(a[:, to], aa[to], vectors, squares) if n and n == length else (np.zeros(of, np.int64), np.zeros(of, bool))
+                    known = None if exists.all() else pa.py_buffer(np.packbits(exists.ravel(), bitorder="little"))
+                    wide = np.stack([units.ravel(), units.ravel() >> 63], axis=1)  # decimals are numbers of 128 bits
+                    score = pa.Array.from_buffers(pa.decimal128(12, 6), of, [known, pa.py_buffer(wide)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[to], m)), ids.slice(0, of), score], names=["qid", "chunk_id", "score"])
+
+    return met.mapInArrow(run, "qid bigint, chunk_id string, score decimal(12,6)")
+
+
 class Keywords:
     """The keywords of a cell's questions, and which questions have each."""
 

@@ -45,8 +45,7 @@ def tk01_detailed(spark, d):
 
 @query("jn01_similarity_scores", sql(f"SELECT q.qid, s.chunk_id, {SIM} AS score FROM q JOIN vectors s ON {_SAME}", "vectors", q=_Q))
 def jn01(spark, d):
-    both = query_vectors(spark, d).join(vectors(spark, d), ["company_document_id", "revision_number"])
-    return both.select("qid", "chunk_id", R.rounded(R.cosine(F.col("vector"), F.col("embedding"))).alias("score"))
+    return R.similarity_scores(query_vectors(spark, d), vectors(spark, d))
 
 
 @query("tk02_global_topk", sql(_topk(5, "true"), "vectors", q=_Q))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as X
 from paperloom.operators import retrieval as R
 from paperloom.operators.events import PREFIX
+from paperloom.plans import QUERIES
 from paperloom.sources import files as S
 from paperloom.streaming import processors as P
 
@@ -142,6 +143,53 @@ def test_vector_search(spark, monkeypatch, block, hot):
     assert {r.chunk_id for r in R.vector_search(spark.createDataFrame([(63, "d1", "1", [1.0] * 3)], queries.schema), more, 3).collect()} == {"y"}
 
 
+def by_pairs(asked, chunks):
+    """(qid, chunk_id, score in millionths) of all pairs of one identity; halves are rounded away from zero."""
+
+    def millionths(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b or not any(a) or not any(b):
+            return None
+        dot = aa = bb = 0.0
+        for x, y in zip(a, b, strict=True):
+            dot, aa, bb = dot + x * y, aa + x * x, bb + y * y
+        score = max(-1.0, min(dot / math.sqrt(aa * bb), 1.0)) * 1e6
+        return int(math.copysign(math.floor(abs(score)) + (abs(score) % 1 >= 0.5), score))
+
+    return [(q, c, millionths(v, w)) for q, *of, v in asked for c, *by, w in chunks if of == by and None not in of]
+
+
+@pytest.mark.parametrize(("block", "scored"), [(4096, 4096), (7, 20)])
+def test_scores_of_all_pairs(spark, monkeypatch, block, scored):
+    monkeypatch.setattr(R, "QUERY_BLOCK", block)
+    monkeypatch.setattr(R, "SCORED", scored)
+    rnd = random.Random(9)
+    odd = [None, [], [0.0] * 5, [1.0] * 4, [1.0, None, 1.0, 1.0, 1.0]]
+    half = [1.0, 0.0, 0.0, 0.0, 0.0], [1.0, 127.0, 15.0, 5.0, 2.0], [-1.0, 127.0, 15.0, 5.0, 2.0]  # similarities of 1/128 and -1/128
+    vector = lambda: [rnd.uniform(-1, 1) for _ in range(5)]
+    rows = lambda name, n, of: [(name(k), f"d{k % 2 if k < 60 else 0}", "1", (odd + list(half))[k // 2] if k < 16 else vector()) for k in range(n)] + [(name(n), None, "1", vector()), (name(n + 1), "d0", None, vector()), (name(n + 2), of, "1", vector())]
+    chunks, asked = rows("c{}".format, 400, "unasked"), rows(int, 130, "absent")
+    identity = "company_document_id string, revision_number string"
+    store = spark.createDataFrame(chunks, f"chunk_id string, {identity}, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame(asked, f"qid bigint, {identity}, vector array<double>")
+    got = R.similarity_scores(queries, store)
+    assert got.schema["score"].dataType.simpleString() == "decimal(12,6)"
+    key = lambda r: (r[0], r[1])
+    found = sorted(((r.qid, r.chunk_id, None if r.score is None else int(r.score.scaleb(6))) for r in got.collect()), key=key)
+    assert found == sorted(by_pairs(asked, chunks), key=key) and (10, "c12", 7813) in found and (10, "c14", -7813) in found and (0, "c12", None) in found
+    assert len(found) > 32_768 and R.similarity_scores(queries.limit(0), store).count() == 0 and R.similarity_scores(queries, store.limit(0)).count() == 0
+
+
+def test_score_query_takes_blocks_not_pairs(spark, tmp_path):
+    """Vectors without a similarity keep their pairs, and no join puts two vectors into a row."""
+    rows = [(k, [1.0, float(k)] if k < 100 else [] if k < 120 else None, 7) for k in range(180)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["jn01_similarity_scores"](spark, str(tmp_path))
+    by = lambda name: [(name(k), k % 3, v) for k, v, _ in rows]
+    assert sorted((r.qid, r.chunk_id, r.score is None) for r in got.collect()) == sorted((q, c, s is None) for q, c, s in by_pairs([x for x in by(int) if x[0] % 20 == 0], by(str)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "zip_with" not in plan
+
+
 def test_searches_run_nothing_while_planned(spark):
     """No job before the result is read, whatever the questions, and one pass over the cells."""
     queries = spark.range(3).selectExpr("id AS qid", "'d' AS company_document_id", "'1' AS revision_number", "if(id < 2, array(1D, raise_error('read')), array(0D, 1D)) AS vector", "'which pump pressure' AS question")
